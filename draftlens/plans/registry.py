@@ -1,15 +1,749 @@
-"""All queries by name, and the SQL they are checked against."""
+"""All queries by name. Each takes (spark, sf_dir) and returns a DataFrame; oracle.py has the SQL of those that SQL can say."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from draftlens import vocab
+from draftlens.functions import ids
+from draftlens.functions import text as T
+from draftlens.functions import times
+from draftlens.operators import detect, diffs, events, metrics, revisions, sessions, spans, traces
+from draftlens.plans import oracle
+from draftlens.session import union_all
+from draftlens.sources.readers import table
+from draftlens.streaming import events as stream
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+#: Labels of the events table, in the order that breaks ties.
+EVENT_LABELS = ("view", "click", "signup", "purchase", "error")
+START, END = "2024-01-01", "2024-02-01"
+#: ASCII tokens, the same in every engine.
+ASCII_TOKENS = "[a-z0-9_]+"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _queries[f.__name__] = f
+    return f
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return events.edit_log(table(spark, d, "events"))
+
+
+def _revisions(spark: SparkSession, d: str) -> DataFrame:
+    return revisions.from_conversations(table(spark, d, "conversations"))
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+# activity
+
+
+@query
+def label_counts(spark, d):
+    return events.label_counts(_log(spark, d))
+
+
+@query
+def label_counts_by_project(spark, d):
+    return events.label_counts(_log(spark, d), "project")
+
+
+@query
+def label_counts_dense(spark, d):
+    return events.dense_label_counts(_log(spark, d), vocab.ranked(spark, (*EVENT_LABELS, "refund")))
+
+
+@query
+def label_log_freq(spark, d):
+    return events.label_shares(_log(spark, d))
+
+
+@query
+def label_shares_by_project(spark, d):
+    return events.label_shares(_log(spark, d), "project")
+
+
+@query
+def daily_activity_dense(spark, d):
+    return events.activity(_log(spark, d), "day", START, END)
+
+
+@query
+def weekly_activity(spark, d):
+    return events.activity(_log(spark, d), "week", START, END)
+
+
+@query
+def monthly_activity(spark, d):
+    return events.activity(_log(spark, d), "month", "2024-01-01", "2025-01-01")
+
+
+@query
+def daily_activity_by_project(spark, d):
+    return events.activity(_log(spark, d), "day", START, END, by="project")
+
+
+@query
+def daily_activity_closed(spark, d):
+    return events.activity(_log(spark, d), "day", START, "2024-01-15", by="label", closed=True)
+
+
+@query
+def top_users_breakdown(spark, d):
+    return events.top_breakdown(_log(spark, d), "author", "project")
+
+
+@query
+def top_projects_breakdown(spark, d):
+    return events.top_breakdown(_log(spark, d), "project", "author", 3)
+
+
+@query
+def breakdown_entries(spark, d):
+    m = events.breakdown_map(_log(spark, d), "project", "label")
+    return m.select("project", F.explode("counts").alias("key", "n"), "total")
+
+
+@query
+def activity_rollup(spark, d):
+    return events.rollup_counts(_log(spark, d))
+
+
+@query
+def stacked_series(spark, d):
+    return events.stacked_series(_log(spark, d), EVENT_LABELS)
+
+
+@query
+def first_last_edit(spark, d):
+    return events.last_edit(_log(spark, d))
+
+
+@query
+def replay_page(spark, d):
+    return events.page(_log(spark, d), 300).select("project", "place", "tie", "label")
+
+
+@query
+def distinct_authors(spark, d):
+    return _log(spark, d).groupBy("project").agg(F.count_distinct("author").alias("authors"), F.count_distinct("label").alias("coverage"))
+
+
+# gaps, transitions, runs, windows
+
+
+@query
+def gap_stats(spark, d):
+    return events.gap_stats(_log(spark, d), "project", "author")
+
+
+@query
+def gap_histogram(spark, d):
+    return events.gap_histogram(_log(spark, d), "project", "author")
+
+
+@query
+def gap_drop_pct(spark, d):
+    return events.drop_percent(events.gap_histogram(_log(spark, d), "project", "author"))
+
+
+@query
+def transitions(spark, d):
+    return events.transitions(_log(spark, d))
+
+
+@query
+def transitions_early(spark, d):
+    return events.transitions(_log(spark, d), part=(0, 1))
+
+
+@query
+def transitions_late(spark, d):
+    return events.transitions(_log(spark, d), part=(2, 3))
+
+
+@query
+def transitions_by_project(spark, d):
+    return events.transitions(_log(spark, d), "project")
+
+
+@query
+def transition_matrix(spark, d):
+    return events.transition_matrix(events.transitions(_log(spark, d)), EVENT_LABELS)
+
+
+@query
+def top_next_label(spark, d):
+    return events.top_next(events.transitions(_log(spark, d)), vocab.ranked(spark, EVENT_LABELS))
+
+
+@query
+def label_runs(spark, d):
+    return events.runs(_log(spark, d))
+
+
+@query
+def flow_links(spark, d):
+    return events.visible_links(events.run_edges(_log(spark, d), ("error",)), ("signup",))
+
+
+@query
+def run_composition(spark, d):
+    return events.binary_composition(_log(spark, d), F.col("label") == "view")
+
+
+@query
+def windowed_label_dist(spark, d):
+    return events.windowed_labels(_log(spark, d))
+
+
+@query
+def label_uniform_w1(spark, d):
+    return events.uniform_distance(events.windowed_labels(_log(spark, d)))
+
+
+@query
+def label_temporal_mean(spark, d):
+    return events.temporal_mean(events.windowed_labels(_log(spark, d)))
+
+
+@query
+def phase_shares(spark, d):
+    log = _log(spark, d)
+    return union_all([events.label_counts(events.phase(log, k), "project").withColumn("phase", F.lit(k)) for k in (1, 2, 3)])
+
+
+# sessions
+
+
+@query
+def sessions_gap(spark, d):
+    return sessions.sessions(sessions.mark_sessions(_log(spark, d))).select("project", "session", "start_ts", "end_ts", "n", F.round("minutes", 6).alias("minutes"))
+
+
+@query
+def sessions_strict(spark, d):
+    s = sessions.sessions(sessions.mark_sessions(_log(spark, d)), strict=True)
+    return s.select("project", "session", "index", "n", F.array_join("label_list", ",").alias("labels"), F.round("minutes", 6).alias("minutes"))
+
+
+@query
+def intention_sessions(spark, d):
+    s = sessions.sessions(sessions.mark_sessions(_log(spark, d).filter("project <> 3"), label_breaks=True), least_minutes=0.01, strict=True)
+    return s.select("project", "session", "index", "label", "n", F.round("minutes", 6).alias("minutes"))
+
+
+@query
+def session_duration_stats(spark, d):
+    return sessions.duration_stats(sessions.sessions(sessions.mark_sessions(_log(spark, d))), "project")
+
+
+@query
+def session_duration_classes(spark, d):
+    return sessions.duration_classes(sessions.sessions(sessions.mark_sessions(_log(spark, d))))
+
+
+@query
+def session_starts(spark, d):
+    return sessions.cumulative_starts(sessions.sessions(sessions.mark_sessions(_log(spark, d)))).select("project", "session", F.round("begins", 4).alias("begins"))
+
+
+@query
+def time_per_label(spark, d):
+    return sessions.with_shares(sessions.time_per_label(_log(spark, d), 5.0, "project"), "project")
+
+
+@query
+def time_per_label_early_late(spark, d):
+    log = _log(spark, d)
+    return union_all([sessions.time_per_label(events.phase(log, k)).withColumn("phase", F.lit(k)) for k in (1, 3)])
+
+
+@query
+def duration_vs_labels_ols(spark, d):
+    s = sessions.sessions(sessions.mark_sessions(_log(spark, d))).withColumn("kinds", F.size(F.array_distinct("label_list")).cast("double"))
+    return sessions.linear_fit(s, F.col("minutes"), F.col("kinds"), "project")
+
+
+@query
+def window_sessions(spark, d):
+    """The gap part of a session by the session window, as streams compute it."""
+    return stream.gap_sessions(_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))).select("project", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start_s"), "n")
+
+
+@query
+def sliding_counts(spark, d):
+    w = stream.windowed_counts(_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "2 days", "10 minutes", "1 day")
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("start_s"), "n")
+
+
+# revisions
+
+
+@query
+def word_delta_by_conv(spark, d):
+    return revisions.added_and_deleted(revisions.word_deltas(_revisions(spark, d)))
+
+
+@query
+def revision_deltas(spark, d):
+    return revisions.word_deltas(_revisions(spark, d))
+
+
+@query
+def revision_anomalies(spark, d):
+    rows = _revisions(spark, d).filter("revision_index % 5 <> 3")  # some revisions missing, so that each rule has its cases
+    return revisions.anomalies(rows).select("doc_id", "revision_index", "anomaly")
+
+
+@query
+def word_jaccard_consecutive(spark, d):
+    return revisions.consecutive_jaccard(_revisions(spark, d))
+
+
+@query
+def edit_classes(spark, d):
+    return revisions.edit_classes(_revisions(spark, d), F.lit(0), F.lit(200), pattern=ASCII_TOKENS)
+
+
+@query
+def trajectory_states(spark, d):
+    t = revisions.trajectories(revisions.edit_classes(_revisions(spark, d), F.lit(0), F.lit(200), pattern=ASCII_TOKENS))
+    return t.select("doc_id", "state", "flag")
+
+
+@query
+def trajectory_history(spark, d):
+    t = revisions.trajectories(revisions.edit_classes(_revisions(spark, d), F.lit(0), F.lit(200), pattern=ASCII_TOKENS))
+    return t.select("doc_id", F.inline("history"))
+
+
+@query
+def carry_forward_asof(spark, d):
+    r = _revisions(spark, d)
+    versions = r.filter("revision_index % 3 = 0").select("doc_id", F.col("revision_index").alias("born"), F.md5(F.col("text").cast("binary")).alias("value"))
+    return revisions.as_of(r, versions)
+
+
+@query
+def active_spans(spark, d):
+    r = _revisions(spark, d)
+    born = r.filter("revision_index % 2 = 0").select("doc_id", F.col("revision_index").alias("born"), F.char_length("text").alias("size"))
+    return revisions.carry_forward(r, born).groupBy("doc_id", "revision_index").agg(F.count("*").alias("n_active"), F.sum("size").alias("chars"))
+
+
+# text
+
+
+@query
+def doc_ids(spark, d):
+    return _docs(spark, d).select("doc_id", ids.doc_id(F.col("doc_id")).alias("hashed_id"), ids.revision_id(F.col("source"), F.col("doc_id")).alias("rev_id"), ids.md5_mod(F.col("doc_id").cast("string"), 10000).alias("bucket"))
+
+
+@query
+def provenance_hash(spark, d):
+    return _docs(spark, d).select("doc_id", T.provenance_hash(F.col("text")).alias("provenance"))
+
+
+@query
+def sentence_counts(spark, d):
+    return _docs(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
+
+
+@query
+def sentence_offsets(spark, d):
+    s = _docs(spark, d).withColumn("parts", T.sentences(F.col("text")))
+    return s.select("doc_id", F.posexplode(T.sentence_offsets(F.col("text"), F.col("parts"))).alias("k", "o")).select("doc_id", "k", "o.start", "o.end")
+
+
+@query
+def discourse_density(spark, d):
+    return detect.density(_docs(spark, d)).select("doc_id", "n_markers", "n_words")
+
+
+@query
+def syntactic_demand(spark, d):
+    return detect.density(_docs(spark, d)).select("doc_id", "demand")
+
+
+@query
+def conceptual_ruptures(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(T.conceptual_ruptures(F.col("text"))).alias("k", "at"))
+
+
+@query
+def pii_counts_by_rule(spark, d):
+    return detect.pii_counts(_docs(spark, d)).groupBy("rule_id", "severity").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+
+
+@query
+def pii_docs(spark, d):
+    return detect.pii_counts(_docs(spark, d)).groupBy("doc_id").agg(F.sum(F.when(F.col("severity") == "high", F.col("n")).otherwise(0)).alias("n_high"), F.sum("n").alias("n"))
+
+
+@query
+def pii_findings(spark, d):
+    return detect.pii_findings(_docs(spark, d))
+
+
+@query
+def leakage_flags(spark, d):
+    return detect.flags(_docs(spark, d))
+
+
+@query
+def template_hits(spark, d):
+    return detect.contained_templates(_docs(spark, d), table(spark, d, "benchmark"))
+
+
+@query
+def parsed_labels(spark, d):
+    replies = table(spark, d, "events").select("event_id", F.concat(F.lit("The label is '"), F.element_at(F.array(*map(F.lit, (*vocab.WRITING_INTENTIONS, "Other"))), (F.col("event_id") % 16 + 1).cast("int")), F.lit("'.")).alias("reply"))
+    return replies.groupBy(T.parse_label(F.col("reply")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def iso_timestamps(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", times.iso_from_millis(ms - ms % 1000).alias("iso"), F.round(times.delta_seconds(F.col("ts"), w), 3).alias("delta_s"))
+
+
+# evaluation
+
+
+def _pairs(spark, d) -> DataFrame:
+    return table(spark, d, "labels").join(_docs(spark, d), "doc_id").select("doc_id", "quality", "toxic", "n_chars", "source", "lang")
+
+
+@query
+def classification_report(spark, d):
+    return metrics.per_class(metrics.confusion(_pairs(spark, d), "quality", "toxic"))
+
+
+@query
+def classification_summary(spark, d):
+    return metrics.summary(metrics.confusion(_pairs(spark, d), "quality", "toxic"))
+
+
+@query
+def confusion_matrix(spark, d):
+    return metrics.confusion(_pairs(spark, d), "quality", "toxic", dense=True)
+
+
+@query
+def binary_f1(spark, d):
+    return metrics.binary_f1(_pairs(spark, d), F.col("quality") == 1, F.col("n_chars") > 1500, "lang")
+
+
+@query
+def auc_length_quality(spark, d):
+    return metrics.auc(_pairs(spark, d), F.col("quality") == 1, F.col("n_chars"), "lang")
+
+
+@query
+def kappa(spark, d):
+    return metrics.kappa(_pairs(spark, d), "quality", "toxic")
+
+
+@query
+def class_weights(spark, d):
+    return metrics.class_weights(_log(spark, d), "label", vocab.ranked(spark, (*EVENT_LABELS, "refund")))
+
+
+@query
+def harm_rates(spark, d):
+    r = _revisions(spark, d)
+    s = _spans(r)
+    return metrics.harm(s.withColumn("ord", F.col("start")), r.select("doc_id", "revision_index", F.lower("text").contains("the").alias("hit")))
+
+
+@query
+def harm_by_source(spark, d):
+    rows = table(spark, d, "labels").join(_docs(spark, d), "doc_id")
+    return rows.groupBy("source").agg(F.round(F.avg(F.when(F.col("toxic") == 1, (F.col("n_chars") > 1000).cast("double"))), 6).alias("sensitivity"), F.round(F.avg(F.when(F.col("toxic") == 0, (F.col("n_chars") > 1000).cast("double"))), 6).alias("fpr"), F.count("*").alias("n"))
+
+
+@query
+def coupling_evaluation(spark, d):
+    base = table(spark, d, "labels")
+    gold = base.select(F.col("doc_id").alias("k"), (F.col("quality") * 0.9).alias("resource_coupling"))
+    pred = base.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), (F.col("toxic") * 0.8).alias("predicted_coupling"))
+    return metrics.evaluation(gold, pred, ["k"])
+
+
+@query
+def gold_sample(spark, d):
+    return metrics.sample(_docs(spark, d), 50, 17, "doc_id").select("doc_id", "source")
+
+
+@query
+def stratified_rotation(spark, d):
+    place = F.col("doc_id")
+    return metrics.rotation(_docs(spark, d), place, vocab.LEVELS, vocab.STATES).groupBy("level", "state").agg(F.count("*").alias("n"))
+
+
+@query
+def weighted_choice(spark, d):
+    return metrics.weighted_choice(_docs(spark, d), {"naive": 0.35, "topical": 0.40, "contextual": 0.25}, 11, "doc_id").groupBy("choice").agg(F.count("*").alias("n"))
+
+
+@query
+def diverse_selection(spark, d):
+    return metrics.diverse(_docs(spark, d), "source", "n_chars", "doc_id", 2, 60).select("doc_id", "source", "n_chars")
+
+
+@query
+def fallback_ranking(spark, d):
+    rows = _docs(spark, d).select(F.col("doc_id").alias("key"), F.col("source").alias("vendor"), F.col("n_chars").alias("score"))
+    return metrics.fallbacks(rows, rows.filter("key = 1"), 20)
+
+
+@query
+def split_disjointness(spark, d):
+    ids_ = _docs(spark, d).select(F.col("doc_id").alias("id"))
+    parts = [ids_.filter(f"id % {m} = 0").withColumn("split", F.lit(n)) for n, m in (("train", 2), ("val", 3), ("test", 5))]
+    return metrics.disjointness(union_all(parts))
+
+
+@query
+def annotator_agreement(spark, d):
+    base = table(spark, d, "labels")
+    ann = union_all([base.select("doc_id", F.lit("a").alias("annotator"), F.col("quality").alias("label")), base.filter("doc_id % 4 <> 1").select("doc_id", F.lit("b").alias("annotator"), F.col("toxic").alias("label"))])
+    return metrics.agreement(ann, 2, ["doc_id"]).select("doc_id", F.col("labels")[0].alias("first"), F.col("labels")[1].alias("second"))
+
+
+# spans
+
+
+def _spans(r: DataFrame) -> DataFrame:
+    """Spans derived from revisions: two in each even revision, one in each odd one; states follow the revision's number."""
+    n = F.char_length("text")
+    one = r.select("doc_id", "revision_index", F.inline(F.array(
+        F.struct(F.concat(F.lit("inj_"), F.col("doc_id").cast("string")).alias("injection_id"), F.when(F.col("revision_index") % 4 == 3, "anomaly.truncation").otherwise("injection.topical").alias("label"), F.floor(n / 4).cast("int").alias("start"), F.floor(n / 2).cast("int").alias("end")),
+        F.struct(F.concat(F.lit("two_"), F.col("doc_id").cast("string")).alias("injection_id"), F.lit("injection.naive").alias("label"), F.floor(n / 3).cast("int").alias("start"), (F.floor(n * 3 / 4) + F.when(F.col("revision_index") == 2, 5000).otherwise(0)).cast("int").alias("end")),
+    )))
+    inj = F.col("label").startswith("injection.")
+    state = F.element_at(F.array(*map(F.lit, vocab.STATES)), F.pmod(F.col("doc_id") + F.col("revision_index"), F.lit(3)).cast("int") + 1)
+    kept = one.filter("revision_index % 2 = 0 or injection_id like 'inj%'")
+    return kept.withColumns({"level": F.when(inj, F.substring_index("label", ".", -1)), "state": F.when(inj, state), "flag": F.element_at(F.array(*map(F.lit, vocab.FLAGS)), F.pmod(F.col("doc_id"), F.lit(4)).cast("int") + 1)})
+
+
+def _traced(r: DataFrame) -> DataFrame:
+    """Spans with traces made from their numbers: statuses and complexities repeat in ways that give every case."""
+    size = (F.pmod(F.col("doc_id"), F.lit(9)) + 1).cast("int")
+
+    def event(i):
+        bad = F.pmod(i * 3 + F.col("doc_id"), F.lit(4)) == 0
+        fixed = F.pmod(i + F.col("doc_id"), F.lit(3)) == 0
+        return F.struct(
+            F.when(bad, F.when(fixed, "repair").otherwise("failure")).otherwise("success").alias("status"),
+            F.when(fixed, "x").alias("repair_artifact"),
+            (F.lit(1.0) - i * 0.01 + F.when(F.pmod(F.col("doc_id"), F.lit(5)) == 0, i * 0.02).otherwise(0.0)).alias("glucose_at_event"),
+            (F.pmod(i * i + F.col("doc_id"), F.lit(7)).cast("double") / 2).alias("syntactic_complexity"),
+        )
+
+    return _spans(r).withColumn("trace", F.transform(F.sequence(F.lit(1), size), event))
+
+
+@query
+def span_iou_by_conv(spark, d):
+    s = _spans(_revisions(spark, d)).select("doc_id", "injection_id", "start", "end")
+    return spans.iou(s.filter("injection_id like 'inj%'"), s.filter("injection_id like 'two%'"), "doc_id")
+
+
+@query
+def span_iou_pooled(spark, d):
+    s = _spans(_revisions(spark, d)).select("injection_id", "start", "end")
+    return spans.iou(s.filter("injection_id like 'inj%'"), s.filter("injection_id like 'two%'"))
+
+
+@query
+def span_overlaps(spark, d):
+    return spans.overlaps(_spans(_revisions(spark, d)))
+
+
+@query
+def span_boundary_errors(spark, d):
+    r = _revisions(spark, d)
+    return spans.boundary_violations(_spans(r), r)
+
+
+@query
+def span_content_errors(spark, d):
+    r = _revisions(spark, d)
+    return spans.content_violations(_spans(r), r)
+
+
+@query
+def span_constraints(spark, d):
+    s = _spans(_revisions(spark, d))
+    return spans.constraint_violations(s.withColumn("level", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.coalesce("level", F.when(F.col("doc_id") % 5 == 0, "naive")))))
+
+
+@query
+def flag_consistency(spark, d):
+    return spans.flag_violations(_spans(_revisions(spark, d)))
+
+
+@query
+def metadata_errors(spark, d):
+    s = _spans(_revisions(spark, d))
+    return spans.metadata_violations(s.withColumns({"provenance_hash": F.when(F.col("doc_id") % 2 == 0, "h"), "generator_class": F.lit("g"), "prompt_hash": F.when(F.col("doc_id") % 3 == 0, "").otherwise("p")}))
+
+
+@query
+def boundary_erosion(spark, d):
+    return spans.erosion(_spans(_revisions(spark, d)))
+
+
+@query
+def state_monotonicity(spark, d):
+    return spans.monotonicity_violations(_spans(_revisions(spark, d)))
+
+
+@query
+def earned_labels(spark, d):
+    return spans.earned_label_violations(_traced(_revisions(spark, d)))
+
+
+@query
+def earned_flags(spark, d):
+    s = _traced(_revisions(spark, d))
+    return spans.earned_flag_violations(s, spans.erosion(s))
+
+
+@query
+def span_leakage(spark, d):
+    r = _revisions(spark, d).withColumn("text", F.concat(F.lit("Here is it. "), F.col("text"), F.lit(" as an AI ")))
+    return spans.leakage_violations(_spans(r).withColumns({"start": F.lit(0), "end": F.least(F.char_length("injection_id") + 200, F.lit(300))}), r)
+
+
+@query
+def validation_report(spark, d):
+    r = _revisions(spark, d)
+    return spans.error_counts(spans.validate(_traced(r), r))
+
+
+@query
+def text_insertion(spark, d):
+    r = _revisions(spark, d)
+    rec = lambda i, body: F.struct(F.lit(f"i{i}").alias("injection_id"), F.floor(F.char_length("text") / (i + 1)).cast("int").alias("start"), F.lit(body).alias("body"))
+    made = r.withColumn("x", spans.insert_all(F.col("text"), F.array(rec(1, " FIRST "), rec(2, " SECOND é "), rec(3, " THIRD "))))
+    return made.select("doc_id", "revision_index", F.md5(F.col("x.text").cast("binary")).alias("text_md5"), F.inline("x.spans"))
+
+
+# traces
+
+
+@query
+def causal_signatures(spark, d):
+    return traces.with_signatures(_traced(_revisions(spark, d))).select("doc_id", "revision_index", "injection_id", "locality", "coupling", "plausible")
+
+
+@query
+def signature_anomalies(spark, d):
+    return traces.anomaly_spans(_traced(_revisions(spark, d))).select("doc_id", "revision_index", "injection_id", "label", "flag")
+
+
+@query
+def signature_states(spark, d):
+    s = traces.with_signatures(_traced(_revisions(spark, d)))
+    state = traces.state_from_signatures(F.col("plausible"), F.col("coupling"), F.col("locality"))
+    return s.select("doc_id", "revision_index", "injection_id", state.alias("state"), traces.flag_from_state(state).alias("flag"))
+
+
+@query
+def trace_summary(spark, d):
+    return traces.revision_summary(_traced(_revisions(spark, d)))
+
+
+@query
+def resource_simulation(spark, d):
+    """The resource recurrence over 60 words a document, of demands made from their lengths."""
+    words = F.slice(T.words(F.col("text")), 1, 60)
+    made = F.transform(words, lambda w, i: F.struct((F.char_length(w) % 9).cast("double").alias("depth"), (F.char_length(w) % 10 / 10.0).alias("rarity"), F.lit(0.004).alias("cost")))
+    return _docs(spark, d).select("doc_id", F.posexplode(traces.simulate(made)).alias("k", "e")).groupBy("doc_id").agg(F.count("e.failure").alias("n_failures"), F.round(F.min("e.glucose_after"), 6).alias("least_glucose"), F.round(F.avg("e.latency_ms"), 3).alias("mean_latency"))
+
+
+# similarity
+
+
+@query
+def ncd_discontinuity(spark, d):
+    return detect.discontinuity(_revisions(spark, d))
+
+
+@query
+def baseline_scores(spark, d):
+    n = detect.discontinuity(_revisions(spark, d)).filter("revision_index > 0")
+    return detect.baselines(n.select((F.col("revision_index") % 2 == 0).alias("y"), "ncd", (F.col("revision_index") / 10.0).alias("coupling")))
+
+
+@query
+def revision_diffs(spark, d):
+    before = F.lag("text").over(revisions.ORDER)
+    pairs = _revisions(spark, d).select(F.concat_ws(":", "doc_id", "revision_index").alias("key"), before.alias("before"), F.col("text").alias("after")).filter("before is not null")
+    return diffs.compare(pairs).select("key", F.round("ratio", 6).alias("ratio"), F.size("spans").alias("n_spans"))
+
+
+def _cosine(a, b):
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+@query
+def cosine_consecutive(spark, d):
+    """Cosine of each vector with the one before of its label."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    e = table(spark, d, "embeddings").withColumn("_b", F.lag("embedding").over(w)).filter("_b is not null")
+    return e.select("vec_id", "label", F.round(_cosine(F.col("_b"), F.col("embedding")), 5).alias("cosine"))
+
+
+@query
+def cosine_by_label(spark, d):
+    """Mean cosine of vectors with the mean vector of their label."""
+    e = table(spark, d, "embeddings")
+    mean = e.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centre = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda v: v["m"]).alias("centre"))
+    return e.join(centre, "label").groupBy("label").agg(F.round(F.avg(_cosine(F.col("embedding"), F.col("centre"))), 5).alias("mean_cosine"), F.count("*").alias("n"))
+
+
+# the joins and pivots above, on larger tables
+
+
+@query
+def revenue_topk(spark, d):
+    li, o, c = (table(spark, d, t) for t in ("lineitem", "orders", "customer"))
+    sums = li.join(o, li["l_orderkey"] == o["o_orderkey"]).groupBy("o_custkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    return sums.join(c, sums["o_custkey"] == c["c_custkey"]).select("c_custkey", "c_name", F.round("r", 2).alias("revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
+
+
+@query
+def priority_pivot(spark, d):
+    o = table(spark, d, "orders")
+    return o.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).na.fill(0)
+
+
+@query
+def pricing_summary(spark, d):
+    li = table(spark, d, "lineitem").filter("l_shipdate <= timestamp_ntz '1998-09-02'")
+    disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(disc), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
