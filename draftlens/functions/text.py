@@ -124,8 +124,8 @@ def _any(conditions) -> Column:
 def pii_matches(text: Column, rule: str) -> Column:
     """All matches of one rule, in order; names that begin as captions do are left out."""
     if rule in vocab.PII_STRICT:
-        return F.regexp_extract_all(empty_if_null(text), F.lit(vocab.PII_STRICT[rule]), F.lit(0))
-    found = F.regexp_extract_all(empty_if_null(text), F.lit(vocab.PII_HEURISTIC[rule]), F.lit(0))
+        return F.regexp_extract_all(empty_if_null(text), F.lit("(?U)" + vocab.PII_STRICT[rule]), F.lit(0))
+    found = F.regexp_extract_all(empty_if_null(text), F.lit("(?U)" + vocab.PII_HEURISTIC[rule]), F.lit(0))
     return F.filter(found, lambda m: ~_any(m.startswith(w) for w in vocab.PII_NOT_NAMES))
 
 

@@ -26,6 +26,10 @@ def pii_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.inline(rules)).filter("n > 0")
 
 
+def _finding(rule: str, severity: str):
+    return lambda x: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), x["start"].alias("span_start"), x["end"].alias("span_end"))
+
+
 def pii_findings(docs: DataFrame) -> DataFrame:
     """Every match with its place and ten characters each side.
 
@@ -42,7 +46,7 @@ def pii_findings(docs: DataFrame) -> DataFrame:
 
         spans = F.aggregate(found, begin, step, lambda acc: acc["out"])
         severity = "high" if r in vocab.PII_STRICT else "medium"
-        parts.append(F.transform(spans, lambda x, r=F.lit(r), severity=F.lit(severity): F.struct(r.alias("rule_id"), severity.alias("severity"), x["start"].alias("span_start"), x["end"].alias("span_end"))))
+        parts.append(F.transform(spans, _finding(r, severity)))
     rows = docs.select("doc_id", "text", F.inline(F.concat(*parts)))
     lo, hi = F.greatest(F.lit(0), F.col("span_start") - 10), F.least(F.char_length("text"), F.col("span_end") + 10)
     return rows.withColumn("snippet", F.concat(F.lit("..."), F.substring(F.col("text"), lo + 1, hi - lo), F.lit("..."))).drop("text")
@@ -57,6 +61,10 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(T.leakage_patterns(F.col("text"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+def _run_hash(n: int):
+    return lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(F.col("w"), i + 1, n)).alias("h"))
+
+
 def contained_templates(docs: DataFrame, templates: DataFrame, size: int = 8) -> DataFrame:
     """Texts that contain a template's whole text, case aside: doc_id, item_id.
 
@@ -68,7 +76,7 @@ def contained_templates(docs: DataFrame, templates: DataFrame, size: int = 8) ->
     firsts = t.withColumn("n", F.least(F.size("w"), F.lit(size))).withColumn("h", F.xxhash64(F.slice(F.col("w"), F.lit(1), F.col("n")))).drop("w")
     d = docs.select("doc_id", F.lower(T.empty_if_null(F.col("text"))).alias("low")).withColumn("w", T.words(F.col("low")))
     runs = [
-        F.when(F.size("w") >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i, n=F.lit(n): F.struct(n.alias("n"), F.xxhash64(F.slice(F.col("w"), i + 1, n)).alias("h"))))).otherwise(F.array().cast("array<struct<n:int,h:bigint>>"))
+        F.when(F.size("w") >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), _run_hash(n)))).otherwise(F.array().cast("array<struct<n:int,h:bigint>>"))
         for n in lengths or [size]
     ]
     looked = d.select("doc_id", "low", F.inline(F.concat(*runs)))

@@ -91,7 +91,7 @@ def rollup_counts(log: DataFrame) -> DataFrame:
 
 def stacked_series(log: DataFrame, labels: Sequence[str], grain: str = "day") -> DataFrame:
     """Buckets by labels, zero filled: the matrix behind a stacked chart."""
-    out = log.groupBy(F.date_trunc(grain, "ts").cast("date").alias("bucket")).pivot("label", list(labels)).agg(F.count("*"))
+    out = log.groupBy(F.date_trunc(grain, "ts").cast("date").alias("bucket")).pivot("label", list(labels)).agg(F.count(F.lit(1)))
     return out.na.fill(0)
 
 

@@ -43,12 +43,12 @@ def repair_locality(failed: Column, repaired: Column) -> Column:
 
     Read backwards, the place of the next repair is carried along, so a trace is walked once.
     """
-    both = F.reverse(F.arrays_zip(failed.alias("f"), repaired.alias("r")))
+    both = F.reverse(F.zip_with(failed, repaired, lambda f, r: F.struct(f.alias("f"), r.alias("r"))))
     begin = F.struct(F.lit(-1).alias("away"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
 
     def step(acc: Column, e: Column) -> Column:
-        away = F.when(e["1"], F.lit(0)).when(acc["away"] >= 0, acc["away"] + 1).otherwise(F.lit(-1))
-        counts = e["0"] & (away >= 0)
+        away = F.when(e["r"], F.lit(0)).when(acc["away"] >= 0, acc["away"] + 1).otherwise(F.lit(-1))
+        counts = e["f"] & (away >= 0)
         return F.struct(away.alias("away"), (acc["n"] + counts.cast("int")).alias("n"), (acc["total"] + F.when(counts, away + 1).otherwise(0)).alias("total"))
 
     return F.aggregate(both, begin, step, lambda acc: F.coalesce(F.try_divide(acc["total"], acc["n"]), F.lit(0.0)))
@@ -63,7 +63,7 @@ def with_signatures(rows: DataFrame, trace: str = "trace") -> DataFrame:
     enough = (F.size(trace) > vocab.TRACE_FOR_COUPLING) & F.exists(failed, lambda f: f)
     out = rows.withColumns({"_loc": F.coalesce(repair_locality(failed, repaired), F.lit(0.0)), "_r": F.when(enough, r).otherwise(0.0)})
     plausible = F.col("_loc").between(vocab.LOCALITY_LOW, vocab.LOCALITY_HIGH) & (F.abs("_r") > vocab.COUPLING_PLAUSIBLE)
-    return out.withColumns({"locality": F.round("_loc", 2), "coupling": F.round("_r", 3), "plausible": plausible}).drop("_loc", "_r")
+    return out.withColumns({"locality": F.round("_loc", 2), "coupling": F.round("_r", 3) + F.lit(0.0), "plausible": plausible}).drop("_loc", "_r")
 
 
 def signature_anomaly(locality: Column, coupling: Column) -> Column:

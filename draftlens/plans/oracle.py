@@ -94,10 +94,10 @@ def _iou(keys: str) -> str:
     part = f"PARTITION BY {keys}" if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
     return f"""WITH {_REV}, {_SPANS},
-pt AS (SELECT {k}s AS at, CASE WHEN injection_id LIKE 'inj%' THEN 1 ELSE 0 END AS dp, CASE WHEN injection_id LIKE 'two%' THEN 1 ELSE 0 END AS dt FROM sp WHERE e > s
+pt AS (SELECT {k}s AS x, CASE WHEN injection_id LIKE 'inj%' THEN 1 ELSE 0 END AS dp, CASE WHEN injection_id LIKE 'two%' THEN 1 ELSE 0 END AS dt FROM sp WHERE e > s
        UNION ALL SELECT {k}e, CASE WHEN injection_id LIKE 'inj%' THEN -1 ELSE 0 END, CASE WHEN injection_id LIKE 'two%' THEN -1 ELSE 0 END FROM sp WHERE e > s),
-ag AS (SELECT {k}at, sum(dp) AS dp, sum(dt) AS dt FROM pt GROUP BY {k}at),
-sg AS (SELECT {k}sum(dp) OVER w > 0 AS p, sum(dt) OVER w > 0 AS t, lead(at) OVER ({part} ORDER BY at) - at AS len FROM ag WINDOW w AS ({part} ORDER BY at ROWS UNBOUNDED PRECEDING)),
+ag AS (SELECT {k}x, sum(dp) AS dp, sum(dt) AS dt FROM pt GROUP BY {k}x),
+sg AS (SELECT {k}sum(dp) OVER w > 0 AS p, sum(dt) OVER w > 0 AS t, lead(x) OVER ({part} ORDER BY x) - x AS len FROM ag WINDOW w AS ({part} ORDER BY x ROWS UNBOUNDED PRECEDING)),
 su AS (SELECT {k}CAST(coalesce(sum(CASE WHEN p AND t THEN len END), 0) AS BIGINT) AS inter, CAST(coalesce(sum(CASE WHEN p OR t THEN len END), 0) AS BIGINT) AS "union" FROM sg {group})
 SELECT {k}inter, "union", round(coalesce(inter * 1.0 / nullif("union", 0), 0), 6) AS iou FROM su"""
 
@@ -118,7 +118,9 @@ def _pii() -> str:
     parts = []
     for r, p in {**vocab.PII_STRICT, **vocab.PII_HEURISTIC}.items():
         p = p.replace("'", "''")
-        found = f"regexp_extract_all(coalesce(text, ''), '{p}')"
+        # this engine's word boundaries know ASCII only: in names, other letters are shown to it as an underscore
+        shown = "coalesce(text, '')" if r in vocab.PII_STRICT else r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '_', 'g')"
+        found = f"regexp_extract_all({shown}, '{p}')"
         if r in vocab.PII_HEURISTIC:
             skip = " AND ".join(f"NOT starts_with(m, '{w}')" for w in vocab.PII_NOT_NAMES)
             found = f"list_filter({found}, lambda m: {skip})"
@@ -153,7 +155,7 @@ sg0 AS (SELECT doc_id, revision_index, injection_id, any_value(size) AS size, an
          coalesce(covar_samp(CASE WHEN bad AND fixed THEN 1.0 ELSE 0 END, cx1) FILTER (cx1 IS NOT NULL) / nullif(stddev_samp(CASE WHEN bad AND fixed THEN 1.0 ELSE 0 END) FILTER (cx1 IS NOT NULL) * stddev_samp(cx1) FILTER (cx1 IS NOT NULL), 0), 0) AS rr
        FROM ev1 GROUP BY doc_id, revision_index, injection_id),
 sg AS (SELECT *, CASE WHEN size > 5 AND any_bad THEN r ELSE 0 END AS cr FROM sg0),
-sig AS (SELECT *, round(loc, 2) AS locality, round(cr, 3) AS coupling, loc BETWEEN 1.0 AND 3.5 AND abs(cr) > 0.5 AS plausible FROM sg)"""
+sig AS (SELECT *, round(loc, 2) AS locality, round(cr, 3) + CAST(0 AS DOUBLE) AS coupling, loc BETWEEN 1.0 AND 3.5 AND abs(cr) > 0.5 AS plausible FROM sg)"""
 
 SQL: dict[str, str] = {
     "label_counts": f"WITH {_LOG} SELECT label, count(*) AS n FROM log GROUP BY label",
@@ -190,7 +192,7 @@ SQL: dict[str, str] = {
     "label_uniform_w1": f"WITH {_LOG}, {_WIN}, g AS (SELECT p.project, p.label, w.range AS win FROM (SELECT DISTINCT project, label FROM win) p CROSS JOIN range(10) w), x AS (SELECT g.*, coalesce(win.n, 0) * 1.0 / sum(coalesce(win.n, 0)) OVER (PARTITION BY g.project, g.label) AS p FROM g LEFT JOIN win ON win.project = g.project AND win.label = g.label AND win.win = g.win) SELECT project, label, round(avg(abs(p - 0.1)), 6) AS w1 FROM x GROUP BY ALL",
     "label_temporal_mean": f"WITH {_LOG}, {_WIN}, x AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY project, label) AS p, n * 1.0 / max(n) OVER (PARTITION BY project, label) AS rel FROM win) SELECT project, label, round(sum(p * (win + 0.5) / 10), 6) AS mean_time, round(avg(rel), 6) AS mean_rel FROM x GROUP BY ALL",
     "phase_shares": f"WITH {_LOG}, {_PH} " + " UNION ALL ".join(f"SELECT project, label, count(*) AS n, {k} AS phase FROM ({_phase(k)}) GROUP BY project, label" for k in (1, 2, 3)),
-    "sessions_gap": f"WITH {_LOG}, {_sessions()} SELECT project, session, start_ts, end_ts, n, round(minutes, 6) AS minutes FROM ses",
+    "sessions_gap": f"WITH {_LOG}, {_sessions()} SELECT project, session, start_ts, end_ts, n, round(minutes, 4) AS minutes FROM ses",
     "sessions_strict": f"WITH {_LOG}, {_sessions()}, {_strict(1.0)} SELECT project, session, idx AS \"index\", n, array_to_string(CASE WHEN session = 0 THEN labels ELSE labels[2:] END, ',') AS labels, round(minutes, 6) AS minutes FROM st",
     "intention_sessions": f"WITH {_LOG}, {_sessions(True, 'WHERE project <> 3')}, {_strict(0.01)} SELECT project, session, idx AS \"index\", labels[1] AS label, n, round(minutes, 6) AS minutes FROM st",
     "session_duration_stats": f"WITH {_LOG}, {_sessions()} SELECT project, count(*) AS n, round(avg(minutes), 6) AS mean_minutes, round(coalesce(var_samp(minutes), 0), 6) AS var_minutes, round(coalesce(stddev_samp(minutes), 0), 6) AS sd_minutes, round(median(minutes), 6) AS median_minutes, round(min(minutes), 6) AS min_minutes, round(max(minutes), 6) AS max_minutes FROM ses GROUP BY project",

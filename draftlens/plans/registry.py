@@ -227,7 +227,7 @@ def phase_shares(spark, d):
 
 @query
 def sessions_gap(spark, d):
-    return sessions.sessions(sessions.mark_sessions(_log(spark, d))).select("project", "session", "start_ts", "end_ts", "n", F.round("minutes", 6).alias("minutes"))
+    return sessions.sessions(sessions.mark_sessions(_log(spark, d))).select("project", "session", "start_ts", "end_ts", "n", F.round("minutes", 4).alias("minutes"))
 
 
 @query
@@ -731,7 +731,7 @@ def revenue_topk(spark, d):
 @query
 def priority_pivot(spark, d):
     o = table(spark, d, "orders")
-    return o.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).na.fill(0)
+    return o.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query

@@ -68,18 +68,20 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and nothing is computed twice.
 
-    The table outlives the loss of any executor. It is removed when the driver's Python ends.
+    The table outlives the loss of any executor. It is removed when the
+    driver's Python ends, where the driver sees the folder.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/draftlens-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(_remove, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if path.startswith("file://"):
-        shutil.rmtree(path[len("file://") :], ignore_errors=True)
+def _remove(path: str) -> None:
+    local = path.removeprefix("file://").removeprefix("file:")
+    if local.startswith("/"):
+        shutil.rmtree(local, ignore_errors=True)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
