@@ -84,6 +84,18 @@ def _remove(path: str) -> None:
         shutil.rmtree(local, ignore_errors=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df has not, whatever the case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        made = f"_{name}"
+        while made in taken:
+            made = "_" + made
+        out.append(made)
+        taken.add(made)
+    return out
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
