@@ -32,7 +32,8 @@ TRAIN_ROWS = 12_000
 MODULUS, HELD_OUT = 3, 1
 BUCKETS, WIDTH = 1 << 18, 4
 FILTERS, WIDTHS = 6, (1, 2, 3)
-EPOCHS, BATCH, RATE = 4, 64, 0.02
+#: Passes over the rows, and steps at least: small samples are passed over more often.
+EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 400, 64, 0.02
 PRIOR, LEAST_DOCS = 5.0, 3
 THRESHOLD = 0.7
 
@@ -139,7 +140,7 @@ def train(ids: np.ndarray, edges: np.ndarray, y: np.ndarray, lang: list[str], ep
     bias = np.array([net.out_bias], dtype=np.float32)
     adam, weight = Adam(RATE), np.where(y == 1, 0.5 / base, 0.5 / (1 - base)).astype(np.float32)
     net.training = True
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(use)))):
         turn = rng.permutation(use)
         for at in range(0, len(turn), BATCH):
             docs = turn[at : at + BATCH]
