@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlens.session import materialize, ship_package
+from draftlens.session import fresh, materialize, ship_package
 
 SHINGLE = 3
 SEED = 42
@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs less all but the row of smallest doc_id in each group; of rows that repeat that doc_id one stays."""
-    keep = materialize(near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    (i,) = fresh(docs, "id")
+    keep = materialize(near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct(), "kept")
     ids = docs.filter(F.col("doc_id").isNotNull())
-    return ids.join(keep, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return ids.join(keep, F.col("doc_id") == F.col(i), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
