@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from draftlens import vocab
 from draftlens.functions import ids, text
 
-ORDER = Window.partitionBy("doc_id").orderBy("revision_index")
+def in_order():
+    """The window of a document's revisions; made where it is used, as it needs a session."""
+    return Window.partitionBy("doc_id").orderBy("revision_index")
 
 
 def build_documents(edits: DataFrame) -> DataFrame:
@@ -37,7 +39,7 @@ def from_conversations(turns: DataFrame) -> DataFrame:
 def word_deltas(revisions: DataFrame) -> DataFrame:
     """Words of each revision and the change since the one before."""
     n = text.word_count(F.col("text"))
-    return revisions.select("doc_id", "revision_index", n.alias("n_words")).withColumn("delta", F.col("n_words") - F.lag("n_words").over(ORDER))
+    return revisions.select("doc_id", "revision_index", n.alias("n_words")).withColumn("delta", F.col("n_words") - F.lag("n_words").over(in_order()))
 
 
 def added_and_deleted(deltas: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def added_and_deleted(deltas: DataFrame) -> DataFrame:
 
 def anomalies(revisions: DataFrame, delta: Column | None = None) -> DataFrame:
     """The first rule that a revision breaks against the one before; null for none. delta: seconds since it, if known."""
-    before = F.lag(F.struct("revision_index", "text")).over(ORDER)
+    before = F.lag(F.struct("revision_index", "text")).over(in_order())
     rows = revisions.withColumn("_b", before)
     old, new = F.col("_b.text"), F.col("text")
     both = (old != "") & (new != "")
@@ -60,7 +62,7 @@ def anomalies(revisions: DataFrame, delta: Column | None = None) -> DataFrame:
 
 
 def consecutive_jaccard(revisions: DataFrame) -> DataFrame:
-    before = F.lag("text").over(ORDER)
+    before = F.lag("text").over(in_order())
     return revisions.withColumn("_b", before).filter("_b is not null").select("doc_id", "revision_index", F.round(text.word_jaccard(F.col("_b"), F.col("text")), 6).alias("jaccard"))
 
 
@@ -77,9 +79,9 @@ def edit_classes(revisions: DataFrame, start: Column, end: Column, birth: int =
     """
     window = F.substring(F.col("text"), start + 1, end - start)
     rows = revisions.filter(F.col("revision_index") >= birth).withColumn("_t", text.tokens(window, pattern))
-    rank = F.when(F.lag("_t").over(ORDER).isNull(), 0).otherwise(edit_rank(F.lag("_t").over(ORDER), F.col("_t")))
+    rank = F.when(F.lag("_t").over(in_order()).isNull(), 0).otherwise(edit_rank(F.lag("_t").over(in_order()), F.col("_t")))
     rows = rows.withColumn("edit", rank)
-    return rows.withColumn("state", F.max("edit").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))).select("doc_id", "revision_index", "edit", "state")
+    return rows.withColumn("state", F.max("edit").over(in_order().rowsBetween(Window.unboundedPreceding, 0))).select("doc_id", "revision_index", "edit", "state")
 
 
 def state_name(rank: Column) -> Column:
@@ -93,7 +95,7 @@ def state_flag(rank: Column) -> Column:
 
 def trajectories(classes: DataFrame) -> DataFrame:
     """Final state and flag of each document's window, and the revisions at which the state rose."""
-    risen = F.col("state") > F.coalesce(F.lag("state").over(ORDER), F.lit(-1))
+    risen = F.col("state") > F.coalesce(F.lag("state").over(in_order()), F.lit(-1))
     steps = classes.withColumn("_s", F.when(risen, F.struct("revision_index", state_name(F.col("state")).alias("state"))))
     out = steps.groupBy("doc_id").agg(F.max("state").alias("rank"), F.array_sort(F.collect_list("_s")).alias("history"))
     return out.select("doc_id", state_name(F.col("rank")).alias("state"), state_flag(F.col("rank")).alias("flag"), "history")

@@ -691,7 +691,7 @@ def baseline_scores(spark, d):
 
 @query
 def revision_diffs(spark, d):
-    before = F.lag("text").over(revisions.ORDER)
+    before = F.lag("text").over(revisions.in_order())
     pairs = _revisions(spark, d).select(F.concat_ws(":", "doc_id", "revision_index").alias("key"), before.alias("before"), F.col("text").alias("after")).filter("before is not null")
     return diffs.compare(pairs).select("key", F.round("ratio", 6).alias("ratio"), F.size("spans").alias("n_spans"))
 
