@@ -1,12 +1,16 @@
 """Benchmark decontamination, in DataFrame functions alone.
 
-Texts are lower-cased in A-Z and cut into words of letters, digits and anything beyond ASCII. A benchmark item's windows
-are its runs of `size` words, or all its words where it has fewer. The distinct windows form a hash set. Each
-document's windows of the lengths that occur are hashed where the text is read and looked up in the set; a hit is
-verified word by word, so no collision of hashes marks a document.
+Texts are cut into words of letters, digits and anything beyond ASCII, and lower-cased in A-Z. A benchmark item's windows
+are its runs of `size` words, or all its words where it has fewer. The distinct windows are a hash set.
 
-The set is broadcast when it has at most `broadcast_windows` windows (a benchmark's size does not follow the corpus);
-beyond that the look-up is a shuffled join on two independent 64-bit hashes instead.
+Each document is read once. Its words are exploded next to the array they came from, so a window is a slice of it and
+nothing is copied; a word that begins no window is passed over by a look-up of first words, and the window of any other
+is hashed and looked up in the set. A hit is verified word by word, so no collision of hashes marks a document. (Look-ups
+use the engine's lower case, which merges at least what A-Z does; verification uses A-Z alone.) A word that no text can
+hold stands at the end of each document and in the set; its row brings the number of words through the same pass.
+
+Both sets are broadcast when the benchmark has at most `broadcast_windows` windows (its size does not follow the corpus);
+beyond that they are shuffled joins on the hashes.
 
 Edge cases: null and empty texts have no words and are clean; null item_ids count as the empty string's item; repeated
 rows are judged alike and all returned; items of equal text all count; an empty benchmark leaves every document clean;
@@ -20,99 +24,99 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from draftlens.session import materialize
+from draftlens.session import fresh, materialize
 
 SIZE = 10
 BROADCAST_WINDOWS = 200_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: No text has this word: its one character separates words.
+_END = "\x01"
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z; other letters stay. Text in ASCII alone takes the built-in way."""
-    each = text
+    """A-Z to a-z; other letters stay."""
     for c in string.ascii_uppercase:
-        each = F.replace(each, F.lit(c), F.lit(c.lower()))
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(each)
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(_WORD), F.lit(0))
+        text = F.replace(text, F.lit(c), F.lit(c.lower()))
+    return text
 
 
-def _window(w: Column, n: int, second: bool):
-    """From the place i of a window of n words in w (from 0) to its hashes."""
+def raw_words(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), _SEPARATOR), "")
 
-    def make(i: Column) -> Column:
-        run = F.slice(w, i + 1, n)
-        fields = [F.lit(n).alias("len"), i.alias("pos"), F.xxhash64(run).alias("h")]
-        return F.struct(*fields, F.xxhash64(F.lit(n), run).alias("h2")) if second else F.struct(*fields)
 
-    return make
+def words(text: Column) -> Column:
+    return raw_words(ascii_lower(text))
 
 
-def _windows(w: Column, lengths: list[int], second: bool) -> Column:
-    kind = "array<struct<len:int,pos:int,h:bigint" + (",h2:bigint" if second else "") + ">>"
-    parts = []
-    for n in lengths:
-        starts = F.sequence(F.lit(0), F.size(w) - n)
-        parts.append(F.when(F.size(w) >= n, F.transform(starts, _window(w, n, second))).otherwise(F.array().cast(kind)))
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+def _key(gram: Column) -> Column:
+    return F.xxhash64(F.lower(gram))
 
 
 def benchmark_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """Distinct windows: len, h, h2, run (its words), item_ids (array of strings)."""
+    """Distinct windows: len, first (its first word, lower-cased), key, gram (its words), item_ids; and the end mark's row."""
     w = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(size))
     runs = w.select("item", n.alias("len"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.slice(F.col("w"), i + 1, n))).alias("run"))
-    return runs.groupBy("len", "run").agg(F.sort_array(F.collect_set("item")).alias("item_ids")).select("len", "run", F.xxhash64("run").alias("h"), F.xxhash64("len", "run").alias("h2"), "item_ids")
+    grams = runs.groupBy("len", "run").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    grams = grams.select("len", F.lower(F.col("run")[0]).alias("first"), F.array_join("run", " ").alias("gram"), "item_ids")
+    end = items.sparkSession.range(1).select(F.lit(0).alias("len"), F.lit(_END).alias("first"), F.lit("").alias("gram"), F.array().cast("array<string>").alias("item_ids"))
+    return grams.unionByName(end).withColumn("key", _key(F.col("gram")))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, size: int = SIZE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document row (doc_id, text) with hits, told apart by text: doc_id, mark, hits (array of len, pos), item_ids."""
+def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per distinct row of docs (doc_id, text): doc_id, mark (a hash of text), copies, n_words, hits (array of len, pos), item_ids."""
     table = materialize(benchmark_windows(items, size), "benchmark")
-    lengths = sorted(r[0] for r in table.select("len").distinct().collect())  # at most `size` of them
-    base = docs.select(F.col("doc_id"), F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
-    if not lengths:
-        lengths = [size]
-    if table.count() <= broadcast_windows:
-        found = base.select("doc_id", "mark", "w", F.inline(_windows(F.col("w"), lengths, False)))
-        found = found.join(F.broadcast(table.drop("h2")), ["len", "h"]).filter(F.slice(F.col("w"), F.col("pos") + 1, F.col("len")) == F.col("run"))
-    else:
-        found = base.select("doc_id", "mark", F.inline(_windows(F.col("w"), lengths, True))).join(table.drop("run"), ["len", "h", "h2"])
-    per = found.select("doc_id", "mark", "len", "pos", "item_ids").groupBy("doc_id", "mark")
-    return per.agg(F.collect_set(F.struct("len", "pos")).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
+    held = F.broadcast if table.count() <= broadcast_windows else (lambda x: x)
+    firsts = table.groupBy("first").agg(F.collect_set("len").alias("lens"))
+    raw = docs.select("doc_id", F.xxhash64("text").alias("mark"), raw_words(F.col("text")).alias("w"))
+    each = raw.select("doc_id", "mark", "w", F.posexplode(F.concat("w", F.array(F.lit(_END)))).alias("pos", "x"))
+    begun = each.join(held(firsts), F.lower("x") == F.col("first")).select("doc_id", "mark", "w", "pos", F.explode("lens").alias("len"))
+    gram = F.concat_ws(" ", F.slice("w", F.col("pos") + 1, F.col("len")))
+    seen = begun.filter(F.col("pos") + F.col("len") <= F.size("w")).select("doc_id", "mark", "pos", "len", gram.alias("seen")).withColumn("key", _key(F.col("seen")))
+    # equality both ways round, so that it stays a test of what the hash has found and does not become a join key
+    exact = ascii_lower(F.col("seen"))
+    found = seen.join(held(table.select("len", "key", "gram", "item_ids")), ["len", "key"]).filter(exact.startswith(F.col("gram")) & F.startswith(F.col("gram"), exact))
+    hit = F.col("len") > 0
+    return found.groupBy("doc_id", "mark").agg(
+        F.count(F.when(~hit, 1)).alias("copies"),
+        F.max(F.when(~hit, F.col("pos"))).cast("long").alias("n_words"),
+        F.collect_set(F.when(hit, F.struct("len", "pos"))).alias("hits"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
+    )
+
+
+def covered(hits: Column) -> Column:
+    """Places of the words inside any hit."""
+    return F.array_distinct(F.flatten(F.transform(hits, lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
 
 
 def judge(docs: DataFrame, items: DataFrame, size: int = SIZE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids, items_sha256, contaminated, mark."""
-    hits = find_hits(docs, items, size, broadcast_windows)
-    covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
-    hits = hits.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), covered.cast("long").alias("n_hit"), "item_ids")
-    base = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select(
+    found = scan(docs, items, size, broadcast_windows)
+    each = found.select("doc_id", "mark", "n_words", F.size(covered(F.col("hits"))).cast("long").alias("n_hit"), "item_ids", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return each.select(
         "doc_id",
         "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        ids.alias("item_ids"),
-        F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        "item_ids",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
         "mark",
     )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """docs without the rows in which a benchmark window occurs; all else stays as it is."""
-    bad = find_hits(docs, items, size).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark")), "left_anti")
+    i, m = fresh(docs, "id", "mark")
+    bad = scan(docs, items, size).filter(F.size("hits") > 0).select(F.col("doc_id").alias(i), F.col("mark").alias(m))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(m)), "left_anti")
 
 
 def mask_spans(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id and kept, the words outside every hit (lower-cased, joined by a space)."""
-    hits = find_hits(docs, items, size).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))).alias("gone"))
+    hits = scan(docs, items, size).filter(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), covered(F.col("hits")).alias("gone"))
     base = docs.select("doc_id", F.xxhash64("text").alias("mark"), words(F.col("text")).alias("w"))
     joined = base.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
-    return joined.select("doc_id", F.array_join(F.when(F.col("gone").isNull(), F.col("w")).otherwise(F.filter("w", lambda x, i: ~F.array_contains(F.col("gone"), i))), " ").alias("kept"))
+    left = F.when(F.col("gone").isNull(), F.col("w")).otherwise(F.filter("w", lambda x, i: ~F.array_contains(F.col("gone"), i)))
+    return joined.select("doc_id", F.array_join(left, " ").alias("kept"))
