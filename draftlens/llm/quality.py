@@ -3,7 +3,9 @@
 Each text gives a vector of transformed statistics (counts as logarithms, shares as arcsine roots). Each class has a mean and
 a covariance, shrunk towards its diagonal and towards the pooled covariance; the Cholesky factors are computed once and
 shipped with the model. The score is the logistic of the difference of the log densities (from Mahalanobis distances and
-log determinants) and the log prior odds, over a temperature that keeps scores apart from 0 and 1.
+log determinants) and the log prior odds, over a temperature that keeps scores apart from 0 and 1. Short texts have
+noisy statistics; the odds are shifted by up to `MOST_SHIFT` nats so that nearly all good training rows pass the threshold,
+as far as that takes at most half of the distance at which the other class lies.
 
 The model is fitted on at most `TRAIN_ROWS` labelled rows. Statistics are of whole texts.
 
@@ -30,6 +32,11 @@ MODULUS, HELD_OUT = 4, 2
 SHRINK_DIAGONAL, SHRINK_POOLED = 0.1, 0.05
 TEMPERATURE = 4.0
 THRESHOLD = 0.7
+TAIL, MOST_SHIFT = 0.001, 16.0
+#: Short texts say little: their shares are mixed with usual ones, as if so many words or bytes more had been read.
+MORE_WORDS, MORE_BYTES = 8.0, 50.0
+#: Usual shares of prose.
+USUAL = {"upper": 0.04, "digit": 0.0, "symbol": 0.0, "mark": 0.03, "high": 0.02, "same": 0.0, "lone": 0.0, "long": 0.1, "length": 5.5}
 FEATURES = ("words", "bytes_per_word", "upper", "digit", "symbol", "mark", "high", "same_as_last", "distinct", "lone", "line_words", "long_words")
 
 _KINDS = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#$%&*+/<=>@[\\]^_`{|}~!", "mark": b".,;:?'\"()-", "high": range(128, 256), "line": b"\n"}
@@ -56,8 +63,6 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     kinds = {k: total(t[buf], offsets) for k, t in _TABLES.items()}
     n = words.count.astype(float)
-    some = np.maximum(n, 1)
-    filled = np.maximum(size, 1).astype(float)
     length = words.end - words.start
     same = np.zeros(len(words.hash), dtype=bool)
     if len(same):
@@ -69,22 +74,21 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct = np.bincount(d[new], minlength=n_docs).astype(float)
     first = buf[words.start] if len(words.start) else np.zeros(0, dtype=np.uint8)
     lone = (length == 1) & (_TABLES["symbol"][first] == 1)
-    share = lambda x: np.arcsin(np.sqrt(np.clip(x, 0, 1)))
-    letters = np.maximum(kinds["upper"] + kinds["lower"], 1)
+    root = lambda x: np.arcsin(np.sqrt(np.clip(x, 0, 1)))
+    by_bytes = lambda k, of: root((kinds[k] + MORE_BYTES * USUAL[k]) / (of + MORE_BYTES))
+    by_words = lambda k, x: root((x + MORE_WORDS * USUAL[k]) / (n + MORE_WORDS))
+    letters = kinds["upper"] + kinds["lower"]
     columns = [
         np.log1p(n),
-        np.log1p(total(length, words.first) / some),
-        share(kinds["upper"] / letters),
-        share(kinds["digit"] / filled),
-        share(kinds["symbol"] / filled),
-        share(kinds["mark"] / filled),
-        share(kinds["high"] / filled),
-        share(total(same, words.first) / some),
+        np.log1p((total(length, words.first) + MORE_WORDS * USUAL["length"]) / (n + MORE_WORDS)),
+        by_bytes("upper", letters),
+        *(by_bytes(k, size) for k in ("digit", "symbol", "mark", "high")),
+        by_words("same", total(same, words.first)),
         # few distinct words for the length: compared with a power of it, as vocabularies grow
-        np.log((distinct + 1) / (n + 1) ** 0.9),
-        share(total(lone, words.first) / some),
+        np.log((distinct + MORE_WORDS) / (n + MORE_WORDS) ** 0.9),
+        by_words("lone", total(lone, words.first)),
         np.log1p(n / (1 + kinds["line"])),
-        share(total(length >= 12, words.first) / some),
+        by_words("long", total(length >= 12, words.first)),
     ]
     return np.stack(columns, axis=1)
 
@@ -98,13 +102,17 @@ class Discriminant:
     log_det: np.ndarray
     log_prior: np.ndarray
     temperature: float
+    shift: float = 0.0
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def odds(self, x: np.ndarray) -> np.ndarray:
         logs = []
         for c in range(2):
             z = (x - self.means[c]) @ self.whiten[c].T
             logs.append(-0.5 * (z * z).sum(axis=1) - 0.5 * self.log_det[c] + self.log_prior[c])
-        return 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / self.temperature, -30, 30)))
+        return logs[1] - logs[0]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((self.odds(x) + self.shift) / self.temperature, -30, 30)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, shrink_diagonal: float = SHRINK_DIAGONAL, shrink_pooled: float = SHRINK_POOLED, temperature: float = TEMPERATURE) -> Discriminant | float:
@@ -126,7 +134,11 @@ def fit(x: np.ndarray, y: np.ndarray, shrink_diagonal: float = SHRINK_DIAGONAL,
         whiten.append(np.linalg.inv(factor))
         log_det.append(2 * np.log(np.diag(factor)).sum())
         prior.append(np.log(len(own) / len(x)))
-    return Discriminant(np.array(means), np.array(whiten), np.array(log_det), np.array(prior), temperature)
+    model = Discriminant(np.array(means), np.array(whiten), np.array(log_det), np.array(prior), temperature)
+    z, cut = model.odds(x), temperature * np.log(THRESHOLD / (1 - THRESHOLD))
+    need, room = cut - np.quantile(z[y == 1], TAIL), cut - np.quantile(z[y == 0], 1 - TAIL)
+    model.shift = float(np.clip(min(need, room / 2), 0.0, MOST_SHIFT))
+    return model
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
