@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlens.llm.wordhash import Words, as_long, mix, sliding_min, slices
-from draftlens.session import materialize, ship_package
+from draftlens.session import fresh, materialize, ship_package
 
 SIZE = 50
 STEM = 25
@@ -77,25 +77,26 @@ def _signatures(size: int, stem: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n),
+                        batch.column(2).slice(a, n),
                         pa.array(words.count, pa.int64()),
                         pa.array(as_long(one)),
                         pa.array(as_long(two)),
                         pa.array([_sha(words, data, d) for d in range(n)], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(as_long(keys))),
                     ],
-                    names=["doc_id", "n_words", "d1", "d2", "sha", "keys"],
+                    names=["doc_id", "mark", "n_words", "d1", "d2", "sha", "keys"],
                 )
 
     return run
 
 
 def _windows(size: int, stem: int):
-    """(doc_id, text, keys) -> the windows whose minimisers are among keys."""
+    """(doc_id, mark, text, keys) -> the windows whose minimisers are among keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            for a, b, buf, offsets in slices(batch.column(1), 1_000_000):
+            lists = batch.column(3)
+            for a, b, buf, offsets in slices(batch.column(2), 1_000_000):
                 words = Words(buf, offsets)
                 at, keys = _keys(words, size, stem)
                 if not len(at):
@@ -109,40 +110,43 @@ def _windows(size: int, stem: int):
                         mine = lists.slice(a + d, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                         hit[s:e] = np.isin(keys[s:e], mine)
                 at, doc = at[hit], doc[hit]
-                h1, h2 = words.windows(size)[at], words.windows(size, 1)[at]
-                ids = batch.column(0).slice(a, b - a).take(pa.array(doc))
+                h1, h2 = words.windows(size)[at], words.windows(size, 1)[at] >> np.uint64(32)
+                # a window that a document repeats is one row, with all its places
+                order = np.lexsort((at, h2, h1, doc))
+                at, doc, h1, h2 = at[order], doc[order], h1[order], h2[order]
+                new = np.ones(len(at), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                start = np.flatnonzero(new)
                 place = at - words.first[doc]
-                for s in range(0, len(at), 200_000):
-                    e = min(len(at), s + 200_000)
+                ids, marks = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                for s in range(0, len(start), 200_000):
+                    some = start[s : s + 200_000]
+                    end = start[s + 200_000] if s + 200_000 < len(start) else len(at)
+                    places = pa.ListArray.from_arrays(pa.array(np.append(some, end) - some[0], pa.int32()), pa.array(place[some[0] : end], pa.int32()))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(as_long(h1[s:e])),
-                            pa.array((h2[s:e] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                            ids.slice(s, e - s),
-                            pa.array(place[s:e], pa.int32()),
-                        ],
-                        names=["h1", "h2", "doc_id", "pos"],
+                        [pa.array(as_long(h1[some])), pa.array(h2[some].astype(np.uint32).view(np.int32)), ids.take(pa.array(doc[some])), marks.take(pa.array(doc[some])), places],
+                        names=["h1", "h2", "doc_id", "mark", "pos"],
                     )
 
     return run
 
 
 def _cut(size: int, with_text: bool):
-    """(doc_id, text, positions) -> what is left of each text."""
+    """(doc_id, mark, text, positions) -> what is left of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, removed, shas, texts = [], [], [], []
-            for a, b, buf, offsets in slices(batch.column(1)):
+            rows, removed, shas, texts = [], [], [], []
+            for a, b, buf, offsets in slices(batch.column(2)):
                 words, data = Words(buf, offsets, hashes=False), buf.tobytes()
                 for d in range(b - a):
                     n = int(words.count[d])
-                    at = batch.column(2).slice(a + d, 1).flatten().to_numpy(zero_copy_only=False)
+                    at = batch.column(3).slice(a + d, 1).flatten().to_numpy(zero_copy_only=False)
                     step = np.zeros(n + size + 1, dtype=np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + size, -1)
                     keep = np.cumsum(step)[:n] == 0
-                    ids.append(batch.column(0)[a + d].as_py())
+                    rows.append(a + d)
                     removed.append(n - int(keep.sum()))
                     shas.append(_sha(words, data, d, keep))
                     if with_text:
@@ -155,8 +159,8 @@ def _cut(size: int, with_text: bool):
                             last = max(last, int(words.end[f + i]))
                         texts.append(b"".join([*out, data[last:hi]]).decode("utf-8", "replace").lstrip())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts if with_text else [None] * len(ids), pa.string())],
-                names=["doc_id", "n_removed", "kept_sha256", "kept_text"],
+                [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts if with_text else [None] * len(rows), pa.string())],
+                names=["doc_id", "mark", "n_removed", "kept_sha256", "kept_text"],
             )
 
     return run
@@ -174,43 +178,45 @@ def _sketch_filter(keys: DataFrame, bits: int) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bits: int = SKETCH_BITS, with_text: bool = False) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and d1, d2, kept_text.
+    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and mark (a hash of text), kept_text.
 
-    kept_text is null where nothing was removed, and always unless with_text is set. (d1, d2) names the word sequence.
+    kept_text is null where nothing was removed; without with_text it is so for all but whole copies.
     """
     if not 0 < stem <= size:
         raise ValueError("stem must lie between 1 and size")
     spark = docs.sparkSession
     ship_package(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = materialize(base.mapInArrow(_signatures(size, stem), "doc_id long, n_words long, d1 long, d2 long, sha string, keys array<long>"), "windows")
-
-    long = sig.filter(F.col("n_words") >= size)
-    least = long.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
-    keyed = long.filter(F.col("doc_id").isNotNull()).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("x"))
-    exploded = keyed.select("x.doc_id", F.explode("x.keys").alias("key"))
-    survivors = _sketch_filter(exploded, sketch_bits).groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-
-    cand = materialize(base.join(survivors, "doc_id").select("doc_id", "text", "keys"), "candidates")
-    rows = cand.mapInArrow(_windows(size, stem), "h1 long, h2 int, doc_id long, pos int")
+    text = F.col("text").cast("string")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("mark"))  # mark tells rows of one doc_id apart
+    sig = materialize(base.mapInArrow(_signatures(size, stem), "doc_id long, mark int, n_words long, d1 long, d2 long, sha string, keys array<long>"), "windows")
+
+    # documents of the same words are one, under the smallest doc_id
+    long = sig.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
+    least = long.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("least"), F.col("x.mark").alias("least_mark"))
+    kept = long.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark", "keys")).alias("x"))
+    exploded = kept.select("x.doc_id", "x.mark", F.explode("x.keys").alias("key"))
+    row = ["doc_id", "mark"]
+    survivors = _sketch_filter(exploded, sketch_bits).groupBy(*row).agg(F.collect_set("key").alias("keys"))
+
+    cand = materialize(base.join(survivors, row).select(*row, "text", "keys"), "candidates")
+    rows = cand.mapInArrow(_windows(size, stem), "h1 long, h2 int, doc_id long, mark int, pos array<int>")
     groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).filter("m < x").drop("x")
-    marked = rows.join(groups, ["h1", "h2"]).filter("doc_id > m").groupBy("doc_id").agg(F.collect_set("pos").alias("pos"))
-    cut = cand.join(marked, "doc_id").select("doc_id", "text", "pos").mapInArrow(_cut(size, with_text), "doc_id long, n_removed long, kept_sha256 string, kept_text string")
-    cut = cut.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")))
+    marked = rows.join(groups, ["h1", "h2"]).filter("doc_id > m").groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
+    cut = cand.join(marked, row).select(*row, "text", "pos").mapInArrow(_cut(size, with_text), "doc_id long, mark int, n_removed long, kept_sha256 string, kept_text string")
+    cut = cut.groupBy("doc_id", F.col("mark").alias("least_mark")).agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")))
 
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least"))
     return (
         sig.drop("keys")
         .join(least, ["d1", "d2"], "left")
-        .join(cut, "doc_id", "left")
+        .join(cut, ["doc_id", "least_mark"], "left")
         .select(
             "doc_id",
             "n_words",
             F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
             F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-            "d1",
-            "d2",
+            "mark",
             F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
         )
     )
@@ -218,9 +224,12 @@ def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bit
 
 def remove_repeats(docs: DataFrame, **params) -> DataFrame:
     """docs with repeated words cut from text (and n_chars, if there, counted anew); rows and other columns stay."""
-    found = materialize(find_repeats(docs, with_text=True, **params).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id"]), "repeats")
-    out = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    out = out.withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.coalesce("_kept", F.lit(""))))
+    found = find_repeats(docs, with_text=True, **params).filter("n_removed > 0").dropDuplicates(["doc_id", "mark"])
+    i, m, k = fresh(docs, "id", "mark", "kept")
+    cut = materialize(found.select(F.col("doc_id").alias(i), F.col("mark").alias(m), F.coalesce("kept_text", F.lit("")).alias(k)), "repeats")
+    out = docs.join(cut, (F.col("doc_id") == F.col(i)) & (F.hash(docs["text"].cast("string")) == F.col(m)), "left")
+    hit = F.col(i).isNotNull()
+    changed = {"text": F.when(hit, F.col(k)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(hit, F.char_length(k).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
