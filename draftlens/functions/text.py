@@ -139,10 +139,12 @@ def syntactic_demand(text: Column, markers: Sequence[str] = vocab.DEMAND_MARKERS
     return F.when(empty_if_null(text) == "", F.lit(1.0)).otherwise(F.least(F.lit(10.0), raw))
 
 
-def conceptual_ruptures(text: Column, window: int = 50, long: int = 8, shift: float = 0.28) -> Column:
-    """Character places (in the words joined by one space) where attention shifts; the middle of a text without any."""
+def conceptual_ruptures(text: Column, w: Column, window: int = 50, long: int = 8, shift: float = 0.28) -> Column:
+    """Character places (in the words joined by one space) where attention shifts; the middle of a text without any.
+
+    w: the words of text, as a column that is there already, since they are looked at once for each place.
+    """
     t = empty_if_null(text)
-    w = words(t)
     step = window // 2
 
     def rare(part: Column) -> Column:
@@ -221,3 +223,74 @@ def prompt_columns(before: Column, previous: Column | None = None) -> Column:
     body = F.concat(F.lit("<INPUT><BT>"), empty_if_null(before), F.lit("</BT> "))
     end = F.lit("</INPUT>")
     return F.concat(body, end) if previous is None else F.concat(body, F.lit("<PWA>"), F.coalesce(previous, F.lit("none")), F.lit("</PWA> "), end)
+
+
+# replies of models and markup for reports
+
+#: Openings of replies that talk about themselves, where no pattern file is given.
+META_OPENINGS = (r"^Here is .*?:?\s*\n*", r"^Here's .*?:?\s*\n*")
+
+
+def strip_meta(text: Column, openings: Sequence[str] = META_OPENINGS, endings: Sequence[str] = ()) -> Column:
+    """A reply without its openings and endings, one pair of quotes or back-ticks, or a code block around all of it."""
+    t = strip(text)
+    for p in (*openings, *endings):
+        t = F.regexp_replace(t, "(?im)" + p, "")
+    t = strip(t)
+    inner = F.substring(t, F.lit(2), F.greatest(F.char_length(t) - 2, F.lit(0)))
+    quotes = F.char_length(t) - F.char_length(F.replace(t, F.lit('"'), F.lit("")))
+    t = F.when(t.startswith('"') & t.endswith('"') & (quotes == 2), inner).otherwise(t)
+    inner = F.substring(t, F.lit(2), F.greatest(F.char_length(t) - 2, F.lit(0)))
+    t = F.when(t.startswith("`") & t.endswith("`") & (F.char_length(t) > 1) & ~inner.contains("`"), inner).otherwise(t)
+    return strip(F.regexp_replace(t, r"\A```\w*\n([\s\S]*?)\n```\z", "$1"))
+
+
+def content_quality(text: Column, least_chars: int = 50, least_words: int = 10, phrases: Sequence[str] = ()) -> Column:
+    """ok, or the first reason against a reply."""
+    t, n = empty_if_null(text), word_count(text)
+    out = F.when(t == "", "empty_response").when(F.char_length(t) < least_chars, F.concat(F.lit("too_short_chars:"), F.char_length(t).cast("string"))).when(n < least_words, F.concat(F.lit("too_short_words:"), n.cast("string")))
+    for p in phrases:
+        out = out.when(F.lower(t).contains(p.lower()), f"suspicious_phrase:{p}")
+    return out.otherwise("ok")
+
+
+def escape_tex(text: Column) -> Column:
+    """For LaTeX. The order matters: braces of the first replacement are escaped by later ones."""
+    for a, b in (("\\", "\\textbackslash{}"), ("&", "\\&"), ("%", "\\%"), ("$", "\\$"), ("#", "\\#"), ("_", "\\_"), ("{", "\\{"), ("}", "\\}"), ("~", "\\textasciitilde{}"), ("^", "\\textasciicircum{}"), ("<", "\\textless{}"), (">", "\\textgreater{}")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def highlight(text: Column, spans: Column) -> Column:
+    """HTML of text with spans (start, end, id, state) marked, by start; what lies between is escaped."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.when(s["start"] > acc["at"], escape_html(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))).otherwise("")
+        mark = F.concat(F.lit('<mark data-state="'), F.coalesce(s["state"], F.lit("unknown")), F.lit('" data-id="'), s["id"], F.lit('">'), escape_html(F.substring(text, s["start"] + 1, s["end"] - s["start"])), F.lit("</mark>"))
+        return F.struct(s["end"].alias("at"), F.concat(acc["out"], before, mark).alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], escape_html(F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.aggregate(F.array_sort(spans), begin, step, rest)
+
+
+def whole_sentence(text: Column, start: Column, end: Column) -> Column:
+    """A selection [start, end) grown to the nearest ends of sentences: struct of start, end."""
+    stop = r"[.?!;\n]"
+    after = F.regexp_instr(F.substring(text, end, F.char_length(text)), F.lit(stop))
+    before = F.regexp_instr(F.reverse(F.substring(text, F.lit(2), start)), F.lit(stop))
+    return F.struct(F.when(start <= 0, 0).when(before == 0, 0).otherwise(start - before + 2).alias("start"), F.when(after == 0, F.char_length(text)).otherwise(end + after - 1).alias("end"))
+
+
+def paragraph_numbers(text: Column) -> Column:
+    """Number of the paragraph of each line: a new one begins after a blank line and at a sectioning command."""
+    lines = F.split(text, "\n")
+    begin = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        blank = F.trim(line) == ""
+        head = line.rlike(r"^\s*\\(?:paragraph|subsection|subsubsection)\{")
+        n = acc["n"] + F.when(~blank & (~acc["open"] | head), 1).otherwise(0)
+        return F.struct(n.alias("n"), (~blank).alias("open"), F.array_append(acc["out"], F.when(blank, 0).otherwise(n)).alias("out"))
+
+    return F.aggregate(lines, begin, step, lambda acc: acc["out"])

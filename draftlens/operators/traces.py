@@ -12,17 +12,26 @@ from pyspark.sql import functions as F
 from draftlens import vocab
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r of two arrays of doubles of one length; null where either does not vary.
 
+    One walk over both: sums of values less the first ones, so that what does not vary sums to exactly zero.
+    """
+    zero = F.lit(0.0)
+    begin = F.struct(F.lit(0).alias("n"), *(zero.alias(k) for k in ("x0", "y0", "x", "y", "xx", "yy", "xy")))
 
-def correlation(x: Column, y: Column) -> Column:
-    """Pearson's r of two arrays of doubles of one length; null where either does not vary."""
-    n = F.size(x)
-    mx, my = _sum(x) / n, _sum(y) / n
-    cov = _sum(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my)))
-    vx, vy = _sum(F.transform(x, lambda a: (a - mx) * (a - mx))), _sum(F.transform(y, lambda b: (b - my) * (b - my)))
-    return F.when(n > 1, F.try_divide(cov, F.sqrt(vx * vy)))
+    def step(acc: Column, p: Column) -> Column:
+        x0, y0 = (F.when(acc["n"] == 0, p[k]).otherwise(acc[k + "0"]) for k in "xy")
+        u, v = p["x"] - x0, p["y"] - y0
+        sums = {"x": u, "y": v, "xx": u * u, "yy": v * v, "xy": u * v}
+        return F.struct((acc["n"] + 1).alias("n"), x0.alias("x0"), y0.alias("y0"), *((acc[k] + c).alias(k) for k, c in sums.items()))
+
+    def finish(acc: Column) -> Column:
+        n = acc["n"]
+        vx, vy = n * acc["xx"] - acc["x"] * acc["x"], n * acc["yy"] - acc["y"] * acc["y"]
+        return F.when((n > 1) & (vx > 0) & (vy > 0), F.try_divide(n * acc["xy"] - acc["x"] * acc["y"], F.sqrt(vx * vy)))
+
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y"))), begin, step, finish)
 
 
 def lagged_correlation(x: Column, y: Column) -> Column:
@@ -129,3 +138,19 @@ def revision_summary(spans: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.avg(F.when(F.col("locality") > 0, F.col("locality"))), F.lit(0.0)), 6).alias("mean_locality"),
         F.round(F.avg(F.col("plausible").cast("double")), 6).alias("plausible_share"),
     )
+
+
+def engine_signatures(events: Column) -> Column:
+    """Signatures by the simulation's own rule, over its events (failure, depth): a failure repairs itself at once.
+
+    Locality has no one added, so a repair at the failure is at distance zero; coupling needs more than ten events;
+    plausible asks for |r| of 0.6 or more. Kept beside with_signatures(), which is the default.
+    """
+    failed = F.transform(events, lambda e: e["failure"].isNotNull())
+    flags = F.transform(failed, lambda f: f.cast("double"))
+    r = F.coalesce(lagged_correlation(flags, F.transform(events, lambda e: e["depth"])), F.lit(0.0))
+    enough = (F.size(events) > 10) & F.exists(failed, lambda f: f)
+    locality = F.greatest(repair_locality(failed, failed) - 1, F.lit(0.0))
+    coupling = F.when(enough, r).otherwise(0.0)
+    plausible = locality.between(vocab.LOCALITY_LOW, vocab.LOCALITY_HIGH) & (F.abs(coupling) >= 0.6)
+    return F.struct(F.round(locality, 2).alias("locality"), F.round(coupling, 3).alias("coupling"), plausible.alias("plausible"))

@@ -274,6 +274,24 @@ UNION ALL SELECT doc_id, revision_index, md5(t3), 'i3', CAST(q3 AS INTEGER), CAS
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
 }
 
+_TIMED = f"""tm AS (SELECT project AS doc_id, row_number() OVER ({_ORDER}) - 1 AS k, epoch_us(ts) AS us, tie % 97 AS size FROM log),
+st AS (SELECT doc_id, k, (us - lag(us) OVER w) / 1000.0 AS ms, size - lag(size) OVER w AS delta, (us - min(us) OVER (PARTITION BY doc_id)) // 60000000 AS minute FROM tm WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+sp AS (SELECT * FROM st WHERE ms > 0),
+mr AS (SELECT doc_id, minute, CAST(sum(delta) AS BIGINT) AS chars FROM sp WHERE delta > 0 GROUP BY ALL),
+rr AS (SELECT *, chars * 1.0 / first_value(chars) OVER (PARTITION BY doc_id ORDER BY minute) AS relative FROM mr)"""
+SQL["calibration_report"] = f"WITH {_LOG}, {_TIMED} SELECT count(*) AS n, round(avg(ms), 3) AS mean_ms, round(median(ms), 3) AS median_ms, round(coalesce(stddev_samp(ms), 0), 3) AS sd_ms, round(avg(CASE WHEN delta <> 0 THEN abs(delta) END), 6) AS mean_delta FROM sp"
+SQL["calibration_fit"] = f"WITH {_LOG}, {_TIMED}, f AS (SELECT count(*) AS n, max(minute) > min(minute) AS v, regr_slope(ln(relative), minute) AS b, regr_r2(ln(relative), minute) AS r FROM rr WHERE relative BETWEEN 0.1 AND 2.0) SELECT n, round(CASE WHEN n >= 5 AND v AND b < 0 THEN greatest(0.99, least(0.9999, exp(b / 50))) ELSE 0.9992 END, 6) AS rate, round(CASE WHEN n >= 5 AND v THEN greatest(0, coalesce(r, 0)) ELSE 0 END, 6) AS r2 FROM f"
+SQL["calibration_divisor"] = f"WITH {_LOG}, {_TIMED}, x AS (SELECT *, lag(chars) OVER w AS b, sum(chars) OVER (w ROWS UNBOUNDED PRECEDING) AS c, count(*) OVER (PARTITION BY doc_id) AS k FROM mr WINDOW w AS (PARTITION BY doc_id ORDER BY minute)) SELECT doc_id, coalesce(median(CASE WHEN k >= 10 AND (chars - b) * 1.0 / b < -0.05 THEN c / 0.5 END), 12000.0) AS divisor FROM x GROUP BY doc_id"
+SQL["process_classes"] = """WITH x AS (SELECT doc_id, doc_id * 7 % 100 / 100.0 AS g, doc_id * 13 % 100 / 100.0 AS f, doc_id * 37 % 100 / 100.0 AS s, doc_id % 90 AS m, doc_id % 3 + 1 AS w FROM documents), y AS (SELECT *, (g + (1 - f)) / 2 AS c FROM x)
+SELECT doc_id, CASE WHEN c > 0.75 THEN 'low' WHEN c > 0.5 THEN 'moderate' WHEN c > 0.25 THEN 'high' ELSE 'severe' END AS load,
+  CASE WHEN m * 7 < 200 THEN 'low' WHEN m * 7 < 350 THEN 'moderate' WHEN m * 7 < 500 THEN 'high' ELSE 'very high' END AS latency, CASE WHEN m / 20.0 > 3 THEN 'high' WHEN m / 20.0 > 2 THEN 'moderate' ELSE 'low' END AS burst,
+  CASE WHEN g > 0.7 THEN 'full' WHEN g > 0.5 THEN 'moderate' WHEN g > 0.3 THEN 'shallow' ELSE 'minimal' END AS ceiling,
+  CASE WHEN m <= 25 THEN 'low' WHEN m <= 50 THEN CASE WHEN w = 1 THEN 'low' ELSE 'medium' END WHEN m <= 75 THEN CASE WHEN w = 1 THEN 'medium' ELSE 'high' END ELSE 'high' END AS severity,
+  round(least(1.0, 0.5 + g * 0.4 + w * 0.05), 3) AS temperature, CAST(least(4096, floor(1536 + s * 1536) + w * 256) AS INTEGER) AS max_tokens,
+  round(least(1.0, greatest(0.3, g * 1.3) * CASE WHEN m / 10.0 > 5 THEN 0.7 ELSE 1 END), 3) AS syntactic FROM y"""
+SQL["reply_quality"] = f"WITH x AS (SELECT CASE WHEN coalesce(text, '') = '' THEN 'empty_response' WHEN length(text) < 200 THEN 'too_short_chars' WHEN len({_words('text')}) < 30 THEN 'too_short_words' WHEN contains(lower(text), 'password') THEN 'suspicious_phrase:password' ELSE 'ok' END AS reason FROM documents) SELECT reason, count(*) AS n FROM x GROUP BY reason"
+SQL["escaped_texts"] = r"SELECT doc_id, md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>')) AS html, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\textbackslash{}'), '&', '\&'), '%', '\%'), '$', '\$'), '#', '\#'), '_', '\_'), '{', '\{'), '}', '\}'), '~', '\textasciitilde{}'), '^', '\textasciicircum{}'), '<', '\textless{}'), '>', '\textgreater{}')) AS tex FROM documents"
+
 _H = "CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), {k}, 8) AS BIGINT)"
 SQL["doc_ids"] = (
     "WITH x AS (SELECT doc_id, source, " + ", ".join(f"{_H.format(k=8 * i + 1)} AS h{i}" for i in range(4)) + " FROM documents) "

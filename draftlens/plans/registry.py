@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from draftlens import vocab
 from draftlens.functions import ids
+from draftlens.functions import process
 from draftlens.functions import text as T
 from draftlens.functions import times
-from draftlens.operators import detect, diffs, events, metrics, revisions, sessions, spans, traces
+from draftlens.operators import calibration, detect, diffs, events, metrics, revisions, sessions, spans, traces
 from draftlens.plans import oracle
 from draftlens.session import union_all
 from draftlens.sources.readers import table
@@ -377,7 +378,8 @@ def syntactic_demand(spark, d):
 
 @query
 def conceptual_ruptures(spark, d):
-    return _docs(spark, d).select("doc_id", F.posexplode(T.conceptual_ruptures(F.col("text"))).alias("k", "at"))
+    split = _docs(spark, d).select("doc_id", "text", T.words(F.col("text")).alias("w"))
+    return split.select("doc_id", F.posexplode(T.conceptual_ruptures(F.col("text"), F.col("w"))).alias("k", "at"))
 
 
 @query
@@ -675,6 +677,68 @@ def resource_simulation(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(traces.simulate(made)).alias("k", "e")).groupBy("doc_id").agg(F.count("e.failure").alias("n_failures"), F.round(F.min("e.glucose_after"), 6).alias("least_glucose"), F.round(F.avg("e.latency_ms"), 3).alias("mean_latency"))
 
 
+@query
+def process_classes(spark, d):
+    """Classes and settings of the process model on levels made from documents' numbers."""
+    u = lambda k: (F.pmod(F.col("doc_id") * k, F.lit(100)) / 100.0)
+    rows = _docs(spark, d).select("doc_id", u(7).alias("g"), u(13).alias("f"), u(29).alias("a"), u(37).alias("s"), F.pmod(F.col("doc_id"), F.lit(90)).cast("int").alias("m"), (F.col("doc_id") % 3 + 1).cast("int").alias("w"))
+    c = F.col
+    settings = process.generation_settings(c("g"), c("f"), c("a"), c("s"), c("w"))
+    share = traces.allocation(c("g"), c("f"), c("m") / 10.0)
+    return rows.select("doc_id", process.cognitive_load(c("g"), c("f")).alias("load"), process.latency_class(c("m") * 7).alias("latency"), process.burst_class(c("m") / 20.0).alias("burst"), process.complexity_ceiling(c("g")).alias("ceiling"), process.intrusion_severity(c("m"), c("w")).alias("severity"), settings["temperature"].alias("temperature"), settings["max_tokens"].alias("max_tokens"), share["syntactic"].alias("syntactic"))
+
+
+@query
+def stand_in_signatures(spark, d):
+    n = F.pmod(F.col("doc_id"), F.lit(4))
+    x = process.stand_in_signatures(F.col("doc_id") % 50, F.lit(50), (n == 1).cast("int"), (n == 2).cast("int"), (n == 3).cast("int"), F.col("doc_id"))
+    return _docs(spark, d).select("doc_id", x.alias("x")).select("doc_id", "x.*")
+
+
+def _timed(spark, d) -> DataFrame:
+    """Revisions with times: a project's edits, with texts as long as the edit's number says."""
+    log = _log(spark, d)
+    k = F.row_number().over(events.by_project())
+    return log.select(F.col("project").alias("doc_id"), (k - 1).alias("revision_index"), "ts", F.repeat(F.lit("x"), (F.col("tie") % 97).cast("int")).alias("text"))
+
+
+@query
+def calibration_report(spark, d):
+    return calibration.report(calibration.steps(_timed(spark, d)))
+
+
+@query
+def calibration_fit(spark, d):
+    return calibration.depletion(calibration.minute_rates(calibration.steps(_timed(spark, d))))
+
+
+@query
+def calibration_divisor(spark, d):
+    return calibration.fatigue_divisor(calibration.minute_rates(calibration.steps(_timed(spark, d))))
+
+
+@query
+def engine_signatures(spark, d):
+    events_ = F.transform(F.slice(T.words(F.col("text")), 1, 60), lambda w, i: F.struct(F.when(F.char_length(w) > 9, "x").alias("failure"), (F.char_length(w) % 7).cast("double").alias("depth")))
+    return _docs(spark, d).select("doc_id", traces.engine_signatures(events_).alias("s")).select("doc_id", "s.*")
+
+
+@query
+def paragraph_lines(spark, d):
+    lines = F.size(F.split("text", "\n"))
+    return _docs(spark, d).select("doc_id", lines.alias("n_lines"), F.array_max(T.paragraph_numbers(F.col("text"))).alias("n_paragraphs"))
+
+
+@query
+def reply_quality(spark, d):
+    return _docs(spark, d).groupBy(F.regexp_replace(T.content_quality(F.col("text"), 200, 30, ("password",)), r":\d+$", "").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def escaped_texts(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(T.escape_html(F.col("text")).cast("binary")).alias("html"), F.md5(T.escape_tex(F.col("text")).cast("binary")).alias("tex"))
+
+
 # similarity
 
 
