@@ -1,7 +1,8 @@
 """Event analytics: counts, roll-ups, gaps, transitions, runs and windows of an edit log.
 
-An edit log has project, author, ts, tie (a unique tie-break) and label. Every operator takes and returns DataFrames;
-windows over one key share one exchange, and nothing is collected.
+An edit log has project, author, ts, tie (a unique tie-break) and label. Every operator takes and returns DataFrames, and
+nothing is collected. What needs a project's order comes from ordering.py, which cuts projects by time, so that a large
+project is not one task; windows by project order only tables of groups.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftlens.operators.ordering import running_sum, sequenced
 from draftlens.vocab import GAP_BINS
 
 
@@ -147,13 +149,13 @@ def transitions(log: DataFrame, *keys: str, part: tuple[int, int] | None = None)
     keys: report within these columns (project, or none to pool). part: (from, to), in thirds of a project's edits by
     whole division; the last third takes the rest.
     """
-    w = by_project()
-    nxt = log.withColumn("nxt", F.lead("label").over(w))
+    rows = sequenced(log, "project")
+    nxt = rows.withColumn("nxt", F.col("nxt.label"))
     if part is not None:
-        n = F.count("*").over(Window.partitionBy("project"))
-        nxt = nxt.withColumns({"_p": F.row_number().over(w) - 1, "_t": F.floor(n / 3)}).filter(F.col("_p") >= part[0] * F.col("_t"))
+        third = F.floor(F.col("total") / 3)
+        nxt = nxt.filter(F.col("place") >= part[0] * third)
         if part[1] < 3:
-            nxt = nxt.filter(F.col("_p") < part[1] * F.col("_t"))
+            nxt = nxt.filter(F.col("place") < part[1] * third)
     pairs = nxt.filter("nxt is not null and nxt <> label").groupBy(*keys, F.col("label").alias("cur"), "nxt").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy(*keys, "cur"))
     return pairs.withColumn("prob", F.round(F.col("n") / total, 6))
@@ -170,19 +172,25 @@ def transition_matrix(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
     return pairs.groupBy("cur").pivot("nxt", list(labels)).agg(F.first("prob")).na.fill(0.0)
 
 
+def _runs(log: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
+    rows = log.filter(~F.col("label").isin(*skip)) if skip else log
+    rows = sequenced(rows, "project")
+    new = F.col("prev").isNull() | ~F.col("label").eqNullSafe(F.col("prev.label"))
+    rows = running_sum(rows, new.cast("int"), "run", "project").withColumn("run", F.col("run") - 1)
+    return rows.groupBy("project", "run").agg(
+        F.first("label").alias("label"), F.min("place").cast("int").alias("first"), F.max("place").cast("int").alias("last"), F.count("*").alias("length"), F.first("total").alias("total")
+    )
+
+
 def runs(log: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Runs of equal labels in a project: run, label, first and last place, length."""
-    rows = log.filter(~F.col("label").isin(*skip)) if skip else log
-    w = by_project()
-    rows = rows.withColumns({"place": F.row_number().over(w) - 1, "new": (~F.col("label").eqNullSafe(F.lag("label").over(w)) | F.lag("tie").over(w).isNull()).cast("int")})
-    rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return rows.groupBy("project", "run").agg(F.first("label").alias("label"), F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("length"))
+    return _runs(log, skip).drop("total")
 
 
 def run_edges(log: DataFrame, skip: Sequence[str] = ("Artifact", "No Label")) -> DataFrame:
-    """Edges between consecutive runs, counted: the links of a flow diagram."""
-    r = runs(log, skip).withColumn("nxt", F.lead("label").over(Window.partitionBy("project").orderBy("run")))
-    return r.filter("nxt is not null").groupBy(F.col("label").alias("source"), F.col("nxt").alias("target")).agg(F.count("*").alias("n"))
+    """Edges between consecutive runs, counted: the links of a flow diagram. A run ends where the next label differs."""
+    rows = sequenced(log.filter(~F.col("label").isin(*skip)), "project").filter(F.col("nxt").isNotNull() & (F.col("nxt.label") != F.col("label")))
+    return rows.groupBy(F.col("label").alias("source"), F.col("nxt.label").alias("target")).agg(F.count("*").alias("n"))
 
 
 def visible_links(links: DataFrame, hidden: Sequence[str]) -> DataFrame:
@@ -193,9 +201,7 @@ def visible_links(links: DataFrame, hidden: Sequence[str]) -> DataFrame:
 def binary_composition(log: DataFrame, positive: Column) -> DataFrame:
     """Runs of rows that are and aren't positive, as percent of the project."""
     flagged = log.withColumn("label", F.when(positive, "labelled").otherwise("unlabelled"))
-    r = runs(flagged)
-    total = F.sum("length").over(Window.partitionBy("project"))
-    return r.select("project", "run", "label", "length", F.round(100.0 * F.col("length") / total, 6).alias("pct"))
+    return _runs(flagged).select("project", "run", "label", "length", F.round(100.0 * F.col("length") / F.col("total"), 6).alias("pct"))
 
 
 # windows over a project's edits
@@ -203,10 +209,9 @@ def binary_composition(log: DataFrame, positive: Column) -> DataFrame:
 
 def windowed_labels(log: DataFrame, windows: int = 10) -> DataFrame:
     """Counts of labels in windows of ceil(n / windows) edits of a project; fewer windows than asked may arise."""
-    n = F.count("*").over(Window.partitionBy("project"))
-    size = F.ceil(n / windows)
-    w = F.floor((F.row_number().over(by_project()) - 1) / size).cast("int")
-    return log.withColumn("win", w).groupBy("project", "label", "win").agg(F.count("*").alias("n"))
+    rows = sequenced(log, "project")
+    w = F.floor(F.col("place") / F.ceil(F.col("total") / windows)).cast("int")
+    return rows.withColumn("win", w).groupBy("project", "label", "win").agg(F.count("*").alias("n"))
 
 
 def uniform_distance(windowed: DataFrame, windows: int = 10) -> DataFrame:
@@ -227,17 +232,15 @@ def temporal_mean(windowed: DataFrame, windows: int = 10) -> DataFrame:
 
 def phase(log: DataFrame, k: int, of: int = 3) -> DataFrame:
     """The k-th (from 1) of equal slices of each project's edits, the last taking the rest."""
-    n = F.count("*").over(Window.partitionBy("project"))
-    place = F.row_number().over(by_project()) - 1
-    rows = log.withColumns({"_n": n, "_p": place})
-    return rows.filter((F.col("_p") >= F.floor(F.col("_n") * (k - 1) / of)) & (F.col("_p") < F.floor(F.col("_n") * k / of))).drop("_n", "_p")
+    rows = sequenced(log, "project")
+    inside = (F.col("place") >= F.floor(F.col("total") * (k - 1) / of)) & (F.col("place") < F.floor(F.col("total") * k / of))
+    return rows.filter(inside).select(*log.columns)
 
 
 def page(log: DataFrame, cursor: int, size: int = 200, before: int = 100) -> DataFrame:
     """Rows of a project around a cursor: `size` places from `before` ahead of it, by keyset rather than by offset."""
-    place = F.row_number().over(by_project()) - 1
     first = max(0, cursor - before)
-    return log.withColumn("place", place).filter((F.col("place") >= first) & (F.col("place") < first + size))
+    return sequenced(log, "project").withColumn("place", F.col("place").cast("int")).filter((F.col("place") >= first) & (F.col("place") < first + size))
 
 
 def last_edit(log: DataFrame) -> DataFrame:

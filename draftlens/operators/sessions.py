@@ -1,6 +1,7 @@
 """Sessions of an edit log: a long gap, a change of subject or of label ends one.
 
-The rule looks one edit back only, so it is a break flag and a running sum, not a stateful fold. With strict, sessions
+The rule looks one edit back only, so it is a break flag and a running sum (cut by time, see ordering.py), not a stateful
+fold. With strict, sessions
 are reported as the notebooks behind them did: a session closed by a gap or a label change counts only if it is longer
 than the least duration, one closed by dissimilarity always counts, the last open session of a project never does, and the
 label list leaves out the first edit of every session but the project's first. Without strict all sessions and labels count.
@@ -11,22 +12,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlens.operators.events import by_project, minutes
+from draftlens.operators.events import minutes
+from draftlens.operators.ordering import running_sum, sequenced
 from draftlens.vocab import SESSION_COSINE, SESSION_GAP_MINUTES
 
 
 def mark_sessions(log: DataFrame, gap: float = SESSION_GAP_MINUTES, label_breaks: bool = False, similarity: str | None = None, least_similarity: float = SESSION_COSINE) -> DataFrame:
-    """log with place, cause (why a session begins here: gap, label, similarity or null) and session (from 0)."""
-    w = by_project()
-    late = minutes(F.col("ts"), F.lag("ts").over(w)) > gap
-    cause = F.when(late, "gap")
-    if label_breaks:
-        cause = cause.when(~F.col("label").eqNullSafe(F.lag("label").over(w)), "label")
-    if similarity is not None:
-        cause = cause.when(F.col(similarity) < least_similarity, "similarity")
-    first = F.row_number().over(w) == 1
-    rows = log.withColumns({"place": F.row_number().over(w) - 1, "cause": F.when(~first, cause)})
-    return rows.withColumn("session", F.sum(F.col("cause").isNotNull().cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """log with place, session (from 0), and why a session begins here and with the next edit: cause, next_cause.
+
+    A cause is gap, label, similarity or null. similarity: a column of each edit's likeness to the one before.
+    """
+    rows = sequenced(log, "project", carry=("label", *([similarity] if similarity else [])))
+
+    def cause(before: str, after: str) -> Column:
+        at = lambda side, c: F.col(f"{side}.{c}") if side else F.col(c)
+        out = F.when(minutes(at(after, "ts"), at(before, "ts")) > gap, "gap")
+        if label_breaks:
+            out = out.when(~at(after, "label").eqNullSafe(at(before, "label")), "label")
+        if similarity is not None:
+            out = out.when(at(after, similarity) < least_similarity, "similarity")
+        return out
+
+    rows = rows.withColumns({"cause": F.when(F.col("prev").isNotNull(), cause("prev", "")), "next_cause": F.when(F.col("nxt").isNotNull(), cause("", "nxt"))})
+    return running_sum(rows, F.col("cause").isNotNull().cast("int"), "session", "project")
 
 
 def sessions(marked: DataFrame, least_minutes: float = 1.0, strict: bool = False) -> DataFrame:
@@ -37,15 +45,14 @@ def sessions(marked: DataFrame, least_minutes: float = 1.0, strict: bool = False
         F.max("ts").alias("end_ts"),
         F.count("*").alias("n"),
         F.array_sort(F.collect_list(order)).alias("_l"),
-        F.max("cause").alias("opened_by"),
+        F.max_by("next_cause", "place").alias("closed_by"),
     )
-    out = out.withColumn("closed_by", F.lead("opened_by").over(Window.partitionBy("project").orderBy("session")))
     labels = F.transform("_l", lambda x: x["label"])
     out = out.withColumns({"label": labels[0], "label_list": F.when(F.col("session") == 0, labels).otherwise(F.slice(labels, 2, F.size(labels))) if strict else labels, "minutes": minutes(F.col("end_ts"), F.col("start_ts"))})
     if strict:
         out = out.filter((F.col("closed_by") == "similarity") | (F.col("closed_by").isNotNull() & (F.col("minutes") > least_minutes)))
-        out = out.withColumn("index", F.row_number().over(Window.partitionBy("project").orderBy("session")) - 1)
-    return out.drop("_l", "opened_by")
+        out = running_sum(out, F.lit(1), "index", "project", ts="start_ts", tie="session").withColumn("index", (F.col("index") - 1).cast("int"))
+    return out.drop("_l")
 
 
 def duration_stats(found: DataFrame, *keys: str) -> DataFrame:
@@ -72,8 +79,9 @@ def duration_classes(found: DataFrame) -> DataFrame:
 
 def time_per_label(log: DataFrame, cap: float = 5.0, *keys: str) -> DataFrame:
     """Minutes and edits of each label: an edit lasts until the project's next, and not at all if that is over cap minutes away."""
-    lasting = minutes(F.lead("ts").over(by_project()), F.col("ts"))
-    rows = log.withColumn("m", F.when(lasting <= cap, lasting).otherwise(0.0))
+    rows = sequenced(log, "project")
+    lasting = minutes(F.col("nxt.ts"), F.col("ts"))
+    rows = rows.withColumn("m", F.when(lasting <= cap, lasting).otherwise(0.0))
     return rows.groupBy(*keys, "label").agg(F.round(F.sum("m"), 6).alias("minutes"), F.count("*").alias("n"))
 
 
@@ -93,5 +101,5 @@ def linear_fit(rows: DataFrame, y: Column, x: Column, *keys: str) -> DataFrame:
 
 def cumulative_starts(found: DataFrame) -> DataFrame:
     """Sessions laid end to end: where each begins, in minutes."""
-    w = Window.partitionBy("project").orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("begins", F.coalesce(F.sum("minutes").over(w), F.lit(0.0)))
+    out = running_sum(found, F.col("minutes"), "begins", "project", ts="start_ts", tie="session")
+    return out.withColumn("begins", F.col("begins") - F.col("minutes"))
