@@ -61,26 +61,25 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(T.leakage_patterns(F.col("text"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-def _run_hash(n: int):
-    return lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(F.col("w"), i + 1, n)).alias("h"))
-
-
-def contained_templates(docs: DataFrame, templates: DataFrame, size: int = 8) -> DataFrame:
+def contained_templates(docs: DataFrame, templates: DataFrame, size: int = 8, broadcast_templates: int = 100_000) -> DataFrame:
     """Texts that contain a template's whole text, case aside: doc_id, item_id.
 
-    Templates are looked up by the hash of their first `size` words among the texts' runs of words; hits are then verified.
-    A template of fewer words is looked up by all of them.
+    All but the first and last word of a template stand as whole words wherever it occurs. A text's words are looked up
+    among the templates' second words; where one is met, up to `size` words from there are compared by hash, and only what
+    agrees is searched for. Templates of fewer than three words, if any, are tried on every text, as one small array.
     """
-    t = templates.select("item_id", F.lower(T.strip(F.col("text"))).alias("body")).filter("body <> ''").withColumn("w", T.words(F.col("body")))
-    lengths = [r[0] for r in t.select(F.least(F.size("w"), F.lit(size)).alias("n")).distinct().collect()]  # at most `size` of them
-    firsts = t.withColumn("n", F.least(F.size("w"), F.lit(size))).withColumn("h", F.xxhash64(F.slice(F.col("w"), F.lit(1), F.col("n")))).drop("w")
+    t = templates.select("item_id", F.lower(T.strip(F.col("text"))).alias("body")).filter("body <> ''").withColumn("tw", T.words(F.col("body")))
+    n = F.least(F.size("tw") - 2, F.lit(size))
+    keyed = t.filter(F.size("tw") >= 3).select("item_id", "body", F.get("tw", F.lit(1)).alias("second"), n.alias("n"), F.xxhash64(F.slice(F.col("tw"), F.lit(2), n)).alias("h"))
+    held = F.broadcast if templates.count() <= broadcast_templates else (lambda x: x)
     d = docs.select("doc_id", F.lower(T.empty_if_null(F.col("text"))).alias("low")).withColumn("w", T.words(F.col("low")))
-    runs = [
-        F.when(F.size("w") >= n, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - n), _run_hash(n)))).otherwise(F.array().cast("array<struct<n:int,h:bigint>>"))
-        for n in lengths or [size]
-    ]
-    looked = d.select("doc_id", "low", F.inline(F.concat(*runs)))
-    return looked.join(F.broadcast(firsts), ["n", "h"]).filter(F.col("low").contains(F.col("body"))).select("doc_id", "item_id").distinct()
+    each = d.select("doc_id", "low", "w", F.posexplode("w").alias("pos", "x"))
+    begun = each.join(held(keyed.groupBy("second").agg(F.collect_set("n").alias("ns"))), F.col("x") == F.col("second")).select("doc_id", "low", "w", "pos", F.explode("ns").alias("n"))
+    met = begun.withColumn("h", F.xxhash64(F.slice(F.col("w"), F.col("pos") + 1, F.col("n")))).drop("w", "pos")
+    long = met.join(held(keyed.select("item_id", "body", "n", "h")), ["n", "h"]).filter(F.col("low").contains(F.col("body"))).select("doc_id", "item_id")
+    few = t.filter(F.size("tw") < 3).agg(F.collect_list(F.struct("item_id", "body")).alias("few"))
+    short = d.select("doc_id", "low").join(F.broadcast(few), F.size("few") > 0).select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("low"), x["body"]))).alias("x")).select("doc_id", "x.item_id")
+    return long.unionByName(short).distinct()
 
 
 def _ncd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
