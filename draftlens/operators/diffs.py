@@ -61,6 +61,52 @@ def tagged(a: str, b: str) -> str:
     return "".join(out)
 
 
+def word_changes(ops: list[tuple[int, str]], line: int = 0) -> list[str]:
+    """What a diff does to words: "(line,place), old->new", "...---added" or "...---deleted".
+
+    ops: (0 kept, 1 added, -1 removed; text). A change reaches to the white space that it leaves as it is on either side;
+    place counts characters of the new text from the line's beginning. Other operations change no text and are passed over.
+    """
+    out: list[str] = []
+    old, new, changed, place, start = "", "", False, 0, (line, 0)
+
+    def close() -> None:
+        if changed:
+            at = f"({start[0]},{start[1]}), "
+            out.append(at + (f"{new}---added" if not old.strip() else f"{old}---deleted" if not new.strip() else f"{old}->{new}"))
+
+    for op, text in ops:
+        if op not in (-1, 0, 1):
+            continue
+        for c in text or "":
+            if op == 0 and c.isspace():
+                close()
+                old, new, changed = "", "", False
+                line, place = (line + 1, 0) if c == "\n" else (line, place + 1)
+                start = (line, place)
+                continue
+            changed |= op != 0
+            old += c if op < 1 else ""
+            new += c if op > -1 else ""
+            if op > -1:
+                line, place = (line + 1, 0) if c == "\n" else (line, place + 1)
+    close()
+    return out
+
+
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(batch.column("ops").to_pylist(), batch.column("line").to_pylist(), strict=True)
+        made = [word_changes([(o["op"], o["text"]) for o in ops or []], line or 0) for ops, line in rows]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.list_(pa.string()))], names=["key", "changes"])
+
+
+def changes(edits: DataFrame) -> DataFrame:
+    """edits (key string, line int, ops array of op, text) -> changes of words."""
+    ship_package(edits.sparkSession)
+    return edits.select("key", "line", "ops").mapInArrow(_changes, "key string, changes array<string>")
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ratio, spans, tags = [], [], []

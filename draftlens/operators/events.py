@@ -193,6 +193,19 @@ def run_edges(log: DataFrame, skip: Sequence[str] = ("Artifact", "No Label")) ->
     return rows.groupBy(F.col("label").alias("source"), F.col("nxt.label").alias("target")).agg(F.count("*").alias("n"))
 
 
+def merge_runs(log: DataFrame, value: str) -> DataFrame:
+    """Consecutive edits of one label as one, with the value of the last."""
+    rows = sequenced(log, "project")
+    new = F.col("prev").isNull() | ~F.col("label").eqNullSafe(F.col("prev.label"))
+    rows = running_sum(rows, new.cast("int"), "run", "project")
+    return rows.groupBy("project", (F.col("run") - 1).alias("run")).agg(F.first("label").alias("label"), F.max_by(value, "place").alias(value))
+
+
+def with_previous_label(log: DataFrame, first: str = "none") -> DataFrame:
+    """Each edit with its project's label before it."""
+    return sequenced(log, "project").withColumn("previous", F.coalesce("prev.label", F.lit(first))).select(*log.columns, "previous")
+
+
 def visible_links(links: DataFrame, hidden: Sequence[str]) -> DataFrame:
     """Links of which neither end is hidden."""
     return links.filter(~F.col("source").isin(*hidden) & ~F.col("target").isin(*hidden))

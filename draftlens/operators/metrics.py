@@ -157,3 +157,13 @@ def agreement(annotations: DataFrame, annotators: int, keys: list[str]) -> DataF
     """Keys that every annotator has, with their labels in the annotators' order: annotations (annotator, label, *keys)."""
     per = annotations.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("annotator", "label"))).alias("x"), F.count_distinct("annotator").alias("n"))
     return per.filter(F.col("n") == annotators).select(*keys, F.transform("x", lambda v: v["label"]).alias("labels"))
+
+
+def knee_point(x: list[float], y: list[float]) -> float | None:
+    """Where a convex falling curve bends most: the largest gap between it and its chord. For a report's few points."""
+    if len(x) < 3 or max(x) == min(x) or max(y) == min(y):
+        return None
+    across, down = max(x) - min(x), max(y) - min(y)
+    gaps = [(1 - (b - min(y)) / down) - (a - min(x)) / across for a, b in zip(x, y, strict=True)]
+    best = max(range(len(gaps)), key=gaps.__getitem__)
+    return x[best] if gaps[best] > 0 else None

@@ -279,6 +279,8 @@ st AS (SELECT doc_id, k, (us - lag(us) OVER w) / 1000.0 AS ms, size - lag(size)
 sp AS (SELECT * FROM st WHERE ms > 0),
 mr AS (SELECT doc_id, minute, CAST(sum(delta) AS BIGINT) AS chars FROM sp WHERE delta > 0 GROUP BY ALL),
 rr AS (SELECT *, chars * 1.0 / first_value(chars) OVER (PARTITION BY doc_id ORDER BY minute) AS relative FROM mr)"""
+SQL["merged_runs"] = f"WITH {_LOG}, m0 AS (SELECT *, lag(label) OVER ({_ORDER}) AS b FROM log), m1 AS (SELECT *, sum(CASE WHEN b IS NULL OR b <> label THEN 1 ELSE 0 END) OVER ({_ORDER}) - 1 AS run FROM m0) SELECT project, CAST(run AS BIGINT) AS run, min(label) AS label, arg_max(tie, (ts, tie)) AS tie FROM m1 GROUP BY project, run"
+SQL["prompt_rows"] = f"WITH {_LOG} SELECT tie, md5('<INPUT><BT>' || label || '</BT> <PWA>' || coalesce(lag(label) OVER ({_ORDER}), 'none') || '</PWA> </INPUT>') AS prompt FROM log"
 SQL["calibration_report"] = f"WITH {_LOG}, {_TIMED} SELECT count(*) AS n, round(avg(ms), 3) AS mean_ms, round(median(ms), 3) AS median_ms, round(coalesce(stddev_samp(ms), 0), 3) AS sd_ms, round(avg(CASE WHEN delta <> 0 THEN abs(delta) END), 6) AS mean_delta FROM sp"
 SQL["calibration_fit"] = f"WITH {_LOG}, {_TIMED}, f AS (SELECT count(*) AS n, max(minute) > min(minute) AS v, regr_slope(ln(relative), minute) AS b, regr_r2(ln(relative), minute) AS r FROM rr WHERE relative BETWEEN 0.1 AND 2.0) SELECT n, round(CASE WHEN n >= 5 AND v AND b < 0 THEN greatest(0.99, least(0.9999, exp(b / 50))) ELSE 0.9992 END, 6) AS rate, round(CASE WHEN n >= 5 AND v THEN greatest(0, coalesce(r, 0)) ELSE 0 END, 6) AS r2 FROM f"
 SQL["calibration_divisor"] = f"WITH {_LOG}, {_TIMED}, x AS (SELECT *, lag(chars) OVER w AS b, sum(chars) OVER (w ROWS UNBOUNDED PRECEDING) AS c, count(*) OVER (PARTITION BY doc_id) AS k FROM mr WINDOW w AS (PARTITION BY doc_id ORDER BY minute)) SELECT doc_id, coalesce(median(CASE WHEN k >= 10 AND (chars - b) * 1.0 / b < -0.05 THEN c / 0.5 END), 12000.0) AS divisor FROM x GROUP BY doc_id"

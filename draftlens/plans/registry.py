@@ -223,6 +223,17 @@ def phase_shares(spark, d):
     return union_all([events.label_counts(events.phase(log, k), "project").withColumn("phase", F.lit(k)) for k in (1, 2, 3)])
 
 
+@query
+def merged_runs(spark, d):
+    return events.merge_runs(_log(spark, d), "tie")
+
+
+@query
+def prompt_rows(spark, d):
+    rows = events.with_previous_label(_log(spark, d))
+    return rows.select("tie", F.md5(T.prompt_columns(F.col("label"), F.col("previous")).cast("binary")).alias("prompt"))
+
+
 # sessions
 
 
@@ -760,6 +771,14 @@ def revision_diffs(spark, d):
     return diffs.compare(pairs).select("key", F.round("ratio", 6).alias("ratio"), F.size("spans").alias("n_spans"))
 
 
+@query
+def edit_changes(spark, d):
+    part = lambda op, a, n: F.struct(F.lit(op).alias("op"), F.substring("text", a, n).alias("text"))
+    ops = F.array(part(0, 1, 20), part(-1, 21, 15), F.struct(F.lit(1).alias("op"), F.lit("new words").alias("text")), part(0, 36, 200))
+    edits = _revisions(spark, d).select(F.concat_ws(":", "doc_id", "revision_index").alias("key"), F.lit(0).alias("line"), ops.alias("ops"))
+    return diffs.changes(edits).select("key", F.explode("changes").alias("change"))
+
+
 def _cosine(a, b):
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

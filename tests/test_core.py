@@ -288,3 +288,15 @@ def test_diffs():
     assert diffs.changed_spans("a b c d", "a x c d e") == [(1, 2), (4, 4)]
     assert diffs.span_f1([(0, 2)], [(1, 3)]) == pytest.approx(1.0) and diffs.span_f1([(4, 4)], [(4, 4)]) == 0.0
     assert diffs.tagged("a b", "a c") == "<same>a</same><del>b</del><add>c</add>"
+
+
+def test_word_changes():
+    assert diffs.word_changes([(0, "the c"), (-1, "a"), (1, "o"), (0, "t sat")]) == ["(0,4), cat->cot"]
+    assert diffs.word_changes([(0, "a\nb "), (1, "new"), (0, " c")], 3) == ["(4,2), new---added"]
+    assert diffs.word_changes([(0, "a "), (-1, "gone"), (4, "copied"), (0, " c")]) == ["(0,2), gone---deleted"]
+    assert diffs.word_changes([(0, "same")]) == []
+
+
+def test_knee():
+    assert metrics.knee_point([0, 1, 2, 3, 4, 5, 6], [100, 40, 15, 10, 8, 7, 6]) == 2
+    assert metrics.knee_point([0, 1], [1, 0]) is None
