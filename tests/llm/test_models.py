@@ -107,6 +107,56 @@ def test_scores_ignore_lang_and_source(spark):
         assert a == b
 
 
+def test_pipeline_against_brute_force(spark):
+    """Each stage by plain loops over the rows that the stage before kept."""
+    import zlib
+
+    import corpus_pipeline
+    from test_native import words_of
+    from test_text import plain_components, plain_fingerprint, plain_repeats
+
+    from draftlens.llm.tokenizer_files import default_path, library
+
+    sf = "/root/testdata/sf0.001"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = lambda df: sorted((r["doc_id"], r["text"], r["n_chars"]) for r in df.collect())
+
+    good = quality.score(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("score >= 0.7")
+    kept = {r["doc_id"] for r in good.collect()}
+    one = stages["quality_classifier"](spark, docs, sf)
+    assert rows(one) == [r for r in rows(docs) if r[0] in kept]
+
+    plain = rows(one)
+    roots = plain_components([plain_fingerprint(t) for _, t, _ in plain])
+    two = stages["simhash_near_dedup"](spark, one, sf)
+    assert rows(two) == [r for k, r in enumerate(plain) if roots[k] == k]
+
+    plain = rows(two)
+    left = {i: k for i, _, _, k in plain_repeats([(i, t) for i, t, _ in plain], 50)}
+    three = stages["substring_dedup"](spark, two, sf)
+    for (i, t, n), (_, before, _) in zip(rows(three), plain, strict=True):
+        assert b" ".join(t.encode().split()) == left[i] and n == len(t)
+        assert t == before or len(before.encode().split()) > len(t.encode().split())
+
+    grams = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words_of(r["text"])
+        n = min(10, len(w))
+        grams |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    sizes = {len(g) for g in grams}
+    clean = [r for r in rows(three) if not any(tuple(w[k : k + n]) in grams for w in [words_of(r[1])] for n in sizes for k in range(len(w) - n + 1))]
+    four = stages["benchmark_decontamination"](spark, three, sf)
+    assert rows(four) == clean and len(clean) < len(plain)
+
+    tokenizer, want = library(default_path("byte_bpe_50k.json")), set()
+    for i, t, _ in clean:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4")
+        want |= {(i, s, min(2048, len(ids) - s), zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048)}
+    got = stages["packing"](spark, four, sf).collect()
+    assert {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got} == want and len(got) == len(want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
