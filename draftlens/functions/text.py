@@ -294,3 +294,31 @@ def paragraph_numbers(text: Column) -> Column:
         return F.struct(n.alias("n"), (~blank).alias("open"), F.array_append(acc["out"], F.when(blank, 0).otherwise(n)).alias("out"))
 
     return F.aggregate(lines, begin, step, lambda acc: acc["out"])
+
+
+def split_reply(text: Column) -> Column:
+    """The two parts of a reply around a line of four dashes or more; the second is null without one."""
+    parts = F.split(text, r"-{4,}", 2)
+    return F.struct(strip(F.get(parts, F.lit(0))).alias("first"), strip(F.get(parts, F.lit(1))).alias("second"))
+
+
+def instruction_rows(system: Column, user: Column, assistant: Column | None = None) -> Column:
+    """A conversation of instruction, input and, for training, answer: an array of role and content."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), empty_if_null(content).alias("content"))
+    return F.array(turn("system", system), turn("user", user), *([] if assistant is None else [turn("assistant", assistant)]))
+
+
+def pattern_score(text: Column, scores: dict[str, float]) -> Column:
+    """Sum of the scores of the patterns that occur, case aside."""
+    out = F.lit(0.0)
+    for pattern, score in scores.items():
+        out = out + F.when(text.rlike("(?i)" + pattern), float(score)).otherwise(0.0)
+    return out
+
+
+def first_pattern(text: Column, names: dict[str, str], fallback: str = "unknown") -> Column:
+    """The name of the first pattern, in the order given, that occurs."""
+    out = F.lit(fallback)
+    for pattern, name in reversed(names.items()):
+        out = F.when(text.rlike("(?i)" + pattern), name).otherwise(out)
+    return out

@@ -300,3 +300,25 @@ def test_word_changes():
 def test_knee():
     assert metrics.knee_point([0, 1, 2, 3, 4, 5, 6], [100, 40, 15, 10, 8, 7, 6]) == 2
     assert metrics.knee_point([0, 1], [1, 0]) is None
+
+
+def test_replies_and_patterns(spark):
+    got = one(spark, T.split_reply(lit("a b\n------\nc")))
+    assert (got["first"], got["second"]) == ("a b", "c") and one(spark, T.split_reply(lit("x")))["second"] is None
+    assert [r["role"] for r in one(spark, T.instruction_rows(lit("s"), lit(None), lit("a")))] == ["system", "user", "assistant"]
+    assert one(spark, T.pattern_score(lit("Model-Large 70B"), {"large": 2, r"\d+b": 3, "mini": 9})) == 5.0
+    assert one(spark, T.first_pattern(lit("abc"), {"c": "third", "a": "first"})) == "third"
+    # the patterns that stand in for a missing file are lazy: they take as little as they can
+    assert one(spark, T.strip_meta(lit('Here is the text:\n"quoted"'))) == 'the text:\n"quoted"'
+    assert one(spark, T.strip_meta(lit('Here is the text:\n"quoted"'), (r"^Here is .*:\s*$",))) == "quoted"
+    assert one(spark, T.content_quality(lit("short"))) == "too_short_chars:5"
+    assert one(spark, T.escape_tex(lit("a_b{"))) == "a\\_b\\{"
+
+
+def test_marks_and_selections(spark):
+    text = "One. Two <b> three! Four"
+    span = F.array(F.struct(F.lit(5).alias("start"), F.lit(8).alias("end"), F.lit("i").alias("id"), F.lit(None).cast("string").alias("state")))
+    assert one(spark, T.highlight(lit(text), span)) == 'One. <mark data-state="unknown" data-id="i">Two</mark> &lt;b&gt; three! Four'
+    got = one(spark, T.whole_sentence(lit(text), F.lit(10), F.lit(12)))
+    assert text[got["start"] : got["end"]] == " Two <b> three!"
+    assert one(spark, T.paragraph_numbers(lit("a\nb\n\nc\n\\paragraph{x}\nd"))) == [1, 1, 0, 2, 3, 3]
