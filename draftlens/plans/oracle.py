@@ -143,7 +143,7 @@ _TEMPLATE = "(" + " OR ".join(f"contains(lower(coalesce(text, '')), '{t.lower()}
 
 _TRACE = """tr AS (SELECT *, CAST(doc_id % 9 + 1 AS INTEGER) AS size FROM sp),
 ev AS (SELECT doc_id, revision_index, injection_id, label, state, flag, size, i,
-         (i * 3 + doc_id) % 4 = 0 AS bad, (i + doc_id) % 3 = 0 AS fixed, 1.0 - i * 0.01 + CASE WHEN doc_id % 5 = 0 THEN i * 0.02 ELSE 0 END AS glucose,
+         (i * 3 + doc_id) % 4 = 0 AS bad, (i + doc_id) % 3 = 0 AS fixed, CAST(1.0 - i * 0.01 + CASE WHEN doc_id % 5 = 0 THEN i * 0.02 ELSE 0 END AS DOUBLE) AS glucose,
          ((i * i + doc_id) % 7) / 2.0 AS cx
        FROM (SELECT *, unnest(generate_series(1, size)) AS i FROM tr)),
 ev1 AS (SELECT *, min(CASE WHEN fixed THEN i END) OVER (PARTITION BY doc_id, revision_index, injection_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_fix,
