@@ -40,6 +40,8 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|respond|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
+#: The same for an article, whose names say more of its kind than of its place.
+NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|promo|related|reply|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
 #: A p is closed by any of these opening inside it.
 CLOSES_P = BLOCKS - {"body", "html", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
 
@@ -77,10 +79,11 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         silent, chrome, container = self.state
-        if tag in CONTAINERS and not chrome:
+        noise = None if tag in ("html", "body", "main") else NOT_ARTICLE if tag == "article" else NOISE
+        named = noise is not None and any(k in ("class", "id", "role", "aria-label") and v and noise.search(v) for k, v in attrs)
+        if tag in CONTAINERS and not chrome and not named:
             self.containers += 1
             container = self.containers
-        named = any(k in ("class", "id", "role", "aria-label") and v and NOISE.search(v) for k, v in attrs) and tag not in ("html", "body", "article", "main")
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         outer = tag == "header" and not container
         self.open.append((tag, silent or tag in SILENT, chrome or named or hidden or outer or tag in CHROME, container))

@@ -115,6 +115,11 @@ def test_pages_without_article_and_odd_pages():
     assert htmltext.main_text("<article>" + "<p>x</p>" * 20_000 + "</article>").count("x") == 20_000
 
 
+def test_comments_that_are_articles():
+    page = "<main><article><h1>A</h1><p>" + "text " * 40 + "</p></article><section id='comments'><article><p>no</p></article></section><article class='comment'><p>" + "no " * 90 + "</p></article></main>"
+    assert htmltext.main_text(page) == "A\n\n" + ("text " * 40).strip()
+
+
 def test_pages_query(spark):
     rows = [(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, None)]
     got = htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
