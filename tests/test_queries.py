@@ -68,3 +68,28 @@ def test_entry_without_the_optional_package():
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['draftlens.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.llm_registry is None and 'transitions' in e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=repo, check=True)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_no_python_where_sql_can_say_it(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert not any(x in text for x in ("Python", "Arrow", "Pandas", "CartesianProduct"))
+
+
+def test_scans_are_pruned(spark):
+    text = plan(QUERIES["pricing_summary"](spark, SF))
+    assert "LessThanOrEqual(l_shipdate" in text and "l_orderkey" not in text
+    text = plan(QUERIES["label_counts"](spark, SF))
+    assert "ReadSchema: struct<event_type:string>" in text
+    text = plan(QUERIES["daily_activity_dense"](spark, SF))
+    assert "GreaterThanOrEqual(ts" in text and "user_id" not in text
+
+
+def test_large_projects_are_cut_by_time(spark):
+    """No window over project alone stands above the rows of the log."""
+    text = plan(QUERIES["sessions_gap"](spark, SF))
+    assert "hashpartitioning(project" in text and "_bucket" in text
