@@ -84,6 +84,12 @@ def _remove(path: str) -> None:
         shutil.rmtree(local, ignore_errors=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly where its scan has fewer parts than the cluster has cores, as a small file has; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df has not, whatever the case of letters."""
     taken, out = {c.lower() for c in df.columns}, []
