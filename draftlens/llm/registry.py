@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from draftlens.llm import ann, chat, decontam, htmltext, packing, quality, simhash, substrings, tokencount, toxicity
+from draftlens.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on in Python, in as many parts as there are cores at least."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.neighbour_pairs(_table(spark, sf_dir, "conversations")))
 
@@ -24,20 +30,20 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.extract_text(_table(spark, sf_dir, "pages"))
+    return htmltext.extract_text(_texts(spark, sf_dir, "pages"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
+    return tokencount.count_tokens(_texts(spark, sf_dir))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(_texts(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_texts(spark, sf_dir))
 
 
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,15 +51,15 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.score(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.score(_texts(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substrings.find_repeats(_table(spark, sf_dir, "documents"))
+    found = substrings.find_repeats(_texts(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
