@@ -211,13 +211,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(buf, offsets, NOT_ALNUM, lower=True)
             rows = buckets(words)
             lists = pa.ListArray.from_arrays(pa.array(2 * words.first, pa.int32()), pa.array(rows.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["ids", "y", "lang"])
+            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(a, b - a) for c in (1, 2, 3))], names=["ids", "y", "lang", "doc_id"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Network | float:
     ship_package(docs.sparkSession)
-    sample = training_rows(docs, labels, "toxic", train_rows, MODULUS, HELD_OUT).select("text", "y", "lang")
-    got = sample.mapInArrow(_encode, "ids array<int>, y int, lang string").toArrow()
+    sample = training_rows(docs, labels, "toxic", train_rows, MODULUS, HELD_OUT).select("text", "y", "lang", "doc_id")
+    # in the order of doc_id, so that the model does not depend on how rows are dealt
+    got = sample.mapInArrow(_encode, "ids array<int>, y int, lang string, doc_id long").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return 0.5
     lists = got["ids"].combine_chunks()
