@@ -6,10 +6,17 @@ array expressions in one row; traces of a passage are some hundred events at mos
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from draftlens import vocab
+from draftlens.session import ship_package
+
+FAILURES = ("lexical_starvation", "syntactic_collapse")
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -109,7 +116,8 @@ def allocation(glucose: Column, fatigue: Column, demand: Column) -> Column:
 def simulate(intentions: Column, glucose: float = vocab.GLUCOSE_START) -> Column:
     """Walk intentions (depth, rarity, cost) through the resource recurrence: an array of events.
 
-    The floor and the failure branch make the recurrence non-linear, so it is a fold; the accumulator grows with the trace.
+    The floor and the failure branch make the recurrence non-linear, so it is a fold; the accumulator grows with the trace
+    and is copied at each step, so this is for short traces. simulate_rows() takes any length.
     """
     event = "array<struct<failure:string,glucose_before:double,glucose_after:double,fatigue:double,latency_ms:double>>"
     begin = F.struct(F.lit(glucose).alias("g"), F.lit(0.0).alias("tired"), F.array().cast(event).alias("out"))
@@ -129,6 +137,61 @@ def simulate(intentions: Column, glucose: float = vocab.GLUCOSE_START) -> Column
     return F.aggregate(intentions, begin, step, lambda acc: acc["out"])
 
 
+def _walk(depth: np.ndarray, rarity: np.ndarray, cost: np.ndarray, glucose: float, first: int) -> tuple[list[pa.Array], float]:
+    """Columns of the events from the first-th intention of a trace on, and the glucose that is left."""
+    floor, starved, g = vocab.GLUCOSE_FLOOR, vocab.GLUCOSE_STARVED, glucose
+    before, after, kinds = [], [], []
+    decay = vocab.GLUCOSE_DECAY ** (1.0 + depth / 10.0)
+    for d, r, c, w in zip(depth.tolist(), rarity.tolist(), cost.tolist(), decay.tolist(), strict=True):
+        kind = 0 if g < starved and r > 0.4 + (1.0 - g) * 0.6 else 1 if d > vocab.COLLAPSE_BASE + g * vocab.COLLAPSE_FACTOR else None
+        c *= 1.0 if kind is None else 2.7
+        before.append(g)
+        after.append(max(floor, g - c))
+        kinds.append(kind)
+        g = max(floor, max(floor, g * w) - c)
+    k = np.arange(first, first + len(before))
+    slow = 115 + 90 * np.log(1 + depth) * (1.12 - np.array(before))
+    failure = pa.array(FAILURES, pa.string()).take(pa.array(kinds, pa.int32()))
+    return [pa.array(k, pa.int32()), failure, pa.array(before, pa.float64()), pa.array(after, pa.float64()), pa.array(np.minimum(1.0, (k + 1) / vocab.FATIGUE_TOKENS)), pa.array([round(x, 2) for x in slow.tolist()], pa.float64())], g
+
+
+def _simulated(glucose: float, most: int):
+    names = ["key", "k", "failure", "glucose_before", "glucose_after", "fatigue", "latency_ms"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("intentions")
+            values = lists.flatten()
+            depth, rarity, cost = (values.field(c).to_numpy(zero_copy_only=False) for c in ("depth", "rarity", "cost"))
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            parts, held, start = [], 0, 0
+            for row, end in enumerate(ends.tolist()):
+                g = glucose
+                for a in range(start, end, most):
+                    b = min(a + most, end)
+                    made, g = _walk(depth[a:b], rarity[a:b], cost[a:b], g, a - start)
+                    parts.append([batch.column("key").take(pa.array([row] * (b - a), pa.int32())), *made])
+                    held += b - a
+                    if held >= most:
+                        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names=names)
+                        parts, held = [], 0
+                start = end
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], names=names)
+
+    return run
+
+
+def simulate_rows(rows: DataFrame, glucose: float = vocab.GLUCOSE_START, most: int = 1 << 16) -> DataFrame:
+    """rows (key, intentions as simulate() takes them) -> a row for each event, with its place k in the trace.
+
+    Linear in the length of a trace: a loop over Arrow batches, which hands events on in pieces of about `most`.
+    """
+    ship_package(rows.sparkSession)
+    key = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", "intentions").mapInArrow(_simulated(glucose, most), f"key {key}, k int, failure string, glucose_before double, glucose_after double, fatigue double, latency_ms double")
+
+
 def revision_summary(spans: DataFrame) -> DataFrame:
     """By revision: spans, least glucose, mean locality of those with one, share plausible."""
     rows = with_signatures(spans, "trace").withColumn("_g", F.array_min(F.transform("trace", lambda e: e["glucose_at_event"])))

@@ -687,10 +687,10 @@ def trace_summary(spark, d):
 
 @query
 def resource_simulation(spark, d):
-    """The resource recurrence over 60 words a document, of demands made from their lengths."""
-    words = F.slice(T.words(F.col("text")), 1, 60)
-    made = F.transform(words, lambda w, i: F.struct((F.char_length(w) % 9).cast("double").alias("depth"), (F.char_length(w) % 10 / 10.0).alias("rarity"), F.lit(0.004).alias("cost")))
-    return _docs(spark, d).select("doc_id", F.posexplode(traces.simulate(made)).alias("k", "e")).groupBy("doc_id").agg(F.count("e.failure").alias("n_failures"), F.round(F.min("e.glucose_after"), 6).alias("least_glucose"), F.round(F.avg("e.latency_ms"), 3).alias("mean_latency"))
+    """The resource recurrence over all words of a document, of demands made from their lengths."""
+    made = F.transform(T.words(F.col("text")), lambda w: F.struct((F.char_length(w) % 9).cast("double").alias("depth"), (F.char_length(w) % 10 / 10.0).alias("rarity"), F.lit(0.004).alias("cost")))
+    e = traces.simulate_rows(_texts(spark, d).select(F.col("doc_id").alias("key"), made.alias("intentions")))
+    return e.groupBy(F.col("key").alias("doc_id")).agg(F.count("failure").alias("n_failures"), F.round(F.min("glucose_after"), 6).alias("least_glucose"), F.round(F.avg("latency_ms"), 3).alias("mean_latency"))
 
 
 @query
