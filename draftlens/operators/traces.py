@@ -203,17 +203,48 @@ def revision_summary(spans: DataFrame) -> DataFrame:
     )
 
 
-def engine_signatures(events: Column) -> Column:
+def _coupling(doc: np.ndarray, flags: np.ndarray, depth: np.ndarray, n_docs: int) -> np.ndarray:
+    """r of each document's flags with the depth one event later; zero where it says nothing. Rows of a document adjoin."""
+    size = np.bincount(doc, minlength=n_docs)
+    at = np.flatnonzero(doc[1:] == doc[:-1])
+    d, n = doc[at], np.maximum(size - 1, 1)
+    first = (np.cumsum(size) - size)[d]
+    # less the first values, so that what does not vary has a variance of exactly zero
+    x, y = flags[at] - flags[first], depth[at + 1] - depth[first + 1]
+    total = lambda v: np.bincount(d, weights=v, minlength=n_docs)
+    x, y = x - (total(x) / n)[d], y - (total(y) / n)[d]
+    xx, yy, xy = total(x * x), total(y * y), total(x * y)
+    told = (size > 10) & (np.bincount(doc, weights=flags, minlength=n_docs) > 0) & (xx > 0) & (yy > 0)
+    return np.divide(xy, np.sqrt(xx * yy), out=np.zeros(n_docs), where=told)
+
+
+def _engine(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("events")
+            values = lists.flatten()
+            flags, depth = values.field("failure").is_valid().to_numpy(zero_copy_only=False).astype(float), values.field("depth").to_numpy(zero_copy_only=False)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size, dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(size)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b > a:
+                    s, e = ends[a] - size[a], ends[b - 1]
+                    r = _coupling(np.repeat(np.arange(b - a), size[a:b]), flags[s:e], depth[s:e], b - a)
+                    yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(r)], names=["key", "r"])
+
+    return run
+
+
+def engine_signatures(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
     """Signatures by the simulation's own rule, over its events (failure, depth): a failure repairs itself at once.
 
-    Locality has no one added, so a repair at the failure is at distance zero; coupling needs more than ten events;
-    plausible asks for |r| of 0.6 or more. Kept beside with_signatures(), which is the default.
+    rows (key, events) -> key, locality, coupling, plausible. Locality has no one added, so with each repair at its failure
+    it is zero; coupling needs more than ten events; plausible asks for |r| of 0.6 or more. Traces of whole texts are long,
+    so sums run over Arrow batches, about `most` events at once. Kept beside with_signatures(), which is the default.
     """
-    failed = F.transform(events, lambda e: e["failure"].isNotNull())
-    flags = F.transform(failed, lambda f: f.cast("double"))
-    r = F.coalesce(lagged_correlation(flags, F.transform(events, lambda e: e["depth"])), F.lit(0.0))
-    enough = (F.size(events) > 10) & F.exists(failed, lambda f: f)
-    locality = F.greatest(repair_locality(failed, failed) - 1, F.lit(0.0))
-    coupling = F.when(enough, r).otherwise(0.0)
-    plausible = locality.between(vocab.LOCALITY_LOW, vocab.LOCALITY_HIGH) & (F.abs(coupling) >= 0.6)
-    return F.struct(F.round(locality, 2).alias("locality"), F.round(coupling, 3).alias("coupling"), plausible.alias("plausible"))
+    ship_package(rows.sparkSession)
+    key = rows.schema["key"].dataType.simpleString()
+    locality, r = F.lit(0.0), F.col("r")
+    plausible = locality.between(vocab.LOCALITY_LOW, vocab.LOCALITY_HIGH) & (F.abs(r) >= 0.6)
+    return rows.select("key", "events").mapInArrow(_engine(most), f"key {key}, r double").select("key", locality.alias("locality"), F.round(r, 3).alias("coupling"), plausible.alias("plausible"))

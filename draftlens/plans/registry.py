@@ -735,8 +735,8 @@ def calibration_divisor(spark, d):
 
 @query
 def engine_signatures(spark, d):
-    events_ = F.transform(F.slice(T.words(F.col("text")), 1, 60), lambda w, i: F.struct(F.when(F.char_length(w) > 9, "x").alias("failure"), (F.char_length(w) % 7).cast("double").alias("depth")))
-    return _docs(spark, d).select("doc_id", traces.engine_signatures(events_).alias("s")).select("doc_id", "s.*")
+    events_ = F.transform(T.words(F.col("text")), lambda w: F.struct(F.when(F.char_length(w) > 9, "x").alias("failure"), (F.char_length(w) % 7).cast("double").alias("depth")))
+    return traces.engine_signatures(_texts(spark, d).select(F.col("doc_id").alias("key"), events_.alias("events"))).withColumnRenamed("key", "doc_id")
 
 
 @query

@@ -61,3 +61,29 @@ def test_rows_of_events_are_those_of_the_fold(spark):
         for r in got:
             e = want[r["key"], r["k"]]
             assert r["failure"] == e["failure"] and [r[c] for c in names[1:]] == pytest.approx([e[c] for c in names[1:]], abs=1e-9)
+
+
+def signatures(words):
+    """Locality, coupling and plausible as the reference's engine computes them."""
+    fails, depth = [float(len(w) > 9) for w in words], [float(len(w) % 7) for w in words]
+    coupling = 0.0
+    if len(words) > 10 and any(fails):
+        x, y = fails[:-1], depth[1:]
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        vx, vy = sum((a - mx) ** 2 for a in x), sum((b - my) ** 2 for b in y)
+        if vx > 0 and vy > 0:
+            coupling = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / math.sqrt(vx * vy)
+    at = [k for k, f in enumerate(fails) if f]
+    locality = sum(min(r - f for r in at if r >= f) for f in at) / len(at) if at else 0.0
+    return locality, coupling, vocab.LOCALITY_LOW <= locality <= vocab.LOCALITY_HIGH and abs(coupling) >= 0.6
+
+
+def test_engine_signatures_take_all_words(spark, tmp_path):
+    late = " ".join(["short"] * 60 + ["abundantly", "to"] * 9 + ["short"] * 4)  # no failure among the first 60 words
+    rows = [*long_texts(), (90, late, "en", "made", 0), (91, None, "en", "made", 0)]
+    got = {r["doc_id"]: r for r in registry.queries()["engine_signatures"](spark, folder(spark, tmp_path, "documents", rows, DOCUMENTS)).collect()}
+    assert len(got) == len(rows) and abs(got[90]["coupling"]) > 0.5
+    for k, text, *_ in rows:
+        locality, coupling, plausible = signatures((text or "").split())
+        assert (got[k]["locality"], got[k]["plausible"]) == (pytest.approx(locality, abs=5e-3), plausible)
+        assert got[k]["coupling"] == pytest.approx(coupling, abs=6e-4)
