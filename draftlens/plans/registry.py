@@ -779,7 +779,7 @@ def revision_diffs(spark, d):
 @query
 def edit_changes(spark, d):
     part = lambda op, a, n: F.struct(F.lit(op).alias("op"), F.substring("text", a, n).alias("text"))
-    ops = F.array(part(0, 1, 20), part(-1, 21, 15), F.struct(F.lit(1).alias("op"), F.lit("new words").alias("text")), part(0, 36, 200))
+    ops = F.array(part(0, 1, 20), part(-1, 21, 15), F.struct(F.lit(1).alias("op"), F.lit("new words").alias("text")), part(0, 36, F.char_length("text")))
     edits = _revisions(spark, d).select(F.concat_ws(":", "doc_id", "revision_index").alias("key"), F.lit(0).alias("line"), ops.alias("ops"))
     return diffs.changes(edits).select("key", F.explode("changes").alias("change"))
 

@@ -87,3 +87,19 @@ def test_engine_signatures_take_all_words(spark, tmp_path):
         locality, coupling, plausible = signatures((text or "").split())
         assert (got[k]["locality"], got[k]["plausible"]) == (pytest.approx(locality, abs=5e-3), plausible)
         assert got[k]["coupling"] == pytest.approx(coupling, abs=6e-4)
+
+
+def test_edit_changes_keep_the_whole_tail(spark, tmp_path):
+    """The change reaches to the next white space, wherever in the turn that is."""
+    texts = ["", "short", "a b " * 8 + "c" * 300 + " end", "x" * 1900, "words of a turn " * 90, None]
+    rows = [(1, k, "user", t) for k, t in enumerate(texts)]
+    got = {r["key"]: r["change"] for r in registry.queries()["edit_changes"](spark, folder(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")).collect()}
+    for k, text in enumerate(t or "" for t in texts):
+        head = text[:20]
+        start = max((i + 1 for i, c in enumerate(head) if c.isspace()), default=0)
+        # what stays as it is before and behind the change, up to white space
+        tail = text[35:]
+        stop = next((i for i, c in enumerate(tail) if c.isspace()), len(tail))
+        old = head[start:] + text[20:35] + tail[:stop]
+        new = head[start:] + "new words" + tail[:stop]
+        assert got[f"1:{k}"] == f"(0,{start}), " + (f"{old}->{new}" if old.strip() else f"{new}---added")
