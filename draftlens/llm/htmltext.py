@@ -3,9 +3,11 @@
 The parser's events cut a page into lines: the text between two block tags. Each line has a text-to-tag ratio (its
 characters over the tags met in it, one at least). The ratios are smoothed along the page by a Gaussian, and a threshold
 (the standard deviation of the smoothed ratios, as for the mean split of two clusters) marks content lines. Content
-lines vote, with their text, for the container they stand in: an article or main element, or else the body. The winners
-keep all their lines, so a short paragraph between long ones is not lost; lines of menus, headers outside the article,
-footers, asides, forms, notices, adverts and comments never take part, whatever their ratio.
+lines vote, with their text, for the container they stand in: an article or main element (the outermost one, so that a
+main and its articles are one), or else the body. Containers keep all their lines, so neither a short paragraph between
+long ones nor a short article beside a long one is lost; what stands outside them is kept where it has more votes than
+they have together. Lines of menus, headers outside the article, footers, asides, forms, notices, adverts and comments
+never take part, whatever their ratio.
 
 Edge cases: null, empty and textless pages give the empty string; tags left open or closed twice end where an enclosing
 tag ends; text outside any body is a line like any other; character references are decoded once; repeated rows stay rows.
@@ -25,8 +27,6 @@ from pyspark.sql import functions as F
 from draftlens.session import ship_package
 
 SIGMA = 1.0
-#: Share of the best container's text that another needs to be kept beside it.
-SHARE = 0.2
 #: Elements by their use in HTML.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -81,7 +81,7 @@ class Lines(HTMLParser):
         silent, chrome, container = self.state
         noise = None if tag in ("html", "body", "main") else NOT_ARTICLE if tag == "article" else NOISE
         named = noise is not None and any(k in ("class", "id", "role", "aria-label") and v and noise.search(v) for k, v in attrs)
-        if tag in CONTAINERS and not chrome and not named:
+        if tag in CONTAINERS and not container and not chrome and not named:
             self.containers += 1
             container = self.containers
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
@@ -128,7 +128,7 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
+def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not html:
         return ""
     page = Lines()
@@ -141,24 +141,22 @@ def main_text(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> s
     place = np.array([c for _, _, c in page.lines])
     level = smoothed(size / tags, sigma)
     content = level >= min(level.std(), level.max())
-    votes = np.bincount(place, weights=size * content)
-    if len(votes) > 1 and votes[1:].max() > 0:
-        votes[0] = 0.0  # what stands outside every article is kept only where there is none
-    kept = votes >= max(share * votes.max(), 1e-9)
-    return "\n\n".join(t for t, _, c in page.lines if kept[c])
+    votes = size * content
+    outside = votes[place == 0].sum() > votes[place > 0].sum()
+    return "\n\n".join(t for t, _, c in page.lines if c or outside)
 
 
-def _extract(sigma: float, share: float):
+def _extract(sigma: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py(), sigma, share) for x in batch.column(2)]
+            texts = [main_text(x.as_py(), sigma) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return run
 
 
-def extract_text(pages: DataFrame, sigma: float = SIGMA, share: float = SHARE) -> DataFrame:
+def extract_text(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:
     """Per row of pages (page_id, url, html): page_id, url, text, n_chars."""
     ship_package(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return base.mapInArrow(_extract(sigma, share), "page_id long, url string, text string, n_chars long")
+    return base.mapInArrow(_extract(sigma), "page_id long, url string, text string, n_chars long")
