@@ -178,12 +178,11 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, thre
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _passing(model: Discriminant | float, threshold: float, at: int):
+def _passing(model: Discriminant, threshold: float, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offsets in slices(batch.column(at)):
-                s = np.full(b - a, model) if isinstance(model, float) else model.scores(statistics(buf, offsets))
-                kept = batch.slice(a, b - a).filter(pa.array(s >= threshold))
+                kept = batch.slice(a, b - a).filter(pa.array(model.scores(statistics(buf, offsets)) >= threshold))
                 if kept.num_rows:
                     yield kept
 
@@ -191,6 +190,11 @@ def _passing(model: Discriminant | float, threshold: float, at: int):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows that the classifier rejects, in the scan itself: no join brings the scores back."""
+    """docs without the rows that the classifier rejects, in the scan itself: no join brings the scores back.
+
+    Where the labels have not two classes there is nothing to reject by, and all rows stay.
+    """
     model = learn(docs, labels, train_rows)
+    if isinstance(model, float):
+        return docs
     return docs.mapInArrow(_passing(model, threshold, docs.columns.index("text")), docs.schema)

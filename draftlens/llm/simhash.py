@@ -56,7 +56,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.array([fingerprint(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
 def _masks(radius: int) -> list[int]:
@@ -207,22 +207,34 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, fp long, component_id."""
+def _named(docs: DataFrame, radius: int, chunk: int, mark: str = "") -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, fp long, root (which tells components apart), component_id; mark too, a long."""
     ship_package(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = materialize(base.mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    marked = [F.col(mark)] if mark else []
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *marked)
+    marks = materialize(base.mapInArrow(_fingerprints, "doc_id long, fp long" + (f", {mark} long" if mark else "")), "fingerprints")
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(near_links(distinct.select("fp"), radius, chunk))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labels = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(labels, "root").select("fp", "component_id")
-    return marks.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = named.join(labels, "root").select("fp", "root", "component_id")
+    return marks.join(of, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, fp long, component_id."""
+    return _named(docs, radius, chunk).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs less all but the row of smallest doc_id in each group; of rows that repeat that doc_id one stays."""
-    (i,) = fresh(docs, "id")
-    keep = materialize(near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(i)).distinct(), "kept")
-    ids = docs.filter(F.col("doc_id").isNotNull())
-    return ids.join(keep, F.col("doc_id") == F.col(i), "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """docs less all but one row of each group of near-duplicates: the one of smallest doc_id, nulls last.
+
+    Rows are told apart by doc_id and a hash of their text: of rows of one doc_id those in other groups are judged there,
+    and of those in one group the text of least hash stays.
+    """
+    i, h = fresh(docs, "id", "hash")
+    rows = docs.withColumn(h, F.xxhash64(F.col("text").cast("string")))
+    least = _named(rows, radius, CHUNK, h).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = least.groupBy("root", F.col("doc_id").alias(i)).agg(F.min(h).alias(h))
+    keep = materialize(keep.select(i, F.col(h).alias(i + "h")), "kept")
+    return rows.join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(i + "h")), "left_semi").dropDuplicates(["doc_id", h]).drop(h)
