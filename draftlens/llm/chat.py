@@ -5,8 +5,8 @@ rendered once, as the prompt; what follows in each is a completion, with a mask
 end marks and on nothing else. A mask is a list of runs "length:flag", in characters, whose lengths sum to the text's.
 
 Edge cases: a null role or text is the empty string; turns are ordered by turn, role and text, nulls first, and repeated
-rows are repeated turns; a conversation without a partner makes a pair with an empty other side; where one conversation
-begins the other, the shorter one's completion is empty; equal conversations have empty completions.
+rows are repeated turns; a conversation without a partner makes a pair with an empty other side; ids of any size and sign pair alike;
+where one conversation begins the other, the shorter one's completion is empty; equal conversations have empty completions.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
 
     Each conversation is in one pair, so the pairs grow with the conversations and no key gathers more than two.
     """
-    conv = conversations(turns.filter(F.col("conv_id").isNotNull())).withColumn("pair_id", F.floor(F.col("conv_id") / 2).cast("long"))
+    conv = conversations(turns.filter(F.col("conv_id").isNotNull())).withColumn("pair_id", F.shiftright(F.col("conv_id").cast("long"), 1))
     side = F.pmod("conv_id", F.lit(2))
     pick = lambda k, c: F.max(F.when(side == k, F.col(c)))
     paired = conv.groupBy("pair_id").agg(pick(0, "conv_id").alias("chosen_id"), pick(1, "conv_id").alias("rejected_id"), pick(0, "turns").alias("chosen"), pick(1, "turns").alias("rejected"))

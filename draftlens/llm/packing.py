@@ -6,7 +6,7 @@ task run again deals the same way). Within a group, pieces go by falling length
 a tournament tree over what room the sequences have left: a node holds the most room below it, so the search descends to
 the leftmost leaf that fits, in a logarithm of the number of sequences. A piece of full length is a sequence of its own.
 
-Edge cases: null and empty texts are the end id alone; rows that repeat a doc_id are packed like any other and told apart
+Edge cases: null and empty texts are the end id alone; texts of any length, of white space alone too, are encoded whole; rows that repeat a doc_id are packed like any other and told apart
 only by their place; ties in length are broken by doc_id, start and checksum; extra columns are left alone; an empty
 table gives no pieces. Sequence ids are the group's number in the high bits and the sequence's in the low 32.
 """
@@ -32,14 +32,21 @@ END_ID = 1
 #: Texts of these characters alone mean the same to both libraries, whatever Unicode tables they were built with.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
 _SPECIAL = "<|endoftext|>"
+_LONG_BLANK = re.compile(r"\s{1000}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def token_ids(text: str, vocabulary: str, ranks: str | None, pattern: str) -> np.ndarray:
-    """The ids of the library for vocabulary, by way of the same vocabulary's ranks where that is safe."""
-    if ranks is None or _SPECIAL in text or _PLAIN.search(text):
+    """The ids of the library for vocabulary, by way of the same vocabulary's ranks where that is safe.
+
+    Long runs of white space go to the library too: the faster one's pattern backtracks over them.
+    """
+    if ranks is None or _SPECIAL in text or _PLAIN.search(text) or _LONG_BLANK.search(text):
+        return np.array(library(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
+    try:
+        return byte_ranks(ranks, pattern).encode_to_numpy(text).astype("<u4", copy=False)
+    except ValueError:  # the pattern's own limits
         return np.array(library(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
-    return byte_ranks(ranks, pattern).encode_to_numpy(text).astype("<u4", copy=False)
 
 
 def _pieces(vocabulary: str, ranks: str | None, pattern: str, capacity: int, end_id: int):

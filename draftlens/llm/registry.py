@@ -85,7 +85,7 @@ WITH t AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id,
+  SELECT CAST(conv_id >> 1 AS BIGINT) AS pair_id,
          max(CASE WHEN conv_id % 2 = 0 THEN conv_id END) AS chosen_id, max(CASE WHEN conv_id % 2 <> 0 THEN conv_id END) AS rejected_id
   FROM t GROUP BY 1),
 m AS (

@@ -40,6 +40,19 @@ def test_empty_conversations(spark):
     assert formatted(spark, []) == {}
 
 
+def test_ids_beyond_doubles_and_below_zero(spark):
+    big = 2**60
+    rows = [(i, 0, "user", str(i)) for i in (big, big + 1, big + 2, big + 3, -1, -2, -3, 2**63 - 1)]
+    got = formatted(spark, rows)
+    assert {k: (r["chosen_id"], r["rejected_id"]) for k, r in got.items()} == {
+        big // 2: (big, big + 1),
+        big // 2 + 1: (big + 2, big + 3),
+        -1: (-2, -1),
+        -2: (None, -3),
+        2**62 - 1: (None, 2**63 - 1),
+    }
+
+
 # decontamination
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")

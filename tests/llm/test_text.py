@@ -74,6 +74,15 @@ def test_packing_round_trip(docs):
     assert sum(r["doc_id"] == 3 for r in got) == 2
 
 
+@pytest.mark.parametrize("text", ["\n" * 10**6, " " * (2 * 10**6), " " * 10**6 + "x", "a" + "\t \n" * 400 + "b", "x" * 10**6, "1" * 10**5])
+def test_ids_of_long_runs(text):
+    import public_tokenizers
+
+    vocabulary = default_path("byte_bpe_50k.json")
+    got = packing.token_ids(text, vocabulary, default_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert got.tolist() == library(vocabulary).encode(text, add_special_tokens=False).ids
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = np.random.default_rng(1)
     lengths = -np.sort(-rng.integers(1, 101, 500))
