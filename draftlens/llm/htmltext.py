@@ -1,18 +1,19 @@
 """Main text of web pages from the event stream of the standard library's parser.
 
 The parser's events cut a page into lines: the text between two block tags. Each line has a text-to-tag ratio (its
-characters over the tags met in it, one at least). The logarithms of the ratios, of menus and footers too, are smoothed
-along the page by a Gaussian and split by a threshold into two clusters (midway between two means, but never above
-`PROSE` characters a tag, so that a short paragraph is prose beside a very long one). Lines belong to regions: the
-outermost article or main around them, or else the nearest div, section, cell or body. A region stays where its lines,
+characters over the tags met in it, one at least). The logarithms of the ratios are smoothed along the page by a
+Gaussian and split by a threshold into two clusters (midway between two means, but never above `PROSE` characters a tag,
+so that a short paragraph is prose beside a very long one). Lines belong to regions: the outermost article or main
+around them, or else the nearest div, section, cell or body. A region stays where its lines,
 weighted by their text, reach the threshold; the best region always does. It keeps its short lines too, which have low
 ratios anywhere. Three rules go with that: what stands outside all articles stays only where it has more content than
 they have together; outside them a line of links alone needs a ratio of its own; a heading right before a line that
 stays, stays.
 
 Text in menus, footers, asides, forms, notices, adverts, comments and the like is judged by element and by name, piece
-by piece, and never stays, whatever its ratio. But where no article stands outside such an element and it holds over
-half of the text, its name says something else, and it is judged by ratio as any other.
+by piece: a line of it has the ratio zero, is one of the lower cluster, and never stays. But where no article stands
+outside such an element and it holds over half of the text, its name says something else, and it is judged by ratio as
+any other.
 
 Edge cases: null, empty and textless pages give the empty string; tags left open or closed twice end where an enclosing
 tag ends; text outside any body is a line like any other; character references are decoded once; repeated rows stay rows.
@@ -218,23 +219,21 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
             lines.append((line, bool(good) and any(t.strip() for t, _ in good)))
     if not any(good for _, good in lines):
         return ""
-    size = np.array([len(x.text) for x, _ in lines], dtype=float)
-    level = smoothed(np.log1p(size / np.array([max(1, x.tags) for x, _ in lines])), sigma)
-    cut = threshold(level)
     good = np.array([g for _, g in lines])
+    size = np.array([len(x.text) for x, _ in lines], dtype=float)
+    tags = np.array([max(1, x.tags) for x, _ in lines])
+    level = smoothed(np.log1p(good * size / tags), sigma)
     container = np.array([nodes[x.node].container for x, _ in lines])
     region = np.where(container >= 0, container, [nodes[x.node].group for x, _ in lines])
-    _, own = np.unique(region, return_inverse=True)
-    weight = np.bincount(own, size * good)
-    reached = np.bincount(own, size * good * level) / np.maximum(weight, 1)
-    stays = (weight > 0) & (reached >= min(cut, reached[weight > 0].max()))
-    keep = good & stays[own]
+    _, own = np.unique(np.where(good, region, -1), return_inverse=True)
+    reached = np.bincount(own, size * level) / np.bincount(own, size)
+    keep = good & (reached >= min(threshold(level), reached.max()))[own]
     votes = np.where(keep, size, 0)
     inside = container >= 0
     if votes[~inside].sum() > votes[inside].sum():
         # links alone are no article, unless a line of them is as dense as one
         links = np.array([all(nodes[k].link for t, k in x.parts if t.strip()) for x, _ in lines])
-        keep &= inside | ~links | (size / np.array([max(1, x.tags) for x, _ in lines]) >= PROSE)
+        keep &= inside | ~links | (size / tags >= PROSE)
     else:
         keep &= inside
     for k in range(len(lines) - 2, -1, -1):

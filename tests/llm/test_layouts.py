@@ -75,6 +75,7 @@ def test_smoothed_ratios_decide(spark, monkeypatch):
     kept, method = htmltext.main_text(page), htmltext.smoothed
     monkeypatch.setattr(htmltext, "smoothed", lambda r, sigma: -method(r, sigma))
     assert htmltext.main_text(page) != kept == PROSE
+    assert sum(htmltext.main_text(p) != x for p, x in zip(pages, right, strict=True)) > len(pages) / 2
     monkeypatch.setattr(htmltext, "smoothed", lambda r, sigma: np.zeros(len(r)))
     assert htmltext.main_text(page) != kept
     rng = np.random.default_rng(4)
