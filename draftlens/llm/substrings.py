@@ -6,13 +6,17 @@ in a document with a smaller doc_id goes. Windows are judged on the input, not o
 How it runs
 1. One scan hashes every window. A window is filed under its minimiser, the least hash among the runs of `stem` words
    in it: equal windows have equal minimisers, and neighbours mostly share one, so a document has about one key for
-   13 words. The scan also gives each document's own hash; documents of the same words are one from here on.
-2. Count-min sketch: each row of the sketch maps keys to 2**sketch_bits cells. The partitions' partial sketches are
-   merged by a shuffle on the cell, so the sketch is spread over the cluster and nothing of it is broadcast. The count of
-   a key's cell is never below the number of documents with the key, nor that below the number with the window, so a
-   window whose estimate is 1 can't be repeated. The second row counts only what the first left.
-3. Second pass: windows estimated repeated, and no others, are grouped exactly by a 96-bit hash of the whole window;
-   the smallest doc_id of each group is kept.
+   13 words. The scan also gives each document's own digest (SHA-256 of its words); documents of the same words are one
+   from here on.
+2. Count-min sketch of the keys, two rows of cells, two to four times as many as there are keys. A partition counts its
+   keys in arrays of counters that stop at two, and writes them in blocks of `1 << BLOCK_BITS` cells, as bit arrays
+   or as lists of cells, whichever is smaller. Blocks of one range of cells are added up in one array as they stream by; no task holds more
+   than one such array and a bounded number of keys. The count of a key's cell is never below the number of documents
+   with the key, nor that below the number with the window, so a window whose estimate is 1 can't be repeated. The
+   merged sketch, a bit for each cell that reaches two, is broadcast if it takes at most `SKETCH_BROADCAST` bytes, as
+   its size is known by then; beyond that keys are joined with the cells.
+3. Second pass: windows estimated repeated, and no others, are grouped by a 128-bit BLAKE2 digest of their words, so
+   that groups are those of equal words; the smallest doc_id of each group is kept.
 
 Edge cases: a null or empty text has no words; a text of fewer than `size` words loses nothing; of rows that repeat a
 doc_id none counts as smaller than another; null doc_ids are never the smaller one, and their rows lose what repeats
@@ -29,12 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from draftlens.llm.spreading import join_hot
 from draftlens.llm.wordhash import Words, as_long, mix, sliding_min, slices
 from draftlens.session import fresh, materialize, ship_package
 
 SIZE = 50
 STEM = 25
+#: Rows of the sketch; the most bits of a cell's number; cells of a block; keys that a task counts at a time.
+SKETCH_ROWS = 2
 SKETCH_BITS = 40
+BLOCK_BITS = 18
+KEYS_AT_ONCE = 2_000_000
+SKETCH_BROADCAST = 32_000_000
 
 
 def _keys(words: Words, size: int, stem: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,12 +55,13 @@ def _keys(words: Words, size: int, stem: int) -> tuple[np.ndarray, np.ndarray]:
     return at, sliding_min(words.windows(stem, 1), size - stem + 1)[at]
 
 
-def _sha(words: Words, data: bytes, d: int, keep: np.ndarray | None = None) -> str:
+def _joined(words: Words, data: bytes, d: int, keep: np.ndarray | None = None) -> bytes:
+    """The words of document d, or those kept, joined by one space."""
     a, b = words.first[d], words.first[d + 1]
     pairs = zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)
     if keep is None:
-        return hashlib.sha256(b" ".join(data[s:e] for s, e in pairs)).hexdigest()
-    return hashlib.sha256(b" ".join(data[s:e] for (s, e), k in zip(pairs, keep.tolist(), strict=True) if k)).hexdigest()
+        return b" ".join([data[s:e] for s, e in pairs])
+    return b" ".join([data[s:e] for (s, e), k in zip(pairs, keep.tolist(), strict=True) if k])
 
 
 def _signatures(size: int, stem: int):
@@ -65,23 +76,18 @@ def _signatures(size: int, stem: int):
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (keys[1:] != keys[:-1])
                 doc, keys = doc[new], keys[new]
-                n = b - a
+                n, data = b - a, buf.tobytes()
                 ends = np.searchsorted(doc, np.arange(n + 1))
-                data = buf.tobytes()
-                one, two = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-                some = words.count > 0
-                if some.any():
-                    place = (np.arange(len(words.doc)) - words.first[words.doc]).astype(np.uint64)
-                    for salt, out in ((1, one), (2, two)):
-                        out[some] = np.add.reduceat(mix(mix(words.hash + np.uint64(salt)) ^ mix(place + np.uint64(salt))), words.first[:-1][some])
+                digests = [hashlib.sha256(_joined(words, data, d)).digest() for d in range(n)]
+                own = np.frombuffer(b"".join(digests), dtype="<i8").reshape(n, 4)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n),
                         batch.column(2).slice(a, n),
                         pa.array(words.count, pa.int64()),
-                        pa.array(as_long(one)),
-                        pa.array(as_long(two)),
-                        pa.array([_sha(words, data, d) for d in range(n)], pa.string()),
+                        pa.array(own[:, 0].copy()),
+                        pa.array(own[:, 1].copy()),
+                        pa.array([x.hex() for x in digests], pa.string()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(as_long(keys))),
                     ],
                     names=["doc_id", "mark", "n_words", "d1", "d2", "sha", "keys"],
@@ -90,6 +96,186 @@ def _signatures(size: int, stem: int):
     return run
 
 
+def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The cell of each key in a row of the sketch."""
+    return mix(keys + np.uint64(row)) >> np.uint64(64 - bits)
+
+
+def _partial_sketch(bits: int):
+    """Lists of keys -> blocks (row, block, dense, data) of the counts of bounded runs of keys."""
+    low = min(bits, BLOCK_BITS)
+
+    def blocks(keys: np.ndarray) -> Iterator[tuple[int, int, bool, bytes]]:
+        for row in range(SKETCH_ROWS):
+            cells, n = np.unique(_cells(keys, row, bits), return_counts=True)
+            block = (cells >> np.uint64(low)).astype(np.int64)
+            edges = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+            inner, twice = (cells & np.uint64((1 << low) - 1)).astype(np.uint32), n > 1
+            for s, e in zip(edges, [*edges[1:], len(cells)], strict=True):
+                if 4 * (e - s) > (1 << low) // 4:
+                    count = np.zeros((2, 1 << low), dtype=bool)
+                    count[0, inner[s:e]], count[1, inner[s:e][twice[s:e]]] = True, True
+                    yield row, int(block[s]), True, np.packbits(count).tobytes()
+                else:
+                    yield row, int(block[s]), False, (inner[s:e] * np.uint32(2) + twice[s:e]).astype("<u4").tobytes()
+
+    def rows(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for got in _runs(blocks(np.concatenate(keys)), 256):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["row", "block", "dense", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                keys = batch.column(0).slice(at, 64).flatten().to_numpy().view(np.uint64)
+                held.append(keys)
+                n += len(keys)
+                if n >= KEYS_AT_ONCE:
+                    yield from rows(held)
+                    held, n = [], 0
+        if n:
+            yield from rows(held)
+
+    return run
+
+
+def _runs(items: Iterator, size: int) -> Iterator[list]:
+    out = []
+    for x in items:
+        out.append(x)
+        if len(out) == size:
+            yield out
+            out = []
+    if out:
+        yield out
+
+
+def _merged_sketch(bits: int):
+    """Blocks in the order of (row, block) -> a bit array for each block, of the cells that reach two."""
+    low = min(bits, BLOCK_BITS)
+
+    def give(at: tuple[int, int], twice: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["row", "block", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, twice = None, np.zeros(1 << low, dtype=bool), np.zeros(1 << low, dtype=bool)
+        for batch in batches:
+            for row, block, dense, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (row, block):
+                    if at is not None and twice.any():
+                        yield give(at, twice)
+                    at = (row, block)
+                    once[:], twice[:] = False, False
+                if dense:
+                    own, own_twice = np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=2 << low).reshape(2, -1).view(bool)
+                    twice |= own_twice | (once & own)
+                    once |= own
+                else:
+                    cells = np.frombuffer(data, dtype="<u4")
+                    place = cells >> 1
+                    twice[place] |= once[place] | ((cells & 1) == 1)
+                    once[place] = True
+        if at is not None and twice.any():
+            yield give(at, twice)
+
+    return run
+
+
+def sketch(keys: DataFrame, bits: int) -> DataFrame:
+    """The merged count-min sketch of the lists in keys (keys array<long>): row, block, bits."""
+    parts = keys.select("keys").mapInArrow(_partial_sketch(bits), "row int, block long, dense boolean, data binary")
+    return parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged_sketch(bits), "row int, block long, bits binary")
+
+
+def _repeated_keys(bits: int, held):
+    """(doc_id, mark, keys) -> the same, less keys whose estimate is one, less rows without keys."""
+    low = min(bits, BLOCK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = held.value
+        for batch in batches:
+            lists = batch.column(2)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            keys = lists.flatten().to_numpy().view(np.uint64)
+            full = np.ones(len(keys), dtype=bool)
+            for row, (blocks, data) in enumerate(tables):
+                cells = _cells(keys, row, bits)
+                block = (cells >> np.uint64(low)).astype(np.int64)
+                at = np.minimum(np.searchsorted(blocks, block), max(0, len(blocks) - 1))
+                inner = (cells & np.uint64((1 << low) - 1)).astype(np.int64)
+                full &= (blocks[at] == block) & ((data[at, inner >> 3] >> (7 - (inner & 7)).astype(np.uint8)) & 1 == 1) if len(blocks) else False
+            doc = np.repeat(np.arange(len(sizes)), sizes)[full]
+            some = np.unique(doc)
+            ends = np.append(np.searchsorted(doc, some), len(doc))
+            kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[full].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), kept], names=["doc_id", "mark", "keys"])
+
+    return run
+
+
+def _explode_cells(bits: int):
+    """Merged blocks -> the cells that reach two."""
+    low = min(bits, BLOCK_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                inner = np.flatnonzero(np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=1 << low))
+                yield pa.RecordBatch.from_arrays([pa.array((block << low) + inner, pa.int64())], names=["cell"])
+
+    return run
+
+
+def _key_cells(bits: int, row: int):
+    """(doc_id, mark, keys) -> one row for each key, with its cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(2).flatten()
+            doc = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))
+            cells = _cells(keys.to_numpy().view(np.uint64), row, bits).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), keys, pa.array(cells)], names=["doc_id", "mark", "key", "cell"])
+
+    return run
+
+
+def repeated_keys(docs: DataFrame, bits: int | None = None, broadcast_bytes: int = SKETCH_BROADCAST) -> DataFrame:
+    """docs (doc_id, mark, keys), read three times, with the keys whose estimate over all rows of the sketch is two or more."""
+    if bits is None:
+        n = docs.agg(F.sum(F.size("keys"))).first()[0] or 0
+        bits = min(SKETCH_BITS, max(10, (2 * n).bit_length()))
+    made = materialize(sketch(docs, bits), "sketch")
+    if (made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast_bytes:
+        tables, width = [], (1 << min(bits, BLOCK_BITS)) + 7 >> 3
+        for row in range(SKETCH_ROWS):
+            got = made.filter(F.col("row") == row).select("block", "bits").toArrow().sort_by("block")
+            data = np.frombuffer(b"".join(got["bits"].to_pylist()), dtype=np.uint8).reshape(-1, width)
+            tables.append((got["block"].to_numpy().astype(np.int64), data))
+        return docs.select("doc_id", "mark", "keys").mapInArrow(_repeated_keys(bits, docs.sparkSession.sparkContext.broadcast(tables)), "doc_id long, mark int, keys array<long>")
+    out = docs.select("doc_id", "mark", "keys")
+    for row in range(SKETCH_ROWS):
+        full = made.filter(F.col("row") == row).select("block", "bits").mapInArrow(_explode_cells(bits), "cell long")
+        each = out.mapInArrow(_key_cells(bits, row), "doc_id long, mark int, key long, cell long")
+        out = each.join(full, "cell", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("key").alias("keys"))
+    return out
+
+
+def _digests(words: Words, data: bytes, at: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the windows at the words `at`, of their words joined by one space."""
+    out = []
+    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
+    for s, e in zip(edges, [*edges[1:], len(at)], strict=True):
+        d = int(doc[s])
+        first, last = words.first[d], words.first[d + 1]
+        text = _joined(words, data, d)
+        ends = np.cumsum(words.end[first:last] - words.start[first:last] + 1) - 1
+        begin = np.append(0, ends[:-1] + 1)
+        k = at[s:e] - first
+        out += [hashlib.blake2b(text[x:y], digest_size=16).digest() for x, y in zip(begin[k].tolist(), ends[k + size - 1].tolist(), strict=True)]
+    both = np.frombuffer(b"".join(out), dtype="<i8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def _windows(size: int, stem: int):
     """(doc_id, mark, text, keys) -> the windows whose minimisers are among keys."""
 
@@ -110,7 +296,9 @@ def _windows(size: int, stem: int):
                         mine = lists.slice(a + d, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                         hit[s:e] = np.isin(keys[s:e], mine)
                 at, doc = at[hit], doc[hit]
-                h1, h2 = words.windows(size)[at], words.windows(size, 1)[at] >> np.uint64(32)
+                if not len(at):
+                    continue
+                h1, h2 = _digests(words, buf.tobytes(), at, doc, size)
                 # a window that a document repeats is one row, with all its places
                 order = np.lexsort((at, h2, h1, doc))
                 at, doc, h1, h2 = at[order], doc[order], h1[order], h2[order]
@@ -124,7 +312,7 @@ def _windows(size: int, stem: int):
                     end = start[s + 200_000] if s + 200_000 < len(start) else len(at)
                     places = pa.ListArray.from_arrays(pa.array(np.append(some, end) - some[0], pa.int32()), pa.array(place[some[0] : end], pa.int32()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(as_long(h1[some])), pa.array(h2[some].astype(np.uint32).view(np.int32)), ids.take(pa.array(doc[some])), marks.take(pa.array(doc[some])), places],
+                        [pa.array(h1[some]), pa.array(h2[some]), ids.take(pa.array(doc[some])), marks.take(pa.array(doc[some])), places],
                         names=["h1", "h2", "doc_id", "mark", "pos"],
                     )
 
@@ -148,7 +336,7 @@ def _cut(size: int, with_text: bool):
                     keep = np.cumsum(step)[:n] == 0
                     rows.append(a + d)
                     removed.append(n - int(keep.sum()))
-                    shas.append(_sha(words, data, d, keep))
+                    shas.append(hashlib.sha256(_joined(words, data, d, keep)).hexdigest())
                     if with_text:
                         # the spaces before a removed word go with it
                         f, lo, hi = words.first[d], int(offsets[d]), int(offsets[d + 1])
@@ -166,18 +354,7 @@ def _cut(size: int, with_text: bool):
     return run
 
 
-def _sketch_filter(keys: DataFrame, bits: int) -> DataFrame:
-    """Keys (doc_id, key) whose count-min estimate over two rows is 2 or more."""
-    shift = 64 - bits
-    rows = [F.shiftrightunsigned("key", shift), F.shiftrightunsigned(F.xxhash64("key"), shift)]
-    for cell in rows:
-        marked = keys.withColumn("cell", cell)
-        full = marked.groupBy("cell").agg(F.count("*").alias("n")).filter("n >= 2").select("cell")
-        keys = marked.join(full, "cell", "left_semi").drop("cell")
-    return keys
-
-
-def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bits: int = SKETCH_BITS, with_text: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bits: int | None = None, with_text: bool = False, broadcast_bytes: int = SKETCH_BROADCAST) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and mark (a hash of text), kept_text.
 
     kept_text is null where nothing was removed; without with_text it is so for all but whole copies.
@@ -191,26 +368,26 @@ def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bit
     sig = materialize(base.mapInArrow(_signatures(size, stem), "doc_id long, mark int, n_words long, d1 long, d2 long, sha string, keys array<long>"), "windows")
 
     # documents of the same words are one, under the smallest doc_id
-    long = sig.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull())
-    least = long.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark")).alias("x")).select("d1", "d2", F.col("x.doc_id").alias("least"), F.col("x.mark").alias("least_mark"))
-    kept = long.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark", "keys")).alias("x"))
-    exploded = kept.select("x.doc_id", "x.mark", F.explode("x.keys").alias("key"))
-    row = ["doc_id", "mark"]
-    survivors = _sketch_filter(exploded, sketch_bits).groupBy(*row).agg(F.collect_set("key").alias("keys"))
+    eligible = (F.col("n_words") >= size) & F.col("doc_id").isNotNull()
+    one = sig.filter(eligible).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark", "keys")).alias("x"), F.count("*").alias("n"))
+    one = materialize(one.select("d1", "d2", "n", "x.doc_id", "x.mark", "x.keys"), "distinct")
+    survivors = repeated_keys(one, sketch_bits, broadcast_bytes)
 
+    row = ["doc_id", "mark"]
     cand = materialize(base.join(survivors, row).select(*row, "text", "keys"), "candidates")
-    rows = cand.mapInArrow(_windows(size, stem), "h1 long, h2 int, doc_id long, mark int, pos array<int>")
-    groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).filter("m < x").drop("x")
-    marked = rows.join(groups, ["h1", "h2"]).filter("doc_id > m").groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
+    rows = materialize(cand.mapInArrow(_windows(size, stem), "h1 long, h2 long, doc_id long, mark int, pos array<int>"), "digests")
+    groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), F.count("*").alias("n")).filter("m < x").drop("x")
+    met = join_hot(rows, materialize(groups, "groups"), ["h1", "h2"], F.xxhash64(*row, "h1"), rows.count())
+    marked = met.filter(F.col("doc_id") > F.col("m")).groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
     cut = cand.join(marked, row).select(*row, "text", "pos").mapInArrow(_cut(size, with_text), "doc_id long, mark int, n_removed long, kept_sha256 string, kept_text string")
     cut = cut.groupBy("doc_id", F.col("mark").alias("least_mark")).agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")))
+    least = one.select("d1", "d2", "n", F.col("doc_id").alias("least"), F.col("mark").alias("least_mark"))
+    named = join_hot(sig.drop("keys"), least, ["d1", "d2"], F.xxhash64("doc_id", "mark", "n_words"), sig.count(), eligible=eligible)
 
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least"))
     return (
-        sig.drop("keys")
-        .join(least, ["d1", "d2"], "left")
-        .join(cut, ["doc_id", "least_mark"], "left")
+        named.join(cut, ["doc_id", "least_mark"], "left")
         .select(
             "doc_id",
             "n_words",

@@ -1,7 +1,8 @@
 """Vectorised word splitting and hashing over a buffer that holds many texts.
 
-A batch of texts is one byte array with the offsets of its documents. Words, their 64-bit hashes and the hashes
-of windows of words come from prefix sums modulo 2**64, so no loop over words runs in Python.
+A batch of texts is one byte array with the offsets of its documents. Words are hashed eight bytes at a time, all words
+at once, by a mixing that is one-to-one in each eight bytes, so that no family of words collides. Hashes of windows of
+words come from prefix sums modulo 2**64; they are for choosing (minimisers), not for telling windows apart.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-MASK = (1 << 64) - 1
-#: Odd multipliers of the polynomial hashes (fixed values; any odd numbers with well spread bits do).
-BYTE_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Odd multipliers (fixed values; any odd numbers with well spread bits do).
+SIZE_MULTIPLIER = 0x9E3779B97F4A7C15
 WINDOW_MULTIPLIERS = (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are worked on at a time; temporaries take some 40 times that.
 SLICE_BYTES = 2_000_000
@@ -30,10 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BYTE_MULTIPLIER))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BYTE_VALUES_LOWER = BYTE_VALUES[_LOWER]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes outside words of letters, digits and anything beyond ASCII.
@@ -60,6 +59,28 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+#: Words of more bytes are hashed one at a time.
+LONG_WORD = 64
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def word_hashes(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of buf that begin at start."""
+    data = np.zeros(len(buf) + 8, dtype=np.uint8)
+    data[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 1, dtype="<u8", buffer=data, strides=(1,))  # the eight bytes from each byte on
+    out = mix(size.astype(np.uint64) * np.uint64(SIZE_MULTIPLIER))
+    rows = np.flatnonzero(size <= LONG_WORD)
+    at, left = start[rows], size[rows]
+    while len(rows):
+        out[rows] = mix(out[rows] ^ (eight[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[k] ^= np.uint64(xxhash.xxh64_intdigest(data[start[k] : start[k] + size[k]].tobytes()))
+    return out
+
+
 def prefix(values: np.ndarray, base: int) -> np.ndarray:
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * powers(base, len(values))[0], out=out[1:])
@@ -85,13 +106,10 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
         if hashes:
-            sums = prefix((BYTE_VALUES_LOWER if lower else BYTE_VALUES)[buf], BYTE_MULTIPLIER)
-            inverse = powers(BYTE_MULTIPLIER, n + 1)[1]
-            size = (self.end - self.start).astype(np.uint64)
-            self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + size)
+            self.hash = word_hashes(_LOWER[buf] if lower else buf, self.start, self.end - self.start)
 
     def windows(self, size: int, which: int = 0) -> np.ndarray:
-        """Hashes of all runs of size words, also of those that cross documents (see inside())."""
+        """Hashes of all runs of size words, also of those that cross documents (see inside()). Different runs may share one."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)

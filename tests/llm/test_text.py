@@ -234,6 +234,50 @@ def test_substrings(spark, bits):
     assert got == want
 
 
+def test_substrings_by_joins_with_cells(spark):
+    docs = [(i, " ".join(f"w{(i * 7 + k) % 60}" for k in range(80)) + f" end{i}") for i in range(30)] + [(40, None), (41, "a b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    run = lambda **p: sorted(tuple(r) for r in substrings.find_repeats(df, size=10, stem=5, **p).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert run(broadcast_bytes=0) == run() == run(sketch_bits=3, broadcast_bytes=0)
+    assert {(i, n, g) for i, n, g, _ in run()} == {(i, n, g) for i, n, g, _ in plain_repeats(docs, 10)}
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements collide in any polynomial hash modulo a power of two."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    head = " ".join(f"h{k}" for k in range(49))
+    docs = [(1, f"{head} {one}"), (2, f"{head} {two}"), (3, f"{head} {one}"), (4, " ".join("ab"[b] for b in bits)), (5, " ".join("ba"[b] for b in bits))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.find_repeats(df).collect()}
+    assert got == {i: n for i, _, n, _ in plain_repeats(docs, 50)} and got[2] == 0 and got[3] == 50
+
+
+def test_sketch_never_undercounts(spark):
+    rng = np.random.default_rng(8)
+    lists = [rng.integers(0, 3000, rng.integers(0, 60)).tolist() for _ in range(200)]
+    df = spark.createDataFrame([(i, 0, sorted(set(x))) for i, x in enumerate(lists)], "doc_id long, mark int, keys array<long>").repartition(7)
+    count = defaultdict(int)
+    for x in lists:
+        for k in set(x):
+            count[k] += 1
+    for bits, broadcast in ((None, 10**9), (None, 0), (6, 10**9), (30, 10**9)):
+        kept = {(r["doc_id"], k) for r in substrings.repeated_keys(df, bits, broadcast).collect() for k in r["keys"]}
+        assert {(i, k) for i, x in enumerate(lists) for k in set(x) if count[k] > 1} <= kept
+        if bits == 30:
+            assert all(count[k] > 1 for _, k in kept)
+
+
+def test_word_hashes_tell_words_apart():
+    from draftlens.llm.wordhash import Words
+
+    words = sorted({b"a" * n for n in range(1, 200)} | {b"a" * n + b"b" + b"a" * (9 - n) for n in range(9)} | {str(k).encode() for k in range(20_000)} | {b"x" * 63 + str(k).encode() for k in range(50)})
+    buf = np.frombuffer(b" ".join(words) + b" AbC", dtype=np.uint8)
+    assert len(set(Words(buf, np.array([0, len(buf)])).hash.tolist())) == len(words) + 1
+    low = np.frombuffer(b"abc ABC abC", dtype=np.uint8)
+    assert len(set(Words(low, np.array([0, len(low)]), lower=True).hash.tolist())) == 1
+
+
 def test_substring_texts(spark):
     text = " ".join(f"a{i}" for i in range(60))
     rows = [(1, text, 9), (2, "before\nit " + text + "\n after", 9), (3, "clean\ntext", 9), (4, text, 9), (5, None, None)]
