@@ -2,13 +2,17 @@
 
 A fingerprint maps to the bit counts of its 32 segments of two bits. The Manhattan distance of two such vectors is a
 lower bound of the Hamming distance, so pairs within `radius` bits are pairs within `radius` in the embedding. That
-range join runs on a grid: the coordinates are dealt to radius + 3 groups, and a change of at most radius in sum leaves
-at least three groups as they are, so two fingerprints that are near meet in a cell given by three groups' coordinates.
-Pairs that meet are tested by the lower bound, then exactly.
-
-Only distinct fingerprints take part, each with its smallest doc_id. A cell with more than `chunk` fingerprints is cut
-into chunks, and each pair of chunks is a unit of work of its own; a unit returns a spanning forest of the links found in
-it, so a crowded cell gives as many rows as it has fingerprints, not as many as it has pairs, and loses no component.
+range join runs on grids: the coordinates are dealt to radius // 2 + 1 groups, so that two vectors within the radius
+differ by one at most in one group. Each group has its grid of cells of side one; a fingerprint is at home in its own
+cell and visits the neighbouring cells, those at Manhattan distance one. As such a step changes the parity of the
+counts' sum, only fingerprints of even sums visit, and each pair still meets where one of the two is at home. Pairs that meet are
+tested by the lower bound over all segments, then exactly.
+
+Only distinct fingerprints take part, each with its smallest doc_id. A cell with more than `chunk` fingerprints is
+divided by the other groups' coordinates (cut into radius + 1 bands, one of which a pair must agree in). What is
+crowded even then is cut into chunks, and each pair of chunks is a unit of work of its own; a unit returns a spanning
+forest of the links found in it, so it gives as many rows as it has fingerprints, not as many as it has pairs, and loses
+no component.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; repeated rows stay rows; a null doc_id
 never names a component unless it has no other; extra columns are left alone; an empty table gives an empty result.
@@ -17,14 +21,14 @@ never names a component unless it has no other; extra columns are left alone; an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlens.llm.spreading import join_hot
 from draftlens.session import fresh, materialize, ship_package
 
 SHINGLE = 3
@@ -59,36 +63,18 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def _masks(radius: int) -> list[int]:
-    """One mask of the embedding's two-bit fields for each choice of three groups out of radius + 3."""
-    groups = radius + 3
-    own = [0] * groups
-    for s in range(SEGMENTS):
-        own[s % groups] |= 3 << (2 * s)
-    return [sum(own[g] for g in chosen) for chosen in combinations(range(groups), 3)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _groups(radius: int) -> list[list[int]]:
+    """The segments of each group; two vectors within radius differ by one at most in one of them."""
+    n = radius // 2 + 1
+    return [list(range(g, SEGMENTS, n)) for g in range(n)]
 
 
-class Forest:
-    """Union-find over positions; link() tells whether it joined two trees."""
+def _mask(segments: list[int]) -> int:
+    return _signed(sum(3 << (2 * s) for s in segments))
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def link(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 _FIELDS = np.uint64(0x5555555555555555)
@@ -104,23 +90,35 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return (bound <= radius) & (np.bitwise_count(a ^ b) <= radius)
 
 
+def _forest(fp: np.ndarray, home: np.ndarray, part: np.ndarray, across: bool, radius: int) -> np.ndarray:
+    """Pairs of places that span the links of one unit: those of which one is at home and, across chunks, of different parts."""
+    n = len(fp)
+    near = np.zeros((n, n), dtype=bool)
+    for s in range(0, n, 128):
+        near[s : s + 128] = _near(fp[s : s + 128, None], fp[None, :], radius)
+    near &= home[:, None] | home[None, :]
+    if across:
+        near &= part[:, None] != part[None, :]
+    np.fill_diagonal(near, False)
+    waiting, pairs = near.any(axis=1), []
+    for start in np.flatnonzero(waiting).tolist():
+        if not waiting[start]:
+            continue
+        waiting[start], edge = False, np.array([start])
+        while len(edge):
+            at = np.flatnonzero(waiting)
+            links = near[np.ix_(edge, at)]
+            reached = links.any(axis=0)
+            pairs.append(np.stack([edge[links.argmax(axis=0)[reached]], at[reached]], axis=1))
+            edge = at[reached]
+            waiting[edge] = False
+    return np.concatenate(pairs) if pairs else np.zeros((0, 2), dtype=np.int64)
+
+
 def _links(radius: int):
-    """Sorted rows (cell, i, j, part, fp) -> spanning forests of the links in each unit (cell, i, j)."""
-
-    def unit(fp: np.ndarray, part: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
-        if not across:
-            left = right = np.arange(len(fp))
-        else:
-            left, right = np.flatnonzero(part == 0), np.flatnonzero(part == 1)
-        forest = Forest(len(fp))
-        for p in left.tolist():
-            others = right[right > p] if not across else right
-            if len(others):
-                for q in others[_near(np.full(len(others), fp[p]), fp[others], radius)].tolist():
-                    if forest.link(p, q):
-                        yield int(fp[p]), int(fp[q])
-
-    def work(cell, i, j, part, fp) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted rows (cell, i, j, part, home, fp) -> spanning forests of the links in each unit (cell, i, j)."""
+
+    def work(cell, i, j, part, home, fp) -> tuple[np.ndarray, np.ndarray]:
         change = np.ones(len(cell), dtype=bool)
         change[1:] = (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         start = np.flatnonzero(change)
@@ -132,16 +130,16 @@ def _links(radius: int):
         last = np.repeat(start + size, size)
         for step in range(1, 16):
             at = np.flatnonzero(rows & (np.arange(len(cell)) + step < last))
-            if not len(at):
-                break
+            at = at[home[at] | home[at + step]]
             at = at[_near(fp[at], fp[at + step], radius)]
             a.append(fp[at])
             b.append(fp[at + step])
         for s, n in zip(start[~small & (size > 1)].tolist(), size[~small & (size > 1)].tolist(), strict=True):
-            pairs = np.array(list(unit(fp[s : s + n], part[s : s + n], bool(i[s] != j[s]))), dtype=np.uint64).reshape(-1, 2)
+            own = slice(s, s + n)
+            pairs = fp[own][_forest(fp[own], home[own], part[own], bool(i[s] != j[s]), radius)]
             a.append(pairs[:, 0])
             b.append(pairs[:, 1])
-        return np.concatenate(a) if a else fp[:0], np.concatenate(b) if b else fp[:0]
+        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
@@ -151,8 +149,8 @@ def _links(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)]
-            new[4] = new[4].view(np.uint64)
+            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(6)]
+            new[5] = new[5].view(np.uint64)
             columns = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
             if not len(columns[0]):
                 continue
@@ -168,27 +166,63 @@ def _links(radius: int):
     return run
 
 
+def _embedding(fp: Column) -> Column:
+    """The sum of each two bits in their place, without a subtraction that could overflow."""
+    half, low = F.shiftrightunsigned(fp, 1), F.lit(0x5555555555555555)
+    return fp.bitwiseXOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(fp.bitwiseAND(half).bitwiseAND(low), 1))
+
+
+def _cells(p: Column, segments: list[int], group: int, reach: int) -> Column:
+    """(g, home, cell) of the group's own cell and of those to visit."""
+    own = p.bitwiseAND(F.lit(_mask(segments)))
+    place = lambda home, x: F.struct(F.lit(group).alias("g"), F.lit(home).alias("home"), F.xxhash64(F.lit(group), x).alias("cell"))
+    home = F.array(place(True, own))
+    if not reach:
+        return home
+    low = [_signed(1 << (2 * s)) for s in segments]
+    both = [_signed(3 << (2 * s)) for s in segments]
+    # a count of 0 or 1 becomes the other by its low bit, one of 1 or 2 by both bits
+    up = F.filter(F.array(*map(F.lit, low)), lambda m: F.shiftleft(m, 1).bitwiseAND(own) == 0)
+    down = F.filter(F.array(*map(F.lit, both)), lambda m: m.bitwiseAND(own) != 0)
+    steps = F.transform(F.concat(up, down), lambda m: place(False, own.bitwiseXOR(m)))
+    odd = F.bit_count(own.bitwiseAND(F.lit(_signed(sum(1 << (2 * s) for s in segments))))).bitwiseAND(F.lit(1)) == 1
+    return F.when(odd, home).otherwise(F.concat(home, steps))
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Spanning forests (a, b) of the links between the distinct fingerprints in fps (fp long)."""
-    half, low = F.shiftrightunsigned("fp", 1), F.lit(0x5555555555555555)
-    # the sum of each two bits, without a subtraction that could overflow
-    p = F.col("fp").bitwiseXOR(half).bitwiseAND(low).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(half).bitwiseAND(low), 1))
-    masks = _masks(radius)
-    cells = fps.select("fp", p.alias("p")).select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("p").bitwiseAND(F.lit(_signed(m)))) for k, m in enumerate(masks)))).alias("cell"))
-    crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    groups = _groups(radius)
+    placed = fps.select("fp", _embedding(F.col("fp")).alias("p"))
+    made = [_cells(F.col("p"), own, g, radius // len(groups)) for g, own in enumerate(groups)]
+    cells = placed.select("fp", "p", F.explode(F.concat(*made)).alias("x")).select("fp", "p", "x.*")
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Rows of cells in which one at home meets another, with their number n."""
+        full = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("met")).filter("n > 1 and met")
+        return rows.join(full.select("cell", "n"), "cell")
+
+    first = materialize(met(cells), "cells")
+    bands = [[s for s in range(SEGMENTS) if s not in own or len(groups) == 1] for own in groups]
+    keys = [F.array(*(F.xxhash64(F.lit(b), "cell", F.col("p").bitwiseAND(F.lit(_mask(rest[b :: radius + 1])))) for b in range(radius + 1))) for rest in bands]
+    divided = F.element_at(F.array(*keys), F.col("g") + 1)
+    dense = first.filter(F.col("n") > chunk).drop("n").withColumn("cell", F.explode(divided))
     units = (
-        cells.join(crowded, "cell")
+        first.filter(F.col("n") <= chunk)
+        .unionByName(met(dense))
         .withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("cell", F.least("k", "part").alias("i"), F.greatest("k", "part").alias("j"), (F.col("part") > F.col("k")).cast("int").alias("side"), "fp")
+        .select("cell", F.least("k", "part").alias("i"), F.greatest("k", "part").alias("j"), (F.col("part") > F.col("k")).cast("int").alias("side"), "home", "fp")
     )
     # a row of chunk c is in the units (k, c) and (c, k) for all k, and once in (c, c)
     return units.repartition(F.col("cell"), F.col("i"), F.col("j")).sortWithinPartitions("cell", "i", "j").mapInArrow(_links(radius), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) links -> (node, root), root the least node of each component: alternating large and small stars."""
+    """(a, b) links -> (node, root), root the least node of each component: alternating large and small stars.
+
+    Rounds grow with the logarithm of the nodes; links that do not settle in `rounds` raise, so no component is given in part.
+    """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -213,12 +247,13 @@ def _named(docs: DataFrame, radius: int, chunk: int, mark: str = "") -> DataFram
     marked = [F.col(mark)] if mark else []
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *marked)
     marks = materialize(base.mapInArrow(_fingerprints, "doc_id long, fp long" + (f", {mark} long" if mark else "")), "fingerprints")
-    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct.select("fp"), radius, chunk))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labels = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(labels, "root").select("fp", "root", "component_id")
-    return marks.join(of, "fp")
+    named = materialize(named, "roots")
+    labels = materialize(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "labels")
+    of = materialize(join_hot(named, labels, ["root"], F.col("fp"), named.count(), "m").select("fp", "n", "root", "component_id"), "named")
+    return join_hot(marks, of, ["fp"], F.xxhash64(*marks.columns), marks.count())
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:

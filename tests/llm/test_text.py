@@ -198,6 +198,40 @@ def test_links_lose_no_component(spark, chunk):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
+def test_every_near_pair_meets(spark, radius):
+    """For each pair within the radius, one is at home in a cell in which the other is too."""
+    rng = np.random.default_rng(radius)
+    fps = [int(x) for x in rng.integers(0, 2**63, 40)]
+    pairs = [(f, f ^ sum(1 << int(b) for b in rng.choice(64, n, replace=False))) for f in fps for n in range(1, radius + 1)]
+    every = sorted({x for p in pairs for x in p} | set(fps))
+    df = spark.createDataFrame([(_long(x),) for x in every], "fp long")
+    for chunk in (1024, 2):
+        links = [(r["a"] & (2**64 - 1), r["b"] & (2**64 - 1)) for r in simhash.near_links(df, radius, chunk).collect()]
+        assert all(bin(a ^ b).count("1") <= radius for a, b in links)
+        up = {x: x for x in every}
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in links:
+            up[root(a)] = root(b)
+        assert all(root(a) == root(b) for a, b in pairs)
+
+
+def _long(x):
+    return x - 2**64 if x >> 63 else x
+
+
+def test_one_stays_whatever_the_order(spark):
+    a, b = "some words of one text " * 9, "other words of another " * 9
+    for rows in ([(3, b), (5, b), (5, a)], [(5, a), (5, b), (3, b)], [(5, b), (3, b), (5, a)]):
+        got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r["doc_id"], r["text"]) for r in got) == [(3, b), (5, a)]
+
+
 # substrings
 
 
