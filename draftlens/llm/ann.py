@@ -1,35 +1,50 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-A rotation learned by iterative quantisation on a bounded sample maps each vector to a code of sign bits. A block of
-rows is indexed by each of the code's substrings. For a query, each substring's table is probed at every value within a
-radius chosen by the pigeonhole principle: radii that sum to R - m + 1 over the m substrings retrieve every code within
-Hamming distance R. What is retrieved within R is ranked by the true distance of the original vectors.
-
-Rows and queries meet in blocks: a unit is one block of rows with one block of queries, so no task holds more than two
-blocks whatever the sizes, and gives k rows for each query. A block in which fewer than k codes lie within R answers
-from all its rows instead, so k neighbours are found whenever there are as many.
-
-Edge cases: a vector that is null, zero, of another length than most of the sample's, or holds a null, NaN or infinite
-component takes no part; equal distances go to the smaller vec_id; rows that repeat a vec_id are one candidate each save
-that none is its own query's; an empty table gives no rows.
+Rotations learned by iterative quantisation on a bounded sample map each vector to a code of sign bits, cut into
+substrings. Each substring has a table from its values to the vectors that have them, built once, as rows (table and
+value, vector); a query's probes are rows too, every value within `FLIPS` bits of its own in each table, and one join on
+(table, value) answers all queries. By the pigeonhole principle this retrieves every code within
+tables * (FLIPS + 1) - 1 bits of the query's, and many beyond. What lies within `reach` bits over the whole code is
+ranked by the true distance of the original vectors; partial top-k runs before the shuffle.
+
+A substring has as many bits as the number of vectors (log2), so a probed bucket holds about one vector at any size. The
+number of tables and the reach are set by measurement: the exact neighbours of `CHECKED` sample vectors among all rows,
+found in one scan, must be retrieved with the recall asked for. Vectors of different lengths have models and tables of
+their own.
+
+Equal vectors are one entry with their k + 1 smallest ids, so a vector that a third of the rows share is neither a hot bucket
+nor many candidates. A query for which fewer than k are found is answered exactly, in blocks of queries and rows.
+
+Edge cases: a vector that is null, empty, zero, or holds a null, NaN or infinite component takes no part; neighbours have
+the query's length; equal distances go to the smaller vec_id; rows that repeat a vec_id are rows like any other: each is
+a query of its own with its own answer, and a candidate of the others; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import add
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlens.session import ship_package
+from draftlens.llm.spreading import join_hot
+from draftlens.session import materialize, ship_package, union_all
 
 K = 10
-#: Rows from which the rotation is learned (the smallest by a hash of vec_id), and rounds of learning.
-SAMPLE, ROUNDS = 4096, 20
-SUBSTRING_BITS = 16
-#: Hamming radius as a share of the code's bits.
-RADIUS = 0.47
+#: Rows from which rotations are learned (the first by a hash of the vector), rounds of learning, and rows whose true neighbours are looked up.
+SAMPLE, ROUNDS, CHECKED = 4096, 20, 64
+#: Bits that a probe may differ in within a substring; bits of a substring; tables at most.
+FLIPS, LEAST_BITS, MOST_BITS, MOST_TABLES = 2, 4, 24, 128
+#: Recall asked for of the neighbours looked up, and their share that the reach covers.
+RECALL, REACHED = 0.96, 0.995
 BLOCK = 16_384
+_FOUND = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(v: Column) -> Column:
@@ -37,13 +52,12 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Mean and rotation of iterative quantisation: rotate so that signs lose as little as they can."""
     mean = sample.mean(axis=0)
     x = sample - mean
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
-    axes = axes.T
-    rotation, _ = np.linalg.qr(np.random.default_rng(7).standard_normal((axes.shape[1], axes.shape[1])))
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    rotation, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((axes.shape[1], axes.shape[1])))
     v = x @ axes
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.sign(v @ rotation).T @ v, full_matrices=False)
@@ -51,96 +65,185 @@ def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray
     return mean, axes @ rotation
 
 
-def codes(x: np.ndarray, mean: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Sign bits, packed into substrings of 16 bits; the last may be padded with zeros."""
-    bits = ((x - mean) @ rotation) > 0
-    short = -bits.shape[1] % SUBSTRING_BITS
-    packed = np.packbits(np.pad(bits, ((0, 0), (0, short))), axis=1)
-    return np.ascontiguousarray(packed).view(">u2").astype(np.uint16)
-
-
-_distance = np.bitwise_count(np.arange(1 << SUBSTRING_BITS, dtype=np.uint32)).astype(np.uint8)
-_values = np.arange(1 << SUBSTRING_BITS, dtype=np.uint16)
-_by_weight = _values[np.argsort(_distance, kind="stable")]
-_ends = np.searchsorted(_distance[_by_weight], np.arange(SUBSTRING_BITS + 2))
-
-
-class MultiIndex:
-    """Tables from each substring's value to the rows that have it."""
-
-    def __init__(self, code: np.ndarray):
-        self.code = code
-        self.order = [np.argsort(code[:, s], kind="stable") for s in range(code.shape[1])]
-        self.edges = [np.searchsorted(code[o, s], np.arange((1 << SUBSTRING_BITS) + 1)) for s, o in enumerate(self.order)]
-
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose codes lie within radius of query, by probing."""
-        parts = len(query)
-        # radii a_s with sum(a_s + 1) = radius + 1: one a_s at least is not exceeded by any code within radius
-        base, more = divmod(radius + 1, parts)
-        seen = np.zeros(len(self.code), dtype=bool)
-        for s in range(parts):
-            reach = base + (s < more) - 1
-            if reach < 0:
-                continue
-            probes = _by_weight[: _ends[min(reach, SUBSTRING_BITS) + 1]] ^ query[s]
-            lo, hi = self.edges[s][probes], self.edges[s][probes.astype(np.int64) + 1]
-            full = hi > lo
-            lo, n = lo[full], (hi - lo)[full]
-            if len(lo):
-                at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                seen[self.order[s][at]] = True
-        found = np.flatnonzero(seen)
-        return found[np.bitwise_count(self.code[found] ^ query).sum(axis=1) <= radius]
-
-
-def nearest(ids: np.ndarray, x: np.ndarray, chosen: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest among the chosen rows other than own: ids and distances, ties to the smaller id."""
-    chosen = chosen[ids[chosen] != own]
-    d = np.sqrt(((x[chosen] - query) ** 2).sum(axis=1))
-    if len(d) > 4 * k:
-        some = d <= np.partition(d, k - 1)[k - 1]
-        chosen, d = chosen[some], d[some]
-    best = np.lexsort((ids[chosen], d))[:k]
-    return ids[chosen][best], d[best]
-
-
-def _search(mean: np.ndarray, rotation: np.ndarray, radius: int, k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+class Coder:
+    """Codes of several rotations, cut into substrings of `bits` bits."""
+
+    def __init__(self, sample: np.ndarray, bits: int, tables: int):
+        self.bits, self.tables = bits, tables
+        made = [learn_rotation(sample, seed=seed) for seed in range(-(-bits * tables // sample.shape[1]))]
+        self.mean, self.rotation = made[0][0], np.concatenate([r for _, r in made], axis=1)[:, : bits * tables]
+
+    def cut(self, tables: int) -> Coder:
+        """The same with the first tables only."""
+        self.tables, self.rotation = tables, self.rotation[:, : self.bits * tables]
+        return self
+
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) @ self.rotation) > 0
+
+    def values(self, signs: np.ndarray) -> np.ndarray:
+        """The value of each substring."""
+        return signs.reshape(len(signs), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+    def keys(self, signs: np.ndarray) -> np.ndarray:
+        """Table and value as one number."""
+        return (np.arange(self.tables, dtype=np.int64) << self.bits) + self.values(signs)
+
+    @staticmethod
+    def words(signs: np.ndarray) -> np.ndarray:
+        """The whole code in 64-bit words."""
+        return np.packbits(np.pad(signs, ((0, 0), (0, -signs.shape[1] % 64))), axis=1).view(np.int64)
+
+
+def masks(bits: int, flips: int = FLIPS) -> list[int]:
+    """What a probe may flip in a substring."""
+    return [sum(1 << b for b in chosen) for n in range(flips + 1) for chosen in combinations(range(bits), min(n, bits))]
+
+
+def _codes(coder):
+    """(h, v) -> (h, code, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = coder.value
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                signs = model.signs(part.column(1).flatten().to_numpy().reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(model.words(signs)), lists(model.keys(signs))], names=["h", "code", "keys"])
+
+    return run
+
+
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - q) ** 2).sum(axis=1))
+
+
+def _nearest_to(checked: np.ndarray, k: int):
+    """(v) -> for each checked vector, the k + 1 nearest of a batch: (q, d, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for n, q in enumerate(checked):
+                d = _distances(x, q)
+                best = np.argsort(d, kind="stable")[: k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(best), pa.int32()), pa.array(d[best]), batch.column(0).take(pa.array(best))], names=["q", "d", "v"])
+
+    return run
+
+
+def fit(items: DataFrame, k: int = K, sample: int = SAMPLE, checked: int = CHECKED, recall: float = RECALL) -> tuple[Coder, int]:
+    """The coder for items (h, v; one length), and the reach. At most `sample` rows and `checked` * (k + 1) neighbours reach the driver."""
+    n = items.count()
+    got = np.array(items.select("v", "h").orderBy("h").limit(sample).select("v").toArrow()["v"].to_pylist())
+    bits = int(np.clip(round(np.log2(max(2, n))), LEAST_BITS, MOST_BITS))
+    coder = Coder(got, bits, MOST_TABLES)
+    some = got[:checked]
+    order = F.row_number().over(Window.partitionBy("q").orderBy("d"))
+    near = items.select("v").mapInArrow(_nearest_to(some, k), "q int, d double, v array<double>").withColumn("r", order).filter(F.col("r") <= k + 1).toArrow()
+    if not near.num_rows:
+        return coder.cut(1), bits
+    own, other = coder.signs(some)[near["q"].to_numpy()], coder.signs(np.array(near["v"].to_pylist()))
+    differ = (own != other).reshape(len(own), MOST_TABLES, bits).sum(axis=2)
+    others = near["d"].to_numpy() > 0
+    if not others.any():
+        return coder.cut(1), bits
+    found = np.logical_or.accumulate(differ[others] <= FLIPS, axis=1).mean(axis=0)
+    tables = int(np.argmax(found >= recall)) + 1 if found[-1] >= recall else MOST_TABLES
+    reach = int(np.ceil(np.quantile(differ[others, :tables].sum(axis=1), REACHED)))
+    return coder.cut(tables), reach
+
+
+def _hamming(a: Column, b: Column, words: int) -> Column:
+    """Written out word by word, so that it is compiled."""
+    return reduce(add, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)))
+
+
+def _distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def candidates(items: DataFrame, queries: DataFrame, coder: Coder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct pairs (qh, h) that share a probed bucket, and the codes (h, code) of items and (qh, qcode) of queries."""
+    model = items.sparkSession.sparkContext.broadcast(coder)
+    schema = "h long, code array<long>, keys array<long>"
+    own = materialize(items.select("h", "v").mapInArrow(_codes(model), schema), "codes")
+    asked = materialize(queries.select("h", "v").mapInArrow(_codes(model), schema), "codes")
+    flips = F.array(*map(F.lit, masks(coder.bits)))
+    buckets = own.select("h", F.explode("keys").alias("key"))
+    probes = asked.select(F.col("h").alias("qh"), F.explode("keys").alias("key")).select("qh", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    pairs = probes.join(buckets, "key").select("qh", "h").distinct()
+    return pairs, own.select("h", "code"), asked.select(F.col("h").alias("qh"), F.col("code").alias("qcode"))
+
+
+def retrieved(items: DataFrame, queries: DataFrame, coder: Coder, reach: int) -> DataFrame:
+    """Pairs (qh, h) of what the probes retrieve within reach bits over the whole code."""
+    pairs, own, asked = candidates(items, queries, coder)
+    return pairs.join(own, "h").join(asked, "qh").filter(_hamming(F.col("code"), F.col("qcode"), -(-coder.bits * coder.tables // 64)) <= reach).select("qh", "h")
+
+
+def _best(ranked: DataFrame, k: int) -> DataFrame:
+    """(qh, qv, d, ids) -> (qh, qv, best): the k + 1 smallest (score, vec_id)."""
+    order = F.row_number().over(Window.partitionBy("qh", "qv").orderBy("d", F.col("ids")[0]))
+    few = ranked.withColumn("r", order).filter(F.col("r") <= k + 1)
+    each = F.transform("ids", lambda i: F.struct(F.col("d").alias("score"), i.alias("vec_id")))
+    return few.groupBy("qh", "qv").agg(F.slice(F.sort_array(F.flatten(F.collect_list(each))), 1, k + 1).alias("best"))
+
+
+def _exact(k: int):
+    """One block of items with one block of queries -> the k + 1 nearest items of each query."""
+
+    def run(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
-        if len(rows) and len(queries):
-            x, q = (np.stack(part["v"].to_numpy()).astype(np.float64) for part in (rows, queries))
-            ids = rows["vec_id"].to_numpy()
-            index = MultiIndex(codes(x, mean, rotation))
-            for own, v, code in zip(queries["vec_id"].to_numpy(), q, codes(q, mean, rotation), strict=True):
-                near = index.within(code, radius)
-                if len(near) < k + 1:
-                    near = np.arange(len(ids))
-                who, d = nearest(ids, x, near, v, own, k)
-                found.append(pd.DataFrame({"query_id": own, "vec_id": who, "score": d}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        if len(items) and len(queries):
+            x = np.stack(items["v"].to_numpy())
+            first = np.array([i[0] for i in items["ids"]])
+            for h, q in zip(queries["qh"].to_numpy(), queries["qv"].to_numpy(), strict=True):
+                d = _distances(x, q)
+                best = np.lexsort((first, d))[: k + 1]
+                found.append(pd.DataFrame({"qh": h, "qv": [q] * len(best), "d": d[best], "ids": items["ids"].to_numpy()[best]}))
+        return pd.concat(found) if found else pd.DataFrame({"qh": [], "qv": [], "d": [], "ids": []})
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, radius: float = RADIUS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def exact(items: DataFrame, queries: DataFrame, n_items: int, n_queries: int, k: int, block: int) -> DataFrame:
+    """Every query against all items, in blocks: (qh, qv, d, ids)."""
+    rows, asked = max(1, -(-n_items // block)), max(1, -(-n_queries // block))
+    left = items.select("v", "ids", F.pmod("h", F.lit(rows)).cast("long").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("j"))
+    right = queries.select(F.col("h").alias("qh"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("i"), F.pmod("h", F.lit(asked)).cast("int").alias("j"))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_exact(k), "qh long, qv array<double>, d double, ids array<long>")
+
+
+def _answers(items: DataFrame, queries: DataFrame, total: int, k: int, sample: int, block: int) -> DataFrame:
+    """For each of the distinct query vectors (h, v), all of one length: (qh, qv, best). total: rows, not items."""
+    coder, reach = fit(items, k, sample)
+    near = retrieved(items, queries, coder, reach).join(queries.select(F.col("h").alias("qh"), F.col("v").alias("qv")), "qh").join(items, "h")
+    found = materialize(_best(near.select("qh", "qv", _distance(F.col("qv"), F.col("v")).alias("d"), "ids"), k), "found")
+    full = found.filter(F.size("best") >= min(k + 1, total))
+    short = materialize(queries.join(full, (F.col("h") == F.col("qh")) & (F.col("v") == F.col("qv")), "left_anti"), "short")
+    n = short.count()
+    return full.unionByName(_best(exact(items, short, items.count(), n, k, block), k)) if n else full
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = K, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """The k nearest rows of vectors (vec_id, embedding) of each row that is_query picks: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     ship_package(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    taken = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
-    if not len(taken):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = taken["v"].map(len)
-    width = int(sizes.mode().iloc[0])
-    mean, rotation = learn_rotation(np.stack(taken["v"][sizes == width].to_numpy()))
-    rows = rows.filter(F.size("v") == width)
-    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
-    n_rows, n_queries = max(1, -(-counts["n"] // block)), max(1, -(-counts["q"] // block))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    left = rows.select("vec_id", "v", spread(n_rows).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("j"))
-    right = rows.filter("q").select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("i"), spread(n_queries).alias("j"))
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_search(mean, rotation, int(radius * width), k), "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    rows = materialize(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("h", F.xxhash64("v")), "vectors")
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
+    items = materialize(few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "items")
+    asked = rows.filter("q").select("vec_id", "h", "v")
+    distinct = materialize(asked.groupBy("h", "v").agg(F.count("*").alias("n")), "queries")
+    widths = {r["w"]: r["n"] for r in rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}
+    parts = [_answers(items.filter(F.size("v") == w), distinct.filter(F.size("v") == w).select("h", "v"), n, k, sample, block) for w, n in sorted(widths.items())]
+    if not parts:
+        return spark.createDataFrame([], _FOUND)
+    answers = materialize(union_all(parts).withColumnsRenamed({"qh": "h", "qv": "v"}).join(distinct, ["h", "v"]), "answers")
+    each = join_hot(asked, answers, ["h", "v"], F.xxhash64("vec_id"), asked.count())
+    # the row itself is the first of its id at distance zero
+    me = F.array_position(F.transform("best", lambda x: (x["vec_id"] == F.col("vec_id")) & (x["score"] == 0)), True)
+    rest = F.slice(F.filter("best", lambda x, i: i + 1 != me), 1, k)
+    return each.select(F.col("vec_id").alias("query_id"), F.posexplode(rest).alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

@@ -37,14 +37,67 @@ def test_recall(spark, block):
     assert all(abs(scores[q].get(v, s) - s) < 1e-12 for q, g in got.items() for v, s in g.values())
 
 
-def test_pigeonhole_finds_every_code():
+def test_pigeonhole_probes_every_code():
+    """A code within tables * (FLIPS + 1) - 1 bits shares a probed value."""
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 2**16, (400, 4)).astype(np.uint16)
-    index = ann.MultiIndex(codes)
-    for radius in (0, 3, 17, 26, 64):
-        for q in codes[:20]:
-            want = np.flatnonzero(np.bitwise_count(codes ^ q).sum(axis=1) <= radius)
-            assert index.within(q, radius).tolist() == want.tolist()
+    coder = ann.Coder(rng.standard_normal((200, 32)), 8, 8)
+    signs = coder.signs(rng.standard_normal((40, 32)))
+    most = 8 * (ann.FLIPS + 1) - 1
+    for own in signs:
+        probed = {int(k) ^ m for k in coder.keys(own[None])[0] for m in ann.masks(8)}
+        for n in (0, 1, most - 3, most):
+            other = own.copy()
+            other[rng.choice(64, n, replace=False)] ^= True
+            assert probed & set(coder.keys(other[None])[0].tolist())
+            assert np.bitwise_count((ann.Coder.words(own[None]) ^ ann.Coder.words(other[None])).view(np.uint64)).sum() == n
+
+
+def test_index_prunes(spark):
+    """At a recall of nine in ten, under a tenth of the rows is ranked, and buckets give fewer than all."""
+    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").dropDuplicates(["vec_id"])
+    items = e.select(F.xxhash64("embedding").alias("h"), F.col("embedding").cast("array<double>").alias("v"), F.array("vec_id").alias("ids")).dropDuplicates(["h"]).cache()
+    queries = items.filter(F.col("ids")[0] % 100 == 0).cache()
+    n, q = items.count(), queries.count()
+    coder, reach = ann.fit(items)
+    pairs = ann.candidates(items, queries, coder)[0].count()
+    ranked = ann.retrieved(items, queries, coder, reach).count()
+    rows = items.toPandas()
+    ids, x = rows["ids"].map(lambda i: i[0]).to_numpy(), np.stack(rows["v"].to_numpy())
+    want = exact(ids, x, [i for i in ids if i % 100 == 0], 10)
+    got = {}
+    for r in ann.search(e, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = np.mean([v in got[k] for k, near in want.items() for v, _ in near])
+    print(f"{n} rows: {coder.tables} tables of {coder.bits} bits, reach {reach}; probed {pairs / n / q:.3f}, ranked {ranked / n / q:.4f} of the rows; recall {recall:.3f}")
+    assert recall >= 0.9 and ranked < 0.1 * n * q
+
+
+def test_repeated_query_rows_and_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((60, 8)).round(3)
+    rows = [(i, x[i].tolist()) for i in range(60)] + [(0, x[0].tolist()), (100, x[5].tolist()), (100, x[5].tolist()), (100, x[7].tolist())] + [(1000 + i, x[9].tolist()) for i in range(40)]
+    rows = [(i, v) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("vec_id") % 100 == 0).collect())
+    all_ids, all_x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    want = []
+    for k, (i, v) in enumerate(rows):
+        if i % 100 == 0:
+            d = np.sqrt(((all_x - v) ** 2).sum(axis=1))
+            order = [j for j in np.lexsort((all_ids, d)) if j != k][:10]
+            want += [(i, n + 1, int(all_ids[j]), float(d[j])) for n, j in enumerate(order)]
+    want.sort()
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.mean([a[2] == b[2] and abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True)]) >= 0.9
+
+
+def test_too_few_found_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ann, "fit", lambda items, k, sample: (ann.Coder(np.eye(4), 4, 1), -1))
+    rows = [(i, [float(i == j) + i / 7 for j in range(4)]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(df, F.col("vec_id") % 5 == 0, k=3, block=5).collect()}
+    want = exact(np.arange(12), np.array([v for _, v in rows]), [0, 5, 10], 3)
+    assert got == {(q, n + 1): i for q, near in want.items() for n, (i, _) in enumerate(near)}
 
 
 def test_neighbours_edge_cases(spark):
