@@ -114,6 +114,37 @@ def test_decontamination_without_broadcast(spark):
     assert judged(spark, DOCS, ITEMS, broadcast_windows=0) == brute(DOCS, ITEMS)
 
 
+def written(spark):
+    """Bytes that all stages have written to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm = spark.sparkContext._jvm
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_shuffled_rows_are_narrow(spark):
+    """Without broadcast, what is shuffled of a long document grows with its words, not with their square."""
+    from draftlens.llm.decontam import scan
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = " ".join(f"t{k}" for k in range(20_000))
+        d = spark.createDataFrame([(1, text), (2, LONG)], "doc_id long, text string")
+        b = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+        before = written(spark)
+        assert {r["doc_id"]: len(r["hits"]) for r in scan(d, b, broadcast_windows=0).collect()} == {1: 0, 2: 31}
+        assert 10_000 < written(spark) - before < 100 * 20_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_dropping_without_broadcast(spark):
+    d = spark.createDataFrame([(*x, "e") for x in DOCS], "doc_id long, text string, _id string")
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = lambda **p: sorted((tuple(r) for r in decontam.drop_contaminated(d, b, **p).collect()), key=str)
+    assert rows() == rows(broadcast_ids=0) == rows(broadcast_windows=0, broadcast_ids=0)
+
+
 def test_decontamination_of_empty_tables(spark):
     assert judged(spark, [], ITEMS) == []
     assert judged(spark, DOCS, []) == brute(DOCS, [])
