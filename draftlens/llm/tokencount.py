@@ -5,9 +5,10 @@ they are form the whole-token set. A text falls into pieces at white space, whic
 piece falls into pre-tokens. A pre-token in the set counts one, at once; only the rest are merged, by the library.
 Counts of pieces are remembered in each worker, in a table of bounded size.
 
-The shortcut is used for texts whose characters all lie in the range where case, composition and character class are
-settled (below U+0250, no controls but tab and line ends) and that hold no "<|", which could begin a special string.
-Any other text is encoded whole by the library. Both ways give the library's own count.
+The shortcut is used for pieces whose characters all lie in the range where case, composition and character class are
+settled (below U+0250, no controls) and that hold no "<|", which could begin a special string. Any other piece goes to the
+library whole, and its count is remembered like any other; only blanks, tabs and line ends cut pieces, which no character joins across.
+Both ways give the library's own count.
 
 Edge cases: null and empty texts have no bytes and no tokens; a text of white space has no tokens; rows are returned one
 for one, repeated or not; extra columns are left alone.
@@ -31,6 +32,7 @@ LIMIT = 2048
 #: Pieces that a worker remembers.
 REMEMBERED = 400_000
 _PLAIN_END = 0x250
+_BLANK = re.compile("[ \t\n\r]+")
 _HARD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|")
 
 
@@ -73,6 +75,7 @@ class Counter:
         self.library, self.whole, self.pattern = library(path), whole_tokens(path), _pretoken_pattern()
         self.known: dict[str, int] = {}
         self.merged: dict[str, int] = {}
+        self.hard: dict[str, int] = {}
         self.remembered = remembered
 
     def merge(self, pretoken: str) -> int:
@@ -89,9 +92,28 @@ class Counter:
             self.known[piece] = n
         return n
 
+    def mixed(self, text: str) -> int:
+        """Tokens of a text that holds pieces which only the library can judge."""
+        known, total = self.known, 0
+        for piece in _BLANK.split(text):
+            if not piece:
+                continue
+            if _HARD.search(piece):
+                n = self.hard.get(piece)
+                if n is None:
+                    n = len(self.library.encode(piece, add_special_tokens=False).ids)
+                    if len(self.hard) < self.remembered and len(piece) < 64:
+                        self.hard[piece] = n
+            else:
+                low = piece.lower()
+                n = known.get(low)
+                n = self.piece(low) if n is None else n
+            total += n
+        return total
+
     def count(self, text: str) -> int:
         if _HARD.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
+            return self.mixed(text)
         known, total = self.known, 0
         for piece in text.lower().split():
             n = known.get(piece)

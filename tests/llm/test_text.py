@@ -46,6 +46,24 @@ def test_token_counts(docs):
     assert got == sorted(want, key=str)
 
 
+def test_pieces_keep_the_shortcut(monkeypatch):
+    """A curly quote sends its own piece to the library, not the text; all counts stay the library's."""
+    counter = tokencount.Counter(default_path("word_bpe_49k.json"))
+    rng = np.random.default_rng(11)
+    odd = ["“quoted”", "dash—dash", "ΣΑΣ", "ς", "e\u0301", "\u0301", "<|endoftext|>", "a<|startoftext|>b", "日本", "x\u00a0y", "\u200d", "İ", "\x1c", "\x85", "ﬁ", "ǅ", "🙂"]
+    plain = ["the", "cat's", "It'S", "naïve", "3.14", "don't", "WORD", "...", "a-b", "ß", "²"]
+    blanks = [" ", "  ", "\n", "\t", "\r\n"]
+    for _ in range(400):
+        text = "".join(str(rng.choice(odd if rng.random() < 0.3 else plain)) + str(rng.choice(blanks)) for _ in range(int(rng.integers(1, 12))))
+        assert counter.count(text) == len(counter.library.encode(text, add_special_tokens=False).ids), repr(text)
+    whole = "“the” " + "common words of a long text " * 50
+    asked = []
+    real = counter.library
+    counter.library = type("L", (), {"encode": lambda self, t, **k: asked.append(t) or real.encode(t, **k)})()
+    counter.count(whole)
+    assert all(" " not in t for t in asked)
+
+
 def test_whole_tokens_are_whole():
     whole = tokencount.whole_tokens(default_path("word_bpe_49k.json"))
     assert len(whole) > 20_000 and "the" in whole
