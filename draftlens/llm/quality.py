@@ -3,11 +3,11 @@
 Each text gives a vector of transformed statistics (counts as logarithms, shares as arcsine roots). Each class has a mean and
 a covariance, shrunk towards its diagonal and towards the pooled covariance; the Cholesky factors are computed once and
 shipped with the model. The score is the logistic of the difference of the log densities (from Mahalanobis distances and
-log determinants) and the log prior odds, over a temperature that keeps scores apart from 0 and 1. Short texts have
-noisy statistics; the odds are shifted by up to `MOST_SHIFT` nats so that nearly all good training rows pass the threshold,
-as far as that takes at most half of the distance at which the other class lies.
+log determinants) and the log prior odds. The model is fitted on four fifths of the training rows; on the fifth set
+aside a logistic scale and shift are fitted that turn its odds into probabilities (the fifth is chosen by the rows' order).
 
-The model is fitted on at most `TRAIN_ROWS` labelled rows. Statistics are of whole texts.
+The model is fitted on at most `TRAIN_ROWS` labelled rows, sorted by doc_id and statistics, so it does not depend on how
+rows are dealt. Statistics are of whole texts.
 
 Edge cases: null and empty texts have the statistics of no words and are scored like any other; with one class or no
 labelled row, every score is that class's, or 0.5; repeated rows stay rows; extra columns are left alone.
@@ -23,16 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlens.llm.labelled import remainder, training_rows
+from draftlens.llm.labelled import first_rows, remainder, training_rows
 from draftlens.llm.wordhash import Words, slices
 from draftlens.session import ship_package
 
 TRAIN_ROWS = 12_000
 MODULUS, HELD_OUT = 4, 2
 SHRINK_DIAGONAL, SHRINK_POOLED = 0.1, 0.05
-TEMPERATURE = 4.0
 THRESHOLD = 0.7
-TAIL, MOST_SHIFT = 0.001, 16.0
+#: One row of so many is set aside for calibration, and how strongly the calibration keeps to a scale of one.
+ASIDE, RIDGE = 5, 1e-3
 #: Short texts say little: their shares are mixed with usual ones, as if so many words or bytes more had been read.
 MORE_WORDS, MORE_BYTES = 8.0, 50.0
 #: Usual shares of prose.
@@ -101,7 +101,7 @@ class Discriminant:
     whiten: np.ndarray
     log_det: np.ndarray
     log_prior: np.ndarray
-    temperature: float
+    scale: float = 1.0
     shift: float = 0.0
 
     def odds(self, x: np.ndarray) -> np.ndarray:
@@ -112,13 +112,11 @@ class Discriminant:
         return logs[1] - logs[0]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((self.odds(x) + self.shift) / self.temperature, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.odds(x) + self.shift, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, shrink_diagonal: float = SHRINK_DIAGONAL, shrink_pooled: float = SHRINK_POOLED, temperature: float = TEMPERATURE) -> Discriminant | float:
-    """The model, or a constant score where there are not two classes."""
-    if len(np.unique(y)) < 2:
-        return float(y[0]) if len(y) else 0.5
+def discriminant(x: np.ndarray, y: np.ndarray, shrink_diagonal: float = SHRINK_DIAGONAL, shrink_pooled: float = SHRINK_POOLED) -> Discriminant:
+    """Means and regularised covariances of two classes."""
     centred = np.concatenate([x[y == c] - x[y == c].mean(axis=0) for c in (0, 1)])
     pooled = centred.T @ centred / len(x)
     means, whiten, log_det, prior = [], [], [], []
@@ -134,10 +132,42 @@ def fit(x: np.ndarray, y: np.ndarray, shrink_diagonal: float = SHRINK_DIAGONAL,
         whiten.append(np.linalg.inv(factor))
         log_det.append(2 * np.log(np.diag(factor)).sum())
         prior.append(np.log(len(own) / len(x)))
-    model = Discriminant(np.array(means), np.array(whiten), np.array(log_det), np.array(prior), temperature)
-    z, cut = model.odds(x), temperature * np.log(THRESHOLD / (1 - THRESHOLD))
-    need, room = cut - np.quantile(z[y == 1], TAIL), cut - np.quantile(z[y == 0], 1 - TAIL)
-    model.shift = float(np.clip(min(need, room / 2), 0.0, MOST_SHIFT))
+    return Discriminant(np.array(means), np.array(whiten), np.array(log_det), np.array(prior))
+
+
+def calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Logistic scale and shift of the odds, by damped Newton steps on smoothed targets, ridged; the scale stays above zero."""
+    spread = max(float(np.abs(odds).mean()), 1e-6)
+    x = np.stack([odds / spread, np.ones(len(odds))], axis=1)
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float((np.logaddexp(0, z) - target * z).sum() + RIDGE / 2 * ((b - [1.0, 0.0]) ** 2).sum())
+
+    beta = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = logistic(x @ beta)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + RIDGE * np.eye(2), x.T @ (p - target) + RIDGE * (beta - [1.0, 0.0]))
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        beta = beta - size * step
+    return float(max(beta[0], 1e-3) / spread), float(beta[1])
+
+
+def fit(x: np.ndarray, y: np.ndarray, shrink_diagonal: float = SHRINK_DIAGONAL, shrink_pooled: float = SHRINK_POOLED) -> Discriminant | float:
+    """The calibrated model, or a constant score where there are not two classes."""
+    if len(np.unique(y)) < 2:
+        return float(y[0]) if len(y) else 0.5
+    aside = np.arange(len(y)) % ASIDE == 0
+    if len(np.unique(y[aside])) < 2 or len(np.unique(y[~aside])) < 2:
+        model = discriminant(x, y, shrink_diagonal, shrink_pooled)
+        model.scale, model.shift = calibrate(model.odds(x), y)
+    else:
+        model = discriminant(x[~aside], y[~aside], shrink_diagonal, shrink_pooled)
+        model.scale, model.shift = calibrate(model.odds(x[aside]), y[aside])
     return model
 
 
@@ -146,7 +176,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, buf, offsets in slices(batch.column(0)):
             x = statistics(buf, offsets)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(a, b - a)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(a, b - a) for c in (1, 2))], names=["x", "y", "doc_id"])
 
 
 def _score(model: Discriminant | float):
@@ -161,8 +191,8 @@ def _score(model: Discriminant | float):
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Discriminant | float:
     ship_package(docs.sparkSession)
-    sample = training_rows(docs, labels, "quality", train_rows, MODULUS, HELD_OUT).select("text", "y")
-    got = sample.mapInArrow(_features, "x array<double>, y int").toArrow()
+    sample = training_rows(docs, labels, "quality", train_rows, MODULUS, HELD_OUT).select("text", "y", "doc_id")
+    got = first_rows(sample.mapInArrow(_features, "x array<double>, y int, doc_id long"), train_rows, "doc_id", "y", "x").toArrow()
     if not got.num_rows:
         return 0.5
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)

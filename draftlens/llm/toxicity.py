@@ -1,12 +1,13 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-A word's embedding is the sum of two rows of a table, picked by two hashes of the word, so that two words hardly ever
-share both. Filters of several widths run over the embeddings, are rectified and reduced by their maximum over the text,
+A word's embedding is the sum of three rows of a table: two picked by hashes of the word, so that two words hardly ever
+share both, and one by a hash of its first `STEM` bytes, so that forms of a known word count before they are seen. Filters of several widths run over the embeddings, are rectified and reduced by their maximum over the text,
 and a logistic layer gives the logit. The first coordinate of the table starts as a shrunk log odds of the word in the
 training rows; everything is then trained together by Adam. A logistic calibration on rows set aside maps logits to
 scores, and thresholds by language are chosen there too; the language never enters a score.
 
-The model is fitted on at most `TRAIN_ROWS` labelled rows; it is of fixed size (2 * BUCKETS * WIDTH floats and a little), so
+The model is fitted on at most `TRAIN_ROWS` labelled rows and `TRAIN_WORDS` words in all, whole texts in the order of a
+hash of their ids, so what reaches the driver is bounded however long the texts are; it is of fixed size (PARTS * BUCKETS * WIDTH floats and a little), so
 it is broadcast. Texts are scored whole.
 
 Edge cases: null and empty texts have no words: their maxima are zero; a text shorter than a filter is padded with zero
@@ -24,26 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlens.llm.labelled import remainder, training_rows
+from draftlens.llm.labelled import first_rows, remainder, training_rows
 from draftlens.llm.wordhash import NOT_ALNUM, Words, mix, slices
-from draftlens.session import ship_package
+from draftlens.session import materialize, ship_package
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_WORDS = 12_000, 4_000_000
 MODULUS, HELD_OUT = 3, 1
 BUCKETS, WIDTH = 1 << 18, 4
+PARTS, STEM = 3, 6
 FILTERS, WIDTHS = 6, (1, 2, 3)
 #: Passes over the rows, and steps at least: small samples are passed over more often.
 EPOCHS, LEAST_STEPS, BATCH, RATE = 4, 400, 64, 0.02
 PRIOR, LEAST_DOCS = 5.0, 3
+#: Parts of the sample, and the rows below which each is set aside in turn.
+FOLDS, CROSS_ROWS = 5, 2000
 THRESHOLD = 0.7
 
 
 def buckets(words: Words) -> np.ndarray:
-    """Two table rows for each word."""
-    h = mix(words.hash)
-    low = (h % np.uint64(BUCKETS)).astype(np.int32)
-    high = ((h >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int32) + BUCKETS
-    return np.stack([low, high], axis=1)
+    """PARTS table rows for each word."""
+    h, stem = mix(words.hash), words.stems(STEM)
+    row = lambda x, part: (x % np.uint64(BUCKETS)).astype(np.int32) + part * BUCKETS
+    return np.stack([row(h, 0), row(h >> np.uint64(32), 1), row(stem, 2)], axis=1)
 
 
 @dataclass
@@ -60,10 +63,10 @@ class Network:
     def maxima(self, ids: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pooled features of each document, the words at which they arise (-1: nowhere), and the embeddings.
 
-        ids: two rows for each word; edges: first word of each document, then the end.
+        ids: PARTS rows for each word; edges: first word of each document, then the end.
         """
         n_docs, n = len(edges) - 1, len(ids)
-        e = self.table[ids[:, 0]] + self.table[ids[:, 1]] if n else np.zeros((0, WIDTH), dtype=np.float32)
+        e = sum(self.table[ids[:, p]] for p in range(PARTS)) if n else np.zeros((0, WIDTH), dtype=np.float32)
         pooled = np.zeros((n_docs, len(WIDTHS) * FILTERS), dtype=np.float32)
         where = np.full(pooled.shape, -1, dtype=np.int64)
         filled = np.flatnonzero(np.diff(edges) > 0)
@@ -116,22 +119,39 @@ def _subset(ids: np.ndarray, edges: np.ndarray, docs: np.ndarray) -> tuple[np.nd
 
 
 def train(ids: np.ndarray, edges: np.ndarray, y: np.ndarray, lang: list[str], epochs: int = EPOCHS, seed: int = 5) -> Network | float:
-    """Fit on documents given as words' table rows. A fifth is set aside for calibration."""
+    """Fit on documents given as words' table rows, and calibrate on logits of rows that the network was not fitted on.
+
+    A fifth is set aside for that; of a small sample, each fifth in turn, and the network itself is fitted on all of it.
+    """
     if len(np.unique(y)) < 2:
         return float(y[0]) if len(y) else 0.5
+    order = np.random.default_rng(seed).permutation(len(y))
+    folds = [order[k::FOLDS] for k in range(FOLDS)]
+    rest = [np.concatenate([f for j, f in enumerate(folds) if j != k]) for k in range(FOLDS)]
+    if any(len(np.unique(y[r])) < 2 for r in rest):  # a handful of rows
+        net = _fitted(ids, edges, y, order, epochs, seed)
+        aside, z = order, net.logits(*_subset(ids, edges, order))
+    elif len(y) < CROSS_ROWS:
+        net = _fitted(ids, edges, y, order, epochs, seed)
+        aside = np.concatenate(folds)
+        z = np.concatenate([_fitted(ids, edges, y, r, epochs, seed).logits(*_subset(ids, edges, f)) for f, r in zip(folds, rest, strict=True)])
+    else:
+        net, aside = _fitted(ids, edges, y, rest[0], epochs, seed), folds[0]
+        z = net.logits(*_subset(ids, edges, aside))
+    _calibrate(net, z, y[aside], [lang[d] for d in aside.tolist()])
+    return net
+
+
+def _fitted(ids: np.ndarray, edges: np.ndarray, y: np.ndarray, use: np.ndarray, epochs: int, seed: int) -> Network:
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    aside, use = order[: len(y) // 5], order[len(y) // 5 :]
-    if len(np.unique(y[aside])) < 2 or len(np.unique(y[use])) < 2:
-        aside = use = order
     # document frequencies of table rows by class, of the rows to train on
-    df = np.zeros((2, 2 * BUCKETS))
+    df = np.zeros((2, PARTS * BUCKETS))
     for d in use.tolist():
         df[y[d], np.unique(ids[edges[d] : edges[d + 1]])] += 1
     base = y[use].mean()
     share = (df[1] + PRIOR * base) / (df.sum(axis=0) + PRIOR)
     known = df.sum(axis=0) >= LEAST_DOCS
-    table = np.zeros((2 * BUCKETS, WIDTH), dtype=np.float32)
+    table = np.zeros((PARTS * BUCKETS, WIDTH), dtype=np.float32)
     table[:, 0] = np.where(known, 0.5 * (np.log(share / (1 - share)) - np.log(base / (1 - base))), 0)
     kernels = [(rng.standard_normal((w, WIDTH, FILTERS)) * 0.3).astype(np.float32) for w in WIDTHS]
     for k in kernels:
@@ -170,7 +190,7 @@ def train(ids: np.ndarray, edges: np.ndarray, y: np.ndarray, lang: list[str], ep
                 adam.step(f"b{k}", net.biases[k], gb)
                 adam.step(f"k{k}", net.kernels[k], gk)
             rows = np.concatenate(touched).ravel()
-            push = np.repeat(np.concatenate(pushes), 2, axis=0)
+            push = np.repeat(np.concatenate(pushes), PARTS, axis=0)
             ok = known[rows]
             rows, inverse = np.unique(rows[ok], return_inverse=True)
             if len(rows):
@@ -178,7 +198,6 @@ def train(ids: np.ndarray, edges: np.ndarray, y: np.ndarray, lang: list[str], ep
                 np.add.at(total, inverse, push[ok])
                 adam.step("table", net.table, total, rows)
     net.training, net.out_bias = False, float(bias[0])
-    _calibrate(net, net.logits(*_subset(ids, edges, aside)), y[aside], [lang[d] for d in aside.tolist()])
     return net
 
 
@@ -210,20 +229,29 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, buf, offsets in slices(batch.column(0)):
             words = Words(buf, offsets, NOT_ALNUM, lower=True)
             rows = buckets(words)
-            lists = pa.ListArray.from_arrays(pa.array(2 * words.first, pa.int32()), pa.array(rows.ravel(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(a, b - a) for c in (1, 2, 3))], names=["ids", "y", "lang", "doc_id"])
+            sizes = pa.array(words.count, pa.int64())
+            lists = pa.LargeListArray.from_arrays(pa.array(PARTS * words.first, pa.int64()), pa.array(rows.ravel(), pa.int32())).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([lists, *(batch.column(c).slice(a, b - a) for c in (1, 2, 3)), sizes], names=["ids", "y", "lang", "doc_id", "n"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Network | float:
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS) -> Network | float:
     ship_package(docs.sparkSession)
     sample = training_rows(docs, labels, "toxic", train_rows, MODULUS, HELD_OUT).select("text", "y", "lang", "doc_id")
-    # in the order of doc_id, so that the model does not depend on how rows are dealt
-    got = sample.mapInArrow(_encode, "ids array<int>, y int, lang string, doc_id long").toArrow().sort_by("doc_id")
-    if not got.num_rows:
+    encoded = sample.mapInArrow(_encode, "ids array<int>, y int, lang string, doc_id long, n long").withColumn("h", F.xxhash64("ids"))
+    encoded = materialize(encoded, "encoded")
+    # the first rows by a hash of doc_id whose words fit; sizes alone are looked at first
+    encoded = encoded.withColumn("o", F.xxhash64("doc_id")).filter(F.col("n") <= train_words)
+    sizes = first_rows(encoded.select("o", "doc_id", "h", "n"), train_rows, "o", "doc_id", "h").toArrow()
+    fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), train_words, side="right"))
+    if not fits:
         return 0.5
+    last = sizes["o"][fits - 1].as_py()
+    got = first_rows(encoded.filter(F.col("o") <= last), fits, "o", "doc_id", "h").toArrow()
+    # in the order of doc_id, so that the model does not depend on how rows are dealt
+    got = got.sort_by([("doc_id", "ascending"), ("h", "ascending")])
     lists = got["ids"].combine_chunks()
-    edges = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]) // 2
-    return train(lists.flatten().to_numpy().reshape(-1, 2), edges, got["y"].to_numpy(), got["lang"].to_pylist())
+    edges = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]) // PARTS
+    return train(lists.flatten().to_numpy().reshape(-1, PARTS), edges, got["y"].to_numpy(), got["lang"].to_pylist())
 
 
 def _score(model):

@@ -106,7 +106,12 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.count)
         if hashes:
-            self.hash = word_hashes(_LOWER[buf] if lower else buf, self.start, self.end - self.start)
+            self.read = _LOWER[buf] if lower else buf
+            self.hash = word_hashes(self.read, self.start, self.end - self.start)
+
+    def stems(self, most: int) -> np.ndarray:
+        """Hashes of the words' first bytes, at most so many."""
+        return word_hashes(self.read, self.start, np.minimum(self.end - self.start, most))
 
     def windows(self, size: int, which: int = 0) -> np.ndarray:
         """Hashes of all runs of size words, also of those that cross documents (see inside()). Different runs may share one."""

@@ -144,6 +144,126 @@ def test_classifier_edge_cases(spark, module, label):
     assert again[0] == again[1]
 
 
+def words_and_edges(texts):
+    from draftlens.llm.wordhash import NOT_ALNUM, Words
+
+    raw = [t.encode() for t in texts]
+    words = Words(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), NOT_ALNUM, lower=True)
+    return toxicity.buckets(words), words.first
+
+
+def small_network(seed=1):
+    rng = np.random.default_rng(seed)
+    f = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    return toxicity.Network(f(toxicity.PARTS * toxicity.BUCKETS, toxicity.WIDTH), [f(w, toxicity.WIDTH, toxicity.FILTERS) for w in toxicity.WIDTHS], [f(toxicity.FILTERS) for _ in toxicity.WIDTHS], f(len(toxicity.WIDTHS) * toxicity.FILTERS), 0.3)
+
+
+def test_convolution_against_plain_loops():
+    texts = ["one two three four", "", "a", "x y", "last one of all these words, and more"]
+    net, (ids, edges) = small_network(), words_and_edges(texts)
+    got = net.maxima(ids, edges)[0]
+    for d in range(len(texts)):
+        e = [sum(net.table[r] for r in row) for row in ids[edges[d] : edges[d + 1]]]
+        want = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                at = [net.biases[k][f] + sum(float(e[i + j] @ net.kernels[k][j][:, f]) for j in range(width) if i + j < len(e)) for i in range(len(e))]
+                want.append(max([0.0, *at]))
+        assert np.allclose(got[d], want, atol=1e-4)
+
+
+def test_training_follows_the_gradient(monkeypatch):
+    """One recorded step: what Adam is given equals the loss's differences."""
+    texts = ["bad words here", "good words there now", "bad thing", "fine thing it is"] * 3
+    y = np.array([1, 0, 1, 0] * 3)
+    ids, edges = words_and_edges(texts)
+    seen = {}
+
+    class Recorder(toxicity.Adam):
+        def step(self, name, value, grad, rows=None):
+            seen.setdefault(name, (value, value.copy(), np.array(grad), rows))
+
+    monkeypatch.setattr(toxicity, "Adam", Recorder)
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 1)
+    net = toxicity._fitted(ids, edges, y, np.arange(len(y)), 1, 3)
+
+    def loss():
+        z = (net.maxima(ids, edges)[0] @ net.out + net.out_bias).astype(np.float64)
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    for name, k in (("out", None), ("k0", 0), ("k1", 1), ("b1", None)):
+        value, _, grad, _ = seen[name]
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        kept = value[at]
+        value[at] = kept + 1e-2
+        up = loss()
+        value[at] = kept - 1e-2
+        down = loss()
+        value[at] = kept
+        assert abs((up - down) / 2e-2 - grad[at]) < 0.02 + 0.1 * abs(grad[at])
+
+
+def test_words_bound_what_the_driver_gets(spark):
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "fine ") * (5 + i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    kept = []
+    real = toxicity.train
+    try:
+        toxicity.train = lambda ids, edges, *a: kept.append((len(ids), len(edges) - 1)) or real(ids, edges, *a)
+        toxicity.learn(docs, labels, train_words=300)
+        toxicity.learn(docs.repartition(7), labels, train_words=300)
+    finally:
+        toxicity.train = real
+    assert kept[0] == kept[1] and 0 < kept[0][0] <= 300 and kept[0][1] > 3
+
+
+def test_statistics_against_plain_counts():
+    texts = ["A few words, 12 of them.\nNew line and and more", "", "x", "ÄÖ ü # % 1234567890123 same same same", "  blanks  only "]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    usual, more, bytes_ = quality.USUAL, quality.MORE_WORDS, quality.MORE_BYTES
+    root = lambda x: np.arcsin(np.sqrt(min(1, max(0, x))))
+    for row, x in zip(got, raw, strict=True):
+        w, n = x.split(), len(x.split())
+        kind = {k: sum(b in set(v) for b in x) for k, v in quality._KINDS.items()}
+        share = lambda k, of: root((kind[k] + bytes_ * usual[k]) / (of + bytes_))  # noqa: B023, E731
+        by_word = lambda k, c: root((c + more * usual[k]) / (n + more))  # noqa: B023, E731
+        want = [
+            np.log1p(n),
+            np.log1p((sum(map(len, w)) + more * usual["length"]) / (n + more)),
+            share("upper", kind["upper"] + kind["lower"]),
+            *(share(k, len(x)) for k in ("digit", "symbol", "mark", "high")),
+            by_word("same", sum(a == b for a, b in zip(w, w[1:]))),
+            np.log((len(set(w)) + more) / (n + more) ** 0.9),
+            by_word("lone", sum(len(a) == 1 and a[0] in set(quality._KINDS["symbol"]) for a in w)),
+            np.log1p(n / (1 + kind["line"])),
+            by_word("long", sum(len(a) >= 12 for a in w)),
+        ]
+        assert np.allclose(row, want)
+
+
+def test_log_densities_against_plain_ones():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.standard_normal((80, 3)), 2 + rng.standard_normal((50, 3)) * [1, 2, 3]])
+    y = np.repeat([0, 1], [80, 50])
+    model = quality.discriminant(x, y, 0.2, 0.1)
+    pooled = sum(((x[y == c] - x[y == c].mean(0)).T @ (x[y == c] - x[y == c].mean(0)) for c in (0, 1)), np.zeros((3, 3))) / 130
+    logs = []
+    for c in (0, 1):
+        own = x[y == c]
+        cov = 0.9 * np.cov(own.T, bias=True) + 0.1 * pooled
+        cov = 0.8 * cov + 0.2 * np.diag(np.diag(cov)) + np.eye(3) * max(1e-4, 1e-3 * np.trace(pooled) / 3)
+        dev = x - own.mean(0)
+        logs.append(-0.5 * np.einsum("ij,jk,ik->i", dev, np.linalg.inv(cov), dev) - 0.5 * np.log(np.linalg.det(cov)) + np.log(len(own) / 130))
+    assert np.allclose(model.odds(x), logs[1] - logs[0])
+
+
+def test_quality_model_does_not_depend_on_how_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = (quality.learn(d, labels) for d in (docs, docs.repartition(7)))
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("means", "whiten", "log_det", "log_prior", "scale", "shift"))
+
+
 def test_held_out_rule(spark):
     import zlib
 
