@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -54,10 +55,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a local one of this process where none is set (local runs and tests)."""
+    """The folder in spark.checkpoint.dir; where none is set, a local one of this process if all runs in this process.
+
+    On a cluster without that setting it raises: executors would each write to a disk of their own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="draftlens-scratch-")
@@ -68,26 +75,45 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut and nothing is computed twice.
 
-    The table outlives the loss of any executor. It is removed when the
-    driver's Python ends, where the driver sees the folder.
+    The table outlives the loss of any executor. It is removed when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/draftlens-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(path: str) -> None:
-    local = path.removeprefix("file://").removeprefix("file:")
-    if local.startswith("/"):
-        shutil.rmtree(local, ignore_errors=True)
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table in any file system that Spark writes to, or do nothing once the session has ended."""
+    with contextlib.suppress(Exception):
+        at, fs = _file_system(spark, path)
+        fs.delete(at, True)
+
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    at, fs = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
 
-def spread(df: DataFrame) -> DataFrame:
-    """df dealt evenly where its scan has fewer parts than the cluster has cores, as a small file has; else df as it is."""
+
+#: Tables of more bytes are not dealt anew: they have parts enough, or their reshuffling would cost more than it gains.
+SPREAD_BYTES = 4 << 30
+
+
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """df dealt evenly where its scan, of `most` bytes at most, has fewer parts than the cluster has cores; else df as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size > most or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -104,7 +130,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
-
-
-def hash_bucket(n: int, *cols: str):
-    return F.pmod(F.xxhash64(*cols), F.lit(n))

@@ -73,3 +73,31 @@ def test_stream(spark, tmp_path):
     s.awaitTermination(120)
     assert [r["n"] for r in spark.table("sessions_out").collect()] == [3]  # the later session is still open
     assert [r["n"] for r in stream.windowed_counts(out, "1 day").collect()] == [5]
+
+
+def test_scratch_tables(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from draftlens import session
+
+    made = session.materialize(spark.range(5), "test")
+    path = made.inputFiles()[0].rsplit("/", 1)[0]
+    assert session.is_written(spark, path) and made.count() == 5
+    session.remove(spark, path)
+    assert not session.is_written(spark, path)
+
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(Elsewhere)
+
+
+def test_spread_leaves_large_tables(spark, tmp_path):
+    from draftlens import session
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    one = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert session.spread(one, 10).rdd.getNumPartitions() == one.rdd.getNumPartitions()
