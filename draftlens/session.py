@@ -110,7 +110,7 @@ SPREAD_BYTES = 4 << 30
 def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
     """df dealt evenly where its scan, of `most` bytes at most, has fewer parts than the cluster has cores; else df as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > most or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
