@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from draftlens.llm import decontam, packing, quality, simhash, substrings
-from draftlens.session import shared_folder
+from draftlens.session import is_written, remove, shared_folder
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that also start in a document of smaller doc_id are cut from the text."""
-    return substrings.remove_repeats(docs)
+    """Words of passages that also start in a document of smaller doc_id are cut from the text; documents emptied by that go."""
+    return substrings.remove_repeats(docs, keep_emptied=False)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, placed in sequences."""
-    return packing.pack(docs)
+    """Pieces of documents with their token ids, placed in sequences."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -51,12 +52,22 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are a table in the shared folder, so a lost executor costs one stage at most."""
+def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
+    """All stages over documents; each stage's rows are a table in the shared folder, so a lost executor costs one stage at most.
+
+    With a name, the tables stay, and a later run of that name goes on after the last stage that was written to its end.
+    Without one, a stage's input is removed once its output is written, and the result when the driver ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        out = f"{base}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+    base, before = f"{shared_folder(spark)}/corpus-pipeline-{name or uuid.uuid4().hex}", None
+    if name is None:
+        atexit.register(remove, spark, base)
+    for k, (label, stage) in enumerate(STAGES):
+        out = f"{base}/{k}-{label}"
+        if not is_written(spark, out):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
+        if name is None and before:
+            remove(spark, before)
+        before = out
     return docs

@@ -49,15 +49,17 @@ def token_ids(text: str, vocabulary: str, ranks: str | None, pattern: str) -> np
         return np.array(library(vocabulary).encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
-def _pieces(vocabulary: str, ranks: str | None, pattern: str, capacity: int, end_id: int):
+def _pieces(vocabulary: str, ranks: str | None, pattern: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, length, crc, total = [], [], [], [], []
+            row, start, length, crc, total, held = [], [], [], [], [], []
             for k, text in enumerate(batch.column(1)):
                 ids = np.concatenate([token_ids(text.as_py() or "", vocabulary, ranks, pattern), end])
                 data, n = ids.tobytes(), len(ids)
+                if with_ids:
+                    held.append(ids)
                 for s in range(0, n, capacity):
                     e = min(n, s + capacity)
                     row.append(k)
@@ -66,7 +68,14 @@ def _pieces(vocabulary: str, ranks: str | None, pattern: str, capacity: int, end
                     crc.append(zlib.crc32(data[4 * s : 4 * e]))
                     total.append(n)
             columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            if not with_ids:
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                continue
+            ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+            ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int32) if held else [], pa.int32()))
+            for at in range(0, len(row), 4096):  # pieces of 8 million ids at most
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, 4096) for c in columns), ids.slice(at, 4096).cast(pa.list_(pa.int32()))], names=[*names, "ids"])
 
     return run
 
@@ -123,8 +132,12 @@ def pack(
     capacity: int = CAPACITY,
     group: int = GROUP,
     end_id: int = END_ID,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; and with_ids the piece's ids, an array.
+
+    Groups are a tenth as large with ids, so that a group's ids fit a worker (GROUP / 10 * capacity * 4 bytes, 16 MB).
+    """
     import public_tokenizers
 
     spark = docs.sparkSession
@@ -132,7 +145,8 @@ def pack(
     if vocabulary is None:
         vocabulary, ranks = default_path("byte_bpe_50k.json"), default_path("byte_bpe_50k.tiktoken")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = materialize(base.mapInArrow(_pieces(vocabulary, ranks, public_tokenizers.PATTERN, capacity, end_id), SCHEMA), "pieces")
-    groups = max(1, -(-pieces.count() // group))
+    schema = SCHEMA + (", ids array<int>" if with_ids else "")
+    pieces = materialize(base.mapInArrow(_pieces(vocabulary, ranks, public_tokenizers.PATTERN, capacity, end_id, with_ids), schema), "pieces")
+    groups = max(1, -(-pieces.count() // (max(1, group // 10) if with_ids else group)))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(_pack(capacity), SCHEMA + ", sequence_id long, offset long")
+    return dealt.groupBy("grp").applyInPandas(_pack(capacity), schema + ", sequence_id long, offset long")

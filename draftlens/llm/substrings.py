@@ -399,13 +399,16 @@ def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bit
     )
 
 
-def remove_repeats(docs: DataFrame, **params) -> DataFrame:
-    """docs with repeated words cut from text (and n_chars, if there, counted anew); rows and other columns stay."""
+def remove_repeats(docs: DataFrame, keep_emptied: bool = True, **params) -> DataFrame:
+    """docs with repeated words cut from text (and n_chars, if there, counted anew); other columns stay, and rows, save those that lose all
+    their words where keep_emptied is false (rows that had none before stay)."""
     found = find_repeats(docs, with_text=True, **params).filter("n_removed > 0").dropDuplicates(["doc_id", "mark"])
     i, m, k = fresh(docs, "id", "mark", "kept")
     cut = materialize(found.select(F.col("doc_id").alias(i), F.col("mark").alias(m), F.coalesce("kept_text", F.lit("")).alias(k)), "repeats")
     out = docs.join(cut, (F.col("doc_id") == F.col(i)) & (F.hash(docs["text"].cast("string")) == F.col(m)), "left")
     hit = F.col(i).isNotNull()
+    if not keep_emptied:
+        out = out.filter(~hit | (F.trim(k) != ""))
     changed = {"text": F.when(hit, F.col(k)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(hit, F.char_length(k).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

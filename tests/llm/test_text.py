@@ -337,3 +337,5 @@ def test_substring_texts(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert got == {1: (text, 9), 2: ("before\nit\n after", 16), 3: ("clean\ntext", 9), 4: ("", 0), 5: (None, None)}
     assert out.columns == ["doc_id", "text", "n_chars"]
+    rest = substrings.remove_repeats(spark.createDataFrame([*rows, (6, " ", 1)], "doc_id long, text string, n_chars long"), keep_emptied=False)
+    assert sorted(r["doc_id"] for r in rest.collect()) == [1, 2, 3, 5, 6]
