@@ -173,7 +173,8 @@ def candidates(items: DataFrame, queries: DataFrame, coder: Coder) -> tuple[Data
     flips = F.array(*map(F.lit, masks(coder.bits)))
     buckets = own.select("h", F.explode("keys").alias("key"))
     probes = asked.select(F.col("h").alias("qh"), F.explode("keys").alias("key")).select("qh", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-    pairs = probes.join(buckets, "key").select("qh", "h").distinct()
+    # sizes of exploded rows are not known to the planner, which would broadcast them
+    pairs = probes.hint("merge").join(buckets, "key").select("qh", "h").distinct()
     return pairs, own.select("h", "code"), asked.select(F.col("h").alias("qh"), F.col("code").alias("qcode"))
 
 
