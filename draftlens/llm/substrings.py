@@ -4,19 +4,21 @@ A window is `size` consecutive words of one document. Every word covered by a wi
 in a document with a smaller doc_id goes. Windows are judged on the input, not on what is left.
 
 How it runs
-1. One scan hashes every window. A window is filed under its minimiser, the least hash among the runs of `stem` words
+1. One scan hashes every window, and gives each document a digest (SHA-256 of its words). Documents of the same words
+   are one from here on, that of the smallest doc_id; the others are passed over in the scans below. A window is filed under its minimiser, the least hash among the runs of `stem` words
    in it: equal windows have equal minimisers, and neighbours mostly share one, so a document has about one key for
-   13 words. The scan also gives each document's own digest (SHA-256 of its words); documents of the same words are one
-   from here on.
-2. Count-min sketch of the keys, two rows of cells, two to four times as many as there are keys. A partition counts its
-   keys in arrays of counters that stop at two, and writes them in blocks of `1 << BLOCK_BITS` cells, as bit arrays
-   or as lists of cells, whichever is smaller. Blocks of one range of cells are added up in one array as they stream by; no task holds more
-   than one such array and a bounded number of keys. The count of a key's cell is never below the number of documents
-   with the key, nor that below the number with the window, so a window whose estimate is 1 can't be repeated. The
-   merged sketch, a bit for each cell that reaches two, is broadcast if it takes at most `SKETCH_BROADCAST` bytes, as
-   its size is known by then; beyond that keys are joined with the cells.
-3. Second pass: windows estimated repeated, and no others, are grouped by a 128-bit BLAKE2 digest of their words, so
-   that groups are those of equal words; the smallest doc_id of each group is kept.
+   13 words.
+2. Count-min sketch of the keys, two rows of cells, 8 to 16 times as many as there are keys. A partition counts its
+   keys in arrays of counters that stop at two, and writes them in blocks of `1 << BLOCK_BITS` cells, as bit arrays or
+   as lists of cells, whichever is smaller. Blocks of one range of cells are added up in one array as they stream by; no
+   task holds more than one such array and a bounded number of keys. The count of a key's cell is never below the number
+   of documents with the key, nor that below the number with the window, so a window whose estimate is 1 can't be
+   repeated. The merged sketch, a bit for each cell that reaches two, is broadcast if it takes at most
+   `SKETCH_BROADCAST` bytes, as its size is known by then, and a second scan looks its keys up; beyond that keys
+   are joined with the cells, and what is left of them with the texts.
+3. Second pass: windows estimated repeated, and no others, get a 128-bit BLAKE2 digest of their words and are grouped by
+   it, so that groups are those of equal words. The smallest doc_id of each group is kept. Groups are counted before
+   their rows are shuffled again; frequent windows are met by broadcast (see spreading.py).
 
 Edge cases: a null or empty text has no words; a text of fewer than `size` words loses nothing; of rows that repeat a
 doc_id none counts as smaller than another; null doc_ids are never the smaller one, and their rows lose what repeats
@@ -44,7 +46,11 @@ SKETCH_ROWS = 2
 SKETCH_BITS = 40
 BLOCK_BITS = 18
 KEYS_AT_ONCE = 2_000_000
-SKETCH_BROADCAST = 32_000_000
+#: Rows of a batch of windows.
+PART = 200_000
+SKETCH_BROADCAST = 64_000_000
+#: Copies of other documents (doc_id and a mark) that are broadcast to be passed over; more are joined.
+COPIES_BROADCAST = 500_000
 
 
 def _keys(words: Words, size: int, stem: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,30 +193,28 @@ def sketch(keys: DataFrame, bits: int) -> DataFrame:
     return parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(_merged_sketch(bits), "row int, block long, bits binary")
 
 
-def _repeated_keys(bits: int, held):
-    """(doc_id, mark, keys) -> the same, less keys whose estimate is one, less rows without keys."""
+def _estimated(keys: np.ndarray, tables: list, bits: int) -> np.ndarray:
+    """Which keys are estimated at two or more."""
     low = min(bits, BLOCK_BITS)
+    out = np.ones(len(keys), dtype=bool)
+    for row, (blocks, data) in enumerate(tables):
+        if not len(blocks):
+            return np.zeros(len(keys), dtype=bool)
+        cells = _cells(keys, row, bits)
+        block = (cells >> np.uint64(low)).astype(np.int64)
+        at = np.minimum(np.searchsorted(blocks, block), len(blocks) - 1)
+        inner = (cells & np.uint64((1 << low) - 1)).astype(np.int64)
+        out &= (blocks[at] == block) & ((data[at, inner >> 3] >> (7 - (inner & 7)).astype(np.uint8)) & 1 == 1)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held.value
-        for batch in batches:
-            lists = batch.column(2)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            keys = lists.flatten().to_numpy().view(np.uint64)
-            full = np.ones(len(keys), dtype=bool)
-            for row, (blocks, data) in enumerate(tables):
-                cells = _cells(keys, row, bits)
-                block = (cells >> np.uint64(low)).astype(np.int64)
-                at = np.minimum(np.searchsorted(blocks, block), max(0, len(blocks) - 1))
-                inner = (cells & np.uint64((1 << low) - 1)).astype(np.int64)
-                full &= (blocks[at] == block) & ((data[at, inner >> 3] >> (7 - (inner & 7)).astype(np.uint8)) & 1 == 1) if len(blocks) else False
-            doc = np.repeat(np.arange(len(sizes)), sizes)[full]
-            some = np.unique(doc)
-            ends = np.append(np.searchsorted(doc, some), len(doc))
-            kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[full].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), kept], names=["doc_id", "mark", "keys"])
 
-    return run
+def _tables(made: DataFrame, bits: int) -> list:
+    """The merged sketch in the driver: for each row the blocks that have bits, and these."""
+    width, out = (1 << min(bits, BLOCK_BITS)) + 7 >> 3, []
+    for row in range(SKETCH_ROWS):
+        got = made.filter(F.col("row") == row).select("block", "bits").toArrow().sort_by("block")
+        out.append((got["block"].to_numpy().astype(np.int64), np.frombuffer(b"".join(got["bits"].to_pylist()), dtype=np.uint8).reshape(-1, width)))
+    return out
 
 
 def _explode_cells(bits: int):
@@ -227,37 +231,23 @@ def _explode_cells(bits: int):
 
 
 def _key_cells(bits: int, row: int):
-    """(doc_id, mark, keys) -> one row for each key, with its cell."""
+    """(doc_id, mark, key) -> the same with the key's cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(2).flatten()
-            doc = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False)))
-            cells = _cells(keys.to_numpy().view(np.uint64), row, bits).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), keys, pa.array(cells)], names=["doc_id", "mark", "key", "cell"])
+            cells = _cells(batch.column(2).to_numpy().view(np.uint64), row, bits).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"])
 
     return run
 
 
-def repeated_keys(docs: DataFrame, bits: int | None = None, broadcast_bytes: int = SKETCH_BROADCAST) -> DataFrame:
-    """docs (doc_id, mark, keys), read three times, with the keys whose estimate over all rows of the sketch is two or more."""
-    if bits is None:
-        n = docs.agg(F.sum(F.size("keys"))).first()[0] or 0
-        bits = min(SKETCH_BITS, max(10, (2 * n).bit_length()))
-    made = materialize(sketch(docs, bits), "sketch")
-    if (made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast_bytes:
-        tables, width = [], (1 << min(bits, BLOCK_BITS)) + 7 >> 3
-        for row in range(SKETCH_ROWS):
-            got = made.filter(F.col("row") == row).select("block", "bits").toArrow().sort_by("block")
-            data = np.frombuffer(b"".join(got["bits"].to_pylist()), dtype=np.uint8).reshape(-1, width)
-            tables.append((got["block"].to_numpy().astype(np.int64), data))
-        return docs.select("doc_id", "mark", "keys").mapInArrow(_repeated_keys(bits, docs.sparkSession.sparkContext.broadcast(tables)), "doc_id long, mark int, keys array<long>")
-    out = docs.select("doc_id", "mark", "keys")
+def repeated_keys(docs: DataFrame, made: DataFrame, bits: int) -> DataFrame:
+    """docs (doc_id, mark, keys) with the keys that the merged sketch estimates at two or more, by joins with its cells."""
+    out = docs.select("doc_id", "mark", F.explode("keys").alias("key"))
     for row in range(SKETCH_ROWS):
         full = made.filter(F.col("row") == row).select("block", "bits").mapInArrow(_explode_cells(bits), "cell long")
-        each = out.mapInArrow(_key_cells(bits, row), "doc_id long, mark int, key long, cell long")
-        out = each.join(full, "cell", "left_semi").groupBy("doc_id", "mark").agg(F.collect_set("key").alias("keys"))
-    return out
+        out = out.mapInArrow(_key_cells(bits, row), "doc_id long, mark int, key long, cell long").join(full, "cell", "left_semi").drop("cell")
+    return out.groupBy("doc_id", "mark").agg(F.collect_set("key").alias("keys"))
 
 
 def _digests(words: Words, data: bytes, at: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,25 +266,25 @@ def _digests(words: Words, data: bytes, at: np.ndarray, doc: np.ndarray, size: i
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def _windows(size: int, stem: int):
-    """(doc_id, mark, text, keys) -> the windows whose minimisers are among keys."""
+def _windows(size: int, stem: int, bits: int = 0, held=None):
+    """(doc_id, mark, text, keys) -> the windows whose minimisers are among keys, or estimated repeated by the tables held: (h1, h2, doc_id, mark, pos)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(3)
             for a, b, buf, offsets in slices(batch.column(2), 1_000_000):
                 words = Words(buf, offsets)
                 at, keys = _keys(words, size, stem)
                 if not len(at):
                     continue
                 doc = words.doc[at]
-                edges = np.searchsorted(doc, np.arange(b - a + 1))
-                hit = np.zeros(len(at), dtype=bool)
-                for d in range(b - a):
-                    s, e = edges[d], edges[d + 1]
-                    if e > s:
-                        mine = lists.slice(a + d, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                        hit[s:e] = np.isin(keys[s:e], mine)
+                if held is not None:
+                    hit = _estimated(keys, held.value, bits)
+                else:
+                    edges = np.searchsorted(doc, np.arange(b - a + 1))
+                    hit = np.zeros(len(at), dtype=bool)
+                    for d in np.flatnonzero(np.diff(edges)).tolist():
+                        mine = batch.column(3).slice(a + d, 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                        hit[edges[d] : edges[d + 1]] = np.isin(keys[edges[d] : edges[d + 1]], mine)
                 at, doc = at[hit], doc[hit]
                 if not len(at):
                     continue
@@ -307,14 +297,12 @@ def _windows(size: int, stem: int):
                 start = np.flatnonzero(new)
                 place = at - words.first[doc]
                 ids, marks = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-                for s in range(0, len(start), 200_000):
-                    some = start[s : s + 200_000]
-                    end = start[s + 200_000] if s + 200_000 < len(start) else len(at)
+                for s in range(0, len(start), PART):
+                    some = start[s : s + PART]
+                    end = start[s + PART] if s + PART < len(start) else len(at)
                     places = pa.ListArray.from_arrays(pa.array(np.append(some, end) - some[0], pa.int32()), pa.array(place[some[0] : end], pa.int32()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1[some]), pa.array(h2[some]), ids.take(pa.array(doc[some])), marks.take(pa.array(doc[some])), places],
-                        names=["h1", "h2", "doc_id", "mark", "pos"],
-                    )
+                    of = pa.array(doc[some])
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[some]), pa.array(h2[some]), ids.take(of), marks.take(of), places], names=["h1", "h2", "doc_id", "mark", "pos"])
 
     return run
 
@@ -354,7 +342,7 @@ def _cut(size: int, with_text: bool):
     return run
 
 
-def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bits: int | None = None, with_text: bool = False, broadcast_bytes: int = SKETCH_BROADCAST) -> DataFrame:
+def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bits: int | None = None, with_text: bool = False, broadcast_bytes: int = SKETCH_BROADCAST, broadcast_copies: int = COPIES_BROADCAST) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and mark (a hash of text), kept_text.
 
     kept_text is null where nothing was removed; without with_text it is so for all but whole copies.
@@ -368,34 +356,40 @@ def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bit
     sig = materialize(base.mapInArrow(_signatures(size, stem), "doc_id long, mark int, n_words long, d1 long, d2 long, sha string, keys array<long>"), "windows")
 
     # documents of the same words are one, under the smallest doc_id
+    row = ["doc_id", "mark"]
     eligible = (F.col("n_words") >= size) & F.col("doc_id").isNotNull()
-    one = sig.filter(eligible).groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark", "keys")).alias("x"), F.count("*").alias("n"))
-    one = materialize(one.select("d1", "d2", "n", "x.doc_id", "x.mark", "x.keys"), "distinct")
-    survivors = repeated_keys(one, sketch_bits, broadcast_bytes)
+    least = sig.filter(eligible).groupBy("d1", "d2").agg(F.min(F.struct(*row)).alias("x"), F.count("*").alias("n"))
+    least = materialize(least.select("d1", "d2", "n", F.col("x.doc_id").alias("least"), F.col("x.mark").alias("least_mark")), "distinct")
+    named = materialize(join_hot(sig.drop("keys"), least, ["d1", "d2"], F.xxhash64(*row, "n_words"), sig.count(), eligible=eligible), "named")
+    second = (F.col("doc_id") != F.col("least")) | (F.col("mark") != F.col("least_mark"))
+    copies = named.filter(eligible & second).select(*row).distinct()
+    held = F.broadcast(copies) if copies.count() <= broadcast_copies else copies
+    own = sig.filter(eligible).select(*row, "keys").join(held, row, "left_anti")
+    bits = sketch_bits
+    if bits is None:
+        bits = min(SKETCH_BITS, max(10, (8 * (own.agg(F.sum(F.size("keys"))).first()[0] or 0)).bit_length()))
+    made = materialize(sketch(own, bits), "sketch")
+    schema, texts = "h1 long, h2 long, doc_id long, mark int, pos array<int>", base.filter("doc_id is not null").select(*row, "text").join(held, row, "left_anti")
+    if (made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast_bytes:
+        rows = texts.mapInArrow(_windows(size, stem, bits, spark.sparkContext.broadcast(_tables(made, bits))), schema)
+    else:
+        rows = texts.join(repeated_keys(own, made, bits), row).select(*row, "text", "keys").mapInArrow(_windows(size, stem), schema)
+    rows = materialize(rows, "repeated")
 
-    row = ["doc_id", "mark"]
-    cand = materialize(base.join(survivors, row).select(*row, "text", "keys"), "candidates")
-    rows = materialize(cand.mapInArrow(_windows(size, stem), "h1 long, h2 long, doc_id long, mark int, pos array<int>"), "digests")
     groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), F.count("*").alias("n")).filter("m < x").drop("x")
     met = join_hot(rows, materialize(groups, "groups"), ["h1", "h2"], F.xxhash64(*row, "h1"), rows.count())
     marked = met.filter(F.col("doc_id") > F.col("m")).groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
-    cut = cand.join(marked, row).select(*row, "text", "pos").mapInArrow(_cut(size, with_text), "doc_id long, mark int, n_removed long, kept_sha256 string, kept_text string")
-    cut = cut.groupBy("doc_id", F.col("mark").alias("least_mark")).agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")))
-    least = one.select("d1", "d2", "n", F.col("doc_id").alias("least"), F.col("mark").alias("least_mark"))
-    named = join_hot(sig.drop("keys"), least, ["d1", "d2"], F.xxhash64("doc_id", "mark", "n_words"), sig.count(), eligible=eligible)
-
+    cut = texts.join(marked, row).mapInArrow(_cut(size, with_text), "doc_id long, mark int, n_removed long, kept_sha256 string, kept_text string")
+    cut = cut.groupBy(*row).agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")))
     empty = hashlib.sha256(b"").hexdigest()
     copy = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least"))
-    return (
-        named.join(cut, ["doc_id", "least_mark"], "left")
-        .select(
-            "doc_id",
-            "n_words",
-            F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-            F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-            "mark",
-            F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-        )
+    return named.join(cut.withColumnRenamed("mark", "least_mark"), ["doc_id", "least_mark"], "left").select(
+        "doc_id",
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        "mark",
+        F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
     )
 
 

@@ -288,9 +288,10 @@ def test_substrings(spark, bits):
 
 def test_substrings_by_joins_with_cells(spark):
     docs = [(i, " ".join(f"w{(i * 7 + k) % 60}" for k in range(80)) + f" end{i}") for i in range(30)] + [(40, None), (41, "a b")]
+    docs += [(50 + i, docs[i % 3][1]) for i in range(9)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     run = lambda **p: sorted(tuple(r) for r in substrings.find_repeats(df, size=10, stem=5, **p).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
-    assert run(broadcast_bytes=0) == run() == run(sketch_bits=3, broadcast_bytes=0)
+    assert run(broadcast_bytes=0) == run() == run(sketch_bits=3, broadcast_bytes=0, broadcast_copies=0)
     assert {(i, n, g) for i, n, g, _ in run()} == {(i, n, g) for i, n, g, _ in plain_repeats(docs, 10)}
 
 
@@ -307,17 +308,20 @@ def test_words_that_polynomials_confuse(spark):
 
 def test_sketch_never_undercounts(spark):
     rng = np.random.default_rng(8)
-    lists = [rng.integers(0, 3000, rng.integers(0, 60)).tolist() for _ in range(200)]
-    df = spark.createDataFrame([(i, 0, sorted(set(x))) for i, x in enumerate(lists)], "doc_id long, mark int, keys array<long>").repartition(7)
+    lists = [sorted(set(rng.integers(0, 3000, rng.integers(0, 60)).tolist())) for _ in range(200)]
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lists)], "doc_id long, mark int, keys array<long>").repartition(7)
     count = defaultdict(int)
     for x in lists:
-        for k in set(x):
+        for k in x:
             count[k] += 1
-    for bits, broadcast in ((None, 10**9), (None, 0), (6, 10**9), (30, 10**9)):
-        kept = {(r["doc_id"], k) for r in substrings.repeated_keys(df, bits, broadcast).collect() for k in r["keys"]}
-        assert {(i, k) for i, x in enumerate(lists) for k in set(x) if count[k] > 1} <= kept
-        if bits == 30:
-            assert all(count[k] > 1 for _, k in kept)
+    every = np.array(sorted(count), dtype=np.uint64)
+    for bits in (6, 14, 30):
+        made = substrings.sketch(df, bits).cache()
+        full = set(every[substrings._estimated(every, substrings._tables(made, bits), bits)].tolist())
+        assert {k for k in count if count[k] > 1} <= full
+        assert bits < 30 or all(count[k] > 1 for k in full)
+        joined = {(r["doc_id"], k) for r in substrings.repeated_keys(df, made, bits).collect() for k in r["keys"]}
+        assert joined == {(i, k) for i, x in enumerate(lists) for k in x if k in full}
 
 
 def test_word_hashes_tell_words_apart():
