@@ -46,6 +46,22 @@ def tokens(text: Column, pattern: str = r"(?U)\w+") -> Column:
     return F.regexp_extract_all(F.lower(empty_if_null(text)), F.lit(pattern), F.lit(0))
 
 
+def lexical_diversity(found: Column) -> Column:
+    """Distinct over all tokens, four digits; null for none."""
+    return F.round(F.try_divide(F.size(F.array_distinct(found)).cast("double"), F.size(found)), 4)
+
+
+def nfc(text: Column) -> Column:
+    """Text in NFC. Python sees only what holds a character that composition can change; the rest comes back as it is."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def composed(x):
+        return x.str.normalize("NFC")
+
+    return F.when(text.rlike(r"[^\x00-\x{2FF}]"), composed(text)).otherwise(text)
+
+
 def set_jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct members; two empty sets are equal, one empty set shares nothing."""
     both = F.size(F.array_union(a, b))

@@ -103,6 +103,11 @@ def discontinuity(revisions: DataFrame) -> DataFrame:
     return rows.mapInArrow(_ncd, "doc_id string, revision_index int, ncd double")
 
 
+def compression_anomalies(revisions: DataFrame, cut: float = vocab.NCD_CUT) -> DataFrame:
+    """Whether each revision's compression distance from the one before lies above cut."""
+    return discontinuity(revisions).withColumn("anomalous", F.col("ncd") > cut)
+
+
 def baselines(scores: DataFrame, cut: float = vocab.NCD_CUT) -> DataFrame:
     """AUC of the score and F1 above cut, as (metric, value): scores (y boolean, ncd, coupling)."""
     parts = [

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlens.operators.ordering import running_sum, sequenced
+from draftlens.operators.ordering import broken, running_sum, sequenced
 from draftlens.vocab import GAP_BINS
 
 
@@ -174,17 +174,22 @@ def transition_matrix(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def _runs(log: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     rows = log.filter(~F.col("label").isin(*skip)) if skip else log
-    rows = sequenced(rows, "project")
-    new = F.col("prev").isNull() | ~F.col("label").eqNullSafe(F.col("prev.label"))
-    rows = running_sum(rows, new.cast("int"), "run", "project").withColumn("run", F.col("run") - 1)
+    at = lambda side: F.col(f"{side}.label" if side else "label")
+    rows = broken(rows, lambda before, after: F.when(~at(before).eqNullSafe(at(after)), True), "run", "project")
     return rows.groupBy("project", "run").agg(
-        F.first("label").alias("label"), F.min("place").cast("int").alias("first"), F.max("place").cast("int").alias("last"), F.count("*").alias("length"), F.first("total").alias("total")
+        F.first("label").alias("label"),
+        F.min("place").cast("int").alias("first"),
+        F.max("place").cast("int").alias("last"),
+        F.count("*").alias("length"),
+        F.first("total").alias("total"),
+        F.min("ts").alias("start_ts"),
+        F.max("ts").alias("end_ts"),
     )
 
 
 def runs(log: DataFrame, skip: Sequence[str] = ()) -> DataFrame:
     """Runs of equal labels in a project: run, label, first and last place, length."""
-    return _runs(log, skip).drop("total")
+    return _runs(log, skip).drop("total", "start_ts", "end_ts")
 
 
 def run_edges(log: DataFrame, skip: Sequence[str] = ("Artifact", "No Label")) -> DataFrame:
@@ -227,13 +232,43 @@ def windowed_labels(log: DataFrame, windows: int = 10) -> DataFrame:
     return rows.withColumn("win", w).groupBy("project", "label", "win").agg(F.count("*").alias("n"))
 
 
-def uniform_distance(windowed: DataFrame, windows: int = 10) -> DataFrame:
-    """Mean absolute difference between a label's window shares and an even spread: Wasserstein for constant targets."""
+def uniform_distance(windowed: DataFrame) -> DataFrame:
+    """Mean absolute difference between a label's shares of the project's windows and an even spread: Wasserstein for constant targets."""
     of = F.sum("n").over(Window.partitionBy("project", "label"))
-    share = windowed.withColumn("p", F.col("n") / of)
+    most = windowed.groupBy("project").agg((F.max("win") + 1).alias("windows"))  # one row a project; a small one has fewer than asked for
+    share = windowed.withColumn("p", F.col("n") / of).join(most, "project")
     # windows without the label have share 0
-    out = share.groupBy("project", "label").agg(F.sum(F.abs(F.col("p") - 1.0 / windows)).alias("s"), F.count("*").alias("k"))
-    return out.select("project", "label", F.round((F.col("s") + (windows - F.col("k")) * (1.0 / windows)) / windows, 6).alias("w1"))
+    even = 1.0 / F.col("windows")
+    out = share.groupBy("project", "label", "windows").agg(F.sum(F.abs(F.col("p") - even)).alias("s"), F.count("*").alias("k"))
+    return out.select("project", "label", F.round((F.col("s") + (F.col("windows") - F.col("k")) * even) / F.col("windows"), 6).alias("w1"))
+
+
+def dashboard(log: DataFrame, start: str, end: str, by: str, grain: str = "day", keep: Column | None = None) -> DataFrame:
+    """Counts of the edits that keep says, by key and bucket, zero where a key has none: every key seen has all buckets."""
+    lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    seen = log.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
+    seen = seen.filter(keep) if keep is not None else seen
+    counts = seen.groupBy(F.coalesce(F.col(by).cast("string"), F.lit("null")).alias("key"), F.date_trunc(grain, F.col("ts")).cast("date").alias("bucket")).agg(F.count("*").alias("n"))
+    buckets = F.sequence(F.date_trunc(grain, lo).cast("date"), F.date_sub(hi.cast("date"), 1), F.expr(f"interval 1 {grain}"))
+    # a key's counts are one map of a bounded number of buckets, laid over the calendar
+    maps = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"))
+    return maps.select("key", "m", F.explode(buckets).alias("bucket")).select("key", "bucket", F.coalesce(F.try_element_at("m", F.col("bucket")), F.lit(0)).cast("long").alias("n"))
+
+
+def present(log: DataFrame, column: str, *without: str) -> DataFrame:
+    """Rows that have a value in column, and none of those left out."""
+    out = log.filter(F.col(column).isNotNull())
+    return out.filter(~F.col(column).isin(*without)) if without else out
+
+
+def local_index(log: DataFrame, *keys: str) -> DataFrame:
+    """Adds index, the place of an edit (from 0) among those of its keys."""
+    return sequenced(log, *keys).withColumn("index", F.col("place").cast("long")).drop("place", "total", "prev", "nxt")
+
+
+def gantt(log: DataFrame) -> DataFrame:
+    """One bar for each run of equal labels of a project: its label, first and last time, and edits."""
+    return _runs(log).select("project", "run", "label", "start_ts", "end_ts", "length")
 
 
 def temporal_mean(windowed: DataFrame, windows: int = 10) -> DataFrame:

@@ -134,9 +134,32 @@ def rotation(rows: DataFrame, place: Column, levels: tuple[str, ...], states: tu
 
 
 def diverse(rows: DataFrame, group: str, score: str, key: str, cap: int, k: int) -> DataFrame:
-    """The best k, with at most cap from a group while others are left: rounds by rank within groups."""
+    """The best k, with at most cap from a group: rounds by rank within groups."""
     w = Window.partitionBy(group).orderBy(F.desc(score), key)
-    return rows.withColumn("_r", F.row_number().over(w)).withColumn("_over", (F.col("_r") > cap).cast("int")).orderBy("_over", "_r", F.desc(score), key).limit(k).drop("_r", "_over")
+    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).orderBy("_r", F.desc(score), key).limit(k).drop("_r")
+
+
+def select_models(rows: DataFrame, k: int, cap: int, cost_limit: float | None = None, budget: bool = True, second_tier: int = 6) -> DataFrame:
+    """Choose k of rows (key, vendor, priority, score, cost), at most cap of a vendor, in three phases: phase, then order.
+
+    1: the best affordable of each vendor, by priority. 2: of the first `second_tier` vendors their next affordable ones,
+    the best left out whatever it costs. 3: what is cheapest of the rest, whatever the limit.
+    """
+    vendors = rows.groupBy("vendor").agg(F.min("priority").alias("_p"))
+    place = F.row_number().over(Window.orderBy("_p", "vendor"))  # one row a vendor
+    every = rows.join(vendors.withColumn("_v", place), "vendor")
+    fits = F.lit(True) if cost_limit is None else F.col("cost") <= cost_limit
+    best = Window.partitionBy("vendor").orderBy(F.desc("score"), "key")
+    every = every.withColumns({"_i": F.row_number().over(best), "_fits": fits})
+    every = every.withColumn("_a", F.sum(F.col("_fits").cast("int")).over(best.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.col("_fits") & (F.col("_a") == 1)
+    next_ = F.col("_fits") & ~first & (F.col("_i") > 1) & (F.col("_v") <= second_tier)
+    every = every.withColumn("phase", F.when(first, 1).when(next_ & (F.col("_a") <= cap), 2).otherwise(3))
+    taken = F.count(F.when(F.col("phase") < 3, 1)).over(Window.partitionBy("vendor"))
+    cheap = F.row_number().over(Window.partitionBy("vendor", F.col("phase") == 3).orderBy("cost", F.desc("score"), "key"))
+    every = every.withColumns({"_taken": taken, "_c": cheap}).filter((F.col("phase") < 3) | (F.lit(budget) & (F.col("_taken") + F.col("_c") <= cap)))
+    order = [F.col("phase"), F.when(F.col("phase") < 3, F.col("_v")), F.when(F.col("phase") < 3, F.col("_i")), "cost", F.desc("score"), "key"]
+    return every.orderBy(*order).limit(k).select(*rows.columns, "phase")
 
 
 def fallbacks(rows: DataFrame, primary: DataFrame, k: int = 3) -> DataFrame:

@@ -7,6 +7,8 @@ a row for each bucket (its size, first and last row, and sums), which is small e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,30 @@ def sequenced(rows: DataFrame, *keys: str, ts: str = "ts", tie: str = "tie", car
     return out.drop("_bucket", "_r", "_lag", "_lead", "_before", "_p", "_x")
 
 
+def broken(rows: DataFrame, breaks: Callable[[str, str], Column], name: str, *keys: str, ts: str = "ts", tie: str = "tie", carry: tuple[str, ...] = ("label",), grain: str = GRAIN) -> DataFrame:
+    """sequenced(), and as name the number of breaks up to and including each row, in the same pass over the rows.
+
+    breaks(before, after) is not null where a break lies between two rows; each is "" for the row itself or the name
+    of a struct with ts, tie and carry. Within a bucket breaks are counted beside the other windows, between buckets on the
+    table of edges.
+    """
+    rows = _bucketed(rows, ts, grain)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie)
+    here = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), *carry)
+    inner = rows.withColumns({"_r": F.row_number().over(w), "_lag": F.lag(here).over(w), "_lead": F.lead(here).over(w)})
+    inner = inner.withColumn("_b", F.when(F.col("_lag").isNotNull(), breaks("_lag", "").isNotNull().cast("int")).otherwise(0))
+    inner = inner.withColumn("_in", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = inner.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.sum("_b").alias("_s"), F.min_by(here, F.struct(ts, tie)).alias("_f"), F.max_by(here, F.struct(ts, tie)).alias("_l"))
+    v = Window.partitionBy(*keys).orderBy("_bucket")
+    earlier = v.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumns({"_p": F.lag("_l").over(v), "_x": F.lead("_f").over(v), "total": F.sum("_n").over(Window.partitionBy(*keys))})
+    edges = edges.withColumn("_e", F.when(F.col("_p").isNotNull(), breaks("_p", "_f").isNotNull().cast("int")).otherwise(0))
+    edges = edges.withColumns({"_before": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_base": F.coalesce(F.sum(F.col("_s") + F.col("_e")).over(earlier), F.lit(0)) + F.col("_e")})
+    out = _back(inner, edges.select(*keys, "_bucket", "total", "_p", "_x", "_before", "_base"), keys)
+    out = out.withColumns({"place": F.col("_before") + F.col("_r") - 1, "prev": F.coalesce("_lag", "_p"), "nxt": F.coalesce("_lead", "_x"), name: F.col("_base") + F.col("_in")})
+    return out.drop("_bucket", "_r", "_lag", "_lead", "_b", "_in", "_p", "_x", "_before", "_base")
+
+
 def running_sum(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str = GRAIN) -> DataFrame:
     """Adds the sum of value over the key's rows up to and including each."""
     rows = _bucketed(rows, ts, grain).withColumn("_v", value)

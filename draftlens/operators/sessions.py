@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlens.operators.events import minutes
-from draftlens.operators.ordering import running_sum, sequenced
+from draftlens.operators.ordering import broken, running_sum, sequenced
 from draftlens.vocab import SESSION_COSINE, SESSION_GAP_MINUTES
 
 
@@ -22,8 +22,6 @@ def mark_sessions(log: DataFrame, gap: float = SESSION_GAP_MINUTES, label_breaks
 
     A cause is gap, label, similarity or null. similarity: a column of each edit's likeness to the one before.
     """
-    rows = sequenced(log, "project", carry=("label", *([similarity] if similarity else [])))
-
     def cause(before: str, after: str) -> Column:
         at = lambda side, c: F.col(f"{side}.{c}") if side else F.col(c)
         out = F.when(minutes(at(after, "ts"), at(before, "ts")) > gap, "gap")
@@ -33,8 +31,8 @@ def mark_sessions(log: DataFrame, gap: float = SESSION_GAP_MINUTES, label_breaks
             out = out.when(at(after, similarity) < least_similarity, "similarity")
         return out
 
-    rows = rows.withColumns({"cause": F.when(F.col("prev").isNotNull(), cause("prev", "")), "next_cause": F.when(F.col("nxt").isNotNull(), cause("", "nxt"))})
-    return running_sum(rows, F.col("cause").isNotNull().cast("int"), "session", "project")
+    rows = broken(log, cause, "session", "project", carry=("label", *([similarity] if similarity else [])))
+    return rows.withColumns({"cause": F.when(F.col("prev").isNotNull(), cause("prev", "")), "next_cause": F.when(F.col("nxt").isNotNull(), cause("", "nxt"))})
 
 
 def sessions(marked: DataFrame, least_minutes: float = 1.0, strict: bool = False) -> DataFrame:

@@ -62,10 +62,10 @@ def overlaps(spans: DataFrame) -> DataFrame:
     return rows.filter("next_start < end").select("doc_id", "revision_index", "injection_id", "next_id")
 
 
-def iou(predicted: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
-    """Intersection over union of merged intervals (start, end) within keys (none: all on one axis).
+def iou(predicted: DataFrame, truth: DataFrame, *keys: str, every: DataFrame | None = None) -> DataFrame:
+    """Intersection over union of merged intervals (start, end) within keys (none: all on one axis). Two empty sides agree: 1.
 
-    Swept over end points: at each the number of open intervals of either side is a running sum, so no pairs are made.
+    every: the keys that get a row even if neither side has an interval there; without keys there is one row in any case. Swept over end points: at each the number of open intervals of either side is a running sum, so no pairs are made.
     """
     keys = keys or ("_all",)
 
@@ -79,8 +79,11 @@ def iou(predicted: DataFrame, truth: DataFrame, *keys: str) -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     seg = both.withColumns({"p": F.sum("dp").over(run) > 0, "t": F.sum("dt").over(run) > 0, "len": F.lead("at").over(w) - F.col("at")})
     sums = seg.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("p") & F.col("t"), F.col("len"))), F.lit(0)).alias("inter"), F.coalesce(F.sum(F.when(F.col("p") | F.col("t"), F.col("len"))), F.lit(0)).alias("union"))
-    out = sums.withColumn("iou", F.round(F.coalesce(F.try_divide("inter", "union"), F.lit(0.0)), 6))
-    return out.drop("_all")
+    if "_all" in keys:
+        sums = sums.agg(F.coalesce(F.max("inter"), F.lit(0)).cast("long").alias("inter"), F.coalesce(F.max("union"), F.lit(0)).cast("long").alias("union"))
+    elif every is not None:
+        sums = every.select(*keys).distinct().join(sums, list(keys), "left").na.fill(0, ["inter", "union"])
+    return sums.withColumn("iou", F.round(F.coalesce(F.try_divide("inter", "union"), F.lit(1.0)), 6))
 
 
 # rules, as rows
@@ -100,16 +103,45 @@ def constraint_violations(spans: DataFrame) -> DataFrame:
 
 
 def boundary_violations(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Offsets inside the text and in order; where spans have start_sentence and end_sentence, those too."""
     n = revisions.select("doc_id", "revision_index", F.char_length("text").alias("_n"))
     s, e = F.col("start"), F.col("end")
-    return _violations(
-        spans.join(n, ["doc_id", "revision_index"]),
-        "boundary",
+    rules = [
         (s < 0, F.concat(F.lit("start "), s.cast("string"), F.lit(" is negative"))),
-        (e < 0, F.concat(F.lit("end "), e.cast("string"), F.lit(" is negative"))),
+        (e > F.col("_n"), F.concat(F.lit("end "), e.cast("string"), F.lit(" exceeds text length "), F.col("_n").cast("string"))),
         (s > e, "start lies after end"),
-        (s > F.col("_n"), "start lies after the text"),
-        (e > F.col("_n"), "end lies after the text"),
+    ]
+    if {"start_sentence", "end_sentence"} <= set(spans.columns):
+        a, b = F.col("start_sentence"), F.col("end_sentence")
+        rules += [(a < 0, F.concat(F.lit("start sentence "), a.cast("string"), F.lit(" is negative"))), (a > b, "start sentence lies after end sentence")]
+    return _violations(spans.join(n, ["doc_id", "revision_index"]), "boundary", *rules)
+
+
+def revision_violations(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+    """What a check of one revision reports: a span out of bounds, once, and what an injection's trace does not earn."""
+    n = revisions.select("doc_id", "revision_index", F.char_length("text").alias("_n"))
+    out = _violations(spans.join(n, ["doc_id", "revision_index"]), "boundary", ((F.col("start") < 0) | (F.col("end") > F.col("_n")), "Offset out of bounds"))
+    earned = earned_label_violations(spans.filter(F.col("label").startswith("injection.")))
+    return out.unionByName(earned.withColumn("error_type", F.lit("causal_integrity")))
+
+
+def trace_sufficiency_violations(spans: DataFrame) -> DataFrame:
+    """Warm states need three events, assimilated ones five."""
+    n = F.coalesce(F.size("trace"), F.lit(0))
+    rule = lambda state, least: ((F.col("state") == state) & (n < least), F.concat(F.lit(f"{state} requires {least} events, got "), n.cast("string")))
+    return _violations(spans, "trace_sufficiency", rule("warm", vocab.TRACE_WARM), rule("assimilated", vocab.TRACE_ASSIMILATED))
+
+
+def coupling_flag_violations(spans: DataFrame) -> DataFrame:
+    """Medium and high flags need a trace, and a coupling that supports them."""
+    rows = traces.with_signatures(spans.withColumn("_t", F.coalesce("trace", F.array().cast(spans.schema["trace"].dataType))), "_t").withColumn("_n", F.size("_t"))
+    flag, r, n = F.col("flag"), F.abs("coupling"), F.col("_n")
+    return _violations(
+        rows,
+        "coupling_support",
+        (flag.isin("medium", "high") & (n == 0), F.concat(flag, F.lit(" requires a trace"))),
+        ((flag == "high") & (n > 0) & (r < vocab.COUPLING_EARNED_HIGH), "high requires coupling 0.5"),
+        ((flag == "medium") & (n > 0) & (r < vocab.COUPLING_EARNED_WARM), "medium requires coupling 0.3"),
     )
 
 
@@ -204,8 +236,8 @@ def leakage_violations(spans: DataFrame, revisions: DataFrame) -> DataFrame:
 
 
 def validate(spans: DataFrame, revisions: DataFrame, leakage: bool = True) -> DataFrame:
-    """All violations that a full check reports: boundaries, earned labels and flags, monotonicity, and leakage if asked."""
-    parts = [boundary_violations(spans, revisions), earned_label_violations(spans), earned_flag_violations(spans, erosion(spans)), monotonicity_violations(spans)]
+    """All violations that a full check reports: each revision's, earned flags, monotonicity, and leakage if asked."""
+    parts = [revision_violations(spans, revisions), earned_flag_violations(spans, erosion(spans)), monotonicity_violations(spans)]
     return union_all(parts + ([leakage_violations(spans, revisions)] if leakage else []))
 
 

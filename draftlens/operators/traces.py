@@ -87,10 +87,10 @@ def signature_anomaly(locality: Column, coupling: Column) -> Column:
 
 
 def anomaly_spans(spans: DataFrame) -> DataFrame:
-    """New spans, on the offsets of injections whose signatures no human shows; the id keeps the injection's whole id."""
+    """New spans, on the offsets of injections whose signatures no human shows; the id keeps the first eight characters of the injection's."""
     rows = with_signatures(spans.filter(F.col("label").startswith("injection.")), "trace")
     rows = rows.withColumn("_a", signature_anomaly(F.col("locality"), F.col("coupling"))).filter("_a is not null")
-    return rows.select("doc_id", "revision_index", F.concat(F.lit("anom_"), "injection_id").alias("injection_id"), F.col("_a").alias("label"), F.lit("high").alias("flag"), "start", "end", "locality", "coupling")
+    return rows.select("doc_id", "revision_index", F.concat(F.lit("anom_"), F.substring("injection_id", 1, 8)).alias("injection_id"), F.col("_a").alias("label"), F.lit("high").alias("flag"), "start", "end", "locality", "coupling")
 
 
 def state_from_signatures(plausible: Column, coupling: Column, locality: Column) -> Column:

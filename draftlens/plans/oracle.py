@@ -99,7 +99,7 @@ pt AS (SELECT {k}s AS x, CASE WHEN injection_id LIKE 'inj%' THEN 1 ELSE 0 END AS
 ag AS (SELECT {k}x, sum(dp) AS dp, sum(dt) AS dt FROM pt GROUP BY {k}x),
 sg AS (SELECT {k}sum(dp) OVER w > 0 AS p, sum(dt) OVER w > 0 AS t, lead(x) OVER ({part} ORDER BY x) - x AS len FROM ag WINDOW w AS ({part} ORDER BY x ROWS UNBOUNDED PRECEDING)),
 su AS (SELECT {k}CAST(coalesce(sum(CASE WHEN p AND t THEN len END), 0) AS BIGINT) AS inter, CAST(coalesce(sum(CASE WHEN p OR t THEN len END), 0) AS BIGINT) AS "union" FROM sg {group})
-SELECT {k}inter, "union", round(coalesce(inter * 1.0 / nullif("union", 0), 0), 6) AS iou FROM su"""
+SELECT {k}inter, "union", round(coalesce(inter * 1.0 / nullif("union", 0), 1), 6) AS iou FROM su"""
 
 
 _PAIRS = "pairs AS (SELECT l.doc_id, quality, toxic, n_chars, source, lang FROM labels l JOIN documents d USING (doc_id))"
@@ -189,7 +189,7 @@ SQL: dict[str, str] = {
     "flow_links": f"WITH {_LOG}, {_runs(where=chr(87) + 'HERE label <> ' + chr(39) + 'error' + chr(39))}, x AS (SELECT label AS source, lead(label) OVER (PARTITION BY project ORDER BY run) AS target FROM runs) SELECT source, target, count(*) AS n FROM x WHERE target IS NOT NULL AND source <> 'signup' AND target <> 'signup' GROUP BY ALL",
     "run_composition": f"WITH {_LOG}, {_runs('CASE WHEN label = ' + chr(39) + 'view' + chr(39) + ' THEN ' + chr(39) + 'labelled' + chr(39) + ' ELSE ' + chr(39) + 'unlabelled' + chr(39) + ' END')} SELECT project, run, label, length, round(100.0 * length / sum(length) OVER (PARTITION BY project), 6) AS pct FROM runs",
     "windowed_label_dist": f"WITH {_LOG}, {_WIN} SELECT * FROM win",
-    "label_uniform_w1": f"WITH {_LOG}, {_WIN}, g AS (SELECT p.project, p.label, w.range AS win FROM (SELECT DISTINCT project, label FROM win) p CROSS JOIN range(10) w), x AS (SELECT g.*, coalesce(win.n, 0) * 1.0 / sum(coalesce(win.n, 0)) OVER (PARTITION BY g.project, g.label) AS p FROM g LEFT JOIN win ON win.project = g.project AND win.label = g.label AND win.win = g.win) SELECT project, label, round(avg(abs(p - 0.1)), 6) AS w1 FROM x GROUP BY ALL",
+    "label_uniform_w1": f"WITH {_LOG}, {_WIN}, k AS (SELECT project, max(win) + 1 AS k FROM win GROUP BY project), g AS (SELECT p.project, p.label, k.k, w.range AS win FROM (SELECT DISTINCT project, label FROM win) p JOIN k USING (project) JOIN range(10) w ON w.range < k.k), x AS (SELECT g.*, coalesce(win.n, 0) * 1.0 / sum(coalesce(win.n, 0)) OVER (PARTITION BY g.project, g.label) AS p FROM g LEFT JOIN win ON win.project = g.project AND win.label = g.label AND win.win = g.win) SELECT project, label, round(avg(abs(p - 1.0 / k)), 6) AS w1 FROM x GROUP BY project, label",
     "label_temporal_mean": f"WITH {_LOG}, {_WIN}, x AS (SELECT *, n * 1.0 / sum(n) OVER (PARTITION BY project, label) AS p, n * 1.0 / max(n) OVER (PARTITION BY project, label) AS rel FROM win) SELECT project, label, round(sum(p * (win + 0.5) / 10), 6) AS mean_time, round(avg(rel), 6) AS mean_rel FROM x GROUP BY ALL",
     "phase_shares": f"WITH {_LOG}, {_PH} " + " UNION ALL ".join(f"SELECT project, label, count(*) AS n, {k} AS phase FROM ({_phase(k)}) GROUP BY project, label" for k in (1, 2, 3)),
     "sessions_gap": f"WITH {_LOG}, {_sessions()} SELECT project, session, start_ts, end_ts, n, round(minutes, 4) AS minutes FROM ses",
@@ -205,7 +205,7 @@ SQL: dict[str, str] = {
     "sliding_counts": "WITH x AS (SELECT CAST(ts AS DATE) AS d FROM events), y AS (SELECT d AS s FROM x UNION ALL SELECT d - 1 FROM x) SELECT strftime(s, '%Y-%m-%d') AS start_s, count(*) AS n FROM y GROUP BY 1",
     "word_delta_by_conv": f"WITH {_REV}, x AS (SELECT doc_id, revision_index, len({_words('text')}) AS n FROM rev), y AS (SELECT doc_id, n - lag(n) OVER ({_DOCW}) AS d FROM x) SELECT doc_id, CAST(coalesce(sum(CASE WHEN d > 0 THEN d END), 0) AS BIGINT) AS added, CAST(coalesce(sum(CASE WHEN d < 0 THEN -d END), 0) AS BIGINT) AS deleted FROM y GROUP BY doc_id",
     "revision_deltas": f"WITH {_REV}, x AS (SELECT doc_id, revision_index, CAST(len({_words('text')}) AS INTEGER) AS n_words FROM rev) SELECT *, n_words - lag(n_words) OVER ({_DOCW}) AS delta FROM x",
-    "revision_anomalies": f"WITH {_REV}, x AS (SELECT *, lag(revision_index) OVER ({_DOCW}) AS bi, lag(text) OVER ({_DOCW}) AS bt FROM rev WHERE revision_index % 5 <> 3) SELECT doc_id, revision_index, CASE WHEN bi IS NULL THEN NULL WHEN revision_index <> bi + 1 THEN 'anomaly.missing_revision' WHEN bt <> '' AND text <> '' AND length(text) < length(bt) * 0.4 THEN 'anomaly.truncation' WHEN bt <> '' AND text <> '' AND {_jaccard('bt', 'text')} < 0.3 THEN 'anomaly.large_diff' END AS anomaly FROM x",
+    "revision_anomalies": f"WITH {_REV}, x AS (SELECT *, lag(revision_index) OVER ({_DOCW}) AS bi, lag(text) OVER ({_DOCW}) AS bt FROM rev) SELECT doc_id, revision_index, CASE WHEN bi IS NULL THEN NULL WHEN revision_index <> bi + 1 THEN 'anomaly.missing_revision' WHEN bt <> '' AND text <> '' AND length(text) < length(bt) * 0.4 THEN 'anomaly.truncation' WHEN bt <> '' AND text <> '' AND {_jaccard('bt', 'text')} < 0.3 THEN 'anomaly.large_diff' END AS anomaly FROM x",
     "word_jaccard_consecutive": f"WITH {_REV}, x AS (SELECT *, lag(text) OVER ({_DOCW}) AS bt FROM rev) SELECT doc_id, revision_index, round({_jaccard('bt', 'text')}, 6) AS jaccard FROM x WHERE bt IS NOT NULL",
     "edit_classes": f"WITH {_REV}, {_EDIT} SELECT * FROM ec",
     "trajectory_states": f"WITH {_REV}, {_EDIT}, x AS (SELECT doc_id, max(state) AS state FROM ec GROUP BY doc_id) SELECT doc_id, {_STATE} AS state, list_extract(['none', 'low', 'medium'], state + 1) AS flag FROM x",
@@ -237,14 +237,15 @@ SQL: dict[str, str] = {
     "gold_sample": "SELECT doc_id, source FROM documents ORDER BY sha256('17:' || doc_id) LIMIT 50",
     "stratified_rotation": "SELECT list_extract(['naive', 'topical', 'contextual'], CAST(doc_id % 3 AS INTEGER) + 1) AS level, list_extract(['cold', 'warm', 'assimilated'], CAST((doc_id // 3) % 3 AS INTEGER) + 1) AS state, count(*) AS n FROM documents GROUP BY ALL",
     "weighted_choice": "WITH x AS (SELECT CAST('0x' || substr(sha256('11:' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM documents) SELECT CASE WHEN u < 0.35 THEN 'naive' WHEN u < 0.75 THEN 'topical' ELSE 'contextual' END AS choice, count(*) AS n FROM x GROUP BY 1",
-    "diverse_selection": "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT doc_id, source, n_chars FROM r ORDER BY k > 2, k, n_chars DESC, doc_id LIMIT 60",
+    "diverse_selection": "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT doc_id, source, n_chars FROM r WHERE k <= 2 ORDER BY k, n_chars DESC, doc_id LIMIT 60",
     "fallback_ranking": "WITH p AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id = 1 LIMIT 1) SELECT d.doc_id AS key, d.source AS vendor, d.n_chars AS score FROM documents d, p WHERE d.doc_id <> p.doc_id ORDER BY d.source <> p.source, abs(d.n_chars - p.n_chars), d.doc_id LIMIT 20",
     "split_disjointness": "SELECT 'test' AS a, 'train' AS b, count(*) AS n_shared FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'test', 'val', count(*) FROM documents WHERE doc_id % 15 = 0 UNION ALL SELECT 'train', 'val', count(*) FROM documents WHERE doc_id % 6 = 0",
     "annotator_agreement": "SELECT doc_id, quality AS \"first\", toxic AS second FROM labels WHERE doc_id % 4 <> 1",
     "span_iou_by_conv": _iou("doc_id"),
     "span_iou_pooled": _iou(""),
     "span_overlaps": f"WITH {_REV}, {_SPANS}, x AS (SELECT *, lead(injection_id) OVER w AS next_id, lead(s) OVER w AS ns FROM sp WINDOW w AS (PARTITION BY doc_id, revision_index ORDER BY s, e, injection_id)) SELECT doc_id, revision_index, injection_id, next_id FROM x WHERE ns < e",
-    "span_boundary_errors": f"WITH {_REV}, {_SPANS} " + _broken("boundary", "sp", ("s < 0", "'start ' || s || ' is negative'"), ("e < 0", "'end ' || e || ' is negative'"), ("s > e", "'start lies after end'"), ("s > length(text)", "'start lies after the text'"), ("e > length(text)", "'end lies after the text'")),
+    "span_boundary_errors": f"WITH {_REV}, {_SPANS}, x AS (SELECT *, doc_id % 5 - 1 AS a, revision_index % 3 AS b FROM sp) "
+    + _broken("boundary", "x", ("s < 0", "'start ' || s || ' is negative'"), ("e > length(text)", "'end ' || e || ' exceeds text length ' || length(text)"), ("s > e", "'start lies after end'"), ("a < 0", "'start sentence ' || a || ' is negative'"), ("a > b", "'start sentence lies after end sentence'")),
     "span_content_errors": rf"WITH {_REV}, {_SPANS}, x AS (SELECT *, CASE WHEN s >= length(text) THEN 'start exceeds text length' WHEN e > length(text) THEN 'end exceeds text length' WHEN s < 0 THEN 'start is negative' WHEN s > e THEN 'start lies after end' WHEN regexp_replace(substr(text, s + 1, e - s), '^\s+|\s+$', '', 'g') = '' THEN 'content is empty or blank' END AS message FROM sp WHERE inj) SELECT doc_id, revision_index, injection_id, 'span_content' AS error_type, message FROM x WHERE message IS NOT NULL",
     "span_constraints": f"WITH {_REV}, {_SPANS}, x AS (SELECT doc_id, revision_index, injection_id, inj, state, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE coalesce(level, CASE WHEN doc_id % 5 = 0 THEN 'naive' END) END AS level FROM sp) " + _broken("constraint", "x", ("inj AND NOT (level IS NOT NULL AND state IS NOT NULL)", "'injection label requires level and state'"), ("NOT inj AND (level IS NOT NULL OR state IS NOT NULL)", "'anomaly label forbids level and state'")),
     "flag_consistency": f"WITH {_REV}, {_SPANS} " + _broken("ambiguity", "sp", ("state = 'warm' AND flag = 'none'", "'warm requires at least low'"), ("state = 'assimilated' AND flag IN ('none', 'low')", "'assimilated requires at least medium'")),
@@ -255,7 +256,7 @@ SQL: dict[str, str] = {
     + _broken("earned_label", "x", ("state = 'warm' AND size < 3", "'warm requires 3 events'"), ("state = 'warm' AND abs(q) < 0.3 AND size > 6", "'warm requires coupling 0.3'"), ("state = 'assimilated' AND flag = 'none'", "'assimilated cannot have flag none'"), ("state = 'assimilated' AND size < 5", "'assimilated requires 5 events'"), ("state = 'assimilated' AND abs(q) < 0.55", "'assimilated requires coupling 0.55'"), ("state = 'assimilated' AND rises", "'glucose increased'")),
     "earned_flags": f"WITH {_REV}, {_SPANS}, {_TRACE}, er AS (SELECT a.doc_id, a.injection_id, a.revision_index, round(least(1.0, avg((abs(b.s - a.s) + abs(b.e - a.e)) * 1.0 / greatest(a.e - a.s, 1))), 6) AS erosion FROM sp a JOIN sp b ON a.doc_id = b.doc_id AND a.injection_id = b.injection_id AND b.revision_index > a.revision_index GROUP BY ALL), x AS (SELECT sig.*, erosion, abs(coupling) AS q FROM sig LEFT JOIN er USING (doc_id, injection_id, revision_index) WHERE starts_with(label, 'injection.')) "
     + _broken("earned_ambiguity", "x", ("flag = 'none' AND state <> 'cold'", "'none requires cold'"), ("flag = 'low' AND state <> 'warm'", "'low requires warm'"), ("flag = 'low' AND size < 3", "'low requires 3 events'"), ("flag IN ('medium', 'high') AND state <> 'assimilated'", "flag || ' requires assimilated'"), ("flag = 'medium' AND q < 0.3", "'medium requires coupling 0.3'"), ("flag = 'high' AND q < 0.5", "'high requires coupling 0.5'"), ("flag = 'medium' AND erosion < 0.1", "'medium requires erosion 0.1'"), ("flag = 'high' AND erosion < 0.25", "'high requires erosion 0.25'")),
-    "span_leakage": rf"WITH {_REV}, {_SPANS}, x AS (SELECT *, substr('Here is it. ' || text || ' as an AI ', 1, least(length(injection_id) + 200, 300)) AS body FROM sp WHERE inj AND least(length(injection_id) + 200, 300) <= length(text) + 22) SELECT doc_id, revision_index, injection_id, 'prompt_leakage' AS error_type, '(?i)\bas an ai\b' AS message FROM x WHERE regexp_matches(body, '(?im)\bas an ai\b') UNION ALL SELECT doc_id, revision_index, injection_id, 'prompt_leakage', '(?i)^here is\b' FROM x WHERE regexp_matches(body, '(?im)^here is\b')",
+    "span_leakage": rf"WITH {_REV}, {_SPANS}, x AS (SELECT *, 'Here is it. ' || text || ' as an AI ' AS body FROM sp WHERE inj) SELECT doc_id, revision_index, injection_id, 'prompt_leakage' AS error_type, '(?i)\bas an ai\b' AS message FROM x WHERE regexp_matches(body, '(?im)\bas an ai\b') UNION ALL SELECT doc_id, revision_index, injection_id, 'prompt_leakage', '(?i)^here is\b' FROM x WHERE regexp_matches(body, '(?im)^here is\b')",
     "text_insertion": """WITH """ + _REV + """, x AS (SELECT doc_id, revision_index, text, length(text) AS n, length(text) // 2 AS p1, length(text) // 3 AS p2, length(text) // 4 AS p3 FROM rev),
 a AS (SELECT *, text[1:p1] || ' FIRST ' || text[p1 + 1:] AS t1, least(p2 + 7, n + 7) AS q2 FROM x),
 b AS (SELECT *, t1[1:q2] || ' SECOND é ' || t1[q2 + 1:] AS t2, p3 + 17 AS q3 FROM a),
@@ -264,7 +265,7 @@ SELECT doc_id, revision_index, md5(t3) AS text_md5, 'i1' AS injection_id, CAST(p
 UNION ALL SELECT doc_id, revision_index, md5(t3), 'i2', CAST(q2 AS INTEGER), CAST(q2 + 10 AS INTEGER) FROM c
 UNION ALL SELECT doc_id, revision_index, md5(t3), 'i3', CAST(q3 AS INTEGER), CAST(q3 + 7 AS INTEGER) FROM c""",
     "causal_signatures": f"WITH {_REV}, {_SPANS}, {_TRACE} SELECT doc_id, revision_index, injection_id, locality, coupling, plausible FROM sig",
-    "signature_anomalies": f"WITH {_REV}, {_SPANS}, {_TRACE}, x AS (SELECT *, CASE WHEN locality > 4.5 THEN 'anomaly.process_violation' WHEN abs(coupling) < 0.2 THEN 'anomaly.no_resource_coupling' END AS a FROM sig WHERE starts_with(label, 'injection.')) SELECT doc_id, revision_index, 'anom_' || injection_id AS injection_id, a AS label, 'high' AS flag FROM x WHERE a IS NOT NULL",
+    "signature_anomalies": f"WITH {_REV}, {_SPANS}, {_TRACE}, x AS (SELECT *, CASE WHEN locality > 4.5 THEN 'anomaly.process_violation' WHEN abs(coupling) < 0.2 THEN 'anomaly.no_resource_coupling' END AS a FROM sig WHERE starts_with(label, 'injection.')) SELECT doc_id, revision_index, 'anom_' || substr(injection_id, 1, 8) AS injection_id, a AS label, 'high' AS flag FROM x WHERE a IS NOT NULL",
     "signature_states": f"WITH {_REV}, {_SPANS}, {_TRACE}, x AS (SELECT doc_id, revision_index, injection_id, CASE WHEN plausible AND abs(coupling) > 0.7 THEN 'assimilated' WHEN abs(coupling) >= 0.4 AND locality <= 4.5 THEN 'warm' ELSE 'cold' END AS state FROM sig) SELECT *, CASE state WHEN 'assimilated' THEN 'high' WHEN 'warm' THEN 'medium' ELSE 'none' END AS flag FROM x",
     "trace_summary": f"WITH {_REV}, {_SPANS}, {_TRACE} SELECT doc_id, revision_index, count(*) AS n, round(min(least), 6) AS least_glucose, round(coalesce(avg(CASE WHEN locality > 0 THEN locality END), 0), 6) AS mean_locality, round(avg(CASE WHEN plausible THEN 1.0 ELSE 0 END), 6) AS plausible_share FROM sig GROUP BY ALL",
     "cosine_consecutive": "WITH x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, lag(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT vec_id, label, round(list_cosine_similarity(b, e), 5) AS cosine FROM x WHERE b IS NOT NULL",
@@ -300,3 +301,42 @@ SQL["doc_ids"] = (
     "SELECT doc_id, 'doc_' || substr(sha256('seed:project:' || doc_id), 1, 16) AS hashed_id, 'rev_' || substr(sha256(source || ':' || doc_id), 1, 16) AS rev_id, "
     f"(((h0 % 10000 * {(1 << 32) % 10000} + h1) % 10000 * {(1 << 32) % 10000} + h2) % 10000 * {(1 << 32) % 10000} + h3) % 10000 AS bucket FROM x"
 )
+
+
+_EARNED = SQL["earned_labels"].split("SELECT doc_id, revision_index, injection_id, 'earned_label'", 1)
+_FLAGS = SQL["earned_flags"].split("SELECT doc_id, revision_index, injection_id, 'earned_ambiguity'", 1)
+_BOUNDS = _broken("boundary", "sp", ("s < 0 OR e > length(text)", "'Offset out of bounds'"))
+#: The earned labels of injections alone, under the name that a check of a revision gives them.
+_CAUSAL = ("SELECT doc_id, revision_index, injection_id, 'earned_label'" + _EARNED[1]).replace("'earned_label'", "'causal_integrity'").replace(" FROM x WHERE ", " FROM xe WHERE starts_with(label, 'injection.') AND ")
+_WITH_CAUSAL = _EARNED[0].replace(", x AS (", ", xe AS (", 1)
+_MONOTONE = "m0 AS (SELECT *, list_position(['cold', 'warm', 'assimilated'], state) AS r FROM sp WHERE inj), m1 AS (SELECT *, lag(r) OVER w AS b FROM m0 WINDOW w AS (PARTITION BY doc_id, injection_id ORDER BY revision_index))"
+_DAYS = "cal AS (SELECT CAST(range AS DATE) AS bucket FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 {g}))"
+
+SQL |= {
+    "revision_checks": f"{_WITH_CAUSAL} {_BOUNDS} UNION ALL {_CAUSAL}",
+    "trace_sufficiency": f"WITH {_REV}, {_SPANS}, {_TRACE} " + _broken("trace_sufficiency", "sg0", ("state = 'warm' AND size < 3", "'warm requires 3 events, got ' || size"), ("state = 'assimilated' AND size < 5", "'assimilated requires 5 events, got ' || size")),
+    "coupling_support": f"WITH {_REV}, {_SPANS}, {_TRACE} " + _broken("coupling_support", "sig", ("flag = 'high' AND abs(coupling) < 0.5", "'high requires coupling 0.5'"), ("flag = 'medium' AND abs(coupling) < 0.3", "'medium requires coupling 0.3'")),
+    "span_iou_every_conv": 'WITH had AS (' + _iou("doc_id").replace("FROM sp WHERE e > s", "FROM sp WHERE e > s AND doc_id % 3 <> 0") + ') SELECT doc_id, CAST(coalesce(inter, 0) AS BIGINT) AS inter, CAST(coalesce("union", 0) AS BIGINT) AS "union", coalesce(iou, 1) AS iou FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) LEFT JOIN had USING (doc_id)',
+    "model_selection": """WITH r AS (SELECT doc_id AS key, source AS vendor, length(source) AS p, n_chars AS score, doc_id % 17 AS cost, doc_id % 17 <= 9 AS fits FROM documents),
+v AS (SELECT vendor, row_number() OVER (ORDER BY min(p), vendor) AS v FROM r GROUP BY vendor),
+a AS (SELECT r.*, v, row_number() OVER w AS i, sum(CASE WHEN fits THEN 1 ELSE 0 END) OVER (PARTITION BY vendor ORDER BY score DESC, key ROWS UNBOUNDED PRECEDING) AS a FROM r JOIN v USING (vendor) WINDOW w AS (PARTITION BY vendor ORDER BY score DESC, key)),
+b AS (SELECT *, CASE WHEN fits AND a = 1 THEN 1 WHEN fits AND i > 1 AND v <= 6 AND a <= 3 THEN 2 ELSE 3 END AS phase FROM a),
+c AS (SELECT *, count(*) FILTER (phase < 3) OVER (PARTITION BY vendor) AS taken, row_number() OVER (PARTITION BY vendor, phase = 3 ORDER BY cost, score DESC, key) AS c FROM b)
+SELECT key, vendor, phase FROM c WHERE phase < 3 OR taken + c <= 3 ORDER BY phase, CASE WHEN phase < 3 THEN v END NULLS FIRST, CASE WHEN phase < 3 THEN i END NULLS FIRST, cost, score DESC, key LIMIT 14""",
+    "lexical_diversity": "SELECT doc_id, round(len(list_distinct(t)) * 1.0 / nullif(len(t), 0), 4) AS diversity FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS t FROM documents)",
+    "composed_hashes": r"SELECT doc_id, substr(sha256(regexp_replace(regexp_replace(replace(replace(nfc_normalize(coalesce(text || ' e' || chr(769) || ' A' || chr(778), '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')), 1, 32) AS hash FROM documents",
+    "long_revisions": f"WITH {_REV}, x AS (SELECT doc_id, revision_index, CAST(len({_words('text')}) AS INTEGER) AS n_words FROM rev) SELECT * FROM x WHERE n_words >= 50",
+    "labelled_documents": "SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+    "document_means": f"WITH {_REV}, p AS (SELECT doc_id, avg(len({_words('text')})) AS w, count(*) AS n FROM rev GROUP BY doc_id) SELECT count(*) AS n_docs, round(avg(w), 6) AS mean_words, round(avg(n), 6) AS mean_revisions FROM p",
+    "dashboard_projects": f"WITH {_LOG}, {_DAYS.format(g='DAY')}, k AS (SELECT DISTINCT project FROM log WHERE label <> 'error' AND ts >= '2024-01-01' AND ts < '2024-02-01'), c AS (SELECT project, CAST(date_trunc('day', ts) AS DATE) AS bucket, count(*) AS n FROM log WHERE label <> 'error' GROUP BY ALL) SELECT CAST(project AS VARCHAR) AS key, bucket, coalesce(n, 0) AS n FROM k CROSS JOIN cal LEFT JOIN c USING (project, bucket)",
+    "dashboard_authors": f"WITH {_LOG}, {_DAYS.format(g='WEEK')}, k AS (SELECT DISTINCT author FROM log WHERE ts >= '2024-01-01' AND ts < '2024-02-01'), c AS (SELECT author, CAST(date_trunc('week', ts) AS DATE) AS bucket, count(*) AS n FROM log WHERE ts >= '2024-01-01' AND ts < '2024-02-01' GROUP BY ALL) SELECT CAST(author AS VARCHAR) AS key, bucket, coalesce(n, 0) AS n FROM k CROSS JOIN cal LEFT JOIN c USING (author, bucket)",
+    "present_labels": f"WITH {_LOG} SELECT label, count(*) AS n FROM log WHERE tie % 7 <> 0 AND label NOT IN ('view', 'click') GROUP BY label",
+    "local_places": f"WITH {_LOG} SELECT project, author, tie, row_number() OVER (PARTITION BY project, author ORDER BY ts, tie) - 1 AS index FROM log",
+    "gantt_bars": f"WITH {_LOG}, {_runs()} SELECT r.project, r.run, r.label, a.ts AS start_ts, b.ts AS end_ts, r.length FROM runs r JOIN f1 a ON a.project = r.project AND a.place = r.first JOIN f1 b ON b.project = r.project AND b.place = r.last",
+    "validation_report": _WITH_CAUSAL
+    + ", "
+    + _FLAGS[0].split(_TRACE + ", ", 1)[1]
+    + f", {_MONOTONE}, lk AS (SELECT text, substr(text, s + 1, e - s) AS body FROM sp WHERE inj AND s >= 0 AND e <= length(text)), every AS ({_BOUNDS} UNION ALL {_CAUSAL} UNION ALL SELECT doc_id, revision_index, injection_id, 'earned_ambiguity'"
+    + _FLAGS[1]
+    + " UNION ALL SELECT doc_id, revision_index, injection_id, 'trajectory_monotonicity', '' FROM m1 WHERE b > r) SELECT error_type, count(*) AS n FROM every GROUP BY error_type ORDER BY n DESC, error_type LIMIT 20",
+}

@@ -318,8 +318,7 @@ def revision_deltas(spark, d):
 
 @query
 def revision_anomalies(spark, d):
-    rows = _revisions(spark, d).filter("revision_index % 5 <> 3")  # some revisions missing, so that each rule has its cases
-    return revisions.anomalies(rows).select("doc_id", "revision_index", "anomaly")
+    return revisions.anomalies(_revisions(spark, d)).select("doc_id", "revision_index", "anomaly")
 
 
 @query
@@ -371,6 +370,62 @@ def provenance_hash(spark, d):
     return _docs(spark, d).select("doc_id", T.provenance_hash(F.col("text")).alias("provenance"))
 
 
+@query
+def lexical_diversity(spark, d):
+    return _docs(spark, d).select("doc_id", T.lexical_diversity(T.tokens(F.col("text"), ASCII_TOKENS)).alias("diversity"))
+
+
+@query
+def composed_hashes(spark, d):
+    """Provenance of texts that come decomposed: composition makes them one with those that come composed."""
+    text = F.concat(F.col("text"), F.lit(" e\u0301 A\u030a"))
+    return _texts(spark, d).select("doc_id", T.provenance_hash(F.col("text"), T.nfc(text)).alias("hash"))
+
+
+@query
+def long_revisions(spark, d):
+    """Revisions of 50 words or more."""
+    return _revisions(spark, d).select("doc_id", "revision_index", T.word_count(F.col("text")).alias("n_words")).filter("n_words >= 50")
+
+
+@query
+def labelled_documents(spark, d):
+    """Documents whose ids an index holds."""
+    return _docs(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "source", "n_chars")
+
+
+@query
+def document_means(spark, d):
+    """Means over documents of each document's mean words a revision and of its revisions."""
+    per = _revisions(spark, d).groupBy("doc_id").agg(F.avg(T.word_count(F.col("text"))).alias("w"), F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("n_docs"), F.round(F.avg("w"), 6).alias("mean_words"), F.round(F.avg("n"), 6).alias("mean_revisions"))
+
+
+@query
+def dashboard_projects(spark, d):
+    return events.dashboard(_log(spark, d), START, END, "project", keep=~F.col("label").isin("error"))
+
+
+@query
+def dashboard_authors(spark, d):
+    return events.dashboard(_log(spark, d), START, END, "author", "week")
+
+
+@query
+def present_labels(spark, d):
+    return events.label_counts(events.present(_log(spark, d).withColumn("label", F.when(F.col("tie") % 7 != 0, F.col("label"))), "label", "view", "click"))
+
+
+@query
+def local_places(spark, d):
+    return events.local_index(_log(spark, d), "project", "author").select("project", "author", "tie", "index")
+
+
+@query
+def gantt_bars(spark, d):
+    return events.gantt(_log(spark, d))
+
+
 @query
 def sentence_counts(spark, d):
     return _docs(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).alias("n_sentences"))
@@ -520,6 +575,13 @@ def diverse_selection(spark, d):
     return metrics.diverse(_docs(spark, d), "source", "n_chars", "doc_id", 2, 60).select("doc_id", "source", "n_chars")
 
 
+@query
+def model_selection(spark, d):
+    """Documents as models: sources as vendors, lengths as scores, costs from their numbers."""
+    rows = _docs(spark, d).select(F.col("doc_id").alias("key"), F.col("source").alias("vendor"), F.char_length("source").alias("priority"), F.col("n_chars").alias("score"), (F.col("doc_id") % 17).cast("double").alias("cost"))
+    return metrics.select_models(rows, 14, 3, cost_limit=9.0).select("key", "vendor", "phase")
+
+
 @query
 def fallback_ranking(spark, d):
     rows = _docs(spark, d).select(F.col("doc_id").alias("key"), F.col("source").alias("vendor"), F.col("n_chars").alias("score"))
@@ -593,7 +655,32 @@ def span_overlaps(spark, d):
 @query
 def span_boundary_errors(spark, d):
     r = _revisions(spark, d)
-    return spans.boundary_violations(_spans(r), r)
+    sentence = (F.col("doc_id") % 5 - 1).cast("int")
+    return spans.boundary_violations(_spans(r).withColumns({"start_sentence": sentence, "end_sentence": (F.col("revision_index") % 3).cast("int")}), r)
+
+
+@query
+def revision_checks(spark, d):
+    r = _revisions(spark, d)
+    return spans.revision_violations(_traced(r), r)
+
+
+@query
+def trace_sufficiency(spark, d):
+    return spans.trace_sufficiency_violations(_traced(_revisions(spark, d)))
+
+
+@query
+def coupling_support(spark, d):
+    return spans.coupling_flag_violations(_traced(_revisions(spark, d)))
+
+
+@query
+def span_iou_every_conv(spark, d):
+    """Documents without such spans agree."""
+    r = _revisions(spark, d)
+    s = _spans(r).filter("doc_id % 3 <> 0").select("doc_id", "injection_id", "start", "end")
+    return spans.iou(s.filter("injection_id like 'inj%'"), s.filter("injection_id like 'two%'"), "doc_id", every=r)
 
 
 @query
@@ -643,7 +730,8 @@ def earned_flags(spark, d):
 @query
 def span_leakage(spark, d):
     r = _revisions(spark, d).withColumn("text", F.concat(F.lit("Here is it. "), F.col("text"), F.lit(" as an AI ")))
-    return spans.leakage_violations(_spans(r).withColumns({"start": F.lit(0), "end": F.least(F.char_length("injection_id") + 200, F.lit(300))}), r)
+    whole = r.select("doc_id", "revision_index", F.char_length("text").alias("n"))
+    return spans.leakage_violations(_spans(r).join(whole, ["doc_id", "revision_index"]).withColumns({"start": F.lit(0), "end": F.col("n")}), r)
 
 
 @query
@@ -763,6 +851,11 @@ def ncd_discontinuity(spark, d):
     return detect.discontinuity(_revisions(spark, d))
 
 
+@query
+def compression_anomalies(spark, d):
+    return detect.compression_anomalies(_revisions(spark, d))
+
+
 @query
 def baseline_scores(spark, d):
     n = detect.discontinuity(_revisions(spark, d)).filter("revision_index > 0")

@@ -140,7 +140,7 @@ def test_kappa(spark):
 def test_diverse_and_rotation(spark):
     df = spark.createDataFrame([(i, "ab"[i > 7], 100 - i) for i in range(10)], "k int, g string, s int")
     got = metrics.diverse(df, "g", "s", "k", 2, 5).collect()
-    assert sorted(r["g"] for r in got) == ["a", "a", "a", "b", "b"]
+    assert sorted(r["g"] for r in got) == ["a", "a", "b", "b"]
     r = metrics.rotation(spark.range(9), F.col("id"), vocab.LEVELS, vocab.STATES)
     assert r.select("level", "state").distinct().count() == 9
 
@@ -208,7 +208,7 @@ def test_validation_rows(spark):
     s = traced(spark, [("success", None, 1.0, 1.0)])
     r = rev(spark, [(1, 0, "abc")])
     kinds = {x["error_type"] for x in spans.validate(s, r).collect()}
-    assert kinds == {"boundary", "earned_label", "earned_ambiguity"}
+    assert kinds == {"boundary", "causal_integrity", "earned_ambiguity"}
     assert spans.monotonicity_violations(s).count() == 0
 
 
