@@ -149,4 +149,6 @@ def pack(
     pieces = materialize(base.mapInArrow(_pieces(vocabulary, ranks, public_tokenizers.PATTERN, capacity, end_id, with_ids), schema), "pieces")
     groups = max(1, -(-pieces.count() // (max(1, group // 10) if with_ids else group)))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    if with_ids:  # partitions grow in number with the ids, not in size
+        dealt = dealt.repartition(groups, "grp")
     return dealt.groupBy("grp").applyInPandas(_pack(capacity), schema + ", sequence_id long, offset long")
