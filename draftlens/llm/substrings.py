@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -307,6 +308,54 @@ def _windows(size: int, stem: int, bits: int = 0, held=None):
     return run
 
 
+def _kept(n: int, at: np.ndarray, size: int) -> np.ndarray:
+    """Which of n words no window that starts at one of `at` covers."""
+    step = np.zeros(n + size + 1, dtype=np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + size, -1)
+    return np.cumsum(step)[:n] == 0
+
+
+def _rest(words: Words, data: bytes, d: int, keep: np.ndarray) -> str:
+    """The text of document d without the other words; the spaces before a removed word go with it."""
+    f, lo, hi = words.first[d], int(words.offsets[d]), int(words.offsets[d + 1])
+    out, last = [], lo
+    for i in np.flatnonzero(~keep).tolist():
+        s = int(words.end[f + i - 1]) if i else lo
+        out.append(data[last:s] if s > last else b"")
+        last = max(last, int(words.end[f + i]))
+    return b"".join([*out, data[last:hi]]).decode("utf-8", "replace").lstrip()
+
+
+def _rewrite(size: int, text: int, n_chars: int | None, keep_emptied: bool):
+    """(columns of docs, whole, pos) -> the columns, with what is left of texts that lose words at pos or as whole copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a, b, buf, offsets in slices(whole.column(text)):
+                batch = whole.slice(a, b - a)
+                copy = batch.column(batch.num_columns - 2).fill_null(False).to_numpy(zero_copy_only=False)
+                pos = batch.column(batch.num_columns - 1)
+                hit = copy | pos.is_valid().to_numpy(zero_copy_only=False)
+                columns = batch.columns[:-2]
+                if hit.any():
+                    words, data, left = Words(buf, offsets, hashes=False), buf.tobytes(), []
+                    for d in np.flatnonzero(hit).tolist():
+                        at = np.zeros(0, dtype=np.int64) if copy[d] else pos.slice(d, 1).flatten().to_numpy(zero_copy_only=False)
+                        left.append("" if copy[d] else _rest(words, data, d, _kept(int(words.count[d]), at, size)))
+                    put = lambda c, values: pc.replace_with_mask(columns[c], pa.array(hit), pa.array(values).cast(columns[c].type))  # noqa: B023, E731
+                    columns[text] = put(text, left)
+                    if n_chars is not None:
+                        columns[n_chars] = put(n_chars, [len(x) for x in left])
+                    if not keep_emptied:
+                        stays = np.ones(len(hit), dtype=bool)
+                        stays[hit] = [bool(x.strip()) for x in left]
+                        columns = [c.filter(pa.array(stays)) for c in columns]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
+
+    return run
+
+
 def _cut(size: int, with_text: bool):
     """(doc_id, mark, text, positions) -> what is left of each text."""
 
@@ -317,23 +366,12 @@ def _cut(size: int, with_text: bool):
                 words, data = Words(buf, offsets, hashes=False), buf.tobytes()
                 for d in range(b - a):
                     n = int(words.count[d])
-                    at = batch.column(3).slice(a + d, 1).flatten().to_numpy(zero_copy_only=False)
-                    step = np.zeros(n + size + 1, dtype=np.int64)
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + size, -1)
-                    keep = np.cumsum(step)[:n] == 0
+                    keep = _kept(n, batch.column(3).slice(a + d, 1).flatten().to_numpy(zero_copy_only=False), size)
                     rows.append(a + d)
                     removed.append(n - int(keep.sum()))
                     shas.append(hashlib.sha256(_joined(words, data, d, keep)).hexdigest())
                     if with_text:
-                        # the spaces before a removed word go with it
-                        f, lo, hi = words.first[d], int(offsets[d]), int(offsets[d + 1])
-                        out, last = [], lo
-                        for i in np.flatnonzero(~keep).tolist():
-                            s = int(words.end[f + i - 1]) if i else lo
-                            out.append(data[last:s] if s > last else b"")
-                            last = max(last, int(words.end[f + i]))
-                        texts.append(b"".join([*out, data[last:hi]]).decode("utf-8", "replace").lstrip())
+                        texts.append(_rest(words, data, d, keep))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(pa.array(rows, pa.int64())) for c in (0, 1)), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts if with_text else [None] * len(rows), pa.string())],
                 names=["doc_id", "mark", "n_removed", "kept_sha256", "kept_text"],
@@ -342,11 +380,8 @@ def _cut(size: int, with_text: bool):
     return run
 
 
-def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bits: int | None = None, with_text: bool = False, broadcast_bytes: int = SKETCH_BROADCAST, broadcast_copies: int = COPIES_BROADCAST) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and mark (a hash of text), kept_text.
-
-    kept_text is null where nothing was removed; without with_text it is so for all but whole copies.
-    """
+def _found(docs: DataFrame, size: int, stem: int, sketch_bits: int | None, broadcast_bytes: int, broadcast_copies: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """named: each row's doc_id, mark, n_words, sha, and least and least_mark of the document of the same words; texts: those to look at; marked: their places to cut."""
     if not 0 < stem <= size:
         raise ValueError("stem must lie between 1 and size")
     spark = docs.sparkSession
@@ -379,6 +414,18 @@ def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bit
     groups = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), F.count("*").alias("n")).filter("m < x").drop("x")
     met = join_hot(rows, materialize(groups, "groups"), ["h1", "h2"], F.xxhash64(*row, "h1"), rows.count())
     marked = met.filter(F.col("doc_id") > F.col("m")).groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("pos"))).alias("pos"))
+    return named, texts, marked
+
+
+def find_repeats(
+    docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bits: int | None = None, with_text: bool = False, broadcast_bytes: int = SKETCH_BROADCAST, broadcast_copies: int = COPIES_BROADCAST
+) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and mark (a hash of text), kept_text.
+
+    kept_text is null where nothing was removed; without with_text it is so for all but whole copies.
+    """
+    named, texts, marked = _found(docs, size, stem, sketch_bits, broadcast_bytes, broadcast_copies)
+    row = ["doc_id", "mark"]
     cut = texts.join(marked, row).mapInArrow(_cut(size, with_text), "doc_id long, mark int, n_removed long, kept_sha256 string, kept_text string")
     cut = cut.groupBy(*row).agg(*(F.first(c).alias(c) for c in ("n_removed", "kept_sha256", "kept_text")))
     empty = hashlib.sha256(b"").hexdigest()
@@ -393,17 +440,22 @@ def find_repeats(docs: DataFrame, size: int = SIZE, stem: int = STEM, sketch_bit
     )
 
 
-def remove_repeats(docs: DataFrame, keep_emptied: bool = True, **params) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    keep_emptied: bool = True,
+    size: int = SIZE,
+    stem: int = STEM,
+    sketch_bits: int | None = None,
+    broadcast_bytes: int = SKETCH_BROADCAST,
+    broadcast_copies: int = COPIES_BROADCAST,
+) -> DataFrame:
     """docs with repeated words cut from text (and n_chars, if there, counted anew); other columns stay, and rows, save those that lose all
-    their words where keep_emptied is false (rows that had none before stay)."""
-    found = find_repeats(docs, with_text=True, **params).filter("n_removed > 0").dropDuplicates(["doc_id", "mark"])
-    i, m, k = fresh(docs, "id", "mark", "kept")
-    cut = materialize(found.select(F.col("doc_id").alias(i), F.col("mark").alias(m), F.coalesce("kept_text", F.lit("")).alias(k)), "repeats")
-    out = docs.join(cut, (F.col("doc_id") == F.col(i)) & (F.hash(docs["text"].cast("string")) == F.col(m)), "left")
-    hit = F.col(i).isNotNull()
-    if not keep_emptied:
-        out = out.filter(~hit | (F.trim(k) != ""))
-    changed = {"text": F.when(hit, F.col(k)).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(hit, F.char_length(k).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    their words where keep_emptied is false (rows that had none before stay). Texts are shuffled once, to meet their places."""
+    named, _, marked = _found(docs, size, stem, sketch_bits, broadcast_bytes, broadcast_copies)
+    places = named.join(marked.withColumnRenamed("mark", "least_mark"), ["doc_id", "least_mark"], "left")
+    i, m, w, p = fresh(docs, "id", "mark", "whole", "pos")
+    whole = F.col("least").isNotNull() & (F.col("doc_id") > F.col("least"))
+    places = places.select(F.col("doc_id").alias(i), F.col("mark").alias(m), whole.alias(w), F.col("pos").alias(p)).filter(F.col(w) | F.col(p).isNotNull()).dropDuplicates([i, m])
+    met = docs.join(places, (F.col("doc_id").cast("long") == F.col(i)) & (F.hash(docs["text"].cast("string")) == F.col(m)), "left").select(*docs.columns, w, p)
+    n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    return met.mapInArrow(_rewrite(size, docs.columns.index("text"), n_chars, keep_emptied), docs.schema)
