@@ -28,6 +28,8 @@ from draftlens.session import materialize, ship_package
 
 CAPACITY = 2048
 GROUP = 20_000
+#: Token ids in one batch of pieces.
+IDS_AT_ONCE = 500_000
 END_ID = 1
 #: Texts of these characters alone mean the same to both libraries, whatever Unicode tables they were built with.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
@@ -52,30 +54,32 @@ def token_ids(text: str, vocabulary: str, ranks: str | None, pattern: str) -> np
 def _pieces(vocabulary: str, ranks: str | None, pattern: str, capacity: int, end_id: int, with_ids: bool):
     end = np.array([end_id], dtype="<u4")
 
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
+
+    def rows(of: pa.Array, pieces: list[tuple[int, int, int, int, int]], held: list[np.ndarray]) -> pa.RecordBatch:
+        row, *numbers = (pa.array(x, pa.int64()) for x in (zip(*pieces, strict=True) if pieces else [()] * 5))
+        columns = [of.take(row), *numbers]
+        if with_ids:
+            ends = np.concatenate([[0], np.cumsum([p[2] for p in pieces], dtype=np.int64)]).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int32) if held else [], pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, start, length, crc, total, held = [], [], [], [], [], []
+            pieces, held, n_held = [], [], 0
             for k, text in enumerate(batch.column(1)):
                 ids = np.concatenate([token_ids(text.as_py() or "", vocabulary, ranks, pattern), end])
-                data, n = ids.tobytes(), len(ids)
-                if with_ids:
-                    held.append(ids)
+                n = len(ids)
                 for s in range(0, n, capacity):
-                    e = min(n, s + capacity)
-                    row.append(k)
-                    start.append(s)
-                    length.append(e - s)
-                    crc.append(zlib.crc32(data[4 * s : 4 * e]))
-                    total.append(n)
-            columns = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if not with_ids:
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-                continue
-            ends = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-            ids = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).view(np.int32) if held else [], pa.int32()))
-            for at in range(0, len(row), 4096):  # pieces of 8 million ids at most
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, 4096) for c in columns), ids.slice(at, 4096).cast(pa.list_(pa.int32()))], names=[*names, "ids"])
+                    own = ids[s : s + capacity]
+                    pieces.append((k, s, len(own), zlib.crc32(own.tobytes()), n))
+                    if with_ids:
+                        held.append(own)
+                        n_held += len(own)
+                        if n_held >= IDS_AT_ONCE:
+                            yield rows(batch.column(0), pieces, held)
+                            pieces, held, n_held = [], [], 0
+            yield rows(batch.column(0), pieces, held)
 
     return run
 
