@@ -14,6 +14,25 @@ def make_id(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(prefix + "_"), digest(F.concat_ws(":", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """x with that many digits after the point, 7 at most, as C and Python print it: the double's exact value decides, and
+    of two equally near the even one. (SQL's own formats round the shortest decimal form, half up.) For |x| below 2**53 / 10**digits.
+    """
+    scale = float(10**digits)
+    a = F.abs(x)
+    p = a * scale
+    # Dekker's product: p + err is a * scale to the last bit
+    c = a * 134217729.0
+    high = c - (c - a)
+    err = (high * scale - p) + (a - high) * scale
+    below = F.floor(p)
+    over = (p - below - 0.5) + err
+    n = below + F.when((over > 0) | ((over == 0) & (below % 2 == 1)), 1).otherwise(0)
+    whole, rest = F.floor(n / 10**digits), n % 10**digits
+    body = F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), digits, "0"))
+    return F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), body)
+
+
 def doc_id(project: Column, space: str = "seed:project") -> Column:
     return make_id("doc", space, project)
 
@@ -31,7 +50,7 @@ def author_id(name: Column) -> Column:
 
 
 def causal_id(doc: Column, revision: Column, locality: Column, coupling: Column) -> Column:
-    return make_id("inj", doc, revision, F.format_string("%.2f", locality), F.format_string("%.2f", coupling))
+    return make_id("inj", doc, revision, fixed(locality, 2), fixed(coupling, 2))
 
 
 def cache_key(*parts: Column) -> Column:

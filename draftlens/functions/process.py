@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from draftlens.functions.ids import md5_mod
+from draftlens import vocab
+from draftlens.functions.ids import fixed, md5_mod
 
 
 def cognitive_load(glucose: Column, fatigue: Column) -> Column:
@@ -83,3 +86,38 @@ def eroded(text: Column, clarity: Column, salt: Column) -> Column:
         return F.when(lost & mark, " ").when(lost & capital, F.lower(c)).otherwise(c)
 
     return F.when((clarity >= 0.9) | (text == ""), text).otherwise(F.array_join(F.transform(chars, one), ""))
+
+
+def _pick(key: Column, options: Sequence[str]) -> Column:
+    return F.element_at(F.array(*map(F.lit, options)), (md5_mod(key, len(options)) + 1).cast("int"))
+
+
+def repair_choice(target: Column, failure: Column, glucose: Column, place: Column, lexicon: Mapping[str, Sequence[str]] | None = None, repairs: Mapping[str, Sequence[str]] = vocab.REPAIRS) -> Column:
+    """What a failed intention is replaced by, and how far on: struct of repair, distance.
+
+    The choice depends on target, way of failure, glucose to four digits and place alone. Starvation takes one of the
+    target's substitutes in lexicon (keys in lower case), else a general word; every way but the two named is overflow.
+    """
+    key = F.concat_ws(":", target, failure, fixed(glucose, 4), place.cast("string"))
+    word = _pick(key, repairs["lexical_starvation"])
+    for name, options in (lexicon or {}).items():
+        word = F.when(F.lower(target) == name, _pick(key, options)).otherwise(word)
+    starved, collapsed = failure == "lexical_starvation", failure == "syntactic_collapse"
+    repair = F.when(starved, F.concat(word, F.lit(" "))).when(collapsed, _pick(key, repairs["syntactic_collapse"])).otherwise(_pick(key, repairs["cognitive_overflow"]))
+    return F.struct(repair.alias("repair"), F.when(starved, 1).when(collapsed, 2).otherwise(3).alias("distance"))
+
+
+def state_salt(author: Column, glucose: Column, place: Column) -> Column:
+    """SHA-256 that ties an author's level, to six digits, to a place."""
+    return F.sha2(F.concat_ws(":", author.cast("string"), fixed(glucose, 6), place.cast("string")).cast("binary"), 256)
+
+
+def state_sample(author: Column, revision: Column, total: Column, glucose: Column, fatigue: Column, shares: Column) -> Column:
+    """An author's state at a revision, as it is recorded: shares are traces.allocation()'s."""
+    return F.struct(session_minute(revision, total).alias("minute"), F.round(fatigue, 3).alias("fatigue"), F.round(glucose, 4).alias("glucose"), shares["lexical"].alias("lexical"), shares["syntactic"].alias("syntactic"), shares["attention"].alias("clarity"), state_salt(author, glucose, revision).alias("salt"))
+
+
+def placeholder(seed: Column, intros: Sequence[str] = vocab.PLACEHOLDER_INTROS, bodies: Sequence[str] = vocab.PLACEHOLDER_BODIES, conclusions: Sequence[str] = vocab.PLACEHOLDER_CONCLUSIONS) -> Column:
+    """Two sentences chosen by a hash of the seed: an opening with its body, and a conclusion."""
+    part = lambda name, options: _pick(F.concat(seed.cast("string"), F.lit(":" + name)), options)
+    return F.concat_ws(" ", part("intro", intros), part("body", bodies), part("conclusion", conclusions))

@@ -82,16 +82,17 @@ def contained_templates(docs: DataFrame, templates: DataFrame, size: int = 8, br
     return long.unionByName(short).distinct()
 
 
+def compression_distance(a: str, b: str) -> float:
+    """How much longer both texts compress than the shorter alone, over the longer: 0 to 1, and 0 where the first is empty."""
+    if not a:
+        return 0.0
+    ca, cb, both = (len(zlib.compress(s.encode("utf-8", "replace"))) for s in (a, b, f"{a} {b}"))
+    return min(1.0, max(0.0, (both - min(ca, cb)) / max(ca, cb)))
+
+
 def _ncd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = lambda s: len(zlib.compress(s.encode("utf-8", "replace")))
     for batch in batches:
-        out = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if not a:
-                out.append(0.0)
-                continue
-            ca, cb, both = size(a), size(b), size(f"{a} {b}")
-            out.append(min(1.0, max(0.0, (both - min(ca, cb)) / max(ca, cb))))
+        out = [compression_distance(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "revision_index", "ncd"])
 
 

@@ -34,8 +34,8 @@ def changed_spans(a: str, b: str) -> list[tuple[int, int]]:
     return [(s, e) for kind, s, e, _, _ in match.get_opcodes() if kind != "equal"]
 
 
-def span_f1(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], smooth: float = 1e-12) -> float:
-    """Each prediction takes the first unused gold span that it overlaps."""
+def span_scores(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], smooth: float = 1e-12) -> tuple[float, float, float]:
+    """Precision, recall and F1, where each prediction takes the first unused gold span that it overlaps."""
     left, hits = list(gold), 0
     for s, e in predicted:
         at = next((k for k, (gs, ge) in enumerate(left) if max(s, gs) < min(e, ge)), None)
@@ -43,7 +43,25 @@ def span_f1(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], smoot
             del left[at]
             hits += 1
     precision, recall = hits / (len(predicted) + smooth), hits / (len(gold) + smooth)
-    return 2 * precision * recall / (precision + recall + smooth)
+    return precision, recall, 2 * precision * recall / (precision + recall + smooth)
+
+
+def span_f1(predicted: list[tuple[int, int]], gold: list[tuple[int, int]], smooth: float = 1e-12) -> float:
+    return span_scores(predicted, gold, smooth)[2]
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sides = zip(batch.column("before").to_pylist(), batch.column("after").to_pylist(), batch.column("generated").to_pylist(), strict=True)
+        made = [span_scores(changed_spans(a or "", g or ""), changed_spans(a or "", b or "")) for a, b, g in sides]
+        columns = [pa.array([m[k] for m in made], pa.float64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], names=["key", "precision", "recall", "f1"])
+
+
+def score_generated(rows: DataFrame) -> DataFrame:
+    """rows (key string, before, after, generated) -> how well the words that generated changes are those that after changes."""
+    ship_package(rows.sparkSession)
+    return rows.select("key", "before", "after", "generated").mapInArrow(_scores, "key string, precision double, recall double, f1 double")
 
 
 def tagged(a: str, b: str) -> str:

@@ -108,6 +108,22 @@ def evaluation(gold: DataFrame, predictions: DataFrame, keys: list[str], cut: fl
     return out.join(both.agg(F.count("*").alias("n_keys")), how="cross")  # one row by one row
 
 
+def evaluation_report(gold: DataFrame, predictions: DataFrame, keys: list[str], cut: float = 0.6) -> DataFrame:
+    """One row over the keys that both sides hold: F1 of coupling above cut (signs count), IoU of all spans pooled, how many.
+
+    gold has resource_coupling, span_start_char and span_end_char; predictions predicted_coupling, pred_start and pred_end,
+    whose nulls count as zero.
+    """
+    from draftlens.operators import spans
+
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    both = gold.join(predictions, keys)
+    f1 = binary_f1(both, zero("resource_coupling") > cut, zero("predicted_coupling") > cut).select(F.round("f1", 4).alias("f1"))
+    side = lambda a, b: both.select(zero(a).cast("int").alias("start"), zero(b).cast("int").alias("end"))
+    over = spans.iou(side("pred_start", "pred_end"), side("span_start_char", "span_end_char")).select(F.round("iou", 4).alias("span_iou"))
+    return f1.join(over, how="cross").join(both.agg(F.count("*").alias("n")), how="cross")  # one row each
+
+
 # sampling and selection
 
 

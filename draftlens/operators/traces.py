@@ -6,6 +6,7 @@ array expressions in one row; traces of a passage are some hundred events at mos
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,3 +249,32 @@ def engine_signatures(rows: DataFrame, most: int = 1 << 18) -> DataFrame:
     locality, r = F.lit(0.0), F.col("r")
     plausible = locality.between(vocab.LOCALITY_LOW, vocab.LOCALITY_HIGH) & (F.abs(r) >= 0.6)
     return rows.select("key", "events").mapInArrow(_engine(most), f"key {key}, r double").select("key", locality.alias("locality"), F.round(r, 3).alias("coupling"), plausible.alias("plausible"))
+
+
+#: Shortest interval between keys in milliseconds, and the share by which one may differ from the one before.
+SHORTEST_MS, JITTER = 80, 0.15
+
+
+def key_intervals(first: float, n: int, salt: str) -> list[float]:
+    """n intervals between keys, a random walk from `first` that the salt decides, never below the shortest."""
+    draw, out, now = random.Random(salt), [], first
+    for _ in range(n):
+        now = max(SHORTEST_MS, now + draw.uniform(-JITTER, JITTER) * now)
+        out.append(round(now, 2))
+    return out
+
+
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):  # lists of a few rows at a time
+            part = batch.slice(at, 256)
+            rows = zip(*(part.column(c).to_pylist() for c in ("latency_ms", "n", "salt")), strict=True)
+            made = [None if f is None or s is None else key_intervals(f, n or 0, s) for f, n, s in rows]
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(made, pa.list_(pa.float64()))], names=["key", "intervals"])
+
+
+def with_intervals(rows: DataFrame) -> DataFrame:
+    """rows (key, latency_ms, n, salt) -> the intervals of the n keys; null where latency or salt is. The walk is a seeded generator's."""
+    ship_package(rows.sparkSession)
+    key = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", F.col("latency_ms").cast("double").alias("latency_ms"), F.col("n").cast("int").alias("n"), "salt").mapInArrow(_intervals, f"key {key}, intervals array<double>")

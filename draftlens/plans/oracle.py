@@ -340,3 +340,72 @@ SELECT key, vendor, phase FROM c WHERE phase < 3 OR taken + c <= 3 ORDER BY phas
     + _FLAGS[1]
     + " UNION ALL SELECT doc_id, revision_index, injection_id, 'trajectory_monotonicity', '' FROM m1 WHERE b > r) SELECT error_type, count(*) AS n FROM every GROUP BY error_type ORDER BY n DESC, error_type LIMIT 20",
 }
+
+
+def _md5_mod(key: str, n: int) -> str:
+    h = [f"CAST('0x' || substr(md5({key}), {8 * k + 1}, 8) AS BIGINT)" for k in range(4)]
+    s = (1 << 32) % n
+    return f"(((({h[0]} % {n} * {s} + {h[1]}) % {n} * {s} + {h[2]}) % {n} * {s}) + {h[3]}) % {n}"
+
+
+def _pick(key: str, options: tuple[str, ...]) -> str:
+    return "list_extract([" + ", ".join(f"'{o}'" for o in options) + f"], CAST({_md5_mod(key, len(options))} AS INTEGER) + 1)"
+
+
+def _html(t: str, line_end: str) -> str:
+    return f"replace(replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '{line_end}')"
+
+
+def _framed(op: int, t: str) -> str:
+    t = _html(t, "&para;<br>")
+    t = f"CASE WHEN regexp_full_match({t}, '[\\s\\x0B\\x85\\xA0]+') THEN replace({t}, ' ', '&nbsp;') ELSE {t} END"
+    tag, colour = vocab.REPLAY_MARKS.get(op, ("span", ""))
+    return f"'<{tag}" + (f' style="background:{colour};"' if colour else "") + f">' || {t} || '</{tag}>'"
+
+
+#: Lines of documents with the number of their paragraph, 0 for blank ones.
+_LINES = r"""ln0 AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL),
+ln1 AS (SELECT doc_id, generate_subscripts(a, 1) AS line, unnest(a) AS t FROM ln0),
+ln2 AS (SELECT *, trim(t, ' ') = '' AS blank, regexp_matches(t, '^\s*\\(paragraph|subsection|subsubsection)\{') AS head FROM ln1),
+ln3 AS (SELECT *, NOT blank AND (head OR coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY line), true)) AS begins FROM ln2),
+ln AS (SELECT doc_id, line, CASE WHEN blank THEN 0 ELSE CAST(sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS INTEGER) END AS paragraph FROM ln3)"""
+_BEFORE = f"lag(text) OVER ({_DOCW})"
+_REPAIR_KEY = "concat_ws(':', source, way, printf('%.4f', g), CAST(doc_id AS VARCHAR))"
+_CHARS = "list_distinct(string_split({t}, ''))"
+_REPORT = """x AS (SELECT quality * 0.9 AS g, toxic * 0.8 AS p, doc_id % 40 * 25 AS place FROM labels WHERE doc_id % 3 <> 0),
+c AS (SELECT count(*) FILTER (g > 0.6 AND p > 0.6) AS tp, count(*) FILTER (g <= 0.6 AND p > 0.6) AS fp, count(*) FILTER (g > 0.6 AND p <= 0.6) AS fn, count(*) AS n FROM x),
+u AS (SELECT count(DISTINCT place) AS m FROM x)"""
+
+SQL |= {
+    "replay_frames": f"WITH {_REV} SELECT doc_id, revision_index, md5(" + " || ".join([_framed(op, f"substr(text, {9 * k + 1}, 9)") for k, op in enumerate((1, -1, 2, 3, 4))] + [_framed(0, "substr(text, 55)"), _framed(0, "'  '")]) + ") AS html_md5 FROM rev",
+    "rendered_diffs": f"WITH {_REV} SELECT doc_id, revision_index, md5({_html('substr(text, 1, 20)', '<br>')} || '<del>' || {_html('substr(text, 21, 15)', '<br>')} || '</del><ins>' || {_html('substr(text, 36, 15)', '<br>')} || '</ins>' || {_html('substr(text, 51)', '<br>')}) AS html_md5 FROM rev",
+    "annotation_cards": f"WITH {_REV}, {_SPANS}, {_TRACE}, c AS (SELECT doc_id, revision_index, injection_id, CAST(count(*) FILTER (bad AND fixed) AS INTEGER) AS repairs, max_by(glucose, i) AS g, CAST(count(*) AS INTEGER) AS n_events FROM ev GROUP BY ALL) "
+    'SELECT doc_id, revision_index, injection_id, s AS start, e AS "end", coalesce(state, \'unknown\') AS state, coalesce(level, \'unknown\') AS level, label, repairs, round(g, 3) AS final_glucose, n_events FROM sp JOIN c USING (doc_id, revision_index, injection_id)',
+    "project_titles": f"WITH {_LOG}, p AS (SELECT DISTINCT project FROM log) SELECT project, 'Project ' || row_number() OVER (ORDER BY project) AS title FROM p",
+    "paragraph_lines": f"WITH {_LINES} SELECT doc_id, CAST(max(line) AS INTEGER) AS n_lines, max(paragraph) AS n_paragraphs FROM ln GROUP BY doc_id",
+    "lines_in_paragraphs": f"WITH {_LINES}, rg AS (SELECT doc_id, paragraph, min(line) AS a, max(line) AS b FROM ln WHERE paragraph > 0 GROUP BY ALL), "
+    "q AS (SELECT DISTINCT doc_id, CAST(unnest([doc_id % 7 + 1, 9, 100000]) AS INTEGER) AS line FROM documents) "
+    "SELECT q.doc_id, q.line, paragraph, CAST(a AS INTEGER) AS first_line, CAST(b AS INTEGER) AS last_line FROM q LEFT JOIN rg ON rg.doc_id = q.doc_id AND q.line BETWEEN a AND b",
+    "sentence_counts": r"WITH x AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\s\x0B\x1c-\x1f\x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS a FROM documents) "
+    r"SELECT doc_id, CAST(len(list_filter(a, lambda t: regexp_replace(t, '\s', '', 'g') <> '')) AS INTEGER) AS n_sentences FROM x",
+    "repair_choices": "WITH x AS (SELECT doc_id, source, doc_id * 7 % 100 / 100.0 AS g, list_extract(['lexical_starvation', 'syntactic_collapse', 'cognitive_overflow'], CAST(doc_id % 3 AS INTEGER) + 1) AS way FROM documents) "
+    f"SELECT doc_id, CASE way WHEN 'lexical_starvation' THEN (CASE WHEN lower(source) = 'web' THEN {_pick(_REPAIR_KEY, ('site', 'page'))} ELSE {_pick(_REPAIR_KEY, vocab.REPAIRS['lexical_starvation'])} END) || ' ' "
+    f"WHEN 'syntactic_collapse' THEN {_pick(_REPAIR_KEY, vocab.REPAIRS['syntactic_collapse'])} ELSE 'it ' END AS repair, CAST(doc_id % 3 + 1 AS INTEGER) AS distance FROM x",
+    "state_samples": "WITH x AS (SELECT doc_id, source, doc_id % 50 AS k, doc_id * 7 % 100 / 100.0 AS g, doc_id * 13 % 100 / 100.0 AS f, doc_id % 9 AS demand FROM documents) "
+    "SELECT doc_id, CAST(floor(k / 50.0 * 90) AS INTEGER) AS minute, round(f, 3) AS fatigue, round(g, 4) AS glucose, round(least(1.0, g * (1 - f * 0.4)), 3) AS lexical, "
+    "round(least(1.0, greatest(0.3, g * 1.3) * CASE WHEN demand > 5 THEN 0.7 ELSE 1.0 END), 3) AS syntactic, round(least(1.0, greatest(0.1, g - f * 0.5)), 3) AS clarity, "
+    "sha256(source || ':' || printf('%.6f', g) || ':' || k) AS salt FROM x",
+    "placeholder_texts": "SELECT doc_id, " + " || ' ' || ".join(_pick(f"(doc_id || ':{name}')", tuple(f"{word} {k}" for k in range(3))) for name, word in (("intro", "intro"), ("body", "body"), ("conclusion", "end"))) + " AS text FROM documents",
+    "session_minutes": "WITH x AS (SELECT doc_id, CAST(floor(doc_id % 50 / 50.0 * 90) AS INTEGER) AS minute FROM documents) SELECT doc_id, minute, round(least((0.10 + minute / 90.0 * 0.70) * (doc_id % 3 + 1), 0.95), 6) AS chance FROM x",
+    "hashed_names": "SELECT doc_id, 'author_' || substr(sha256(source), 1, 16) AS author, 'inj_' || substr(sha256(doc_id || ':' || lang || ':' || printf('%.2f', doc_id % 40 / 8.0) || ':' || printf('%.2f', doc_id % 16 / 16.0)), 1, 16) AS causal, substr(sha256(source || ':' || doc_id), 1, 32) AS cache FROM documents",
+    "character_overlap": f"WITH {_REV}, x AS (SELECT *, {_BEFORE} AS b FROM rev), y AS (SELECT doc_id, revision_index, list_filter({_CHARS.format(t='b')}, lambda c: c <> '') AS p, list_filter({_CHARS.format(t='text')}, lambda c: c <> '') AS q FROM x WHERE b IS NOT NULL) "
+    "SELECT doc_id, revision_index, round(CASE WHEN len(p) + len(q) = 0 THEN 1.0 ELSE len(list_intersect(p, q)) * 1.0 / (len(p) + len(q) - len(list_intersect(p, q))) END, 6) AS jaccard FROM y",
+    "insertion_checks": f"WITH {_REV}, {_SPANS}, x AS (SELECT doc_id, revision_index, injection_id, length(text) AS n, s, e, split_part(text, ' ', 1) AS word, substr(text, s + 1, greatest(e - s, 0)) AS body FROM sp) "
+    "SELECT doc_id, revision_index, injection_id, 'bounds' AS reason FROM x WHERE s < 0 OR e > n OR s >= e UNION ALL SELECT doc_id, revision_index, injection_id, 'content' FROM x WHERE NOT contains(body, word) "
+    "UNION ALL SELECT doc_id, revision_index, injection_id, 'blank' FROM x WHERE regexp_replace(body, '\\s', '', 'g') = ''",
+    "label_kinds": f"WITH {_REV}, {_SPANS}, x AS (SELECT label FROM sp UNION ALL SELECT list_extract(['Clarity', 'Idea Generation', 'none'], CAST(event_id % 3 AS INTEGER) + 1) FROM events) "
+    "SELECT split_part(label, '.', 1) AS kind, label IN (" + ", ".join(f"'{v}'" for v in vocab.WRITING_INTENTIONS) + ") AS valid, array_to_string(list_transform(string_split(label, ' '), lambda w: w[1]), '.') AS initials, count(*) AS n FROM x GROUP BY ALL",
+    "first_arrays": r"SELECT doc_id, md5(regexp_extract('x [' || text || '] y', '\[[\s\S]*\]', 0)) AS array_md5 FROM documents",
+    "leakage_pattern_counts": f"WITH {_REV}, x AS (SELECT 'Here is it. ' || text || ' as an AI ' AS t FROM rev), y AS (" + " UNION ALL ".join(f"SELECT '{p.replace(chr(39), chr(39) * 2)}' AS pattern FROM x WHERE regexp_matches(t, '{p.replace('(?i)', '(?im)').replace(chr(39), chr(39) * 2)}')" for p in vocab.LEAKAGE_PATTERNS) + ") SELECT pattern, count(*) AS n FROM y GROUP BY pattern",
+    "evaluation_report": f"WITH {_REPORT} SELECT round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1, CASE WHEN m = 0 THEN 1.0 ELSE 0.5 END AS span_iou, n FROM c, u",
+}

@@ -12,7 +12,7 @@ from draftlens.functions import ids
 from draftlens.functions import process
 from draftlens.functions import text as T
 from draftlens.functions import times
-from draftlens.operators import calibration, detect, diffs, events, metrics, revisions, sessions, spans, traces
+from draftlens.operators import calibration, detect, diffs, events, metrics, replay, revisions, sessions, spans, traces
 from draftlens.plans import oracle
 from draftlens.session import spread, union_all
 from draftlens.sources.readers import table
@@ -922,6 +922,152 @@ def pricing_summary(spark, d):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(disc), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
+# replay, cards, identifiers and the process model by document
+
+
+@query
+def replay_frames(spark, d):
+    """Turns as diffs of all five operations and an unchanged rest, rendered."""
+    part = lambda op, a, n: F.struct(F.lit(op).alias("op"), F.substring("text", a, n).alias("text"))
+    ops = F.array(*(part(op, 9 * k + 1, 9) for k, op in enumerate((1, -1, 2, 3, 4, 9))), part(0, 55, F.char_length("text")), F.struct(F.lit(0).alias("op"), F.lit("  ").alias("text")))
+    return replay.frames(_revisions(spark, d).select("doc_id", "revision_index", ops.alias("ops"))).select("doc_id", "revision_index", F.md5(F.col("diff_html").cast("binary")).alias("html_md5"))
+
+
+@query
+def rendered_diffs(spark, d):
+    part = lambda op, a, n: F.struct(F.lit(op).alias("op"), F.substring("text", a, n).alias("text"))
+    ops = F.array(part(0, 1, 20), part(-1, 21, 15), part(1, 36, 15), part(0, 51, F.char_length("text")))
+    return _revisions(spark, d).select("doc_id", "revision_index", F.md5(T.render_diff(ops).cast("binary")).alias("html_md5"))
+
+
+@query
+def annotation_cards(spark, d):
+    return replay.cards(_traced(_revisions(spark, d)))
+
+
+@query
+def project_titles(spark, d):
+    return replay.titles(_log(spark, d))
+
+
+@query
+def lines_in_paragraphs(spark, d):
+    """For three lines of each document, the paragraph that holds them."""
+    docs = _docs(spark, d).select("doc_id", "text")
+    lines = docs.select("doc_id", F.explode(F.array((F.col("doc_id") % 7 + 1).cast("int"), F.lit(9), F.lit(100_000))).alias("line"))
+    return replay.paragraph_of(lines.distinct(), replay.paragraph_ranges(docs))
+
+
+@query
+def repair_choices(spark, d):
+    g = F.pmod(F.col("doc_id") * 7, F.lit(100)) / 100.0
+    way = F.element_at(F.array(F.lit("lexical_starvation"), F.lit("syntactic_collapse"), F.lit("cognitive_overflow")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return _docs(spark, d).select("doc_id", process.repair_choice(F.col("source"), way, g, F.col("doc_id"), {"web": ("site", "page")}).alias("x")).select("doc_id", "x.*")
+
+
+@query
+def state_samples(spark, d):
+    u = lambda k: (F.pmod(F.col("doc_id") * k, F.lit(100)) / 100.0)
+    x = process.state_sample(F.col("source"), F.col("doc_id") % 50, F.lit(50), u(7), u(13), traces.allocation(u(7), u(13), F.col("doc_id") % 9))
+    return _docs(spark, d).select("doc_id", x.alias("x")).select("doc_id", "x.*")
+
+
+@query
+def placeholder_texts(spark, d):
+    three = lambda w: tuple(f"{w} {k}" for k in range(3))
+    return _docs(spark, d).select("doc_id", process.placeholder(F.col("doc_id"), three("intro"), three("body"), three("end")).alias("text"))
+
+
+@query
+def session_minutes(spark, d):
+    minute = process.session_minute(F.col("doc_id") % 50, F.lit(50))
+    return _docs(spark, d).select("doc_id", minute.alias("minute"), F.round(process.intrusion_chance(minute, F.col("doc_id") % 3 + 1), 6).alias("chance"))
+
+
+@query
+def eroded_turns(spark, d):
+    """Every turn as a reader sees it whose attention falls with the turn's number."""
+    seen = process.eroded(F.col("text"), 1.0 - (F.col("revision_index") + 1) / 10.0, F.col("doc_id").cast("string"))
+    return _revisions(spark, d).select("doc_id", "revision_index", seen.alias("seen"))
+
+
+@query
+def key_intervals(spark, d):
+    """Intervals between the keys of each turn's words."""
+    r = _revisions(spark, d)
+    key = F.concat_ws(":", "doc_id", "revision_index")
+    rows = traces.with_intervals(r.select(key.alias("key"), (F.lit(120.0) + F.col("doc_id") % 50).alias("latency_ms"), T.word_count(F.col("text")).alias("n"), key.alias("salt")))
+    return rows.select("key", F.size("intervals").cast("long").alias("n"), F.round(F.array_min("intervals"), 2).alias("least"), F.round(F.array_max("intervals"), 2).alias("most"), F.round(F.try_element_at("intervals", F.lit(-1)), 2).alias("last"))
+
+
+@query
+def hashed_names(spark, d):
+    loc, r = F.pmod(F.col("doc_id"), F.lit(40)) / 8.0, F.pmod(F.col("doc_id"), F.lit(16)) / 16.0
+    return _docs(spark, d).select("doc_id", ids.author_id(F.col("source")).alias("author"), ids.causal_id(F.col("doc_id"), F.col("lang"), loc, r).alias("causal"), ids.cache_key(F.col("source"), F.col("doc_id")).alias("cache"))
+
+
+@query
+def character_overlap(spark, d):
+    before = F.lag("text").over(revisions.in_order())
+    rows = _revisions(spark, d).select("doc_id", "revision_index", "text", before.alias("b")).filter("b is not null")
+    return rows.select("doc_id", "revision_index", F.round(T.character_jaccard(F.col("b"), F.col("text")), 6).alias("jaccard"))
+
+
+@query
+def span_sentences(spark, d):
+    """First and last sentence of each span."""
+    r = _revisions(spark, d).withColumn("offsets", T.sentence_offsets(F.col("text"), T.sentences(F.col("text"))))
+    s = _spans(r).select("doc_id", "revision_index", "injection_id", "start", "end").join(r.select("doc_id", "revision_index", "offsets"), ["doc_id", "revision_index"])
+    first, last = T.sentence_index(F.col("offsets"), F.col("start"), F.col("end"))
+    return s.select("doc_id", "revision_index", "injection_id", first.alias("first_sentence"), last.alias("last_sentence"))
+
+
+@query
+def insertion_checks(spark, d):
+    """What is wrong with spans said to hold the first word of their text."""
+    r = _revisions(spark, d)
+    s = _spans(r).join(r, ["doc_id", "revision_index"])
+    wrong = spans.insertion_errors(F.col("text"), F.col("start"), F.col("end"), F.substring_index("text", " ", 1))
+    return s.select("doc_id", "revision_index", "injection_id", F.explode(wrong).alias("reason"))
+
+
+@query
+def label_kinds(spark, d):
+    """Revisions' span labels and the log's labels by kind, validity as an intention, and initials."""
+    s = _spans(_revisions(spark, d)).select("label")
+    x = s.unionByName(table(spark, d, "events").select(F.element_at(F.array(F.lit("Clarity"), F.lit("Idea Generation"), F.lit("none")), (F.col("event_id") % 3 + 1).cast("int")).alias("label")))
+    return x.groupBy(T.label_kind(F.col("label")).alias("kind"), T.valid_label(F.col("label")).alias("valid"), T.abbreviate(F.col("label")).alias("initials")).agg(F.count("*").alias("n"))
+
+
+@query
+def first_arrays(spark, d):
+    """What stands from the first opening bracket to the last closing one of a document."""
+    return _docs(spark, d).select("doc_id", F.md5(T.first_json_array(F.concat(F.lit("x ["), F.col("text"), F.lit("] y"))).cast("binary")).alias("array_md5"))
+
+
+@query
+def leakage_pattern_counts(spark, d):
+    r = _revisions(spark, d).select(F.concat(F.lit("Here is it. "), F.col("text"), F.lit(" as an AI ")).alias("text"))
+    return detect.pattern_counts(r)
+
+
+@query
+def generated_scores(spark, d):
+    """Each turn against the one before it and a generated one: the turn without its first word."""
+    before = F.lag("text").over(revisions.in_order())
+    rows = _revisions(spark, d).select(F.concat_ws(":", "doc_id", "revision_index").alias("key"), before.alias("before"), F.col("text").alias("after"), F.regexp_replace("text", r"^\S+\s*", "").alias("generated")).filter("before is not null")
+    return diffs.score_generated(rows).select("key", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def evaluation_report(spark, d):
+    base = table(spark, d, "labels").select(F.col("doc_id").alias("k"), "quality", "toxic")
+    at = (F.col("k") % 40 * 25).cast("int")
+    gold = base.select("k", (F.col("quality") * 0.9).alias("resource_coupling"), at.alias("span_start_char"), (at + 10).alias("span_end_char"))
+    pred = base.filter("k % 3 <> 0").select("k", (F.col("toxic") * 0.8).alias("predicted_coupling"), (at + 4).alias("pred_start"), (at + 12).alias("pred_end"))
+    return metrics.evaluation_report(gold, pred, ["k"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

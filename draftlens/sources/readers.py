@@ -37,6 +37,16 @@ def read_split(spark: SparkSession, base: str, split: str) -> DataFrame:
     return read_parquet_dir(spark, base, f"{split}-*.parquet")
 
 
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header line, columns by name whatever their order, quoted fields over several lines, types as schema says."""
+    fields = spark.createDataFrame([], schema).schema.fields
+    raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    missing = [f.name for f in fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    return raw.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows that parse, and the lines that don't. Both come from one scan definition with an explicit schema."""
     raw = spark.read.schema(schema + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)

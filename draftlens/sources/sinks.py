@@ -22,8 +22,9 @@ def append_documents(docs: DataFrame, path: str) -> None:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """metric, value sorted by name: a report of some dozen rows, so one file."""
-    one = metrics.orderBy("metric").coalesce(1)
+    """metric, value sorted by name: a report of some dozen rows, computed once, so one file."""
+    rows = sorted(metrics.collect(), key=lambda r: r["metric"])
+    one = metrics.sparkSession.createDataFrame(rows, metrics.schema).coalesce(1)
     one.write.mode("overwrite").option("header", "true").csv(f"{path}/csv")
     one.write.mode("overwrite").json(f"{path}/json")
 

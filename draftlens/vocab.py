@@ -46,6 +46,22 @@ SPAN_LABELS = (
 LEVELS = ("naive", "topical", "contextual")
 STATES = ("cold", "warm", "assimilated")
 FLAGS = ("none", "low", "medium", "high")
+# Tag and colour of each operation of a replayed diff.
+REPLAY_MARKS = {1: ("ins", "#82E0AA"), -1: ("del", "#F1948A"), 2: ("ins", "#85C1E9 "), 3: ("ins", "#C39BD3"), 4: ("ins", "#FFBF00")}
+
+# Repairs by way of failure, where no lexicon or marker file is given.
+REPAIRS = {
+    "lexical_starvation": ("concept", "framework", "element"),
+    "syntactic_collapse": ("thus, ", "so, ", "consequently, ", "accordingly, "),
+    "cognitive_overflow": ("it ",),
+}
+
+# Parts of a placeholder, where no text file is given.
+PLACEHOLDER_INTROS = ("This empirical investigation demonstrates",)
+PLACEHOLDER_BODIES = ("that the underlying assumptions remain foundational.",)
+PLACEHOLDER_CONCLUSIONS = ("Consequently, subsequent research must address these gaps.",)
+
+# Data splits.
 SPLITS = ("train", "val", "test", "test_small", "train_small", "val_small", "all_sorted")
 
 # Thresholds.
