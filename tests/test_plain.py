@@ -247,3 +247,16 @@ def test_sessions_are_one_pass(spark):
     for name, most in (("sessions_gap", 2), ("label_runs", 2), ("intention_sessions", 4)):
         plan = Q[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") <= most
+
+
+def test_erosion_of_moving_spans(spark):
+    """Runs of equal edges, edges that come back, gaps in the numbers, spans of no size and a span that is seen once."""
+    edges = {"a": [(0, 10), (0, 10), (2, 10), (2, 14), (0, 10), (0, 10)], "b": [(5, 5), (5, 6), (5, 5)], "c": [(1, 4)], "d": [(0, 100)] * 4}
+    rows = [(1, 2 * k, i, s, e) for i, held in edges.items() for k, (s, e) in enumerate(held)]
+    got = {(r["injection_id"], r["revision_index"]): (r["erosion"], r["n_later"]) for r in spans.erosion(spark.createDataFrame(rows, "doc_id long, revision_index int, injection_id string, start int, end int")).collect()}
+    want = {}
+    for i, held in edges.items():
+        for k, (s, e) in enumerate(held[:-1]):
+            moved = [(abs(s2 - s) + abs(e2 - e)) / max(e - s, 1) for s2, e2 in held[k + 1 :]]
+            want[i, 2 * k] = (round(min(1.0, sum(moved) / len(moved)), 6), len(moved))
+    assert got == want
