@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlens.llm import ann, chat, decontam, htmltext, packing, quality, simhash, substrings, tokencount, toxicity
+from draftlens.llm import ann, balltree, chat, decontam, htmltext, jaccard, packing, quality, repair, simhash, substrings, tokencount, toxicity
 from draftlens.session import spread
 
 
@@ -63,6 +63,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(_table(spark, sf_dir, "conversations"))[0]
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = balltree.cluster(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", balltree.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_sets(_texts(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_chat_formatting,
@@ -75,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_toxicity,
         op9_quality_classifier,
         op10_substring_dedup,
+        op11_conversation_repair,
+        op12_centroid_clustering,
+        op13_ngram_jaccard,
     )
     return {f.__name__: f for f in own}
 
