@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from draftlens.llm import ann, balltree, chat, decontam, htmltext, jaccard, packing, quality, repair, simhash, substrings, tokencount, toxicity
+from draftlens.llm import ann, balltree, chat, decontam, htmltext, jaccard, oracle, packing, quality, repair, simhash, substrings, tokencount, toxicity
 from draftlens.session import spread
 
 
@@ -170,4 +170,11 @@ FROM dw LEFT JOIN left_ USING (row)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _OP1, "op2_benchmark_decontamination": _OP2, "op10_substring_dedup": _OP10}
+    return {
+        "op1_chat_formatting": _OP1,
+        "op2_benchmark_decontamination": _OP2,
+        "op10_substring_dedup": _OP10,
+        "op11_conversation_repair": oracle.OP11,
+        "op12_centroid_clustering": oracle.OP12,
+        "op13_ngram_jaccard": oracle.OP13,
+    }
