@@ -18,12 +18,13 @@ How it runs
 3. Sets in crowded buckets are condensed: each goes to its largest bucket, where it follows a leader that it links with (a few are tried, none is
    a set's own leader). A bucket then pairs leaders, not sets. For two leaders at Jaccard distance d, which is a metric, members at distances
    a and b can link only if d <= 1 - threshold / 100 + a + b; those of stars that are not connected yet are paired in a second step.
-4. Pairs are verified on whole sets, which are read for candidates alone. Components come from links by alternating stars.
+4. Pairs are bounded by their prefixes first: what one has up to the end of the shorter prefix and the other has not is missed for certain. Those
+   left are verified on whole sets, which are read for them alone. Components come from links by alternating stars.
 
 Equal sets are one from step 2 on. Edge cases: a document without words (null text too) has size 0 and is its own component; a
 null doc_id names a component only if it has no other, and one that is linked with nothing stays null; repeated rows stay rows;
-extra columns are left alone; an empty table gives an empty result. Shingles are told apart by 64-bit hashes within a pair, sets by
-128-bit digests.
+extra columns are left alone; an empty table gives an empty result. Shingles are told apart by 64-bit hashes within a pair (56 bits and
+the level in prefixes), sets by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ BLOCK_BITS = 16
 #: Shingles in the prefixes of more sets than these are of class 2, 3.
 FREQUENT = (32, 1024)
 #: Shingles of a set for each subclass of class 2, 3; a prefix has a tenth of them.
-SPLIT = (64, 32)
+SPLIT = (128, 64)
 #: Sets in buckets of more than this many are condensed, in shares of PART by leaders of which TRIED are kept.
 CROWD = 24
 PART = 4096
@@ -157,6 +158,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield given()
 
 
+def _places(h: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Shingles as numbers in the global order: by level, then by hash."""
+    return ((level.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))) ^ np.uint64(1 << 63)
+
+
 def allowed(n, threshold: int):
     """Shingles that a set of n can miss in a partner."""
     return n - (threshold * n + 99) // 100
@@ -189,13 +195,13 @@ def _prefixes(size: int, threshold: int, bits: int, ranks):
                 if not len(own):
                     continue
                 most = longest_prefix(len(own), threshold)
-                order = np.argsort(rank[_cells(own, bits)], kind="stable")[:most]  # ties by hash
+                placed = np.sort(wordhash.as_long(_places(own, rank[_cells(own, bits)])))[:most]
                 a, b = _set_digest(own)
                 rows.append(row)
                 n.append(len(own))
                 d1.append(a)
                 d2.append(b)
-                prefix.append(own[order])
+                prefix.append(placed)
             at = pa.array(rows, pa.int64())
             columns = [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(n, pa.int64()), batch.column(0).take(at), batch.column(2).take(at), _long_list(prefix)]
             yield pa.RecordBatch.from_arrays(columns, names=["d1", "d2", "n", "doc_id", "t", "prefix"])
@@ -234,17 +240,19 @@ def _key(parts: tuple[int, ...]) -> int:
 
 
 def _index(threshold: int):
-    """(sid, n, known) -> (key, sid)."""
+    """(sid, n, prefix, known) -> (key, sid, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                keys, sids = [], []
+                keys, sids, sizes = [], [], []
                 for r in batch.slice(at, 64).to_pylist():
-                    made = signatures(r["n"], [(x["place"], x["token"], x["kind"]) for x in r["known"]], threshold)
+                    places = np.searchsorted(r["prefix"], [x["token"] for x in r["known"]]).tolist()
+                    made = signatures(r["n"], [(p, x["token"], x["kind"]) for p, x in zip(places, r["known"], strict=True)], threshold)
                     keys += made
                     sids += [r["sid"]] * len(made)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64())], names=["key", "sid"])
+                    sizes += [r["n"]] * len(made)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "sid", "n"])
 
     return run
 
@@ -302,6 +310,18 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _bounded(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs (a, b, least) whose prefixes leave a similarity of `least` possible."""
+    left = distinct.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    right = distinct.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    met = pairs.join(left, "a").join(right, "b")
+    end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    seen = lambda p: F.size(F.filter(p, lambda x: x <= F.col("end")))
+    met = met.withColumn("end", end).withColumn("both", F.size(F.array_intersect("pa", "pb")))
+    most = F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb")) + F.col("both")
+    return met.withColumn("most", most).filter(F.col("most") >= F.col("least") * (F.col("na") + F.col("nb") - F.col("most"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ...) with `both`, the shingles that the two sets share, and `union`."""
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
@@ -334,46 +354,54 @@ def set_links(texts: DataFrame, found: DataFrame, blocks: DataFrame, size: int,
     prefixes = marked.mapInArrow(_prefixes(size, threshold, bits, ranks), "d1 long, d2 long, n long, doc_id long, t long, prefix array<long>")
     distinct = materialize(prefixes.dropDuplicates(["d1", "d2"]).withColumn("sid", F.monotonically_increasing_id()), "prefixes")
 
-    spread_ = distinct.select("sid", "n", F.posexplode("prefix").alias("place", "token"))
-    counts = materialize(spread_.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1"), "counts")
-    total = int(distinct.select(F.sum(F.size("prefix"))).first()[0] or 0)
+    tokens = distinct.select("sid", F.explode("prefix").alias("token"))
     kind = F.lit(1) + sum(((F.col("sets") > most).cast("int") for most in FREQUENT), F.lit(0))
-    known = join_hot(spread_, counts.select("token", "sets", kind.alias("kind")), ["token"], F.col("sid"), total, "sets").filter("kind is not null")
-    known = known.groupBy("sid").agg(F.first("n").alias("n"), F.collect_list(F.struct("place", "token", "kind")).alias("known"))
-    index = materialize(known.select("sid", "n", "known").mapInArrow(_index(threshold), "key long, sid long"), "index")
-    full = materialize(index.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "full")
-    size_of = index.count()
-    crowded = full.select("key", F.col("members").alias("m"), "members")
-    index = materialize(join_hot(index, crowded, ["key"], F.col("sid"), size_of, "members").filter("m is not null"), "buckets")
-
-    # whole sets, of candidates alone
-    wanted = materialize(index.select("sid").distinct().join(distinct.select("sid", "d1", "d2", "doc_id", "t"), "sid"), "wanted")
-    ids = _few(wanted.select(F.col("t").alias("wt"), F.col("doc_id").alias("wid")))
-    chosen = marked.join(ids, (F.col("t") == F.col("wt")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
-    raw = chosen.select("doc_id", "text").mapInArrow(_sets(size), "d1 long, d2 long, tokens array<long>")
-    sets = materialize(raw.join(wanted.select("sid", "d1", "d2"), ["d1", "d2"]).select("sid", "tokens").dropDuplicates(["sid"]), "sets")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("sets")).filter("sets > 1").select("token", kind.alias("kind"))
+    known = tokens.join(materialize(counts, "counts"), "token").groupBy("sid").agg(F.collect_list(F.struct("token", "kind")).alias("known"))
+    known = distinct.select("sid", "n", "prefix").join(known, "sid")
+    index = materialize(known.mapInArrow(_index(threshold), "key long, sid long, n long"), "index")
+    full = materialize(index.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "full")
+    index = materialize(index.join(full, "key"), "buckets")
+
+    def whole(sids: DataFrame) -> DataFrame:
+        """(sid, tokens) of these distinct sids, from the texts."""
+        wanted = materialize(sids.join(distinct.select("sid", "d1", "d2", "doc_id", "t"), "sid"), "wanted")
+        ids = _few(wanted.select(F.col("t").alias("wt"), F.col("doc_id").alias("wid")))
+        chosen = marked.join(ids, (F.col("t") == F.col("wt")) & F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
+        raw = chosen.select("doc_id", "text").mapInArrow(_sets(size), "d1 long, d2 long, tokens array<long>")
+        return materialize(raw.join(wanted.select("sid", "d1", "d2"), ["d1", "d2"]).select("sid", "tokens").dropDuplicates(["sid"]), "sets")
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """pairs (a, b, least) that may have a similarity of `least`, by their prefixes, with both and union of their whole sets."""
+        bounded = materialize(_bounded(pairs, distinct), "pairs")
+        sids = bounded.select(F.col("a").alias("sid")).unionByName(bounded.select(F.col("b").alias("sid"))).distinct()
+        return materialize(_verified(bounded.select("a", "b"), whole(sids)), "judged")
 
     # crowded buckets: follow a leader
     largest = index.filter(F.col("m") > crowd).groupBy("sid").agg(F.max(F.struct("m", "key")).alias("x")).select("sid", "x.*")
-    dealt = largest.join(sets, "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / PART)))
+    largest = materialize(largest, "crowded")
+    dealt = largest.join(whole(largest.select("sid")), "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / PART)))
     led = dealt.select("key", "part", "sid", "tokens").repartition("key", "part").sortWithinPartitions("key", "part", "sid").mapInArrow(_lead(threshold), "sid long, leader long, gap double")
     led = materialize(led, "leaders")
+    reach = materialize(led.filter("gap > 0").groupBy("leader").agg(F.max("gap").alias("reach")), "reach")
     members = index.select("key", "sid").join(led, "sid", "left").select("key", "sid", F.coalesce("leader", "sid").alias("leader"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
     members = materialize(members, "members")
 
-    heads = materialize(members.select("key", "leader").distinct(), "heads")
-    pairs = heads.select("key", F.col("leader").alias("a")).join(heads.select("key", F.col("leader").alias("b")), "key").filter("a < b").select("a", "b").distinct()
-    judged = materialize(_verified(pairs, sets), "judged")
+    heads = members.select("key", "leader").distinct().join(reach, "leader", "left").join(distinct.select(F.col("sid").alias("leader"), "n"), "leader")
+    heads = materialize(heads.select("key", "leader", "n", F.coalesce("reach", F.lit(0.0)).alias("r")), "heads")
+    one, two = (heads.select("key", F.col("leader").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}")) for c in "ab")
+    least = F.lit(threshold / 100 - 1e-9) - F.col("ra") - F.col("rb")
+    pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")))
+    found = judged(pairs.select("a", "b", least.alias("least")).distinct())
     stars = led.filter("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    links = stars.unionByName(judged.filter(_linked(threshold)).select("a", "b"))
+    links = stars.unionByName(found.filter(_linked(threshold)).select("a", "b"))
 
     # pairs across stars that are near each other, but not connected so far
-    reach = led.groupBy("leader").agg(F.max("gap").alias("reach"))
-    far = judged.filter(~_linked(threshold)).withColumn("d", 1 - F.col("both") / F.col("union"))
+    far = found.filter(~_linked(threshold)).withColumn("d", 1 - F.col("both") / F.col("union"))
     for side in ("a", "b"):
         far = far.join(reach.select(F.col("leader").alias(side), F.col("reach").alias(f"r{side}")), side, "left")
     slack = 1 - threshold / 100 + 1e-9
-    near = far.select("a", "b", "d", F.coalesce("ra", F.lit(0.0)).alias("ra"), F.coalesce("rb", F.lit(0.0)).alias("rb")).filter(F.col("ra") + F.col("rb") > 0).filter(F.col("d") <= slack + F.col("ra") + F.col("rb"))
+    near = far.select("a", "b", "d", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("r")).filter("r > 0").filter(F.col("d") <= slack + F.col("r"))
     near = materialize(near.select("a", "b", "d"), "near")
     if near.limit(1).count():
         links = materialize(links, "links")
@@ -384,8 +412,8 @@ def set_links(texts: DataFrame, found: DataFrame, blocks: DataFrame, size: int,
         one = members.select("key", F.col("sid").alias("x"), F.col("leader").alias("a"), F.col("gap").alias("gx"))
         two = members.select("key", F.col("sid").alias("y"), F.col("leader").alias("b"), F.col("gap").alias("gy"))
         across = one.join(near, "a").join(two, ["key", "b"]).filter(F.col("d") <= slack + F.col("gx") + F.col("gy"))
-        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = links.unionByName(_verified(across, sets).filter(_linked(threshold)).select("a", "b"))
+        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(threshold / 100 - 1e-9).alias("least")).distinct()
+        links = links.unionByName(judged(across).filter(_linked(threshold)).select("a", "b"))
     return distinct.select("sid", "d1", "d2"), links
 
 
