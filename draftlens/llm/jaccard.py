@@ -15,9 +15,10 @@ How it runs
    shingles a cell the order tells fewer of the frequent ones apart, but those far above the mean stay last.
 2. A second scan writes the longest prefix of each distinct set. Exact counts of prefix shingles drop those of one set and
    settle the classes; the rest give the index of combinations.
-3. Sets in crowded buckets are condensed: each goes to its largest bucket, where it follows a leader that it links with (a few are tried, none is
-   a set's own leader). A bucket then pairs leaders, not sets. For two leaders at Jaccard distance d, which is a metric, members at distances
-   a and b can link only if d <= 1 - threshold / 100 + a + b; those of stars that are not connected yet are paired in a second step.
+3. A set in crowded buckets is an owner in the largest of them. Owners are compared with all members of that bucket inside tasks, by
+   products of 0/1 matrices over the shingles at hand; a crowded bucket is cut into parts of bounded size, and each pair of parts is a unit that returns
+   a spanning forest of its links, so a group of near copies makes no rows for its pairs. All other pairs of a bucket, in which neither
+   is a member of the other's own bucket, become rows.
 4. Pairs are bounded by their prefixes first: what one has up to the end of the shorter prefix and the other has not is missed for certain. Those
    left are verified on whole sets, which are read for them alone. Components come from links by alternating stars.
 
@@ -36,7 +37,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from draftlens.llm import wordhash
@@ -53,10 +54,12 @@ BLOCK_BITS = 16
 FREQUENT = (32, 1024)
 #: Shingles of a set for each subclass of class 2, 3; a prefix has a tenth of them.
 SPLIT = (128, 64)
-#: Sets in buckets of more than this many are condensed, in shares of PART by leaders of which TRIED are kept.
+#: Buckets of more members than this are crowded; a part of one has so many members, and shingles in all of them, at most.
 CROWD = 24
-PART = 4096
-TRIED = 8
+PART = 1024
+PART_SHINGLES = 1_000_000
+#: Columns of a matrix.
+COLUMNS = 4096
 #: Ids that may be broadcast.
 BROADCAST_IDS = 500_000
 
@@ -269,49 +272,77 @@ def _sets(size: int):
     return run
 
 
-def _lead(threshold: int):
-    """Sorted rows (key, part, sid, tokens) -> (sid, leader, gap): the leader it links with, or itself."""
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share."""
+    size = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    kept = count[column] > 1
+    row, column = row[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.diag(size).astype(np.float32)
+    own = np.zeros(len(sets), dtype=np.int64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        s, e = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        m[row[s:e], column[s:e] - at] = 1
+        both = m @ m.T
+        own += np.diag(both).astype(np.int64)
+        out += both
+    out[np.diag_indices(len(sets))] -= own
+    return out.astype(np.int64)
+
+
+def _units(threshold: int):
+    """Sorted rows (key, i, j, part, owner, sid, tokens) -> spanning forests of the links that each unit (key, i, j) has."""
+
+    def forest(rows: list[tuple]) -> list[tuple[int, int]]:
+        part, owner, sid = (np.array([r[k] for r in rows]) for k in range(3))
+        both = shared([r[3] for r in rows])
+        size = np.diag(both)
+        near = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+        near &= owner[:, None] | owner[None, :]
+        if part.min() != part.max():
+            near &= part[:, None] != part[None, :]
+        np.fill_diagonal(near, False)
+        waiting, out = near.any(axis=1), []
+        for start in np.flatnonzero(waiting).tolist():
+            edge = [start] if waiting[start] else []
+            waiting[start] = False
+            while edge:
+                x = edge.pop()
+                reached = np.flatnonzero(near[x] & waiting)
+                waiting[reached] = False
+                out += [(int(sid[x]), int(sid[y])) for y in reached]
+                edge += reached.tolist()
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders = None, []
-        for batch in batches:
-            out = []
-            lists = batch.column(3)
-            flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-            for k, (key, part, sid) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
-                own = flat[ends[k] : ends[k + 1]]
-                if (key, part) != group:
-                    group, leaders = (key, part), []
-                for i, (leader, theirs) in enumerate(leaders):
-                    both = _shared(own, theirs)
-                    union = len(own) + len(theirs) - both
-                    if 100 * both >= threshold * union:
-                        out.append((sid, leader, 1 - both / union))
-                        leaders.insert(0, leaders.pop(i))
-                        break
-                else:
-                    out.append((sid, sid, 0.0))
-                    leaders.insert(0, (sid, own.copy()))
-                    del leaders[TRIED:]
-            sids, led, gaps = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(led, pa.int64()), pa.array(gaps, pa.float64())], names=["sid", "leader", "gap"])
+        unit, held = None, []
 
-    return run
+        def given() -> pa.RecordBatch:
+            pairs = forest(held) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(2)], names=["a", "b"])
 
+        for batch in batches:
+            lists = batch.column(6)
+            flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for k, (key, i, j, part, owner, sid) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+                if (key, i, j) != unit:
+                    if held:
+                        yield given()
+                    unit, held = (key, i, j), []
+                held.append((part, owner, sid, flat[ends[k] : ends[k + 1]].copy()))
+        if held:
+            yield given()
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Members that two sorted sets share."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum())
+    return run
 
 
-def _bounded(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs (a, b, least) whose prefixes leave a similarity of `least` possible."""
+def _bounded(pairs: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that may link by what their prefixes say."""
     left = distinct.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
     right = distinct.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
     met = pairs.join(left, "a").join(right, "b")
@@ -319,20 +350,17 @@ def _bounded(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     seen = lambda p: F.size(F.filter(p, lambda x: x <= F.col("end")))
     met = met.withColumn("end", end).withColumn("both", F.size(F.array_intersect("pa", "pb")))
     most = F.least(F.col("na") - seen("pa"), F.col("nb") - seen("pb")) + F.col("both")
-    return met.withColumn("most", most).filter(F.col("most") >= F.col("least") * (F.col("na") + F.col("nb") - F.col("most"))).select("a", "b")
+    return met.withColumn("most", most).filter(F.col("most") * 100 >= (F.col("na") + F.col("nb") - F.col("most")) * threshold).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with `both`, the shingles that the two sets share, and `union`."""
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) that link by their whole sets."""
     left = sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"))
     met = pairs.join(left, "a").join(right, "b")
-    met = met.select(*pairs.columns, F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"), (F.size("ta") + F.size("tb")).cast("long").alias("sum"))
-    return met.withColumn("union", F.col("sum") - F.col("both")).drop("sum")
-
-
-def _linked(threshold: int) -> Column:
-    return F.col("both") * 100 >= F.col("union") * threshold
+    both, union = F.size(F.array_intersect("ta", "tb")), F.size("ta") + F.size("tb")
+    met = met.select("a", "b", both.cast("long").alias("both"), union.cast("long").alias("sum"))
+    return met.filter(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * threshold).select("a", "b")
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -371,49 +399,27 @@ def set_links(texts: DataFrame, found: DataFrame, blocks: DataFrame, size: int,
         raw = chosen.select("doc_id", "text").mapInArrow(_sets(size), "d1 long, d2 long, tokens array<long>")
         return materialize(raw.join(wanted.select("sid", "d1", "d2"), ["d1", "d2"]).select("sid", "tokens").dropDuplicates(["sid"]), "sets")
 
-    def judged(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b, least) that may have a similarity of `least`, by their prefixes, with both and union of their whole sets."""
-        bounded = materialize(_bounded(pairs, distinct), "pairs")
-        sids = bounded.select(F.col("a").alias("sid")).unionByName(bounded.select(F.col("b").alias("sid"))).distinct()
-        return materialize(_verified(bounded.select("a", "b"), whole(sids)), "judged")
-
-    # crowded buckets: follow a leader
-    largest = index.filter(F.col("m") > crowd).groupBy("sid").agg(F.max(F.struct("m", "key")).alias("x")).select("sid", "x.*")
-    largest = materialize(largest, "crowded")
-    dealt = largest.join(whole(largest.select("sid")), "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.ceil(F.col("m") / PART)))
-    led = dealt.select("key", "part", "sid", "tokens").repartition("key", "part").sortWithinPartitions("key", "part", "sid").mapInArrow(_lead(threshold), "sid long, leader long, gap double")
-    led = materialize(led, "leaders")
-    reach = materialize(led.filter("gap > 0").groupBy("leader").agg(F.max("gap").alias("reach")), "reach")
-    members = index.select("key", "sid").join(led, "sid", "left").select("key", "sid", F.coalesce("leader", "sid").alias("leader"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
-    members = materialize(members, "members")
-
-    heads = members.select("key", "leader").distinct().join(reach, "leader", "left").join(distinct.select(F.col("sid").alias("leader"), "n"), "leader")
-    heads = materialize(heads.select("key", "leader", "n", F.coalesce("reach", F.lit(0.0)).alias("r")), "heads")
-    one, two = (heads.select("key", F.col("leader").alias(c), F.col("n").alias(f"n{c}"), F.col("r").alias(f"r{c}")) for c in "ab")
-    least = F.lit(threshold / 100 - 1e-9) - F.col("ra") - F.col("rb")
-    pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")))
-    found = judged(pairs.select("a", "b", least.alias("least")).distinct())
-    stars = led.filter("sid <> leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    links = stars.unionByName(found.filter(_linked(threshold)).select("a", "b"))
-
-    # pairs across stars that are near each other, but not connected so far
-    far = found.filter(~_linked(threshold)).withColumn("d", 1 - F.col("both") / F.col("union"))
-    for side in ("a", "b"):
-        far = far.join(reach.select(F.col("leader").alias(side), F.col("reach").alias(f"r{side}")), side, "left")
-    slack = 1 - threshold / 100 + 1e-9
-    near = far.select("a", "b", "d", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("r")).filter("r > 0").filter(F.col("d") <= slack + F.col("r"))
-    near = materialize(near.select("a", "b", "d"), "near")
-    if near.limit(1).count():
-        links = materialize(links, "links")
-        root = components(links).select("node", "root")
-        for side in ("a", "b"):
-            near = near.join(root.select(F.col("node").alias(side), F.col("root").alias(f"c{side}")), side, "left")
-        near = near.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "d")
-        one = members.select("key", F.col("sid").alias("x"), F.col("leader").alias("a"), F.col("gap").alias("gx"))
-        two = members.select("key", F.col("sid").alias("y"), F.col("leader").alias("b"), F.col("gap").alias("gy"))
-        across = one.join(near, "a").join(two, ["key", "b"]).filter(F.col("d") <= slack + F.col("gx") + F.col("gy"))
-        across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(threshold / 100 - 1e-9).alias("least")).distinct()
-        links = links.unionByName(judged(across).filter(_linked(threshold)).select("a", "b"))
+    # crowded buckets: owners meet members
+    crowded = index.filter(F.col("m") > crowd)
+    owned = materialize(crowded.groupBy("sid").agg(F.max(F.struct("m", "key")).alias("x")).select("sid", F.col("x.key").alias("own")), "owners")
+    rooms = crowded.join(owned.select(F.col("own").alias("key")).distinct(), "key")
+    parts = rooms.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts"))
+    rooms = materialize(rooms.join(parts, "key").join(owned, "sid").select("key", "sid", "n", "own", "parts"), "rooms")
+    dealt = rooms.join(whole(rooms.select("sid").distinct()), "sid").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    units = dealt.select("key", F.least("k", "part").alias("i"), F.greatest("k", "part").alias("j"), "part", (F.col("own") == F.col("key")).alias("owner"), "sid", "tokens")
+    forests = materialize(units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_units(threshold), "a long, b long"), "forests")
+
+    # all other pairs of a bucket
+    member_of = rooms.groupBy("sid").agg(F.first("own").alias("own"), F.collect_set("key").alias("rooms"))
+    members = materialize(index.select("key", "sid", "n").join(member_of, "sid", "left"), "members")
+    one, two = (members.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("sid", "n", "own", "rooms"))) for side in "ab")
+    met = F.coalesce(F.array_contains("rooms_b", F.col("own_a")) | F.array_contains("rooms_a", F.col("own_b")), F.lit(False))
+    close = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
+    pairs = one.join(two, (one["key"] == two["key"]) & (F.col("sid_a") < F.col("sid_b")) & close & ~met)
+    bounded = materialize(_bounded(pairs.select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct(), distinct, threshold), "pairs")
+    sids = bounded.select(F.col("a").alias("sid")).unionByName(bounded.select(F.col("b").alias("sid"))).distinct()
+    links = forests.unionByName(_linked(bounded, whole(sids), threshold))
     return distinct.select("sid", "d1", "d2"), links
 
 
