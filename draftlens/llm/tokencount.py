@@ -5,8 +5,8 @@ they are form the whole-token set. A text falls into pieces at white space, whic
 piece falls into pre-tokens. A pre-token in the set counts one, at once; only the rest are merged, by the library.
 Counts of pieces are remembered in each worker, in a table of bounded size.
 
-The shortcut is used for pieces whose characters all lie in the range where case, composition and character class are
-settled (below U+0250, no controls) and that hold no "<|", which could begin a special string. Any other piece goes to the
+The shortcut is used for pieces whose characters, and their lower-case forms, all lie in the range where composition and character
+class are settled (below U+0250, no controls) and that hold no "<|", which could begin a special string. Any other piece goes to the
 library whole, and its count is remembered like any other; only blanks, tabs and line ends cut pieces, which no character joins across.
 Both ways give the library's own count.
 
@@ -33,7 +33,9 @@ LIMIT = 2048
 REMEMBERED = 400_000
 _PLAIN_END = 0x250
 _BLANK = re.compile("[ \t\n\r]+")
-_HARD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|")
+#: Letters below U+0250 whose lower-case form is not one character below it.
+_LEAVING = "".join(chr(c) for c in range(_PLAIN_END) if not (len(chr(c).lower()) == 1 and ord(chr(c).lower()) < _PLAIN_END))
+_HARD = re.compile(f"[^\t\n\r\x20-\x7e\xa1-ɏ]|[{_LEAVING}]|<\\|")
 
 
 def _pretoken_pattern() -> re.Pattern:

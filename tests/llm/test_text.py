@@ -64,6 +64,18 @@ def test_pieces_keep_the_shortcut(monkeypatch):
     assert all(" " not in t for t in asked)
 
 
+def test_capitals_that_leave_the_range():
+    """Letters below U+0250 whose small forms lie beyond, or are two characters, beside all others of the range."""
+    counter = tokencount.Counter(default_path("word_bpe_49k.json"))
+    rng = np.random.default_rng(12)
+    low = [chr(c) for c in range(1, 0x250)]
+    capitals = "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ"
+    texts = ["KÜÇƏ", "MÜƏLLİM", "AĞƏ", "ÑƐ", "İSTANBUL"] + [a + b for a in capitals for b in low]
+    texts += ["".join(rng.choice(low, int(rng.integers(1, 9)))) for _ in range(40_000)]
+    want = [len(e.ids) for e in counter.library.encode_batch(texts, add_special_tokens=False)]
+    assert [(t, n) for t, n in zip(texts, want, strict=True) if counter.count(t) != n] == []
+
+
 def test_whole_tokens_are_whole():
     whole = tokencount.whole_tokens(default_path("word_bpe_49k.json"))
     assert len(whole) > 20_000 and "the" in whole
