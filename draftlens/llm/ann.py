@@ -13,7 +13,8 @@ found in one scan, must be retrieved with the recall asked for. Vectors of diffe
 their own.
 
 Equal vectors are one entry with their k + 1 smallest ids, so a vector that a third of the rows share is neither a hot bucket
-nor many candidates. A query for which fewer than k are found is answered exactly, in blocks of queries and rows.
+nor many candidates. A query for which fewer than k are found is answered exactly, in blocks of queries and rows; so are all queries of
+a length whose measured recall stays below `LEAST_RECALL` with `MOST_TABLES` tables.
 
 Edge cases: a vector that is null, empty, zero, or holds a null, NaN or infinite component takes no part; neighbours have
 the query's length; equal distances go to the smaller vec_id; rows that repeat a vec_id are rows like any other: each is
@@ -43,6 +44,8 @@ SAMPLE, ROUNDS, CHECKED = 4096, 20, 64
 FLIPS, LEAST_BITS, MOST_BITS, MOST_TABLES = 2, 4, 24, 128
 #: Recall asked for of the neighbours looked up, and their share that the reach covers.
 RECALL, REACHED = 0.96, 0.995
+#: Below this measured recall all queries are answered exactly.
+LEAST_RECALL = 0.9
 BLOCK = 16_384
 _FOUND = "query_id long, rank int, vec_id long, score double"
 
@@ -133,8 +136,8 @@ def _nearest_to(checked: np.ndarray, k: int):
     return run
 
 
-def fit(items: DataFrame, k: int = K, sample: int = SAMPLE, checked: int = CHECKED, recall: float = RECALL) -> tuple[Coder, int]:
-    """The coder for items (h, v; one length), and the reach. At most `sample` rows and `checked` * (k + 1) neighbours reach the driver."""
+def fit(items: DataFrame, k: int = K, sample: int = SAMPLE, checked: int = CHECKED, recall: float = RECALL) -> tuple[Coder, int, float]:
+    """The coder for items (h, v; one length), the reach, and the recall measured with both. At most `sample` rows and `checked` * (k + 1) neighbours reach the driver."""
     n = items.count()
     got = np.array(items.select("v", "h").orderBy("h").limit(sample).select("v").toArrow()["v"].to_pylist())
     bits = int(np.clip(round(np.log2(max(2, n))), LEAST_BITS, MOST_BITS))
@@ -143,45 +146,39 @@ def fit(items: DataFrame, k: int = K, sample: int = SAMPLE, checked: int = CHECK
     order = F.row_number().over(Window.partitionBy("q").orderBy("d"))
     near = items.select("v").mapInArrow(_nearest_to(some, k), "q int, d double, v array<double>").withColumn("r", order).filter(F.col("r") <= k + 1).toArrow()
     if not near.num_rows:
-        return coder.cut(1), bits
+        return coder.cut(1), bits, 1.0
     own, other = coder.signs(some)[near["q"].to_numpy()], coder.signs(np.array(near["v"].to_pylist()))
     differ = (own != other).reshape(len(own), MOST_TABLES, bits).sum(axis=2)
     others = near["d"].to_numpy() > 0
     if not others.any():
-        return coder.cut(1), bits
+        return coder.cut(1), bits, 1.0
     found = np.logical_or.accumulate(differ[others] <= FLIPS, axis=1).mean(axis=0)
     tables = int(np.argmax(found >= recall)) + 1 if found[-1] >= recall else MOST_TABLES
-    reach = int(np.ceil(np.quantile(differ[others, :tables].sum(axis=1), REACHED)))
-    return coder.cut(tables), reach
-
-
-def _hamming(a: Column, b: Column, words: int) -> Column:
-    """Written out word by word, so that it is compiled."""
-    return reduce(add, (F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(words)))
+    whole = differ[others, :tables].sum(axis=1)
+    reach = int(np.ceil(np.quantile(whole, REACHED)))
+    met = (differ[others, :tables] <= FLIPS).any(axis=1) & (whole <= reach)
+    return coder.cut(tables), reach, float(met.mean())
 
 
 def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
-def candidates(items: DataFrame, queries: DataFrame, coder: Coder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct pairs (qh, h) that share a probed bucket, and the codes (h, code) of items and (qh, qcode) of queries."""
+def retrieved(items: DataFrame, queries: DataFrame, coder: Coder, reach: int) -> DataFrame:
+    """Distinct pairs (qh, h) that share a probed bucket and lie within reach bits over the whole code."""
     model = items.sparkSession.sparkContext.broadcast(coder)
     schema = "h long, code array<long>, keys array<long>"
     own = materialize(items.select("h", "v").mapInArrow(_codes(model), schema), "codes")
     asked = materialize(queries.select("h", "v").mapInArrow(_codes(model), schema), "codes")
+    words = range(-(-coder.bits * coder.tables // 64))
     flips = F.array(*map(F.lit, masks(coder.bits)))
-    buckets = own.select("h", F.explode("keys").alias("key"))
-    probes = asked.select(F.col("h").alias("qh"), F.explode("keys").alias("key")).select("qh", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    # codes go with the buckets, as plain columns, so that a pair is tested where it meets and few are shuffled again
+    buckets = own.select("h", *(F.col("code")[k].alias(f"c{k}") for k in words), F.explode("keys").alias("key"))
+    probes = asked.select(F.col("h").alias("qh"), *(F.col("code")[k].alias(f"q{k}") for k in words), F.explode("keys").alias("key"))
+    probes = probes.select("qh", *(f"q{k}" for k in words), F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
+    differ = reduce(add, (F.bit_count(F.col(f"c{k}").bitwiseXOR(F.col(f"q{k}"))) for k in words))
     # sizes of exploded rows are not known to the planner, which would broadcast them
-    pairs = probes.hint("merge").join(buckets, "key").select("qh", "h").distinct()
-    return pairs, own.select("h", "code"), asked.select(F.col("h").alias("qh"), F.col("code").alias("qcode"))
-
-
-def retrieved(items: DataFrame, queries: DataFrame, coder: Coder, reach: int) -> DataFrame:
-    """Pairs (qh, h) of what the probes retrieve within reach bits over the whole code."""
-    pairs, own, asked = candidates(items, queries, coder)
-    return pairs.join(own, "h").join(asked, "qh").filter(_hamming(F.col("code"), F.col("qcode"), -(-coder.bits * coder.tables // 64)) <= reach).select("qh", "h")
+    return probes.hint("merge").join(buckets, "key").filter(differ <= reach).select("qh", "h").distinct()
 
 
 def _best(ranked: DataFrame, k: int) -> DataFrame:
@@ -219,7 +216,10 @@ def exact(items: DataFrame, queries: DataFrame, n_items: int, n_queries: int, k:
 
 def _answers(items: DataFrame, queries: DataFrame, total: int, k: int, sample: int, block: int) -> DataFrame:
     """For each of the distinct query vectors (h, v), all of one length: (qh, qv, best). total: rows, not items."""
-    coder, reach = fit(items, k, sample)
+    coder, reach, measured = fit(items, k, sample)
+    if measured < LEAST_RECALL:
+        n = queries.count()
+        return _best(exact(items, queries, items.count(), n, k, block), k)
     near = retrieved(items, queries, coder, reach).join(queries.select(F.col("h").alias("qh"), F.col("v").alias("qv")), "qh").join(items, "h")
     found = materialize(_best(near.select("qh", "qv", _distance(F.col("qv"), F.col("v")).alias("d"), "ids"), k), "found")
     full = found.filter(F.size("best") >= min(k + 1, total))
