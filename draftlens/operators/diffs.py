@@ -1,33 +1,19 @@
-"""Comparisons that need a sequence matcher: indel ratio, token diff spans, tagged diffs, span F1. Arrow batches of Python."""
+"""Comparisons that need an alignment: indel ratio, character diffs, token diff spans, tagged diffs, span F1, moved selections. Arrow batches of Python."""
 
 from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from draftlens.functions.alignment import char_diff, clean_up, indel_ratio, locate
+from draftlens.functions.text import whole_sentence
 from draftlens.session import ship_package
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """2 * longest common subsequence over the summed lengths; 1 for two empty strings."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    x, y = (np.frombuffer(s.encode("utf-32-le", "replace"), dtype=np.uint32) for s in (a, b))
-    if len(x) < len(y):
-        x, y = y, x
-    row = np.zeros(len(y) + 1, dtype=np.int32)
-    for c in x:
-        grown = np.where(y == c, row[:-1] + 1, row[1:])
-        row[1:] = np.maximum.accumulate(np.maximum(grown, row[1:]))
-    return 2.0 * int(row[-1]) / (len(x) + len(y))
-
-
 def changed_spans(a: str, b: str) -> list[tuple[int, int]]:
     """Ranges of a's words that b changes or drops; an insertion is an empty range."""
     match = difflib.SequenceMatcher(a=a.split(), b=b.split(), autojunk=False)
@@ -141,3 +127,51 @@ def compare(pairs: DataFrame) -> DataFrame:
     """pairs (key string, before, after) -> ratio, spans of changed words, tagged diff."""
     ship_package(pairs.sparkSession)
     return pairs.select("key", "before", "after").mapInArrow(_compare, "key string, ratio double, spans array<struct<start:int,end:int>>, tagged string")
+
+
+_OPS = pa.list_(pa.struct([("op", pa.int32()), ("text", pa.string())]))
+
+
+def _char_diffs(cleaned: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sides = zip(part.column("before").to_pylist(), part.column("after").to_pylist(), strict=True)
+                made = [char_diff(a or "", b or "") for a, b in sides]
+                made = [clean_up(ops) for ops in made] if cleaned else made
+                ops = pa.array([[{"op": op, "text": t} for op, t in diff] for diff in made], _OPS)
+                yield pa.RecordBatch.from_arrays([part.column("key"), ops], names=["key", "ops"])
+
+    return run
+
+
+def char_diffs(pairs: DataFrame, cleaned: bool = True) -> DataFrame:
+    """pairs (key string, before, after) -> ops: the characters deleted (-1), inserted (1) and kept (0), as few as can be, or cleaned up for readers.
+
+    The first two rebuild before, the last two after. Null is an empty text.
+    """
+    ship_package(pairs.sparkSession)
+    return pairs.select("key", "before", "after").mapInArrow(_char_diffs(cleaned), "key string, ops array<struct<op:int,text:string>>")
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("text", "selection", "near")), strict=True)
+        found = [locate(text or "", selection or "", near or 0) for text, selection, near in rows]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "at"])
+
+
+def expanded_context(rows: DataFrame) -> DataFrame:
+    """rows (key string, text, selection, near int) -> where the selection, perhaps changed or moved, lies in the text now, grown to whole sentences.
+
+    key, at (-1 where it is too different from all of the text), start, end, selected, same_before, same_after: the text in three parts.
+    """
+    ship_package(rows.sparkSession)
+    found = rows.select("key", "text", "selection", "near").mapInArrow(_located, "key string, text string, selection string, near int, at int")
+    text = F.coalesce("text", F.lit(""))
+    grown = whole_sentence(text, F.col("at"), F.least(F.col("at") + F.char_length(F.coalesce("selection", F.lit(""))), F.char_length(text)))
+    out = found.withColumn("x", F.when(F.col("at") >= 0, grown))
+    part = lambda a, b: F.substring(text, a + 1, b - a)
+    s, e = F.col("x.start"), F.col("x.end")
+    return out.select("key", "at", s.alias("start"), e.alias("end"), part(s, e).alias("selected"), part(F.lit(0), s).alias("same_before"), part(e, F.char_length(text)).alias("same_after"))

@@ -80,3 +80,24 @@ def running_sum(rows: DataFrame, value: Column, name: str, *keys: str, ts: str =
     edges = edges.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_s")
     out = _back(rows.withColumn("_in", F.sum("_v").over(w)), edges, keys)
     return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_bucket", "_v", "_in", "_before")
+
+
+def running_least(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str = GRAIN) -> DataFrame:
+    """Adds the least value of the key's rows up to and including each."""
+    rows = _bucketed(rows, ts, grain).withColumn("_v", value)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.min("_s").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    edges = rows.groupBy(*keys, "_bucket").agg(F.min("_v").alias("_s")).withColumn("_before", before).drop("_s")
+    out = _back(rows.withColumn("_in", F.min("_v").over(w)), edges, keys)
+    return out.withColumn(name, F.least("_before", "_in")).drop("_bucket", "_v", "_in", "_before")
+
+
+def last_before(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str = GRAIN) -> DataFrame:
+    """Adds the last value that is not null of the key's rows before each."""
+    rows = _bucketed(rows, ts, grain).withColumn("_v", value)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("_s", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(ts, tie)))
+    edges = rows.groupBy(*keys, "_bucket").agg(last.alias("_s")).withColumn("_before", before).drop("_s")
+    out = _back(rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w)), edges, keys)
+    return out.withColumn(name, F.coalesce("_in", "_before")).drop("_bucket", "_v", "_in", "_before")

@@ -21,6 +21,54 @@ def _transitions(where: str = "", keys: str = "") -> str:
 SELECT {k}cur, nxt, n, round(n / sum(n) OVER (PARTITION BY {k}cur), 6) AS prob FROM pairs"""
 
 
+
+_PIECES = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
+
+
+def _change(before: str, after: str) -> str:
+    """The change between two columns, told as in operators/clipboard.py."""
+    a, b = (f"regexp_extract_all({x}, '{_PIECES}')" for x in (before, after))
+    fewer = f"least(len({a}), len({b}))"
+
+    def differ(x: str, y: str) -> str:
+        return f"list_min(list_filter(range(0, {fewer} + 1), lambda i: i = {fewer} OR ({x})[i + 1] <> ({y})[i + 1]))"
+
+    start = differ(a, b)
+    end = f"least({differ(f'list_reverse({a})', f'list_reverse({b})')}, {fewer} - {start})"
+    gone, new = (f"array_to_string(({x})[{start} + 1 : len({x}) - {end}], '')" for x in (a, b))
+    at = _place_after(f"array_to_string(({a})[1 : {start}], '')")
+    return f"CASE WHEN {before} = {after} THEN 'All lines are the same' WHEN {gone} = '' THEN {at} || ' ' || {new} || '--added' WHEN {new} = '' THEN {at} || ' ' || {gone} || '--deleted' ELSE {at} || ' ' || {gone} || '->' || {new} END"
+
+
+def _place_after(before: str) -> str:
+    return f"'(' || (length({before}) - length(replace({before}, chr(10), ''))) || ',' || length(string_split({before}, chr(10))[-1]) || ')'"
+
+
+_STREAM = f"""many AS (SELECT max(conv_id) + 1 AS c, max(turn) + 1 AS t FROM conversations),
+own AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+stream AS (
+  SELECT project, ts, tie, own.text, CASE label WHEN 'click' THEN 'copy' WHEN 'signup' THEN 'paste' WHEN 'purchase' THEN 'undo' WHEN 'error' THEN 'undo' ELSE 'type' END AS kind,
+         coalesce(nxt.text, '') AS new_text, CASE WHEN label = 'click' THEN coalesce(regexp_extract_all(own.text, '{_PIECES}')[-1], '') END AS selection
+  FROM log CROSS JOIN many JOIN own ON own.conv_id = tie % c AND own.turn = (tie // c) % t LEFT JOIN own nxt ON nxt.conv_id = own.conv_id AND nxt.turn = own.turn + 1),
+st1 AS (
+  SELECT *, last_value(selection IGNORE NULLS) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS clipboard,
+         sum(CASE kind WHEN 'type' THEN 1 WHEN 'paste' THEN 1 WHEN 'undo' THEN -1 ELSE 0 END) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s
+  FROM stream),
+st2 AS (
+  SELECT *, least(0, min(s) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS low, coalesce(least(0, min(s) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0) AS was
+  FROM st1),
+st3 AS (
+  SELECT *, s - low AS height, CASE kind WHEN 'type' THEN new_text WHEN 'paste' THEN text || coalesce(clipboard, '') END AS after_ FROM st2),
+st4 AS (
+  SELECT *, last_value(CASE WHEN kind IN ('type', 'paste') THEN tie END IGNORE NULLS) OVER (
+           PARTITION BY project, CASE WHEN kind = 'undo' THEN height + 1 ELSE height END ORDER BY ts, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pushed
+  FROM st3),
+st5 AS (SELECT *, CASE WHEN kind = 'undo' AND s >= was THEN pushed END AS undone FROM st4),
+st6 AS (
+  SELECT a.*, CASE a.kind WHEN 'undo' THEN coalesce(b.after_, '') ELSE a.text END AS was_text, CASE a.kind WHEN 'undo' THEN coalesce(b.text, '') WHEN 'copy' THEN '' ELSE a.after_ END AS is_text
+  FROM st5 a LEFT JOIN st5 b ON b.tie = a.undone)"""
+
+
 def _runs(label: str = "label", where: str = "") -> str:
     return f"""f AS (SELECT project, ts, tie, {label} AS label FROM log {where}),
 f1 AS (SELECT *, row_number() OVER ({_ORDER}) - 1 AS place, lag(label) OVER ({_ORDER}) AS b FROM f),
@@ -409,3 +457,8 @@ SQL |= {
     "leakage_pattern_counts": f"WITH {_REV}, x AS (SELECT 'Here is it. ' || text || ' as an AI ' AS t FROM rev), y AS (" + " UNION ALL ".join(f"SELECT '{p.replace(chr(39), chr(39) * 2)}' AS pattern FROM x WHERE regexp_matches(t, '{p.replace('(?i)', '(?im)').replace(chr(39), chr(39) * 2)}')" for p in vocab.LEAKAGE_PATTERNS) + ") SELECT pattern, count(*) AS n FROM y GROUP BY pattern",
     "evaluation_report": f"WITH {_REPORT} SELECT round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1, CASE WHEN m = 0 THEN 1.0 ELSE 0.5 END AS span_iou, n FROM c, u",
 }
+SQL["edit_stream_tokens"] = f"""WITH {_LOG}, {_STREAM}
+SELECT project, tie, kind, CAST(height AS BIGINT) AS height, undone,
+       md5(CASE WHEN kind = 'copy' THEN {_place_after("text[1 : greatest(instr(text, selection) - 1, 0)]")} || ', ' || selection
+                WHEN kind = 'undo' AND undone IS NULL THEN 'All lines are the same' ELSE {_change("was_text", "is_text")} END) AS token_md5
+FROM st6"""

@@ -12,7 +12,7 @@ from draftlens.functions import ids
 from draftlens.functions import process
 from draftlens.functions import text as T
 from draftlens.functions import times
-from draftlens.operators import calibration, detect, diffs, events, metrics, replay, revisions, sessions, spans, traces
+from draftlens.operators import calibration, clipboard, detect, diffs, events, metrics, replay, revisions, sessions, spans, traces
 from draftlens.plans import oracle
 from draftlens.session import spread, union_all
 from draftlens.sources.readers import table
@@ -1068,6 +1068,39 @@ def evaluation_report(spark, d):
     return metrics.evaluation_report(gold, pred, ["k"])
 
 
+
+@query
+def revision_char_diffs(spark, d):
+    """Each turn against the one before it, by character and cleaned up, with the HTML that replay shows."""
+    before = F.lag("text").over(revisions.in_order())
+    pairs = _revisions(spark, d).select(F.concat_ws(":", "doc_id", "revision_index").alias("key"), before.alias("before"), F.col("text").alias("after")).filter("before is not null")
+    ops = F.col("ops")
+    size = lambda op: F.aggregate(F.filter(ops, lambda o: o["op"] == op), F.lit(0), lambda n, o: n + F.char_length(o["text"]))
+    found = diffs.char_diffs(pairs).select("key", F.size(ops).alias("n_ops"), size(-1).alias("deleted"), size(1).alias("inserted"), size(0).alias("kept"), "ops")
+    return replay.frames(found).withColumn("html_md5", F.md5(F.col("diff_html").cast("binary"))).drop("diff_html")
+
+
+@query
+def edit_stream_tokens(spark, d):
+    """What typing, copies, pastes and undos of the edit log do to turns of conversations."""
+    stream_ = clipboard.bound(_log(spark, d), table(spark, d, "conversations"))
+    out = clipboard.tokenised(stream_)
+    return out.select("project", "tie", "kind", "height", "undone", F.md5(F.col("token").cast("binary")).alias("token_md5"))
+
+
+@query
+def relocated_selections(spark, d):
+    """A selection from each document's middle, with an error in it, found again where the text's halves have changed places, and its whole sentences."""
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    moved = F.concat(F.substring("text", half + 1, n), F.substring(F.col("text"), F.lit(1), half))
+    start = F.floor(n / 3).cast("int")
+    selection = F.concat(F.substring("text", start + 1, F.lit(20)), F.lit("#"), F.substring("text", start + 22, F.lit(30)))
+    rows = _texts(spark, d).select(F.col("doc_id").cast("string").alias("key"), moved.alias("text"), selection.alias("selection"), start.alias("near"))
+    found = diffs.expanded_context(rows)
+    return found.select(F.col("key").cast("long").alias("doc_id"), "at", "start", "end", F.md5(F.col("selected").cast("binary")).alias("selected_md5"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
