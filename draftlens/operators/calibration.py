@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlens import vocab
+from draftlens.operators.ordering import exact_median, sequenced
 
 TOKENS_PER_MINUTE = 50
 LEAST_RATE, MOST_RATE = 0.990, 0.9999
 
 
-def steps(revisions: DataFrame) -> DataFrame:
-    """revisions (doc_id, revision_index, ts, text) -> what passed since the one before: interval_ms, delta, minute of the session."""
-    w = Window.partitionBy("doc_id").orderBy("revision_index")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    size = F.char_length(F.coalesce("text", F.lit("")))
-    first = F.first(micros).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = revisions.select("doc_id", "revision_index", ((micros - F.lag(micros).over(w)) / 1000.0).alias("interval_ms"), (size - F.lag(size).over(w)).alias("delta"), F.floor((micros - first) / 60_000_000).cast("long").alias("minute"))
-    return rows.filter("interval_ms > 0")
+def steps(revisions: DataFrame, grain: int = 4096) -> DataFrame:
+    """revisions (doc_id, revision_index, ts, text) -> what passed since the one before: interval_ms, delta, minute of the session.
+
+    A document's revisions are cut by their numbers, so a long one is not one task.
+    """
+    rows = revisions.select("doc_id", "revision_index", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.char_length(F.coalesce("text", F.lit(""))).alias("size"))
+    first = rows.groupBy("doc_id").agg(F.min_by("us", "revision_index").alias("first"))
+    rows = sequenced(rows, "doc_id", ts="revision_index", tie="revision_index", carry=("us", "size"), grain=grain).join(first, "doc_id")
+    since = lambda c: F.col(c) - F.col(f"prev.{c}")
+    out = rows.select("doc_id", "revision_index", (since("us") / 1000.0).alias("interval_ms"), since("size").alias("delta"), F.floor((F.col("us") - F.col("first")) / 60_000_000).cast("long").alias("minute"))
+    return out.filter("interval_ms > 0")
 
 
 def minute_rates(found: DataFrame) -> DataFrame:
@@ -48,10 +52,11 @@ def fatigue_divisor(rates: DataFrame) -> DataFrame:
 def report(found: DataFrame) -> DataFrame:
     """Spread of intervals and absolute deltas; deviations are zero for one value."""
     d = F.abs("delta").cast("double")
-    return found.agg(
+    sums = found.agg(
         F.count("*").alias("n"),
         F.round(F.avg("interval_ms"), 3).alias("mean_ms"),
-        F.round(F.median("interval_ms"), 3).alias("median_ms"),
         F.round(F.coalesce(F.stddev_samp("interval_ms"), F.lit(0.0)), 3).alias("sd_ms"),
         F.round(F.avg(F.when(d > 0, d)), 6).alias("mean_delta"),
     )
+    middle = exact_median(found, F.col("interval_ms"), "median_ms").select(F.round("median_ms", 3).alias("median_ms"))
+    return sums.join(middle, how="cross").select("n", "mean_ms", "median_ms", "sd_ms", "mean_delta")  # one row by one row

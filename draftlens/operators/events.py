@@ -12,13 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlens.operators.ordering import broken, running_sum, sequenced
+from draftlens.operators.ordering import broken, exact_median, running_sum, sequenced
 from draftlens.vocab import GAP_BINS
 
 
-def edit_log(events: DataFrame, projects: int = 5) -> DataFrame:
-    """Bind the events table to an edit log: project = user_id % projects + 1."""
+def edit_log(events: DataFrame, projects: int = 5, with_text: bool = False) -> DataFrame:
+    """Bind the events table to an edit log: project = user_id % projects + 1. with_text: the event's properties and value as its text."""
+    text = F.concat_ws(" ", "props", F.repeat(F.lit("x"), F.floor("value").cast("int")))
     return events.select(
+        *([text.alias("text")] if with_text else []),
         (F.col("user_id") % projects + 1).cast("int").alias("project"),
         F.col("user_id").alias("author"),
         F.col("ts"),
@@ -108,14 +110,15 @@ def gaps(log: DataFrame, *keys: str) -> DataFrame:
 
 def gap_stats(log: DataFrame, *keys: str) -> DataFrame:
     g = gaps(log, *keys)
-    return g.agg(
+    stats = g.agg(
         F.count("gap").alias("n"),
         F.round(F.min("gap"), 6).alias("min_gap"),
         F.round(F.max("gap"), 6).alias("max_gap"),
         F.round(F.avg("gap"), 6).alias("mean_gap"),
-        F.round(F.median("gap"), 6).alias("median_gap"),
         F.round(F.stddev_pop("gap"), 6).alias("std_gap"),
     )
+    middle = exact_median(g, F.col("gap"), "m").select(F.round("m", 6).alias("median_gap"))
+    return stats.join(middle, how="cross").select("n", "min_gap", "max_gap", "mean_gap", "median_gap", "std_gap")  # one row by one row
 
 
 def bin_of(gap: Column, ends: Sequence[float] = GAP_BINS) -> Column:
@@ -198,12 +201,15 @@ def run_edges(log: DataFrame, skip: Sequence[str] = ("Artifact", "No Label")) ->
     return rows.groupBy(F.col("label").alias("source"), F.col("nxt.label").alias("target")).agg(F.count("*").alias("n"))
 
 
+def _label(side: str) -> Column:
+    return F.col(f"{side}.label") if side else F.col("label")
+
+
 def merge_runs(log: DataFrame, value: str) -> DataFrame:
     """Consecutive edits of one label as one, with the value of the last."""
-    rows = sequenced(log, "project")
-    new = F.col("prev").isNull() | ~F.col("label").eqNullSafe(F.col("prev.label"))
-    rows = running_sum(rows, new.cast("int"), "run", "project")
-    return rows.groupBy("project", (F.col("run") - 1).alias("run")).agg(F.first("label").alias("label"), F.max_by(value, "place").alias(value))
+    changed = lambda before, after: F.when(~_label(before).eqNullSafe(_label(after)), True)
+    rows = broken(log, changed, "run", "project")
+    return rows.groupBy("project", "run").agg(F.first("label").alias("label"), F.max_by(value, "place").alias(value))
 
 
 def with_previous_label(log: DataFrame, first: str = "none") -> DataFrame:

@@ -102,9 +102,9 @@ def harm(spans: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def evaluation(gold: DataFrame, predictions: DataFrame, keys: list[str], cut: float = 0.6) -> DataFrame:
-    """F1 of coupling above cut, over the keys that both sides hold, and how many those are."""
+    """F1 of coupling above cut (signs count), over the keys that both sides hold, and how many those are."""
     both = gold.join(predictions, keys)
-    out = binary_f1(both, F.abs("resource_coupling") > cut, F.abs("predicted_coupling") > cut)
+    out = binary_f1(both, F.col("resource_coupling") > cut, F.col("predicted_coupling") > cut)
     return out.join(both.agg(F.count("*").alias("n_keys")), how="cross")  # one row by one row
 
 

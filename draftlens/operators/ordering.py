@@ -12,11 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from draftlens.session import materialize
+
 GRAIN = "day"
 
 
-def _bucketed(rows: DataFrame, ts: str, grain: str) -> DataFrame:
-    return rows.withColumn("_bucket", F.date_trunc(grain, F.col(ts)))
+def _bucketed(rows: DataFrame, ts: str, grain: str | int) -> DataFrame:
+    """Cut by a unit of time, or an order in whole numbers by so many."""
+    return rows.withColumn("_bucket", F.floor(F.col(ts) / grain) if isinstance(grain, int) else F.date_trunc(grain, F.col(ts)))
 
 
 def _back(rows: DataFrame, edges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -24,7 +27,7 @@ def _back(rows: DataFrame, edges: DataFrame, keys: tuple[str, ...]) -> DataFrame
     return rows.join(edges, [*keys, "_bucket"])
 
 
-def sequenced(rows: DataFrame, *keys: str, ts: str = "ts", tie: str = "tie", carry: tuple[str, ...] = ("label",), grain: str = GRAIN) -> DataFrame:
+def sequenced(rows: DataFrame, *keys: str, ts: str = "ts", tie: str = "tie", carry: tuple[str, ...] = ("label",), grain: str | int = GRAIN) -> DataFrame:
     """Adds place (from 0), total (rows of the key), prev and nxt: structs of ts, tie and carry of the rows next to it.
 
     ts must not be null; (ts, tie) orders a key's rows.
@@ -32,7 +35,8 @@ def sequenced(rows: DataFrame, *keys: str, ts: str = "ts", tie: str = "tie", car
     rows = _bucketed(rows, ts, grain)
     w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie)
     here = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), *carry)
-    edges = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.min_by(here, F.struct(ts, tie)).alias("_f"), F.max_by(here, F.struct(ts, tie)).alias("_l"))
+    order = F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"))
+    edges = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"), F.min_by(here, order).alias("_f"), F.max_by(here, order).alias("_l"))
     v = Window.partitionBy(*keys).orderBy("_bucket")
     edges = edges.select(
         *keys,
@@ -47,7 +51,7 @@ def sequenced(rows: DataFrame, *keys: str, ts: str = "ts", tie: str = "tie", car
     return out.drop("_bucket", "_r", "_lag", "_lead", "_before", "_p", "_x")
 
 
-def broken(rows: DataFrame, breaks: Callable[[str, str], Column], name: str, *keys: str, ts: str = "ts", tie: str = "tie", carry: tuple[str, ...] = ("label",), grain: str = GRAIN) -> DataFrame:
+def broken(rows: DataFrame, breaks: Callable[[str, str], Column], name: str, *keys: str, ts: str = "ts", tie: str = "tie", carry: tuple[str, ...] = ("label",), grain: str | int = GRAIN) -> DataFrame:
     """sequenced(), and as name the number of breaks up to and including each row, in the same pass over the rows.
 
     breaks(before, after) is not null where a break lies between two rows; each is "" for the row itself or the name
@@ -71,7 +75,7 @@ def broken(rows: DataFrame, breaks: Callable[[str, str], Column], name: str, *ke
     return out.drop("_bucket", "_r", "_lag", "_lead", "_b", "_in", "_p", "_x", "_before", "_base")
 
 
-def running_sum(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str = GRAIN) -> DataFrame:
+def running_sum(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str | int = GRAIN) -> DataFrame:
     """Adds the sum of value over the key's rows up to and including each."""
     rows = _bucketed(rows, ts, grain).withColumn("_v", value)
     w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -82,7 +86,7 @@ def running_sum(rows: DataFrame, value: Column, name: str, *keys: str, ts: str =
     return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_bucket", "_v", "_in", "_before")
 
 
-def running_least(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str = GRAIN) -> DataFrame:
+def running_least(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str | int = GRAIN) -> DataFrame:
     """Adds the least value of the key's rows up to and including each."""
     rows = _bucketed(rows, ts, grain).withColumn("_v", value)
     w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -92,7 +96,7 @@ def running_least(rows: DataFrame, value: Column, name: str, *keys: str, ts: str
     return out.withColumn(name, F.least("_before", "_in")).drop("_bucket", "_v", "_in", "_before")
 
 
-def last_before(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str = GRAIN) -> DataFrame:
+def last_before(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str | int = GRAIN) -> DataFrame:
     """Adds the last value that is not null of the key's rows before each."""
     rows = _bucketed(rows, ts, grain).withColumn("_v", value)
     w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
@@ -101,3 +105,24 @@ def last_before(rows: DataFrame, value: Column, name: str, *keys: str, ts: str =
     edges = rows.groupBy(*keys, "_bucket").agg(last.alias("_s")).withColumn("_before", before).drop("_s")
     out = _back(rows.withColumn("_in", F.last("_v", ignorenulls=True).over(w)), edges, keys)
     return out.withColumn(name, F.coalesce("_in", "_before")).drop("_bucket", "_v", "_in", "_before")
+
+
+def exact_median(rows: DataFrame, value: Column, name: str, *keys: str) -> DataFrame:
+    """The median of value (the mean of the middle two) within keys, exact, without all values in one task: (*keys, name); null for no values.
+
+    Distinct values with their counts are dealt by ranges and written; a table with a row for each range and key says which
+    ranges hold the middle, and only these are summed up in order.
+    """
+    counted = rows.select(*keys, value.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    dealt = materialize(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    whole = Window.partitionBy(*(keys or (F.lit(0),)))  # a row a range and key
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
+    parts = parts.withColumns({"_before": F.coalesce(F.sum("_s").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_s").over(whole)})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    holds = (F.col("_before") <= high) & (F.col("_before") + F.col("_s") > low)
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, "_part")]
+    met = dealt.alias("d").join(parts.filter(holds).alias("p"), same).select(*(F.col(f"d.{k}").alias(k) for k in keys), F.col("d._part").alias("_part"), "_v", "_n", "_before", "_all")
+    w = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("_to", F.col("_before") + F.sum("_n").over(w))
+    at = lambda rank: F.max(F.when((F.col("_to") - F.col("_n") <= rank) & (rank < F.col("_to")), F.col("_v")))
+    return met.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from draftlens import vocab
 from draftlens.functions import ids, text
+from draftlens.operators.ordering import running_sum, sequenced
+
 
 def in_order():
     """The window of a document's revisions; made where it is used, as it needs a session."""
@@ -15,9 +17,9 @@ def in_order():
 
 def build_documents(edits: DataFrame) -> DataFrame:
     """Raw edits (project, timestamp ms, tie, before_text, after_text, label, high_level) -> revisions of documents."""
-    w = Window.partitionBy("project").orderBy("timestamp", "tie")
-    doc = ids.doc_id(F.col("project"))
-    rows = edits.withColumns({"doc_id": doc, "revision_index": F.row_number().over(w) - 1, "text": text.normalize_text(F.col("after_text"))})
+    doc, after, before = ids.doc_id(F.col("project")), F.col("after_text"), F.col("before_text")
+    timed = edits.withColumn("_ts", F.timestamp_millis("timestamp"))
+    rows = sequenced(timed, "project", ts="_ts", carry=()).withColumns({"doc_id": doc, "revision_index": F.col("place").cast("int"), "text": text.normalize_text(after, text.nfc(after))})
     return rows.select(
         "doc_id",
         ids.revision_id(F.col("doc_id"), F.col("revision_index")).alias("revision_id"),
@@ -25,7 +27,7 @@ def build_documents(edits: DataFrame) -> DataFrame:
         "text",
         F.timestamp_millis("timestamp").alias("ts"),
         F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 32).alias("provenance_hash"),
-        text.normalize_text(F.col("before_text")).alias("before_text"),
+        text.normalize_text(before, text.nfc(before)).alias("before_text"),
         F.col("label").alias("writing_intention"),
         F.col("high_level").alias("high_level_category"),
     )
@@ -109,6 +111,19 @@ def as_of(revisions: DataFrame, versions: DataFrame) -> DataFrame:
     return rows.unionByName(marks).withColumn("value", F.last("value", ignorenulls=True).over(w)).filter("_row = 1").drop("_row")
 
 
+def active_totals(revisions: DataFrame, spans: DataFrame, grain: int = 4096) -> DataFrame:
+    """How many spans (doc_id, born, size) are active at each revision, those born at or before it, and their size in all; none, no row.
+
+    Running sums over births and revisions in one order, cut by number, so no span meets its later revisions one by one.
+    """
+    born = spans.groupBy("doc_id", F.col("born").alias("revision_index")).agg(F.count("*").alias("_n"), F.sum("size").cast("long").alias("_s"))
+    rows = revisions.select("doc_id", "revision_index").distinct().join(born, ["doc_id", "revision_index"], "full")
+    for value, name in (("_n", "n_active"), ("_s", "chars")):
+        rows = running_sum(rows, F.coalesce(value, F.lit(0)), name, "doc_id", ts="revision_index", tie="revision_index", grain=grain)
+    kept = rows.join(revisions.select("doc_id", "revision_index"), ["doc_id", "revision_index"], "left_semi")
+    return kept.filter("n_active > 0").select("doc_id", "revision_index", "n_active", "chars")
+
+
 def carry_forward(revisions: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans active at each revision: those born at or before it. Texts stay out of this join; only keys and offsets fan out."""
     keys = revisions.select("doc_id", "revision_index")

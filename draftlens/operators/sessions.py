@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from draftlens.operators.events import minutes
-from draftlens.operators.ordering import broken, running_sum, sequenced
+from draftlens.operators.ordering import broken, exact_median, running_sum, sequenced
 from draftlens.vocab import SESSION_COSINE, SESSION_GAP_MINUTES
 
 
@@ -57,15 +57,18 @@ def duration_stats(found: DataFrame, *keys: str) -> DataFrame:
     """Mean, sample variance and deviation (zero for one session), median, extremes and number of durations."""
     d = F.col("minutes")
     r = lambda c, name: F.round(c, 6).alias(name)
-    return found.groupBy(*keys).agg(
+    stats = found.groupBy(*keys).agg(
         F.count("*").alias("n"),
         r(F.avg(d), "mean_minutes"),
         r(F.coalesce(F.var_samp(d), F.lit(0.0)), "var_minutes"),
         r(F.coalesce(F.stddev_samp(d), F.lit(0.0)), "sd_minutes"),
-        r(F.median(d), "median_minutes"),
         r(F.min(d), "min_minutes"),
         r(F.max(d), "max_minutes"),
     )
+    middle = exact_median(found, d, "_m", *keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    both = stats.join(middle, same, "left") if keys else stats.join(middle, how="cross")
+    return both.select(*keys, "n", "mean_minutes", "var_minutes", "sd_minutes", r("_m", "median_minutes"), "min_minutes", "max_minutes")
 
 
 def duration_classes(found: DataFrame) -> DataFrame:

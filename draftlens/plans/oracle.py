@@ -22,6 +22,11 @@ SELECT {k}cur, nxt, n, round(n / sum(n) OVER (PARTITION BY {k}cur), 6) AS prob F
 
 
 
+def _in_lines(pattern: str) -> str:
+    """A leakage pattern for a literal, with ^ and $ at lines."""
+    return pattern.replace("(?i)", "(?im)").replace("'", "''")
+
+
 _PIECES = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
 
 
@@ -258,10 +263,10 @@ SQL: dict[str, str] = {
     "edit_classes": f"WITH {_REV}, {_EDIT} SELECT * FROM ec",
     "trajectory_states": f"WITH {_REV}, {_EDIT}, x AS (SELECT doc_id, max(state) AS state FROM ec GROUP BY doc_id) SELECT doc_id, {_STATE} AS state, list_extract(['none', 'low', 'medium'], state + 1) AS flag FROM x",
     "trajectory_history": f"WITH {_REV}, {_EDIT}, x AS (SELECT *, coalesce(lag(state) OVER ({_DOCW}), -1) AS b FROM ec) SELECT doc_id, revision_index, {_STATE} AS state FROM x WHERE state > b",
-    "carry_forward_asof": f"WITH {_REV}, v AS (SELECT doc_id, revision_index AS born, md5(text) AS value FROM rev WHERE revision_index % 3 = 0) SELECT rev.doc_id, rev.revision_index, v.value FROM rev ASOF LEFT JOIN v ON rev.doc_id = v.doc_id AND rev.revision_index >= v.born",
-    "active_spans": f"WITH {_REV}, b AS (SELECT doc_id, revision_index AS born, length(text) AS size FROM rev WHERE revision_index % 2 = 0) SELECT rev.doc_id, rev.revision_index, count(*) AS n_active, CAST(sum(size) AS BIGINT) AS chars FROM rev JOIN b ON rev.doc_id = b.doc_id AND born <= revision_index GROUP BY ALL",
+    "carry_forward_asof": f"WITH {_REV}, v AS (SELECT doc_id, revision_index AS born, md5(text) AS value FROM (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS revision_index, coalesce(text, '') AS text FROM conversations WHERE role = 'user')) SELECT rev.doc_id, rev.revision_index, v.value FROM rev ASOF LEFT JOIN v ON rev.doc_id = v.doc_id AND rev.revision_index >= v.born",
+    "active_spans": f"WITH {_REV}, b AS (SELECT doc_id, revision_index AS born, length(text) AS size FROM (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS revision_index, coalesce(text, '') AS text FROM conversations WHERE role = 'user')) SELECT rev.doc_id, rev.revision_index, count(*) AS n_active, CAST(sum(size) AS BIGINT) AS chars FROM rev JOIN b ON rev.doc_id = b.doc_id AND born <= revision_index GROUP BY ALL",
     "doc_ids": "SELECT doc_id, 'doc_' || substr(sha256('seed:project:' || doc_id), 1, 16) AS hashed_id, 'rev_' || substr(sha256(source || ':' || doc_id), 1, 16) AS rev_id, CAST(CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS UBIGINT) AS BIGINT) AS c1, CAST(0 AS BIGINT) AS bucket FROM documents",
-    "provenance_hash": r"WITH x AS (SELECT doc_id, regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents) SELECT doc_id, substr(sha256(regexp_replace(t, '^\s+|\s+$', '', 'g')), 1, 32) AS provenance FROM x",
+    "provenance_hash": r"WITH x AS (SELECT doc_id, regexp_replace(replace(replace(nfc_normalize(coalesce(text, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM documents) SELECT doc_id, substr(sha256(regexp_replace(t, '^\s+|\s+$', '', 'g')), 1, 32) AS provenance FROM x",
     "discourse_density": rf"SELECT doc_id, CAST({_count('lower(coalesce(text, ' + chr(39) * 2 + '))', chr(92) + 'b(' + _MARKERS + ')' + chr(92) + 'b')} AS INTEGER) AS n_markers, CAST(len({_words('coalesce(text, ' + chr(39) * 2 + ')')}) AS INTEGER) AS n_words FROM documents",
     "syntactic_demand": rf"SELECT doc_id, round(CASE WHEN coalesce(text, '') = '' THEN 1.0 ELSE least(10.0, len({_words('text')}) / 10.0 + 1.2 * {_count('lower(text)', chr(92) + 'b(' + '|'.join(vocab.DEMAND_MARKERS) + ')' + chr(92) + 'b')}) END, 6) AS demand FROM documents",
     "pii_counts_by_rule": f"WITH {_pii()} SELECT rule_id, severity, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_docs FROM pii GROUP BY ALL",
@@ -281,14 +286,14 @@ SQL: dict[str, str] = {
     "class_weights": f"WITH {_LOG}, voc AS (SELECT unnest(['view', 'click', 'signup', 'purchase', 'error', 'refund']) AS label), c AS (SELECT voc.label, count(log.label) + 1 AS c FROM voc LEFT JOIN log USING (label) GROUP BY voc.label), w AS (SELECT label, sum(c) OVER () / (count(*) OVER () * c) AS w FROM c) SELECT label, round(w / sum(w) OVER (), 6) AS weight FROM w",
     "harm_rates": f"WITH {_REV}, {_SPANS}, per AS (SELECT doc_id, revision_index, bool_or(inj) AS has, arg_min(label, s) FILTER (NOT inj) AS anomaly, any_value(contains(lower(text), 'the')) AS hit FROM sp GROUP BY ALL), h AS (SELECT *, CASE WHEN contains(lower(text), 'the') THEN 1.0 ELSE 0 END AS hit FROM sp WHERE inj) SELECT 'fpr_' || replace(anomaly, '.', '_') AS metric, round(avg(CASE WHEN hit THEN 1.0 ELSE 0 END), 6) AS value FROM per WHERE anomaly IS NOT NULL AND NOT has GROUP BY 1 UNION ALL SELECT 'sensitivity_level_' || level, round(avg(hit), 6) FROM h GROUP BY 1 UNION ALL SELECT 'sensitivity_state_' || state, round(avg(hit), 6) FROM h GROUP BY 1",
     "harm_by_source": f"WITH {_PAIRS} SELECT source, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0 END) FILTER (toxic = 1), 6) AS sensitivity, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0 END) FILTER (toxic = 0), 6) AS fpr, count(*) AS n FROM pairs GROUP BY source",
-    "coupling_evaluation": "WITH x AS (SELECT quality = 1 AS t, toxic = 1 AS p FROM labels WHERE doc_id % 3 <> 0), c AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) AS n_keys FROM x) SELECT tp, fp, fn, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, n_keys FROM c",
+    "coupling_evaluation": "WITH x AS (SELECT quality = 1 AS t, toxic = 1 AS p FROM labels), c AS (SELECT count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) AS n_keys FROM x) SELECT tp, fp, fn, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, n_keys FROM c",
     "gold_sample": "SELECT doc_id, source FROM documents ORDER BY sha256('17:' || doc_id) LIMIT 50",
     "stratified_rotation": "SELECT list_extract(['naive', 'topical', 'contextual'], CAST(doc_id % 3 AS INTEGER) + 1) AS level, list_extract(['cold', 'warm', 'assimilated'], CAST((doc_id // 3) % 3 AS INTEGER) + 1) AS state, count(*) AS n FROM documents GROUP BY ALL",
     "weighted_choice": "WITH x AS (SELECT CAST('0x' || substr(sha256('11:' || doc_id), 1, 12) AS BIGINT) / 281474976710656.0 AS u FROM documents) SELECT CASE WHEN u < 0.35 THEN 'naive' WHEN u < 0.75 THEN 'topical' ELSE 'contextual' END AS choice, count(*) AS n FROM x GROUP BY 1",
     "diverse_selection": "WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT doc_id, source, n_chars FROM r WHERE k <= 2 ORDER BY k, n_chars DESC, doc_id LIMIT 60",
     "fallback_ranking": "WITH p AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id = 1 LIMIT 1) SELECT d.doc_id AS key, d.source AS vendor, d.n_chars AS score FROM documents d, p WHERE d.doc_id <> p.doc_id ORDER BY d.source <> p.source, abs(d.n_chars - p.n_chars), d.doc_id LIMIT 20",
     "split_disjointness": "SELECT 'test' AS a, 'train' AS b, count(*) AS n_shared FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'test', 'val', count(*) FROM documents WHERE doc_id % 15 = 0 UNION ALL SELECT 'train', 'val', count(*) FROM documents WHERE doc_id % 6 = 0",
-    "annotator_agreement": "SELECT doc_id, quality AS \"first\", toxic AS second FROM labels WHERE doc_id % 4 <> 1",
+    "annotator_agreement": "SELECT doc_id, quality AS \"first\", toxic AS second FROM labels",
     "span_iou_by_conv": _iou("doc_id"),
     "span_iou_pooled": _iou(""),
     "span_overlaps": f"WITH {_REV}, {_SPANS}, x AS (SELECT *, lead(injection_id) OVER w AS next_id, lead(s) OVER w AS ns FROM sp WINDOW w AS (PARTITION BY doc_id, revision_index ORDER BY s, e, injection_id)) SELECT doc_id, revision_index, injection_id, next_id FROM x WHERE ns < e",
@@ -323,7 +328,7 @@ UNION ALL SELECT doc_id, revision_index, md5(t3), 'i3', CAST(q3 AS INTEGER), CAS
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
 }
 
-_TIMED = f"""tm AS (SELECT project AS doc_id, row_number() OVER ({_ORDER}) - 1 AS k, epoch_us(ts) AS us, tie % 97 AS size FROM log),
+_TIMED = f"""tm AS (SELECT project AS doc_id, row_number() OVER ({_ORDER}) - 1 AS k, epoch_us(ts) AS us, length(coalesce(props, '') || ' ' || repeat('x', CAST(floor(value) AS BIGINT))) AS size FROM log JOIN (SELECT event_id AS tie, props, value FROM events) USING (tie)),
 st AS (SELECT doc_id, k, (us - lag(us) OVER w) / 1000.0 AS ms, size - lag(size) OVER w AS delta, (us - min(us) OVER (PARTITION BY doc_id)) // 60000000 AS minute FROM tm WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
 sp AS (SELECT * FROM st WHERE ms > 0),
 mr AS (SELECT doc_id, minute, CAST(sum(delta) AS BIGINT) AS chars FROM sp WHERE delta > 0 GROUP BY ALL),
@@ -358,13 +363,14 @@ _BOUNDS = _broken("boundary", "sp", ("s < 0 OR e > length(text)", "'Offset out o
 _CAUSAL = ("SELECT doc_id, revision_index, injection_id, 'earned_label'" + _EARNED[1]).replace("'earned_label'", "'causal_integrity'").replace(" FROM x WHERE ", " FROM xe WHERE starts_with(label, 'injection.') AND ")
 _WITH_CAUSAL = _EARNED[0].replace(", x AS (", ", xe AS (", 1)
 _MONOTONE = "m0 AS (SELECT *, list_position(['cold', 'warm', 'assimilated'], state) AS r FROM sp WHERE inj), m1 AS (SELECT *, lag(r) OVER w AS b FROM m0 WINDOW w AS (PARTITION BY doc_id, injection_id ORDER BY revision_index))"
+_LEAKED = " UNION ALL ".join(f"SELECT doc_id, revision_index, injection_id, 'prompt_leakage' AS error_type, '' AS message FROM lk WHERE regexp_matches(body, '{_in_lines(p)}')" for p in vocab.LEAKAGE_PATTERNS)
 _DAYS = "cal AS (SELECT CAST(range AS DATE) AS bucket FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 {g}))"
 
 SQL |= {
     "revision_checks": f"{_WITH_CAUSAL} {_BOUNDS} UNION ALL {_CAUSAL}",
     "trace_sufficiency": f"WITH {_REV}, {_SPANS}, {_TRACE} " + _broken("trace_sufficiency", "sg0", ("state = 'warm' AND size < 3", "'warm requires 3 events, got ' || size"), ("state = 'assimilated' AND size < 5", "'assimilated requires 5 events, got ' || size")),
     "coupling_support": f"WITH {_REV}, {_SPANS}, {_TRACE} " + _broken("coupling_support", "sig", ("flag = 'high' AND abs(coupling) < 0.5", "'high requires coupling 0.5'"), ("flag = 'medium' AND abs(coupling) < 0.3", "'medium requires coupling 0.3'")),
-    "span_iou_every_conv": 'WITH had AS (' + _iou("doc_id").replace("FROM sp WHERE e > s", "FROM sp WHERE e > s AND doc_id % 3 <> 0") + ') SELECT doc_id, CAST(coalesce(inter, 0) AS BIGINT) AS inter, CAST(coalesce("union", 0) AS BIGINT) AS "union", coalesce(iou, 1) AS iou FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) LEFT JOIN had USING (doc_id)',
+    "span_iou_every_conv": 'WITH had AS (' + _iou("doc_id") + ') SELECT doc_id, CAST(coalesce(inter, 0) AS BIGINT) AS inter, CAST(coalesce("union", 0) AS BIGINT) AS "union", coalesce(iou, 1) AS iou FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations) LEFT JOIN had USING (doc_id)',
     "model_selection": """WITH r AS (SELECT doc_id AS key, source AS vendor, length(source) AS p, n_chars AS score, doc_id % 17 AS cost, doc_id % 17 <= 9 AS fits FROM documents),
 v AS (SELECT vendor, row_number() OVER (ORDER BY min(p), vendor) AS v FROM r GROUP BY vendor),
 a AS (SELECT r.*, v, row_number() OVER w AS i, sum(CASE WHEN fits THEN 1 ELSE 0 END) OVER (PARTITION BY vendor ORDER BY score DESC, key ROWS UNBOUNDED PRECEDING) AS a FROM r JOIN v USING (vendor) WINDOW w AS (PARTITION BY vendor ORDER BY score DESC, key)),
@@ -384,7 +390,7 @@ SELECT key, vendor, phase FROM c WHERE phase < 3 OR taken + c <= 3 ORDER BY phas
     "validation_report": _WITH_CAUSAL
     + ", "
     + _FLAGS[0].split(_TRACE + ", ", 1)[1]
-    + f", {_MONOTONE}, lk AS (SELECT text, substr(text, s + 1, e - s) AS body FROM sp WHERE inj AND s >= 0 AND e <= length(text)), every AS ({_BOUNDS} UNION ALL {_CAUSAL} UNION ALL SELECT doc_id, revision_index, injection_id, 'earned_ambiguity'"
+    + f", {_MONOTONE}, lk AS (SELECT doc_id, revision_index, injection_id, substr(text, s + 1, e - s) AS body FROM sp WHERE inj AND s >= 0 AND e <= length(text)), every AS ({_LEAKED} UNION ALL {_BOUNDS} UNION ALL {_CAUSAL} UNION ALL SELECT doc_id, revision_index, injection_id, 'earned_ambiguity'"
     + _FLAGS[1]
     + " UNION ALL SELECT doc_id, revision_index, injection_id, 'trajectory_monotonicity', '' FROM m1 WHERE b > r) SELECT error_type, count(*) AS n FROM every GROUP BY error_type ORDER BY n DESC, error_type LIMIT 20",
 }
@@ -420,7 +426,7 @@ ln AS (SELECT doc_id, line, CASE WHEN blank THEN 0 ELSE CAST(sum(CASE WHEN begin
 _BEFORE = f"lag(text) OVER ({_DOCW})"
 _REPAIR_KEY = "concat_ws(':', source, way, printf('%.4f', g), CAST(doc_id AS VARCHAR))"
 _CHARS = "list_distinct(string_split({t}, ''))"
-_REPORT = """x AS (SELECT quality * 0.9 AS g, toxic * 0.8 AS p, doc_id % 40 * 25 AS place FROM labels WHERE doc_id % 3 <> 0),
+_REPORT = """x AS (SELECT quality * 0.9 AS g, toxic * 0.8 AS p, doc_id % 40 * 25 AS place FROM labels),
 c AS (SELECT count(*) FILTER (g > 0.6 AND p > 0.6) AS tp, count(*) FILTER (g <= 0.6 AND p > 0.6) AS fp, count(*) FILTER (g > 0.6 AND p <= 0.6) AS fn, count(*) AS n FROM x),
 u AS (SELECT count(DISTINCT place) AS m FROM x)"""
 

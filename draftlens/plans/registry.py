@@ -12,7 +12,7 @@ from draftlens.functions import ids
 from draftlens.functions import process
 from draftlens.functions import text as T
 from draftlens.functions import times
-from draftlens.operators import calibration, clipboard, detect, diffs, events, metrics, replay, revisions, sessions, spans, traces
+from draftlens.operators import calibration, clipboard, detect, diffs, events, metrics, ordering, replay, revisions, sessions, spans, traces
 from draftlens.plans import oracle
 from draftlens.session import spread, union_all
 from draftlens.sources.readers import table
@@ -345,16 +345,16 @@ def trajectory_history(spark, d):
 
 @query
 def carry_forward_asof(spark, d):
-    r = _revisions(spark, d)
-    versions = r.filter("revision_index % 3 = 0").select("doc_id", F.col("revision_index").alias("born"), F.md5(F.col("text").cast("binary")).alias("value"))
-    return revisions.as_of(r, versions)
+    """What the user said last, at each turn."""
+    said = revisions.from_conversations(table(spark, d, "conversations").filter("role = 'user'"))
+    return revisions.as_of(_revisions(spark, d), said.select("doc_id", F.col("revision_index").alias("born"), F.md5(F.col("text").cast("binary")).alias("value")))
 
 
 @query
 def active_spans(spark, d):
-    r = _revisions(spark, d)
-    born = r.filter("revision_index % 2 = 0").select("doc_id", F.col("revision_index").alias("born"), F.char_length("text").alias("size"))
-    return revisions.carry_forward(r, born).groupBy("doc_id", "revision_index").agg(F.count("*").alias("n_active"), F.sum("size").alias("chars"))
+    """Spans that each user turn begins, counted and measured from there on."""
+    said = revisions.from_conversations(table(spark, d, "conversations").filter("role = 'user'"))
+    return revisions.active_totals(_revisions(spark, d), said.select("doc_id", F.col("revision_index").alias("born"), F.char_length("text").alias("size")))
 
 
 # text
@@ -367,7 +367,7 @@ def doc_ids(spark, d):
 
 @query
 def provenance_hash(spark, d):
-    return _docs(spark, d).select("doc_id", T.provenance_hash(F.col("text")).alias("provenance"))
+    return _docs(spark, d).select("doc_id", T.provenance_hash(F.col("text"), T.nfc(F.col("text"))).alias("provenance"))
 
 
 @query
@@ -550,7 +550,7 @@ def harm_by_source(spark, d):
 def coupling_evaluation(spark, d):
     base = table(spark, d, "labels")
     gold = base.select(F.col("doc_id").alias("k"), (F.col("quality") * 0.9).alias("resource_coupling"))
-    pred = base.filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), (F.col("toxic") * 0.8).alias("predicted_coupling"))
+    pred = base.select(F.col("doc_id").alias("k"), (F.col("toxic") * 0.8).alias("predicted_coupling"))
     return metrics.evaluation(gold, pred, ["k"])
 
 
@@ -598,7 +598,7 @@ def split_disjointness(spark, d):
 @query
 def annotator_agreement(spark, d):
     base = table(spark, d, "labels")
-    ann = union_all([base.select("doc_id", F.lit("a").alias("annotator"), F.col("quality").alias("label")), base.filter("doc_id % 4 <> 1").select("doc_id", F.lit("b").alias("annotator"), F.col("toxic").alias("label"))])
+    ann = union_all([base.select("doc_id", F.lit("a").alias("annotator"), F.col("quality").alias("label")), base.select("doc_id", F.lit("b").alias("annotator"), F.col("toxic").alias("label"))])
     return metrics.agreement(ann, 2, ["doc_id"]).select("doc_id", F.col("labels")[0].alias("first"), F.col("labels")[1].alias("second"))
 
 
@@ -679,7 +679,7 @@ def coupling_support(spark, d):
 def span_iou_every_conv(spark, d):
     """Documents without such spans agree."""
     r = _revisions(spark, d)
-    s = _spans(r).filter("doc_id % 3 <> 0").select("doc_id", "injection_id", "start", "end")
+    s = _spans(r).select("doc_id", "injection_id", "start", "end")
     return spans.iou(s.filter("injection_id like 'inj%'"), s.filter("injection_id like 'two%'"), "doc_id", every=r)
 
 
@@ -800,10 +800,9 @@ def stand_in_signatures(spark, d):
 
 
 def _timed(spark, d) -> DataFrame:
-    """Revisions with times: a project's edits, with texts as long as the edit's number says."""
-    log = _log(spark, d)
-    k = F.row_number().over(events.by_project())
-    return log.select(F.col("project").alias("doc_id"), (k - 1).alias("revision_index"), "ts", F.repeat(F.lit("x"), (F.col("tie") % 97).cast("int")).alias("text"))
+    """Revisions with times: a project's edits, with the texts of the events' properties and values."""
+    log = ordering.sequenced(events.edit_log(table(spark, d, "events"), with_text=True), "project")
+    return log.select(F.col("project").alias("doc_id"), F.col("place").alias("revision_index"), "ts", "text")
 
 
 @query
@@ -885,9 +884,8 @@ def _cosine(a, b):
 @query
 def cosine_consecutive(spark, d):
     """Cosine of each vector with the one before of its label."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, d, "embeddings").withColumn("_b", F.lag("embedding").over(w)).filter("_b is not null")
-    return e.select("vec_id", "label", F.round(_cosine(F.col("_b"), F.col("embedding")), 5).alias("cosine"))
+    e = ordering.sequenced(table(spark, d, "embeddings"), "label", ts="vec_id", tie="vec_id", carry=("embedding",), grain=4096).filter("prev is not null")
+    return e.select("vec_id", "label", F.round(_cosine(F.col("prev.embedding"), F.col("embedding")), 5).alias("cosine"))
 
 
 @query
@@ -1064,7 +1062,7 @@ def evaluation_report(spark, d):
     base = table(spark, d, "labels").select(F.col("doc_id").alias("k"), "quality", "toxic")
     at = (F.col("k") % 40 * 25).cast("int")
     gold = base.select("k", (F.col("quality") * 0.9).alias("resource_coupling"), at.alias("span_start_char"), (at + 10).alias("span_end_char"))
-    pred = base.filter("k % 3 <> 0").select("k", (F.col("toxic") * 0.8).alias("predicted_coupling"), (at + 4).alias("pred_start"), (at + 12).alias("pred_end"))
+    pred = base.select("k", (F.col("toxic") * 0.8).alias("predicted_coupling"), (at + 4).alias("pred_start"), (at + 12).alias("pred_end"))
     return metrics.evaluation_report(gold, pred, ["k"])
 
 
