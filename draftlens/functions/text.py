@@ -41,6 +41,45 @@ def word_count(text: Column) -> Column:
     return F.size(words(text))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, also for what body says within lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_ends(sizes: Column) -> Column:
+    """Sums of an array of whole numbers up to and including each.
+
+    A fold that appends copies its array each time; so the sums are made in blocks of the root of the array's length.
+    """
+
+    def summed(block: Column, start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        grow = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"] + x).alias("out"))
+        return F.aggregate(block, begin, grow, lambda acc: acc["out"])
+
+    def cut(x: Column) -> Column:
+        step = F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / step).cast("int")), lambda k: F.slice(x, k * step + 1, step))
+
+    def over(blocks: Column) -> Column:
+        whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, v: a + v))
+        starts = F.concat(F.array(F.lit(0)), summed(whole, F.lit(0)))
+        return F.flatten(F.transform(F.filter(F.arrays_zip(blocks.alias("b"), starts.alias("s")), lambda z: z["b"].isNotNull()), lambda z: summed(z["b"], z["s"])))
+
+    return let(sizes, lambda x: let(cut(x), over))
+
+
+def marked_pieces(text: Column, pattern: str, inner: str = "$0") -> Column:
+    """text cut at the matches of pattern: pieces outside and inside of them by turns, so that their lengths give all places."""
+    mark = "\x00"
+    return F.split(F.regexp_replace(F.replace(text, F.lit(mark), F.lit("\x01")), pattern, mark + inner + mark), mark)
+
+
+def placed_pieces(pieces: Column) -> Column:
+    """Structs of piece and end, the sum of lengths up to its end."""
+    return let(pieces, lambda p: F.arrays_zip(p.alias("piece"), running_ends(F.transform(p, F.char_length)).alias("end")))
+
+
 def tokens(text: Column, pattern: str = r"(?U)\w+") -> Column:
     """Lower-cased runs of word characters."""
     return F.regexp_extract_all(F.lower(empty_if_null(text)), F.lit(pattern), F.lit(0))
@@ -83,7 +122,7 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def sentence_offsets(text: Column, parts: Column) -> Column:
+def offsets_of(text: Column, parts: Column) -> Column:
     """[start, end) of each part, looked for from the end of the one before; a part not found starts there."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
@@ -96,6 +135,20 @@ def sentence_offsets(text: Column, parts: Column) -> Column:
     return F.aggregate(parts, start, step, lambda acc: acc["out"])
 
 
+def sentence_offsets(text: Column, parts: Column | None = None) -> Column:
+    """[start, end) of each of sentences(text), in one walk: from the lengths of what the text is cut into. parts: of these instead, by search."""
+    if parts is not None:
+        return offsets_of(text, parts)
+    pieces = placed_pieces(marked_pieces(empty_if_null(text), r"(?<=[.!?])(?U:\s+)(?=[A-Z])"))
+
+    def place(x: Column, i: Column) -> Column:
+        size, kept = F.char_length(x["piece"]), F.regexp_replace(x["piece"], r"(?U)^\s+", "")
+        begin = x["end"] - F.char_length(kept)
+        return F.when((i % 2 == 0) & (size > 0), F.struct(begin.alias("start"), (begin + F.char_length(strip(kept))).alias("end")))
+
+    return F.filter(F.transform(pieces, place), lambda o: o.isNotNull() & (o["end"] > o["start"]))
+
+
 def sentence_index(offsets: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """Sentences of a span: start in [s, e), end in (s, e]; the last that fits, else 0."""
 
@@ -137,6 +190,14 @@ def _any(conditions) -> Column:
     return out
 
 
+def pii_places(text: Column, rule: str) -> Column:
+    """[start, end) of pii_matches(text, rule), in one walk."""
+    pattern = "(?U)" + (vocab.PII_STRICT if rule in vocab.PII_STRICT else vocab.PII_HEURISTIC)[rule]
+    named = lambda m: F.lit(False) if rule in vocab.PII_STRICT else _any(m.startswith(w) for w in vocab.PII_NOT_NAMES)
+    place = lambda x, i: F.when((i % 2 == 1) & ~named(x["piece"]), F.struct((x["end"] - F.char_length(x["piece"])).alias("start"), x["end"].alias("end")))
+    return F.array_compact(F.transform(placed_pieces(marked_pieces(empty_if_null(text), pattern)), place))
+
+
 def pii_matches(text: Column, rule: str) -> Column:
     """All matches of one rule, in order; names that begin as captions do are left out."""
     if rule in vocab.PII_STRICT:
@@ -166,16 +227,18 @@ def conceptual_ruptures(text: Column, w: Column, window: int = 50, long: int = 8
     def rare(part: Column) -> Column:
         return F.size(F.filter(part, lambda x: F.char_length(x) > long))
 
-    def place(i: Column) -> Column:
+    def place(i: Column, ends: Column) -> Column:
         moved = F.abs(rare(F.slice(w, i + 1, window)) - rare(F.slice(w, i - window + 1, window))) / float(window)
         marked = discourse_count(F.array_join(F.slice(w, i + 1, 15), " ")) >= 1
-        return F.when((moved > shift) | marked, F.char_length(F.array_join(F.slice(w, F.lit(1), i), " ")) + 1)
+        return F.when((moved > shift) | marked, F.get(ends, i - 1))
 
     middle = F.array(F.floor(F.char_length(t) / 2).cast("int"))
     n = F.size(w)
     places = F.when(n - window > window, F.sequence(F.lit(window), n - window - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    found = F.array_sort(F.array_distinct(F.array_compact(F.transform(places, place))))
-    return F.when((n < 2 * window) | (F.size(found) == 0), middle).otherwise(found)
+    # where each word ends, with one blank after it
+    ends = running_ends(F.transform(w, lambda x: F.char_length(x) + 1))
+    found = let(ends, lambda e: F.array_sort(F.array_distinct(F.array_compact(F.transform(places, lambda i: place(i, e))))))
+    return let(found, lambda f: F.when((n < 2 * window) | (F.size(f) == 0), middle).otherwise(f))
 
 
 # labels and markup
@@ -300,16 +363,12 @@ def whole_sentence(text: Column, start: Column, end: Column) -> Column:
 
 def paragraph_numbers(text: Column) -> Column:
     """Number of the paragraph of each line: a new one begins after a blank line and at a sectioning command."""
-    lines = F.split(text, "\n")
-    begin = F.struct(F.lit(0).alias("n"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        blank = F.trim(line) == ""
-        head = line.rlike(r"^\s*\\(?:paragraph|subsection|subsubsection)\{")
-        n = acc["n"] + F.when(~blank & (~acc["open"] | head), 1).otherwise(0)
-        return F.struct(n.alias("n"), (~blank).alias("open"), F.array_append(acc["out"], F.when(blank, 0).otherwise(n)).alias("out"))
-
-    return F.aggregate(lines, begin, step, lambda acc: acc["out"])
+    blank = lambda x: F.trim(x) == ""
+    head = lambda x: x.rlike(r"^\s*\\(?:paragraph|subsection|subsubsection)\{")
+    new = lambda lines, i: (F.coalesce(blank(F.get(lines, i - 1)), F.lit(True)) | head(F.get(lines, i)))
+    sizes = lambda lines: F.transform(lines, lambda x, i: (~blank(x) & new(lines, i)).cast("int"))
+    numbers = lambda lines: F.transform(F.arrays_zip(lines.alias("line"), running_ends(sizes(lines)).alias("n")), lambda z: F.when(blank(z["line"]), 0).otherwise(z["n"]))
+    return let(F.split(text, "\n"), numbers)
 
 
 def split_reply(text: Column) -> Column:

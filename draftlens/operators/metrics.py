@@ -143,6 +143,25 @@ def weighted_choice(rows: DataFrame, weights: dict[str, float], seed: int, *keys
     return rows.withColumn("choice", out)
 
 
+def select_spans(candidates: DataFrame, most: int, seed: int, priority: str = "priority") -> DataFrame:
+    """Of each document's candidates (doc_id, start, end, priority) up to `most` that do not overlap, drawn greedily: doc_id, place (from 0), start, end.
+
+    The highest priority is first; equals are in the order of a hash of seed, document and bounds, so a task run again draws the same. Empty
+    candidates take no part, equal ones count once. A document's candidates meet in one row, as its text does; all else is partial aggregation.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("doc_id", "start", "end")))
+    order = F.struct((-F.col(priority)).alias("p"), F.sha2(text.cast("binary"), 256).alias("h"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    queue = F.array_sort(F.collect_set(order))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def draw(kept: Column, x: Column) -> Column:
+        free = (F.size(kept) < most) & ~F.exists(kept, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"]))
+        return F.when(free, F.array_append(kept, F.struct(x["start"].alias("start"), x["end"].alias("end")))).otherwise(kept)
+
+    drawn = candidates.filter(F.col("end") > F.col("start")).groupBy("doc_id").agg(queue.alias("q")).select("doc_id", F.aggregate("q", none, draw).alias("kept"))
+    return drawn.select("doc_id", F.posexplode("kept").alias("place", "x")).select("doc_id", "place", "x.start", "x.end")
+
+
 def rotation(rows: DataFrame, place: Column, levels: tuple[str, ...], states: tuple[str, ...]) -> DataFrame:
     """Level by place modulo three, state by place over three modulo three."""
     pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (F.pmod(i, F.lit(len(values))) + 1).cast("int"))

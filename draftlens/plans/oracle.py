@@ -363,7 +363,7 @@ _BOUNDS = _broken("boundary", "sp", ("s < 0 OR e > length(text)", "'Offset out o
 _CAUSAL = ("SELECT doc_id, revision_index, injection_id, 'earned_label'" + _EARNED[1]).replace("'earned_label'", "'causal_integrity'").replace(" FROM x WHERE ", " FROM xe WHERE starts_with(label, 'injection.') AND ")
 _WITH_CAUSAL = _EARNED[0].replace(", x AS (", ", xe AS (", 1)
 _MONOTONE = "m0 AS (SELECT *, list_position(['cold', 'warm', 'assimilated'], state) AS r FROM sp WHERE inj), m1 AS (SELECT *, lag(r) OVER w AS b FROM m0 WINDOW w AS (PARTITION BY doc_id, injection_id ORDER BY revision_index))"
-_LEAKED = " UNION ALL ".join(f"SELECT doc_id, revision_index, injection_id, 'prompt_leakage' AS error_type, '' AS message FROM lk WHERE regexp_matches(body, '{_in_lines(p)}')" for p in vocab.LEAKAGE_PATTERNS)
+_LEAKED = "SELECT doc_id, revision_index, injection_id, 'prompt_leakage' AS error_type, '' AS message FROM (SELECT *, unnest([" + ", ".join(f"regexp_matches(body, '{_in_lines(p)}')" for p in vocab.LEAKAGE_PATTERNS) + "]) AS hit FROM lk) WHERE hit"
 _DAYS = "cal AS (SELECT CAST(range AS DATE) AS bucket FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 {g}))"
 
 SQL |= {
@@ -390,7 +390,7 @@ SELECT key, vendor, phase FROM c WHERE phase < 3 OR taken + c <= 3 ORDER BY phas
     "validation_report": _WITH_CAUSAL
     + ", "
     + _FLAGS[0].split(_TRACE + ", ", 1)[1]
-    + f", {_MONOTONE}, lk AS (SELECT doc_id, revision_index, injection_id, substr(text, s + 1, e - s) AS body FROM sp WHERE inj AND s >= 0 AND e <= length(text)), every AS ({_LEAKED} UNION ALL {_BOUNDS} UNION ALL {_CAUSAL} UNION ALL SELECT doc_id, revision_index, injection_id, 'earned_ambiguity'"
+    + f", {_MONOTONE}, lk AS MATERIALIZED (SELECT doc_id, revision_index, injection_id, substr(text, s + 1, e - s) AS body FROM sp WHERE inj AND s >= 0 AND e <= length(text)), every AS ({_LEAKED} UNION ALL {_BOUNDS} UNION ALL {_CAUSAL} UNION ALL SELECT doc_id, revision_index, injection_id, 'earned_ambiguity'"
     + _FLAGS[1]
     + " UNION ALL SELECT doc_id, revision_index, injection_id, 'trajectory_monotonicity', '' FROM m1 WHERE b > r) SELECT error_type, count(*) AS n FROM every GROUP BY error_type ORDER BY n DESC, error_type LIMIT 20",
 }
@@ -468,3 +468,13 @@ SELECT project, tie, kind, CAST(height AS BIGINT) AS height, undone,
        md5(CASE WHEN kind = 'copy' THEN {_place_after("text[1 : greatest(instr(text, selection) - 1, 0)]")} || ', ' || selection
                 WHEN kind = 'undo' AND undone IS NULL THEN 'All lines are the same' ELSE {_change("was_text", "is_text")} END) AS token_md5
 FROM st6"""
+_BLANK = r"[\s\x0B\x1c-\x1f\x85\xA0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+SQL["sentence_offsets"] = rf"""WITH x AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])({_BLANK})([A-Z])', '\1' || chr(1) || '\2' || chr(1) || '\3', 'g'), chr(1)) AS p FROM documents),
+y AS (SELECT doc_id, p, list_transform(p, lambda q: length(q)) AS n, unnest(range(0, len(p), 2)) AS i FROM x),
+z AS (SELECT doc_id, i, coalesce(list_sum(n[1 : i]), 0) + n[i + 1] - length(regexp_replace(p[i + 1], '^{_BLANK}', '')) AS s, length(regexp_replace(p[i + 1], '^{_BLANK}|{_BLANK}$', '', 'g')) AS size FROM y)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS k, CAST(s AS INTEGER) AS start, CAST(s + size AS INTEGER) AS "end" FROM z WHERE size > 0"""
+SQL["sessions_similarity"] = f"""WITH log AS (SELECT CAST(user_id % 5 + 1 AS INTEGER) AS project, ts, event_id AS tie, value FROM events),
+p AS (SELECT *, row_number() OVER w AS k, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60000000.0 AS gap, coalesce(least(value, lag(value) OVER w) / nullif(greatest(value, lag(value) OVER w), 0), 1) AS likeness FROM log WINDOW w AS ({_ORDER})),
+c AS (SELECT *, CASE WHEN k = 1 THEN NULL WHEN gap > 10 THEN 'gap' WHEN likeness < 0.5 THEN 'similarity' END AS cause FROM p),
+s AS (SELECT *, count(cause) OVER ({_ORDER}) AS session FROM c)
+SELECT a.project, a.session, min(a.ts) AS start_ts, count(*) AS n, (SELECT any_value(cause) FROM s b WHERE b.project = a.project AND b.session = a.session + 1 AND b.cause IS NOT NULL) AS closed_by FROM s a GROUP BY a.project, a.session"""

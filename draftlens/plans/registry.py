@@ -433,8 +433,7 @@ def sentence_counts(spark, d):
 
 @query
 def sentence_offsets(spark, d):
-    s = _texts(spark, d).withColumn("parts", T.sentences(F.col("text")))
-    return s.select("doc_id", F.posexplode(T.sentence_offsets(F.col("text"), F.col("parts"))).alias("k", "o")).select("doc_id", "k", "o.start", "o.end")
+    return _texts(spark, d).select("doc_id", F.posexplode(T.sentence_offsets(F.col("text"))).alias("k", "o")).select("doc_id", "k", "o.start", "o.end")
 
 
 @query
@@ -1014,7 +1013,7 @@ def character_overlap(spark, d):
 @query
 def span_sentences(spark, d):
     """First and last sentence of each span."""
-    r = _revisions(spark, d).withColumn("offsets", T.sentence_offsets(F.col("text"), T.sentences(F.col("text"))))
+    r = _revisions(spark, d).withColumn("offsets", T.sentence_offsets(F.col("text")))
     s = _spans(r).select("doc_id", "revision_index", "injection_id", "start", "end").join(r.select("doc_id", "revision_index", "offsets"), ["doc_id", "revision_index"])
     first, last = T.sentence_index(F.col("offsets"), F.col("start"), F.col("end"))
     return s.select("doc_id", "revision_index", "injection_id", first.alias("first_sentence"), last.alias("last_sentence"))
@@ -1099,6 +1098,24 @@ def relocated_selections(spark, d):
     return found.select(F.col("key").cast("long").alias("doc_id"), "at", "start", "end", F.md5(F.col("selected").cast("binary")).alias("selected_md5"))
 
 
+@query
+def sessions_similarity(spark, d):
+    """Sessions that a gap ends, or an edit unlike the one before: likeness is the smaller over the larger value."""
+    log = ordering.sequenced(_log(spark, d), "project", carry=("label", "value")).drop("nxt", "place", "total")
+    low, high = F.least("value", "prev.value"), F.greatest("value", "prev.value")
+    log = log.withColumn("likeness", F.when(F.col("prev").isNotNull(), F.coalesce(F.try_divide(low, high), F.lit(1.0)))).drop("prev")
+    found = sessions.sessions(sessions.mark_sessions(log, similarity="likeness", least_similarity=0.5))
+    return found.select("project", "session", "start_ts", "n", "closed_by")
+
+
+@query
+def selected_spans(spark, d):
+    """Three sentences of each document that do not overlap, longer ones first."""
+    s = _texts(spark, d).select("doc_id", F.inline(T.sentence_offsets(F.col("text"))))
+    near = s.select("doc_id", F.greatest(F.col("start") - 20, F.lit(0)).alias("start"), (F.col("end") + 20).alias("end"), F.floor((F.col("end") - F.col("start")) / 40).alias("priority"))
+    return metrics.select_spans(near, 3, 17)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -86,6 +86,21 @@ def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", "length", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("checksum"))
 
 
+def relative_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """checksums() with paths from `path` on."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/") + "/"
+    return checksums(spark, path, pattern).withColumn("path", F.substring_index("path", root, -1))
+
+
+def verify_manifest(spark: SparkSession, path: str, manifest: str, pattern: str = "*") -> DataFrame:
+    """Files that are not as the manifest says, after one scan of them: path, state (changed, missing or extra), expected, found."""
+    told = spark.read.schema("path string, length long, checksum string").json(manifest).select("path", F.col("checksum").alias("expected"))
+    both = told.join(relative_checksums(spark, path, pattern).select("path", F.col("checksum").alias("found")), "path", "full")
+    state = F.when(F.col("found").isNull(), "missing").when(F.col("expected").isNull(), "extra").when(F.col("found") != F.col("expected"), "changed")
+    return both.withColumn("state", state).filter("state is not null").select("path", "state", "expected", "found")
+
+
 def unfinished(rows: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose key is not in an earlier output: resume."""
     return rows.join(done.select(key).distinct(), key, "left_anti")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from draftlens.sources.readers import relative_checksums
+
 
 def nest_revisions(revisions: DataFrame) -> DataFrame:
     """Flat revisions -> one row a document with its revisions in order."""
@@ -35,3 +37,8 @@ def write_predictions(rows: DataFrame, path: str) -> None:
 
 def write_failures(bad: DataFrame, path: str) -> None:
     bad.write.mode("append").json(path)
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: str, pattern: str = "*") -> None:
+    """The checksum and size of every file below path that is not empty, by its name from there, for verify_manifest()."""
+    relative_checksums(spark, path, pattern).write.mode("overwrite").json(manifest)
