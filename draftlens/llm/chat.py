@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlens.session import fresh
+
 TRAINED_ROLE = "assistant"
 
 
@@ -68,16 +70,17 @@ def neighbour_pairs(turns: DataFrame) -> DataFrame:
 
 def format_preferences(pairs: DataFrame, role: str = TRAINED_ROLE) -> DataFrame:
     """pairs (pair_id, chosen, rejected, ...) -> its other columns, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask."""
-    n = pairs.withColumn("_n", common_prefix(F.col("chosen"), F.col("rejected")))
-    rest = lambda c: F.slice(F.col(c), F.col("_n") + 1, F.greatest(F.size(c) - F.col("_n"), F.lit(0)))
-    cut = n.withColumns({"_p": F.slice("chosen", F.lit(1), F.col("_n")), "_c": rest("chosen"), "_r": rest("rejected")})
-    other = [c for c in pairs.columns if c not in ("chosen", "rejected")]
+    n, p, c, r = fresh(pairs, "n", "p", "c", "r")
+    counted = pairs.withColumn(n, common_prefix(F.col("chosen"), F.col("rejected")))
+    rest = lambda side: F.slice(F.col(side), F.col(n) + 1, F.greatest(F.size(side) - F.col(n), F.lit(0)))
+    cut = counted.withColumns({p: F.slice("chosen", F.lit(1), F.col(n)), c: rest("chosen"), r: rest("rejected")})
+    other = [x for x in pairs.columns if x not in ("chosen", "rejected")]
     return cut.select(
         *other,
-        F.col("_n").cast("long").alias("n_prompt_turns"),
-        render(F.col("_p")).alias("prompt"),
-        render(F.col("_c")).alias("chosen"),
-        mask(F.col("_c"), role).alias("chosen_mask"),
-        render(F.col("_r")).alias("rejected"),
-        mask(F.col("_r"), role).alias("rejected_mask"),
+        F.col(n).cast("long").alias("n_prompt_turns"),
+        render(F.col(p)).alias("prompt"),
+        render(F.col(c)).alias("chosen"),
+        mask(F.col(c), role).alias("chosen_mask"),
+        render(F.col(r)).alias("rejected"),
+        mask(F.col(r), role).alias("rejected_mask"),
     )

@@ -159,3 +159,13 @@ def test_dropping_and_masking(spark):
     assert len(kept) == sum(i not in bad for i, _ in DOCS) and not bad & {i for i, _ in kept}
     masked = {r["doc_id"]: r["kept"] for r in decontam.mask_spans(d, b).collect()}
     assert masked[1] == "x y" and masked[9] == "short ones"
+
+
+def test_extra_columns_of_pairs_stay(spark):
+    """Columns named like those that the work makes come back as they were."""
+    from draftlens.llm import chat
+
+    turn = "array<struct<role:string,text:string>>"
+    rows = [(1, [("user", "a"), ("assistant", "b")], [("user", "a")], "mine", 7, "p", None)]
+    (got,) = chat.format_preferences(spark.createDataFrame(rows, f"pair_id long, chosen {turn}, rejected {turn}, _n string, _c int, _P string, _r string")).collect()
+    assert (got["_n"], got["_c"], got["_P"], got["_r"], got["n_prompt_turns"]) == ("mine", 7, "p", None, 1)
