@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from draftlens.llm import decontam, packing, quality, simhash, substrings
-from draftlens.session import is_written, remove, shared_folder
+from draftlens.session import is_written, remove, shared_folder, state_of
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +56,16 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """All stages over documents; each stage's rows are a table in the shared folder, so a lost executor costs one stage at most.
 
-    With a name, the tables stay, and a later run of that name goes on after the last stage that was written to its end.
+    With a name, the tables stay, and a later run of that name over the same files and stages goes on after the last stage that was
+    written to its end; over other ones it begins anew. Who changes a stage's code runs under another name.
     Without one, a stage's input is removed once its output is written, and the result when the driver ends.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base, before = f"{shared_folder(spark)}/corpus-pipeline-{name or uuid.uuid4().hex}", None
+    mark = uuid.uuid4().hex
+    if name is not None:
+        files = state_of(docs, *(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark")))
+        mark = f"{name}-{hashlib.sha256(':'.join([files, *(label for label, _ in STAGES)]).encode()).hexdigest()[:16]}"
+    base, before = f"{shared_folder(spark)}/corpus-pipeline-{mark}", None
     if name is None:
         atexit.register(remove, spark, base)
     for k, (label, stage) in enumerate(STAGES):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import hashlib
 import os
 import shutil
 import tempfile
@@ -103,6 +104,17 @@ def is_written(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def state_of(*tables: DataFrame) -> str:
+    """A digest of the files that tables are read from: names, sizes and times of change."""
+    seen = hashlib.sha256()
+    for df in tables:
+        for name in sorted(df.inputFiles()):
+            at, fs = _file_system(df.sparkSession, name)
+            status = fs.getFileStatus(at)
+            seen.update(f"{name}:{status.getLen()}:{status.getModificationTime()}\n".encode())
+    return seen.hexdigest()
+
+
 #: Tables of more bytes are not dealt anew: they have parts enough, or their reshuffling would cost more than it gains.
 SPREAD_BYTES = 4 << 30
 
