@@ -362,6 +362,16 @@ def test_pipeline_goes_on_where_it_was(spark, tmp_path, monkeypatch):
     assert corpus_pipeline.run(spark, sf, "again").count() == 20 and calls == [20, 20]
 
 
+def test_a_name_used_over_other_tables(spark, tmp_path, monkeypatch):
+    """A second run of a name over another input gives that input's rows."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("all", lambda spark, docs, sf_dir: docs)])
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: f"file://{tmp_path}")
+    counts = [corpus_pipeline.run(spark, f"/root/testdata/{d}", "one").count() for d in ("sf0.001", "sf0.01", "sf0.001")]
+    assert counts == [spark.read.parquet(f"/root/testdata/{d}/documents.parquet").count() for d in ("sf0.001", "sf0.01", "sf0.001")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
