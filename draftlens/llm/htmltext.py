@@ -6,9 +6,9 @@ Gaussian and split by a threshold into two clusters (midway between two means, b
 so that a short paragraph is prose beside a very long one). Lines belong to regions: the outermost article or main
 around them, or else the nearest div, section, cell or body. A region stays where its lines,
 weighted by their text, reach the threshold; the best region always does. It keeps its short lines too, which have low
-ratios anywhere. Three rules go with that: what stands outside all articles stays only where it has more content than
+ratios anywhere. Four rules go with that: what stands outside all articles stays only where it has more content than
 they have together; outside them a line of links alone needs a ratio of its own; a heading right before a line that
-stays, stays.
+stays, stays, and so does a region between two of the same parent that stay, unless it is links alone.
 
 Text in menus, footers, asides, forms, notices, adverts, comments and the like is judged by element and by name, piece
 by piece: a line of it has the ratio zero, is one of the lower cluster, and never stays. But where no article stands
@@ -50,10 +50,11 @@ WRAPPERS = frozenset("form fieldset".split())
 CONTAINERS = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role names that mark what is not the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment-?list|respond|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
-)
+NOISE_WORDS = "ads?|advert\\w*|banner|breadcrumbs?|comments?|comment-?list|respond|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\\w*|related|share|sharing|sidebar|social|sponsor\\w*|subscribe|toolbar|widget|complementary|contentinfo|search"
+NOISE = re.compile(rf"(?:^|[\s_-])(?:{NOISE_WORDS})(?:$|[\s_-])", re.I)
+#: Inside an article a name counts only as a whole, with nothing but words of layout beside it: "related-work" is a chapter.
+LAYOUT = "area|articles?|bar|block|box|buttons?|container|content|form|icons?|inner|items?|label|links?|list|posts?|section|signup|slot|stories|title|unit|wrap|wrapper|\\d+"
+NOISE_INSIDE = re.compile(rf"(?:^|\s)(?:(?:article|content|entry|inline|page|post|site)[_-])?(?:{NOISE_WORDS})(?:[_-](?:{NOISE_WORDS}|{LAYOUT}))*(?:$|\s)", re.I)
 #: The same for an article, whose names say more of its kind than of its place.
 NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|comments?|promo|related|reply|sponsor\w*|teaser)(?:$|[\s_-])", re.I)
 #: A p is closed by any of these opening inside it.
@@ -112,7 +113,8 @@ class Lines(HTMLParser):
         up, own = self.open[-1], len(self.nodes)
         over = self.nodes[up]
         heads = over.container >= 0 and (tag in HEADINGS or tag in ("header", "hgroup"))
-        noise = None if tag in ("html", "body", "main") else NOT_ARTICLE if tag == "article" or heads else NOISE
+        inside = NOISE_INSIDE if over.container >= 0 else NOISE
+        noise = None if tag in ("html", "body", "main") else NOT_ARTICLE if tag == "article" or heads else inside
         named = noise is not None and any(k in ("class", "id", "role", "aria-label") and v and noise.search(v) for k, v in attrs)
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         if (tag in CHROME and tag not in WRAPPERS) or hidden:
@@ -203,11 +205,41 @@ def threshold(level: np.ndarray) -> float:
     return float(level.min()) if high - low < np.log(APART) else float(min((low + high) / 2, np.log1p(PROSE)))
 
 
+def closed_markup(html: str) -> str:
+    """The page without a comment that never ends, and with every "<" after its last ">" as text: no tag can end there.
+
+    The parser would look for the end of each of them again and again.
+    """
+    at = html.rfind("-->") + 3 if "-->" in html else 0
+    begun = html.find("<!--", at)
+    html = html if begun < 0 else html[:begun]
+    last = html.rfind(">") + 1
+    return html[:last] + html[last:].replace("<", "&lt;")
+
+
+def between_kept(keep: np.ndarray, good: np.ndarray, region: np.ndarray, nodes: list[Node], plain: np.ndarray) -> np.ndarray:
+    """keep, with the lines of regions that stand between two kept ones of the same parent and are not links alone."""
+    first, last, own = {}, {}, {}
+    for k, r in enumerate(region.tolist()):
+        if good[k]:
+            own.setdefault(r, []).append(k)
+            if keep[k]:
+                up = nodes[r].parent if r else -1
+                first.setdefault(up, k)
+                last[up] = k
+    out = keep.copy()
+    for r, places in own.items():
+        up = nodes[r].parent if r else -1
+        if not keep[places].any() and plain[places].any() and up in first and first[up] < places[0] and places[-1] < last[up]:
+            out[places] = True
+    return out
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    page.feed(closed_markup(html))
     page.finish()
     page.judge_names()
     nodes, lines = page.nodes, []
@@ -228,12 +260,13 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     _, own = np.unique(np.where(good, region, -1), return_inverse=True)
     reached = np.bincount(own, size * level) / np.bincount(own, size)
     keep = good & (reached >= min(threshold(level), reached.max()))[own]
+    linked = np.array([all(nodes[k].link for t, k in x.parts if t.strip()) for x, _ in lines])
+    keep = between_kept(keep, good, region, nodes, ~linked)
     votes = np.where(keep, size, 0)
     inside = container >= 0
     if votes[~inside].sum() > votes[inside].sum():
         # links alone are no article, unless a line of them is as dense as one
-        links = np.array([all(nodes[k].link for t, k in x.parts if t.strip()) for x, _ in lines])
-        keep &= inside | ~links | (size / tags >= PROSE)
+        keep &= inside | ~linked | (size / tags >= PROSE)
     else:
         keep &= inside
     for k in range(len(lines) - 2, -1, -1):

@@ -92,3 +92,30 @@ def test_time_is_linear_in_broken_pages(page):
 
     seconds(1000)
     assert seconds(100_000) < 40 * max(seconds(10_000), 0.05)
+
+
+PARAGRAPH = "A long paragraph of prose that says what the page is about, in several clauses, and goes on for a while so that it has weight. "
+
+
+def test_short_siblings_and_chapters_stay():
+    """A short block between long ones of the same parent, and chapters whose names only hold a word of menus and notices."""
+    page = f"<body><div>{PARAGRAPH}</div><div>Second part.</div><div>{PARAGRAPH}</div></body>"
+    assert htmltext.main_text(page).split("\n\n")[1] == "Second part."
+    for start, end in (('<section class="related-work">', "</section>"), ('<div id="search-algorithms">', "</div>"), ('<p class="legal-notice-period">', "</p>")):
+        text = htmltext.main_text(f"<article><p>{PARAGRAPH}</p>{start}<p>Chapter text that belongs here.</p>{end}<p>{PARAGRAPH}</p></article>")
+        assert "Chapter text" in text, start
+    for name in ("ad", "ad-slot", "related-posts", "post-share", "newsletter-signup", "comments", "cookie notice"):
+        text = htmltext.main_text(f'<article><p>{PARAGRAPH}</p><div class="{name}">Buy or read this instead.</div><p>{PARAGRAPH}</p></article>')
+        assert "instead" not in text, name
+
+
+def test_unterminated_markup_takes_linear_time():
+    for unit in ('<a href="', "<!--", "<a <b", "<![CDATA[", "<?x", "</"):
+        took = []
+        for n in (4_000, 40_000):
+            began = time.process_time()
+            htmltext.main_text(f"<p>{PARAGRAPH}</p>" + unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 3, (unit, took)
+    assert htmltext.main_text(f"<p>{PARAGRAPH}</p><!-- a comment without end <p>gone</p>") == PARAGRAPH.strip()
+    assert htmltext.main_text(f"<p>{PARAGRAPH} 3 < 4</p>").endswith("3 < 4")
