@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from draftlens.functions.text import let
 from draftlens.operators.ordering import last_before, running_least, running_sum
 
 #: Pieces of a text that changes are told in: up to the ends of sentences and lines; every character is in one.
@@ -37,17 +38,26 @@ def place_after(before: Column) -> Column:
 
 def change(before: Column, after: Column) -> Column:
     """The pieces between the common beginning and end of two texts: "(line,place) X--added", "X--deleted" or "X->Y"."""
-    a, b = pieces(before), pieces(after)
-    fewer = F.least(F.size(a), F.size(b))
-    differ = lambda x, y: F.filter(F.sequence(F.lit(0), fewer), lambda i: (i == fewer) | (F.get(x, i) != F.get(y, i)))[0]
-    # the first place where they differ, if only the place behind the shorter one
-    start = differ(a, b)
-    end = F.least(differ(F.reverse(a), F.reverse(b)), fewer - start)
-    middle = lambda x: F.array_join(F.slice(x, start + 1, F.size(x) - start - end), "")
-    gone, new = middle(a), middle(b)
-    at = F.concat(place_after(F.array_join(F.slice(a, F.lit(1), start), "")), F.lit(" "))
-    told = F.when(gone == "", F.concat(at, new, F.lit("--added"))).when(new == "", F.concat(at, gone, F.lit("--deleted"))).otherwise(F.concat(at, gone, F.lit("->"), new))
-    return F.when(before == after, SAME).otherwise(told)
+
+    def differ(x: Column, y: Column, most: Column) -> Column:
+        """The first place where they differ, if only the place behind the shorter one."""
+        return F.filter(F.sequence(F.lit(0), most), lambda i: (i == most) | (F.get(x, i) != F.get(y, i)))[0]
+
+    def bounds(p: Column) -> Column:
+        a, b, fewer = p["a"], p["b"], F.least(F.size(p["a"]), F.size(p["b"]))
+        back = differ(p["ra"], p["rb"], fewer)
+        return let(F.struct(differ(a, b, fewer).alias("start"), back.alias("back"), fewer.alias("fewer")), lambda at: told(a, b, at["start"], F.least(at["back"], at["fewer"] - at["start"])))
+
+    def told(a: Column, b: Column, start: Column, end: Column) -> Column:
+        middle = lambda x: F.array_join(F.slice(x, start + 1, F.size(x) - start - end), "")
+        kept = F.array_join(F.slice(a, F.lit(1), start), "")
+        return let(F.struct(middle(a).alias("gone"), middle(b).alias("new"), F.concat(place_after(kept), F.lit(" ")).alias("at")), lambda m: worded(m["gone"], m["new"], m["at"]))
+
+    def worded(gone: Column, new: Column, at: Column) -> Column:
+        return F.when(gone == "", F.concat(at, new, F.lit("--added"))).when(new == "", F.concat(at, gone, F.lit("--deleted"))).otherwise(F.concat(at, gone, F.lit("->"), new))
+
+    both = let(F.struct(pieces(before).alias("a"), pieces(after).alias("b")), lambda p: let(F.struct(p["a"].alias("a"), p["b"].alias("b"), F.reverse(p["a"]).alias("ra"), F.reverse(p["b"]).alias("rb")), bounds))
+    return F.when(before == after, SAME).otherwise(both)
 
 
 def stacked(edits: DataFrame) -> DataFrame:
@@ -73,7 +83,10 @@ def tokenised(edits: DataFrame) -> DataFrame:
     text's end, none where nothing was copied before. An undo: the change back of what it takes back, none on an empty stack.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = stacked(edits.withColumn("text", text))
+    rows = edits.withColumn("text", text)
+    # texts stay out of the passes over the order
+    state = stacked(rows.select("project", "ts", "tie", "kind", "selection")).select("tie", "clipboard", "height", "undone")
+    rows = rows.join(state, "tie")
     typed = F.coalesce("new_text", F.lit(""))
     after = F.when(F.col("kind") == "type", typed).when(F.col("kind") == "paste", F.concat(text, F.coalesce("clipboard", F.lit(""))))
     rows = rows.withColumn("_after", after)
