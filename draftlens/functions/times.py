@@ -30,3 +30,16 @@ def week_start(year_week: Column) -> Column:
     year = F.make_date(F.split(year_week, "-")[0].cast("int"), F.lit(1), F.lit(1))
     first = F.date_add(year, F.pmod(F.lit(7) - F.weekday(year), F.lit(7)).cast("int"))
     return F.date_add(first, (7 * (F.split(year_week, "-")[1].cast("int") - 1)).cast("int"))
+
+
+def period(text: Column) -> Column:
+    """What a form's date stands for, as struct of start, end (exclusive) and grain: the week "YYYY-Www", the month "YYYY-MM", or a year from a day.
+
+    Weeks are those of week_start; a year is shown by month, the others by day. Other texts give null dates.
+    """
+    week = text.rlike(r"^\d{4}-W\d{2}$")
+    month = text.rlike(r"^\d{4}-\d{2}$")
+    day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    start = F.when(week, week_start(F.replace(text, F.lit("W"), F.lit("")))).when(month, F.concat(text, F.lit("-01")).try_cast("date")).when(day, text.try_cast("date"))
+    end = F.when(week, F.date_add(start, 7)).when(month, F.add_months(start, 1)).when(day, F.add_months(start, 12))
+    return F.struct(start.alias("start"), end.alias("end"), F.when(start.isNotNull(), F.when(day, "month").otherwise("day")).alias("grain"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from draftlens import vocab
 from draftlens.functions import text as T
 from draftlens.operators.metrics import auc, binary_f1
-from draftlens.session import ship_package
+from draftlens.session import ship_package, union_all
 
 
 def pii_counts(docs: DataFrame) -> DataFrame:
@@ -53,25 +53,49 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(T.leakage_patterns(F.col("text"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-def contained_templates(docs: DataFrame, templates: DataFrame, size: int = 8, broadcast_templates: int = 100_000) -> DataFrame:
-    """Texts that contain a template's whole text, case aside: doc_id, item_id.
+def contained_templates(docs: DataFrame, templates: DataFrame, size: int = 8, broadcast_templates: int = 100_000, tried_templates: int = 64) -> DataFrame:
+    """Texts that contain a template's whole text, case aside: doc_id, item_id. Rows without doc_id take no part; null and blank templates are in none.
 
-    All but the first and last word of a template stand as whole words wherever it occurs. A text's words are looked up
-    among the templates' second words; where one is met, up to `size` words from there are compared by hash, and only what
-    agrees is searched for. Templates of fewer than three words, if any, are tried on every text, as one small array.
+    All but the first and last word of a template stand as whole words wherever it occurs. A text's runs of up to `size` words are
+    hashed within its row, and its distinct hashes meet those of the templates' inner words; templates of fewer than three
+    words go by their first three characters in the same way. Texts meet only the templates of their matches, and are searched for
+    the whole. Hashes alone are sent to all up to `broadcast_templates`, and shuffled beyond; short templates that are at most
+    `tried_templates` (and a million characters) are tried on each text where it is read.
     """
     t = templates.select("item_id", F.lower(T.strip(F.col("text"))).alias("body")).filter("body <> ''").withColumn("tw", T.words(F.col("body")))
+    sizes = t.groupBy(F.least(F.greatest(F.size("tw") - 2, F.lit(0)), F.lit(size)).alias("n")).agg(F.count("*").alias("c"), F.sum(F.char_length("body")).alias("chars"))
+    sizes = sizes.collect()  # at most size + 1 rows
+    counts, chars = {r["n"]: r["c"] for r in sizes}, {r["n"]: r["chars"] for r in sizes}
+    held = F.broadcast if sum(counts.values()) <= broadcast_templates else (lambda x: x)
+    d = docs.filter("doc_id is not null").select("doc_id", F.lower(T.empty_if_null(F.col("text"))).alias("low"))
     n = F.least(F.size("tw") - 2, F.lit(size))
-    keyed = t.filter(F.size("tw") >= 3).select("item_id", "body", F.get("tw", F.lit(1)).alias("second"), n.alias("n"), F.xxhash64(F.slice(F.col("tw"), F.lit(2), n)).alias("h"))
-    held = F.broadcast if templates.count() <= broadcast_templates else (lambda x: x)
-    d = docs.select("doc_id", F.lower(T.empty_if_null(F.col("text"))).alias("low")).withColumn("w", T.words(F.col("low")))
-    each = d.select("doc_id", "low", "w", F.posexplode("w").alias("pos", "x"))
-    begun = each.join(held(keyed.groupBy("second").agg(F.collect_set("n").alias("ns"))), F.col("x") == F.col("second")).select("doc_id", "low", "w", "pos", F.explode("ns").alias("n"))
-    met = begun.withColumn("h", F.xxhash64(F.slice(F.col("w"), F.col("pos") + 1, F.col("n")))).drop("w", "pos")
-    long = met.join(held(keyed.select("item_id", "body", "n", "h")), ["n", "h"]).filter(F.col("low").contains(F.col("body"))).select("doc_id", "item_id")
-    few = t.filter(F.size("tw") < 3).agg(F.collect_list(F.struct("item_id", "body")).alias("few"))
-    short = d.select("doc_id", "low").join(F.broadcast(few), F.size("few") > 0).select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("low"), x["body"]))).alias("x")).select("doc_id", "x.item_id")
-    return long.unionByName(short).distinct()
+    keyed = t.filter(F.size("tw") >= 3).select("item_id", "body", F.xxhash64(F.slice(F.col("tw"), F.lit(2), n), n).alias("h"))
+    lengths = [k for k in counts if k > 0]
+
+    def runs(w: Column) -> Column:
+        of = lambda k: F.transform(w, lambda _, i: F.when(i + k <= F.size(w), F.xxhash64(F.slice(w, i + 1, F.lit(k)), F.lit(k))))
+        return F.array_distinct(F.array_compact(F.concat(*map(of, lengths))))
+
+    parts = []
+    if lengths:
+        met = d.select("doc_id", F.explode(T.let(T.words(F.col("low")), runs)).alias("h")).join(held(keyed.select("item_id", "h")), "h")
+        parts.append(_verified(d, met, keyed))
+    few = t.filter(F.size("tw") < 3).select("item_id", "body")
+    if 0 < counts.get(0, 0) <= tried_templates and chars[0] <= 1 << 20:
+        tried = F.broadcast(few.agg(F.collect_list(F.struct("item_id", "body")).alias("few")))
+        parts.append(d.join(tried, how="cross").select("doc_id", F.explode(F.filter("few", lambda x: F.contains(F.col("low"), x["body"]))).alias("x")).select("doc_id", "x.item_id"))
+    elif counts.get(0, 0):
+        few = few.withColumn("h", F.substring("body", 1, 3))
+        starts = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(c) - i)), lambda k: F.array_join(F.slice(c, i + 1, k), "")))))
+        met = d.select("doc_id", F.explode(T.let(F.filter(F.split("low", ""), lambda x: x != ""), starts)).alias("h")).join(held(few.select("item_id", "h")), "h")
+        parts.append(_verified(d, met, few))
+    return union_all(parts).distinct() if parts else d.join(t, how="left_semi", on=F.lit(False)).select("doc_id", F.lit(None).cast(t.schema["item_id"].dataType).alias("item_id"))
+
+
+def _verified(docs: DataFrame, met: DataFrame, templates: DataFrame) -> DataFrame:
+    """Pairs of met (doc_id, item_id) whose text (low) holds the template (body)."""
+    pairs = met.select("doc_id", "item_id").distinct().join(templates.select("item_id", "body").distinct(), "item_id")
+    return docs.join(pairs, "doc_id").filter(F.contains("low", "body")).select("doc_id", "item_id")
 
 
 def compression_distance(a: str, b: str) -> float:

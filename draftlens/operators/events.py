@@ -249,7 +249,7 @@ def uniform_distance(windowed: DataFrame) -> DataFrame:
     return out.select("project", "label", F.round((F.col("s") + (F.col("windows") - F.col("k")) * even) / F.col("windows"), 6).alias("w1"))
 
 
-def dashboard(log: DataFrame, start: str, end: str, by: str, grain: str = "day", keep: Column | None = None) -> DataFrame:
+def dashboard(log: DataFrame, start: str | Column, end: str | Column, by: str, grain: str = "day", keep: Column | None = None) -> DataFrame:
     """Counts of the edits that keep says, by key and bucket, zero where a key has none: every key seen has all buckets."""
     lo, hi = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
     seen = log.filter((F.col("ts") >= lo) & (F.col("ts") < hi))
@@ -297,5 +297,18 @@ def page(log: DataFrame, cursor: int, size: int = 200, before: int = 100) -> Dat
     return sequenced(log, "project").withColumn("place", F.col("place").cast("int")).filter((F.col("place") >= first) & (F.col("place") < first + size))
 
 
+def find(log: DataFrame, order: Sequence[Column | str], where: Column | None = None, skip: int = 0, limit: int | None = None, users: DataFrame | None = None) -> DataFrame:
+    """Rows that meet where, of the authors in users (author) if given, in order; the first `skip` are left out and `limit` returned.
+
+    With a limit the order is a top-k in each partition, so no sort of all rows takes place. Users is a semi-join: an author listed
+    twice doubles nothing.
+    """
+    rows = log.filter(where) if where is not None else log
+    rows = rows.join(users.select("author"), "author", "left_semi").select(*log.columns) if users is not None else rows
+    rows = rows.orderBy(*order)
+    rows = rows.offset(skip) if skip else rows
+    return rows.limit(limit) if limit is not None else rows
+
+
 def last_edit(log: DataFrame) -> DataFrame:
     return log.groupBy("project").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by("label", F.struct("ts", "tie")).alias("last_label"))

@@ -12,13 +12,15 @@ def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def confusion(rows: DataFrame, true: str, pred: str, dense: bool = False) -> DataFrame:
-    """Counts of (true, pred); dense: all pairs of labels that occur as true, and none else."""
+def confusion(rows: DataFrame, true: str, pred: str, dense: bool = False, most_labels: int = 4096) -> DataFrame:
+    """Counts of (true, pred); dense: all pairs of labels that occur as true, and none else; more than most_labels of them raise."""
     n = rows.groupBy(F.col(true).cast("string").alias("true"), F.col(pred).cast("string").alias("pred")).agg(F.count("*").alias("n"))
     if not dense:
         return n
     labels = n.select("true").distinct()
-    # labels of a classifier are few; their pairs are a matrix, not a product of rows
+    if labels.limit(most_labels + 1).count() > most_labels:
+        raise ValueError(f"a dense matrix holds {most_labels} labels at most")
+    # the result is a row a pair of labels; one row of at most most_labels of them is sent
     grid = labels.join(F.broadcast(labels.groupBy().agg(F.collect_set("true").alias("p"))), how="cross").select("true", F.explode("p").alias("pred"))
     return grid.join(n, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -157,8 +157,8 @@ def coupling_flag_violations(spans: DataFrame) -> DataFrame:
     )
 
 
-def content_violations(spans: DataFrame, revisions: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """The first rule that a span's content breaks: start past the text, end past it, negative, crossed, blank, not as expected."""
+def _content(spans: DataFrame, revisions: DataFrame, expected: DataFrame | None) -> DataFrame:
+    """Injections with the first rule that their content breaks as message, null for none."""
     rows = spans.filter(F.col("label").startswith("injection.")).join(revisions.select("doc_id", "revision_index", "text"), ["doc_id", "revision_index"])
     rows = rows.join(expected.select("injection_id", "expected"), "injection_id", "left") if expected is not None else rows.withColumn("expected", F.lit(None).cast("string"))
     s, e, n = F.col("start"), F.col("end"), F.char_length("text")
@@ -171,7 +171,23 @@ def content_violations(spans: DataFrame, revisions: DataFrame, expected: DataFra
         .when(T.strip(body) == "", "content is empty or blank")
         .when(F.col("expected").isNotNull() & ~F.contains(body, F.col("expected")), "expected content not found")
     )
-    return rows.withColumn("message", first).filter("message is not null").select("doc_id", "revision_index", "injection_id", F.lit("span_content").alias("error_type"), "message")
+    return rows.select("doc_id", "revision_index", "injection_id", first.alias("message"))
+
+
+def content_violations(spans: DataFrame, revisions: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """The first rule that a span's content breaks: start past the text, end past it, negative, crossed, blank, not as expected.
+
+    expected: injection_id (once each) and the text that its span must hold; a span without one may hold anything.
+    """
+    return _content(spans, revisions, expected).filter("message is not null").select("doc_id", "revision_index", "injection_id", F.lit("span_content").alias("error_type"), "message")
+
+
+def content_totals(spans: DataFrame, revisions: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """One row: documents and revisions checked, injections verified, those that failed, and their share (zero for none)."""
+    found = _content(spans, revisions, expected).agg(F.count("*").alias("spans_verified"), F.count("message").alias("spans_failed"))
+    of = revisions.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("documents_checked"), F.coalesce(F.sum("n"), F.lit(0)).alias("revisions_checked"))
+    share = F.round(F.coalesce(F.try_divide("spans_failed", "spans_verified"), F.lit(0.0)), 6)
+    return of.join(found, how="cross").withColumn("failure_rate", share)  # one row by one row
 
 
 def flag_violations(spans: DataFrame) -> DataFrame:
@@ -240,11 +256,24 @@ def monotonicity_violations(spans: DataFrame) -> DataFrame:
     return _violations(rows, "trajectory_monotonicity", (F.col("_b") > F.col("_r"), F.concat("_s", F.lit(" -> "), "state")))
 
 
-def leakage_violations(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+def _leaks(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Injections with the patterns of leaked prompts in their content, none where they reach out of the text."""
     rows = spans.filter(F.col("label").startswith("injection.")).join(revisions.select("doc_id", "revision_index", "text"), ["doc_id", "revision_index"])
-    rows = rows.filter((F.col("start") >= 0) & (F.col("end") <= F.char_length("text")))
     found = T.leakage_patterns(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")))
-    return rows.select("doc_id", "revision_index", "injection_id", F.lit("prompt_leakage").alias("error_type"), F.explode(found).alias("message"))
+    inside = (F.col("start") >= 0) & (F.col("end") <= F.char_length("text"))
+    return rows.select("doc_id", "revision_index", "injection_id", F.when(inside, found).otherwise(F.array().cast("array<string>")).alias("found"))
+
+
+def leakage_violations(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+    return _leaks(spans, revisions).select("doc_id", "revision_index", "injection_id", F.lit("prompt_leakage").alias("error_type"), F.explode("found").alias("message"))
+
+
+def leakage_totals(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Long form (metric, n): spans_checked, spans_with_leakage, and how many spans each pattern met is in. No injections, no rows."""
+    count = lambda metric, n: F.struct(metric.alias("metric"), n.cast("long").alias("n"))
+    head = F.array(count(F.lit("spans_checked"), F.lit(1)), count(F.lit("spans_with_leakage"), F.size("found") > 0))
+    each = F.concat(head, F.transform("found", lambda p: count(F.concat(F.lit("pattern:"), p), F.lit(1))))
+    return _leaks(spans, revisions).select(F.inline(each)).groupBy("metric").agg(F.sum("n").alias("n"))
 
 
 def validate(spans: DataFrame, revisions: DataFrame, leakage: bool = True) -> DataFrame:

@@ -94,6 +94,32 @@ def anomaly_spans(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", "revision_index", F.concat(F.lit("anom_"), F.substring("injection_id", 1, 8)).alias("injection_id"), F.col("_a").alias("label"), F.lit("high").alias("flag"), "start", "end", "locality", "coupling")
 
 
+def with_anomalies(spans: DataFrame) -> DataFrame:
+    """The spans, and after each injection whose signatures no human shows the anomaly on its offsets: all columns of spans, in one pass.
+
+    An anomaly has the injection's trace, offsets and other columns, but its own id, label and flag, no level and state, and, where
+    spans have them, the detector as generator and prompt, seed zero and no provenance. Spans without a trace stay as they are.
+    """
+    own = {
+        "injection_id": F.concat(F.lit("anom_"), F.substring("injection_id", 1, 8)),
+        "label": signature_anomaly(F.col("_s.locality"), F.col("_s.coupling")),
+        "flag": F.lit("high"),
+        "level": F.lit(None),
+        "state": F.lit(None),
+        "generator_class": F.lit("detector"),
+        "prompt_hash": F.lit("detector"),
+        "rng_seed": F.lit(0),
+        "provenance_hash": F.lit(None),
+    }
+    kinds = {f.name: f.dataType for f in spans.schema.fields}
+    signed = with_signatures(spans.select(F.struct(*(F.col(f"`{c}`") for c in spans.columns)).alias("_row"), "injection_id", F.col("trace").alias("trace"), "label"))
+    signed = signed.withColumn("_s", F.struct("locality", "coupling"))
+    kept = F.struct(*(F.col(f"_row.`{c}`").alias(c) for c in spans.columns))
+    new = F.struct(*((own[c].cast(kinds[c]) if c in own else F.col(f"_row.`{c}`")).alias(c) for c in spans.columns))
+    odd = F.col("label").startswith("injection.") & F.col("trace").isNotNull() & own["label"].isNotNull()
+    return signed.select(F.inline(F.when(odd, F.array(kept, new)).otherwise(F.array(kept))))
+
+
 def state_from_signatures(plausible: Column, coupling: Column, locality: Column) -> Column:
     r = F.abs(coupling)
     return F.when(plausible & (r > vocab.COUPLING_ASSIMILATED), "assimilated").when((r >= vocab.COUPLING_WARM) & (locality <= vocab.LOCALITY_WARM), "warm").otherwise("cold")
@@ -204,6 +230,39 @@ def revision_summary(spans: DataFrame) -> DataFrame:
     )
 
 
+def document_trajectory(spans: DataFrame, revisions: DataFrame) -> DataFrame:
+    """By document of revisions: spans by state, repairs, the last revision's glucose, means of locality and coupling, share of plausible revisions.
+
+    A revision's glucose is the least of its spans' last events, one without them; its locality and coupling are means over its
+    spans; it is plausible if all of them are. Means over a document leave out revisions whose value is zero, and are zero for none.
+    """
+    end = F.element_at("trace", -1)["glucose_at_event"]
+    rows = with_signatures(spans.filter(F.size("trace") > 0), "trace")
+    state = lambda s: F.count(F.when(F.col("state") == s, 1)).alias(s)
+    traced = rows.groupBy("doc_id", "revision_index").agg(
+        F.min(F.when(end != 0, end)).alias("g"),
+        F.avg("locality").alias("l"),
+        F.avg("coupling").alias("c"),
+        F.min("plausible").alias("p"),
+        F.sum(F.size(F.filter("trace", lambda e: e["status"] == "repair"))).alias("repairs"),
+    )
+    held = spans.groupBy("doc_id", "revision_index").agg(F.count("*").alias("n"), *(state(s) for s in vocab.STATES))
+    keys = ["doc_id", "revision_index"]
+    snaps = revisions.select(*keys).distinct().join(held.join(traced, keys, "left"), keys, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    mean = lambda c, name: F.round(F.coalesce(F.avg(F.when(F.col(c) != 0, F.col(c))), F.lit(0.0)), 6).alias(name)
+    return snaps.groupBy("doc_id").agg(
+        F.count("*").alias("n_revisions"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_spans"),
+        *(total(s) for s in vocab.STATES),
+        total("repairs"),
+        F.round(F.max_by(F.least(F.lit(1.0), F.coalesce("g", F.lit(1.0))), "revision_index"), 6).alias("final_glucose"),
+        mean("l", "mean_locality"),
+        mean("c", "mean_coupling"),
+        F.round(F.avg(F.coalesce("p", F.lit(True)).cast("double")), 6).alias("plausible_share"),
+    )
+
+
 def _coupling(doc: np.ndarray, flags: np.ndarray, depth: np.ndarray, n_docs: int) -> np.ndarray:
     """r of each document's flags with the depth one event later; zero where it says nothing. Rows of a document adjoin."""
     size = np.bincount(doc, minlength=n_docs)

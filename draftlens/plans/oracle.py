@@ -473,6 +473,42 @@ SQL["sentence_offsets"] = rf"""WITH x AS (SELECT doc_id, string_split(regexp_rep
 y AS (SELECT doc_id, p, list_transform(p, lambda q: length(q)) AS n, unnest(range(0, len(p), 2)) AS i FROM x),
 z AS (SELECT doc_id, i, coalesce(list_sum(n[1 : i]), 0) + n[i + 1] - length(regexp_replace(p[i + 1], '^{_BLANK}', '')) AS s, length(regexp_replace(p[i + 1], '^{_BLANK}|{_BLANK}$', '', 'g')) AS size FROM y)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS k, CAST(s AS INTEGER) AS start, CAST(s + size AS INTEGER) AS "end" FROM z WHERE size > 0"""
+SQL["span_content_totals"] = rf"""WITH {_REV}, {_SPANS}, f AS (SELECT injection_id, min(substr(text, s + 1, 8)) AS x FROM sp WHERE revision_index = 0 GROUP BY injection_id),
+v AS (SELECT s >= length(text) OR e > length(text) OR s < 0 OR s > e OR regexp_replace(substr(text, s + 1, greatest(e - s, 0)), '^\s+|\s+$', '', 'g') = '' OR coalesce(NOT contains(substr(text, s + 1, greatest(e - s, 0)), x), false) AS failed FROM sp LEFT JOIN f USING (injection_id) WHERE inj)
+SELECT (SELECT count(DISTINCT doc_id) FROM rev) AS documents_checked, (SELECT count(*) FROM rev) AS revisions_checked, count(*) AS spans_verified, count(*) FILTER (failed) AS spans_failed, round(coalesce(count(*) FILTER (failed) / nullif(count(*), 0), 0), 6) AS failure_rate FROM v"""
+_LEAKED = [(p, p.replace("(?i)", "(?im)").replace("'", "''")) for p in vocab.LEAKAGE_PATTERNS]
+SQL["leakage_totals"] = f"""WITH {_REV}, {_SPANS}, b AS (SELECT CASE WHEN revision_index % 2 = 0 THEN 'Here is it. ' || text || ' as an AI ' ELSE text END AS body FROM sp WHERE inj)
+SELECT 'spans_checked' AS metric, count(*) AS n FROM b UNION ALL SELECT 'spans_with_leakage', count(*) FROM b WHERE {" OR ".join(f"regexp_matches(body, '{m}')" for _, m in _LEAKED)}
+UNION ALL SELECT metric, count(*) FROM ({" UNION ALL ".join(f"SELECT 'pattern:{p.replace(chr(39), chr(39) * 2)}' AS metric FROM b WHERE regexp_matches(body, '{m}')" for p, m in _LEAKED)}) GROUP BY metric"""
+SQL["spans_with_anomalies"] = f"""WITH {_REV}, {_SPANS}, {_TRACE}, x AS (SELECT doc_id, revision_index, injection_id, CASE WHEN locality > 4.5 THEN 'anomaly.process_violation' WHEN abs(coupling) < 0.2 THEN 'anomaly.no_resource_coupling' END AS a FROM sig)
+SELECT doc_id, revision_index, injection_id, label, level, state, flag, s AS start, e AS "end" FROM sp
+UNION ALL SELECT doc_id, revision_index, 'anom_' || substr(injection_id, 1, 8), a, NULL, NULL, 'high', s, e FROM sp JOIN x USING (doc_id, revision_index, injection_id) WHERE inj AND a IS NOT NULL"""
+SQL["document_trajectory"] = f"""WITH {_REV}, {_SPANS}, {_TRACE},
+h AS (SELECT doc_id, revision_index, count(*) AS n, count(*) FILTER (state = 'cold') AS cold, count(*) FILTER (state = 'warm') AS warm, count(*) FILTER (state = 'assimilated') AS assimilated FROM sp GROUP BY ALL),
+t AS (SELECT doc_id, revision_index, avg(locality) AS l, avg(coupling) AS c, bool_and(plausible) AS p FROM sig GROUP BY ALL),
+g AS (SELECT doc_id, revision_index, min(glucose) FILTER (i = size AND glucose <> 0) AS g, count(*) FILTER (bad AND fixed) AS repairs FROM ev GROUP BY ALL),
+k AS (SELECT DISTINCT doc_id, revision_index FROM rev), z AS (SELECT * FROM k LEFT JOIN h USING (doc_id, revision_index) LEFT JOIN t USING (doc_id, revision_index) LEFT JOIN g USING (doc_id, revision_index))
+SELECT doc_id, count(*) AS n_revisions, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_spans, CAST(coalesce(sum(cold), 0) AS BIGINT) AS cold, CAST(coalesce(sum(warm), 0) AS BIGINT) AS warm, CAST(coalesce(sum(assimilated), 0) AS BIGINT) AS assimilated,
+       CAST(coalesce(sum(repairs), 0) AS BIGINT) AS repairs, round(arg_max(least(1.0, coalesce(g, 1.0)), revision_index), 6) AS final_glucose, round(coalesce(avg(l) FILTER (l <> 0), 0), 6) AS mean_locality,
+       round(coalesce(avg(c) FILTER (c <> 0), 0), 6) AS mean_coupling, round(avg(CASE WHEN coalesce(p, true) THEN 1.0 ELSE 0.0 END), 6) AS plausible_share FROM z GROUP BY doc_id"""
+_OVERVIEW = """WITH {log}, cal AS (SELECT CAST(range AS DATE) AS bucket FROM range(DATE '{lo}', DATE '{hi}', INTERVAL 1 {g})), w AS (SELECT * FROM log WHERE ts >= '{lo}' AND ts < '{hi}'),
+k AS (SELECT DISTINCT project FROM w), c AS (SELECT project, CAST(date_trunc('{g}', ts) AS DATE) AS bucket, count(*) AS n FROM w GROUP BY ALL)
+SELECT CAST(project AS VARCHAR) AS key, bucket, coalesce(n, 0) AS n FROM k CROSS JOIN cal LEFT JOIN c USING (project, bucket)"""
+SQL["overview_week"] = _OVERVIEW.format(log=_LOG, lo="2024-01-15", hi="2024-01-22", g="day")
+SQL["overview_month"] = _OVERVIEW.format(log=_LOG, lo="2024-01-01", hi="2024-02-01", g="day")
+SQL["overview_year"] = _OVERVIEW.format(log=_LOG, lo="2024-01-01", hi="2025-01-01", g="month")
+SQL["period_forms"] = """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders),
+x AS (SELECT strftime(day, '%Y-W%W') AS form, date_trunc('week', day) AS s, date_trunc('week', day) + INTERVAL 7 DAY AS e, 'day' AS grain FROM o
+      UNION ALL SELECT strftime(day, '%Y-%m'), date_trunc('month', day), date_trunc('month', day) + INTERVAL 1 MONTH, 'day' FROM o
+      UNION ALL SELECT strftime(day, '%Y-%m-%d'), day, day + INTERVAL 1 YEAR, 'month' FROM o)
+SELECT form, CAST(s AS DATE) AS start, CAST(e AS DATE) AS "end", grain, count(*) AS n FROM x GROUP BY ALL"""
+SQL["consented_find"] = f"WITH {_LOG} SELECT project, author, ts, tie, label FROM log WHERE label IN ('purchase', 'error') AND author IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ORDER BY ts DESC, tie DESC LIMIT 100 OFFSET 50"
+SQL["passage_prompts"] = """WITH x AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t, CAST(floor(length(coalesce(text, '')) * 2 / 5.0) AS INTEGER) AS s, CAST(floor(length(coalesce(text, '')) * 3 / 5.0) AS INTEGER) AS e FROM documents),
+p AS (SELECT doc_id, 'naive' AS level, 'Write a scholarly paragraph about academic research. Maintain formal register.' AS prompt FROM x
+      UNION ALL SELECT doc_id, 'topical', 'Write a scholarly paragraph about ' || source || ' in the field of ' || lang || '. Maintain formal register.' FROM x
+      UNION ALL SELECT doc_id, 'contextual', 'In the ' || source || ' section, write content that bridges the following passages:' || chr(10) || chr(10) || 'Preceding: ' || right(substr(t, 1, s), 500) || chr(10) || chr(10)
+        || 'Following: ' || substr(t, e + 1, 500) || chr(10) || chr(10) || 'Maintain formal academic register.' FROM x)
+SELECT doc_id, level, CAST(length(prompt) AS INTEGER) AS n_chars, substr(sha256(prompt), 1, 16) AS prompt_hash FROM p"""
 SQL["sessions_similarity"] = f"""WITH log AS (SELECT CAST(user_id % 5 + 1 AS INTEGER) AS project, ts, event_id AS tie, value FROM events),
 p AS (SELECT *, row_number() OVER w AS k, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 60000000.0 AS gap, coalesce(least(value, lag(value) OVER w) / nullif(greatest(value, lag(value) OVER w), 0), 1) AS likeness FROM log WINDOW w AS ({_ORDER})),
 c AS (SELECT *, CASE WHEN k = 1 THEN NULL WHEN gap > 10 THEN 'gap' WHEN likeness < 0.5 THEN 'similarity' END AS cause FROM p),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from draftlens import vocab
 from draftlens.functions import ids
 from draftlens.functions import process
+from draftlens.functions import prompts
 from draftlens.functions import text as T
 from draftlens.functions import times
 from draftlens.operators import calibration, clipboard, detect, diffs, events, metrics, ordering, replay, revisions, sessions, spans, traces
@@ -406,6 +407,55 @@ def dashboard_projects(spark, d):
     return events.dashboard(_log(spark, d), START, END, "project", keep=~F.col("label").isin("error"))
 
 
+def _overview(spark: SparkSession, d: str, form: str, grain: str) -> DataFrame:
+    p = times.period(F.lit(form))
+    return events.dashboard(_log(spark, d), p["start"], p["end"], "project", grain)
+
+
+@query
+def overview_week(spark, d):
+    return _overview(spark, d, "2024-W03", "day")
+
+
+@query
+def overview_month(spark, d):
+    return _overview(spark, d, "2024-01", "day")
+
+
+@query
+def overview_year(spark, d):
+    return _overview(spark, d, "2024-01-01", "month")
+
+
+@query
+def period_forms(spark, d):
+    """Week, month and year from a day of each order's date as forms name them, with the orders that name each."""
+    t = F.col("o_orderdate").cast("date")
+    week = F.concat(F.date_format(t, "yyyy"), F.lit("-W"), F.lpad((F.floor((F.dayofyear(t) + 6 - F.weekday(t)) / 7)).cast("string"), 2, "0"))
+    forms = F.explode(F.array(week, F.date_format(t, "yyyy-MM"), F.date_format(t, "yyyy-MM-dd"))).alias("form")
+    n = table(spark, d, "orders").select(t.alias("day"), forms).groupBy("form").agg(F.count("*").alias("n"))
+    x = times.period(F.col("form"))
+    return n.select("form", x["start"].alias("start"), x["end"].alias("end"), x["grain"].alias("grain"), "n")
+
+
+@query
+def consented_find(spark, d):
+    """A page of purchases and errors of the authors whose customer row consents (an account that is not in debt), newest first."""
+    consents = table(spark, d, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("author"))
+    rows = events.find(_log(spark, d), [F.desc("ts"), F.desc("tie")], F.col("label").isin("purchase", "error"), skip=50, limit=100, users=consents)
+    return rows.select("project", "author", "ts", "tie", "label")
+
+
+@query
+def passage_prompts(spark, d):
+    """Prompts for the middle fifth of each document, by level."""
+    n = F.char_length(T.empty_if_null(F.col("text")))
+    start, end = F.floor(n * 2 / 5).cast("int"), F.floor(n * 3 / 5).cast("int")
+    made = {"naive": prompts.naive(), "topical": prompts.topical(F.col("source"), F.col("lang")), "contextual": prompts.contextual(F.col("source"), F.col("text"), start, end)}
+    each = F.inline(F.array(*(F.struct(F.lit(level).alias("level"), c.alias("prompt")) for level, c in made.items())))
+    return _docs(spark, d).select("doc_id", each).select("doc_id", "level", F.char_length("prompt").alias("n_chars"), ids.digest(F.col("prompt")).alias("prompt_hash"))
+
+
 @query
 def dashboard_authors(spark, d):
     return events.dashboard(_log(spark, d), START, END, "author", "week")
@@ -688,6 +738,24 @@ def span_content_errors(spark, d):
     return spans.content_violations(_spans(r), r)
 
 
+@query
+def span_content_totals(spark, d):
+    """Each span must hold the eight characters that its first revision's holds where it begins."""
+    r = _revisions(spark, d)
+    s = _spans(r)
+    first = s.filter("revision_index = 0").join(r, ["doc_id", "revision_index"]).groupBy("injection_id").agg(F.min(F.substring(F.col("text"), F.col("start") + 1, F.lit(8))).alias("expected"))
+    return spans.content_totals(s, r, first)
+
+
+@query
+def leakage_totals(spark, d):
+    """Of spans that cover the whole of a text, every other one with leaked words around it."""
+    odd = F.col("revision_index") % 2 == 0
+    r = _revisions(spark, d).withColumn("text", F.when(odd, F.concat(F.lit("Here is it. "), F.col("text"), F.lit(" as an AI "))).otherwise(F.col("text")))
+    whole = r.select("doc_id", "revision_index", F.char_length("text").alias("n"))
+    return spans.leakage_totals(_spans(r).join(whole, ["doc_id", "revision_index"]).withColumns({"start": F.lit(0), "end": F.col("n")}), r)
+
+
 @query
 def span_constraints(spark, d):
     s = _spans(_revisions(spark, d))
@@ -760,6 +828,11 @@ def signature_anomalies(spark, d):
     return traces.anomaly_spans(_traced(_revisions(spark, d))).select("doc_id", "revision_index", "injection_id", "label", "flag")
 
 
+@query
+def spans_with_anomalies(spark, d):
+    return traces.with_anomalies(_traced(_revisions(spark, d))).select("doc_id", "revision_index", "injection_id", "label", "level", "state", "flag", "start", "end")
+
+
 @query
 def signature_states(spark, d):
     s = traces.with_signatures(_traced(_revisions(spark, d)))
@@ -772,6 +845,12 @@ def trace_summary(spark, d):
     return traces.revision_summary(_traced(_revisions(spark, d)))
 
 
+@query
+def document_trajectory(spark, d):
+    r = _revisions(spark, d)
+    return traces.document_trajectory(_traced(r), r)
+
+
 @query
 def resource_simulation(spark, d):
     """The resource recurrence over all words of a document, of demands made from their lengths."""

@@ -165,6 +165,53 @@ PII_HEURISTIC = {
 }
 PII_NOT_NAMES = ("Table", "Figure", "Section", "Appendix", "Equation")
 
+# Prompts by level.
+PROMPTS = {
+    "naive": "Write a scholarly paragraph about academic research. Maintain formal register.",
+    "topical": "Write a scholarly paragraph about {topic} in the field of {domain}. Maintain formal register.",
+    "contextual": "In the {section} section, write content that bridges the following passages:\n\nPreceding: {preceding}\n\nFollowing: {following}\n\nMaintain formal academic register.",
+}
+
+# Vendors of models by the pattern of their ids; the place is the priority, the first that is met counts.
+MODEL_VENDORS = {
+    "anthropic": r"^anthropic/|^claude",
+    "openai": r"^openai/|^gpt-",
+    "google": r"^google/|^gemini",
+    "meta": r"^meta-llama/|^llama",
+    "mistral": r"^mistralai/|^mistral",
+    "cohere": r"^cohere/",
+    "deepseek": r"^deepseek/",
+    "qwen": r"^qwen/",
+    "perplexity": r"^perplexity/",
+    "nous": r"^nousresearch/|^nous",
+}
+MODEL_PRIORITY_OTHERS = 99
+
+# Ids that are left out, and what counts for and against an id.
+MODELS_EXCLUDED = (r"vision|image|audio|video|embed|moderat", r"instruct-\d+k", r"free$", r"preview|beta|alpha|experimental")
+MODEL_SCORES = {
+    r"opus|sonnet|4o|gpt-4|pro|ultra|large": 10,
+    r"haiku|mini|small|nano|tiny|lite": -5,
+    r"latest|turbo|flash": 5,
+    r"405b|70b|72b|llama-3\.1": 8,
+    r"8b|7b|3b|1b": -3,
+}
+
+# Parameters of generation that are known, those that all models take, and by vendor where a model lists none.
+MODEL_PARAMETERS_ALWAYS = ("temperature", "max_tokens")
+MODEL_PARAMETERS = ("top_p", "top_k", "presence_penalty", "frequency_penalty", "repetition_penalty", "min_p", "seed", "stop")
+MODEL_PARAMETERS_OTHERS = ("top_p", "stop")
+MODEL_PARAMETERS_BY_VENDOR = {
+    "anthropic": ("top_p", "top_k", "stop"),
+    "openai": ("top_p", "presence_penalty", "frequency_penalty", "seed", "stop"),
+    "google": ("top_p", "top_k", "stop"),
+    "meta": ("top_p", "top_k", "repetition_penalty", "stop"),
+    "mistral": ("top_p", "presence_penalty", "frequency_penalty", "stop"),
+    "cohere": ("top_p", "top_k", "presence_penalty", "frequency_penalty", "stop"),
+    "deepseek": ("top_p", "presence_penalty", "frequency_penalty", "stop"),
+    "qwen": ("top_p", "top_k", "repetition_penalty", "stop"),
+}
+
 
 def ranked(spark: SparkSession, values: tuple[str, ...], name: str = "label") -> DataFrame:
     """A vocabulary as a table (name, pos), for dense counts and tie-breaks."""
