@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from draftlens.operators.ordering import broken, exact_median, running_sum, sequenced
+from draftlens.operators.ordering import broken, exact_median, sequenced
 from draftlens.vocab import GAP_BINS
 
 
@@ -241,8 +241,8 @@ def windowed_labels(log: DataFrame, windows: int = 10) -> DataFrame:
 def uniform_distance(windowed: DataFrame) -> DataFrame:
     """Mean absolute difference between a label's shares of the project's windows and an even spread: Wasserstein for constant targets."""
     of = F.sum("n").over(Window.partitionBy("project", "label"))
-    most = windowed.groupBy("project").agg((F.max("win") + 1).alias("windows"))  # one row a project; a small one has fewer than asked for
-    share = windowed.withColumn("p", F.col("n") / of).join(most, "project")
+    most = F.max("win").over(Window.partitionBy("project")) + 1  # over a row a label and window; a small project has fewer than asked for
+    share = windowed.withColumns({"p": F.col("n") / of, "windows": most})
     # windows without the label have share 0
     even = 1.0 / F.col("windows")
     out = share.groupBy("project", "label", "windows").agg(F.sum(F.abs(F.col("p") - even)).alias("s"), F.count("*").alias("k"))
@@ -284,11 +284,16 @@ def temporal_mean(windowed: DataFrame, windows: int = 10) -> DataFrame:
     return p.groupBy("project", "label").agg(F.round(F.sum(F.col("p") * ((F.col("win") + 0.5) / windows)), 6).alias("mean_time"), F.round(F.avg("rel"), 6).alias("mean_rel"))
 
 
-def phase(log: DataFrame, k: int, of: int = 3) -> DataFrame:
-    """The k-th (from 1) of equal slices of each project's edits, the last taking the rest."""
+def phased(log: DataFrame, of: int = 3) -> DataFrame:
+    """log with phase: which (from 1) of equal slices of its project's edits an edit lies in, the last taking the rest."""
     rows = sequenced(log, "project")
-    inside = (F.col("place") >= F.floor(F.col("total") * (k - 1) / of)) & (F.col("place") < F.floor(F.col("total") * k / of))
-    return rows.filter(inside).select(*log.columns)
+    through = (F.col("place") + 1) * of + F.col("total") - 1
+    return rows.select(*log.columns, ((through - through % F.col("total")) / F.col("total")).cast("int").alias("phase"))
+
+
+def phase(log: DataFrame, k: int, of: int = 3) -> DataFrame:
+    """The k-th (from 1) of the slices of phased()."""
+    return phased(log, of).filter(F.col("phase") == k).drop("phase")
 
 
 def page(log: DataFrame, cursor: int, size: int = 200, before: int = 100) -> DataFrame:

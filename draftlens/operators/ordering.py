@@ -75,15 +75,22 @@ def broken(rows: DataFrame, breaks: Callable[[str, str], Column], name: str, *ke
     return out.drop("_bucket", "_r", "_lag", "_lead", "_b", "_in", "_p", "_x", "_before", "_base")
 
 
+def running_sums(rows: DataFrame, values: dict[str, Column], *keys: str, ts: str = "ts", tie: str = "tie", grain: str | int = GRAIN) -> DataFrame:
+    """Adds, by name, the sums of values over the key's rows up to and including each, all in one pass."""
+    rows = _bucketed(rows, ts, grain).withColumns({f"_v{k}": v for k, v in enumerate(values.values())})
+    w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    each = range(len(values))
+    edges = rows.groupBy(*keys, "_bucket").agg(*(F.sum(f"_v{k}").alias(f"_s{k}") for k in each))
+    edges = edges.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_before{k}") for k in each))
+    out = _back(rows.withColumns({f"_in{k}": F.sum(f"_v{k}").over(w) for k in each}), edges, keys)
+    out = out.withColumns({name: F.col(f"_before{k}") + F.col(f"_in{k}") for k, name in enumerate(values)})
+    return out.drop("_bucket", *(f"{c}{k}" for k in each for c in ("_v", "_in", "_before")))
+
+
 def running_sum(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str | int = GRAIN) -> DataFrame:
     """Adds the sum of value over the key's rows up to and including each."""
-    rows = _bucketed(rows, ts, grain).withColumn("_v", value)
-    w = Window.partitionBy(*keys, "_bucket").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
-    edges = rows.groupBy(*keys, "_bucket").agg(F.sum("_v").alias("_s"))
-    before = F.sum("_s").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_s")
-    out = _back(rows.withColumn("_in", F.sum("_v").over(w)), edges, keys)
-    return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_bucket", "_v", "_in", "_before")
+    return running_sums(rows, {name: value}, *keys, ts=ts, tie=tie, grain=grain)
 
 
 def running_least(rows: DataFrame, value: Column, name: str, *keys: str, ts: str = "ts", tie: str = "tie", grain: str | int = GRAIN) -> DataFrame:

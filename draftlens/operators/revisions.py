@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from draftlens import vocab
 from draftlens.functions import ids, text
-from draftlens.operators.ordering import running_sum, sequenced
+from draftlens.operators.ordering import running_sums, sequenced
 
 
 def in_order():
@@ -117,11 +117,10 @@ def active_totals(revisions: DataFrame, spans: DataFrame, grain: int = 4096) ->
     Running sums over births and revisions in one order, cut by number, so no span meets its later revisions one by one.
     """
     born = spans.groupBy("doc_id", F.col("born").alias("revision_index")).agg(F.count("*").alias("_n"), F.sum("size").cast("long").alias("_s"))
-    rows = revisions.select("doc_id", "revision_index").distinct().join(born, ["doc_id", "revision_index"], "full")
-    for value, name in (("_n", "n_active"), ("_s", "chars")):
-        rows = running_sum(rows, F.coalesce(value, F.lit(0)), name, "doc_id", ts="revision_index", tie="revision_index", grain=grain)
-    kept = rows.join(revisions.select("doc_id", "revision_index"), ["doc_id", "revision_index"], "left_semi")
-    return kept.filter("n_active > 0").select("doc_id", "revision_index", "n_active", "chars")
+    rows = revisions.select("doc_id", "revision_index").distinct().withColumn("_is", F.lit(True)).join(born, ["doc_id", "revision_index"], "full")
+    sums = {name: F.coalesce(value, F.lit(0)) for value, name in (("_n", "n_active"), ("_s", "chars"))}
+    rows = running_sums(rows, sums, "doc_id", ts="revision_index", tie="revision_index", grain=grain)
+    return rows.filter("_is and n_active > 0").select("doc_id", "revision_index", "n_active", "chars")
 
 
 def carry_forward(revisions: DataFrame, spans: DataFrame) -> DataFrame:

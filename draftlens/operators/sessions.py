@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from draftlens.operators.events import minutes
 from draftlens.operators.ordering import broken, exact_median, running_sum, sequenced
+from draftlens.session import materialize
 from draftlens.vocab import SESSION_COSINE, SESSION_GAP_MINUTES
 
 
@@ -49,12 +50,14 @@ def sessions(marked: DataFrame, least_minutes: float = 1.0, strict: bool = False
     out = out.withColumns({"label": labels[0], "label_list": F.when(F.col("session") == 0, labels).otherwise(F.slice(labels, 2, F.size(labels))) if strict else labels, "minutes": minutes(F.col("end_ts"), F.col("start_ts"))})
     if strict:
         out = out.filter((F.col("closed_by") == "similarity") | (F.col("closed_by").isNotNull() & (F.col("minutes") > least_minutes)))
+        out = materialize(out.drop("_l"), "sessions")  # read twice below
         out = running_sum(out, F.lit(1), "index", "project", ts="start_ts", tie="session").withColumn("index", (F.col("index") - 1).cast("int"))
     return out.drop("_l")
 
 
 def duration_stats(found: DataFrame, *keys: str) -> DataFrame:
     """Mean, sample variance and deviation (zero for one session), median, extremes and number of durations."""
+    found = materialize(found.select(*keys, "minutes"), "durations")
     d = F.col("minutes")
     r = lambda c, name: F.round(c, 6).alias(name)
     stats = found.groupBy(*keys).agg(
@@ -78,9 +81,9 @@ def duration_classes(found: DataFrame) -> DataFrame:
     return found.groupBy("project", kind.alias("duration_class")).agg(F.count("*").alias("n"))
 
 
-def time_per_label(log: DataFrame, cap: float = 5.0, *keys: str) -> DataFrame:
-    """Minutes and edits of each label: an edit lasts until the project's next, and not at all if that is over cap minutes away."""
-    rows = sequenced(log, "project")
+def time_per_label(log: DataFrame, cap: float = 5.0, *keys: str, within: tuple[str, ...] = ("project",)) -> DataFrame:
+    """Minutes and edits of each label: an edit lasts until the next within the same project, and not at all if that is over cap minutes away."""
+    rows = sequenced(log, *within)
     lasting = minutes(F.col("nxt.ts"), F.col("ts"))
     rows = rows.withColumn("m", F.when(lasting <= cap, lasting).otherwise(0.0))
     return rows.groupBy(*keys, "label").agg(F.round(F.sum("m"), 6).alias("minutes"), F.count("*").alias("n"))
@@ -102,5 +105,6 @@ def linear_fit(rows: DataFrame, y: Column, x: Column, *keys: str) -> DataFrame:
 
 def cumulative_starts(found: DataFrame) -> DataFrame:
     """Sessions laid end to end: where each begins, in minutes."""
+    found = materialize(found, "sessions")
     out = running_sum(found, F.col("minutes"), "begins", "project", ts="start_ts", tie="session")
     return out.withColumn("begins", F.col("begins") - F.col("minutes"))

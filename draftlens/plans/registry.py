@@ -225,8 +225,7 @@ def label_temporal_mean(spark, d):
 
 @query
 def phase_shares(spark, d):
-    log = _log(spark, d)
-    return union_all([events.label_counts(events.phase(log, k), "project").withColumn("phase", F.lit(k)) for k in (1, 2, 3)])
+    return events.label_counts(events.phased(_log(spark, d)), "project", "phase")
 
 
 @query
@@ -282,8 +281,8 @@ def time_per_label(spark, d):
 
 @query
 def time_per_label_early_late(spark, d):
-    log = _log(spark, d)
-    return union_all([sessions.time_per_label(events.phase(log, k)).withColumn("phase", F.lit(k)) for k in (1, 3)])
+    log = events.phased(_log(spark, d)).filter("phase <> 2")
+    return sessions.time_per_label(log, 5.0, "phase", within=("project", "phase"))
 
 
 @query
