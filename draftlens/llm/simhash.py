@@ -199,7 +199,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     def met(rows: DataFrame) -> DataFrame:
         """Rows of cells in which one at home meets another, with their number n."""
         full = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("met")).filter("n > 1 and met")
-        return rows.join(full.select("cell", "n"), "cell")
+        # sizes of exploded rows are not known to the planner, which would broadcast them
+        return rows.hint("merge").join(full.select("cell", "n"), "cell")
 
     first = materialize(met(cells), "cells")
     bands = [[s for s in range(SEGMENTS) if s not in own or len(groups) == 1] for own in groups]
@@ -221,19 +222,19 @@ def near_links(fps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) links -> (node, root), root the least node of each component: alternating large and small stars.
 
-    Rounds grow with the logarithm of the nodes; links that do not settle in `rounds` raise, so no component is given in part.
+    All joins are of two shuffled sides: links grow with the input, so none passes through the driver. Rounds grow with the logarithm of the nodes; links that do not settle in `rounds` raise, so no component is given in part.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(low.hint("merge"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = materialize(small, "links")
         # done when every node hangs on a root
-        open_ = new.select("u").join(new.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count()
+        open_ = new.select("u").join(new.select(F.col("v").alias("u")).hint("merge"), "u", "left_semi").limit(1).count()
         many = new.groupBy("u").count().filter("count > 1").limit(1).count()
         edges = new
         if not open_ and not many:
@@ -249,7 +250,7 @@ def _named(docs: DataFrame, radius: int, chunk: int, mark: str = "") -> DataFram
     marks = materialize(base.mapInArrow(_fingerprints, "doc_id long, fp long" + (f", {mark} long" if mark else "")), "fingerprints")
     distinct = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(near_links(distinct.select("fp"), radius, chunk))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "roots")
     labels = materialize(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "labels")
     of = materialize(join_hot(named, labels, ["root"], F.col("fp"), named.count(), "m").select("fp", "n", "root", "component_id"), "named")

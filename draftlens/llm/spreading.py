@@ -13,7 +13,8 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], salt: Column, tot
     """left with the columns of right, one row a key, that fit it (null where none does).
 
     `count` in right is how many rows of left have the key, of `total` rows. Keys with more than a SHARE-th of them are
-    broadcast; their rows of left, and those that are not eligible for a match, go through the shuffle spread by salt.
+    broadcast; their rows of left, and those that are not eligible for a match, go through the shuffle spread by salt. The
+    other keys are never broadcast, whatever size the planner takes them for.
     """
     named = [c for c in right.columns if c not in on and c != count]
     limit = max(1, total // SHARE)
@@ -26,7 +27,7 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], salt: Column, tot
     rest = (F.col("_key") == F.col(f"_cold_{on[0]}")) & F.col("_hot").isNull() & F.col("_may")
     for c in on[1:]:
         rest &= F.col(c) == F.col(f"_cold_{c}")
-    out = met.join(cold, rest, "left")
+    out = met.join(cold.hint("merge"), rest, "left")
     return out.select(*left.columns, *(F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in named))
 
 
