@@ -273,4 +273,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = _named(rows, radius, CHUNK, h).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     keep = least.groupBy("root", F.col("doc_id").alias(i)).agg(F.min(h).alias(h))
     keep = materialize(keep.select(i, F.col(h).alias(i + "h")), "kept")
-    return rows.join(keep, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(i + "h")), "left_semi").dropDuplicates(["doc_id", h]).drop(h)
+    return rows.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(i + "h")), "left_semi").dropDuplicates(["doc_id", h]).drop(h)
