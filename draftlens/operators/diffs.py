@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from draftlens.functions.alignment import char_diff, clean_up, indel_ratio, locate
+from draftlens.functions.alignment import char_diff, clean_up, indel_ratio, locate_many
 from draftlens.functions.text import whole_sentence
 from draftlens.session import ship_package
 
@@ -157,9 +157,11 @@ def char_diffs(pairs: DataFrame, cleaned: bool = True) -> DataFrame:
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("text", "selection", "near")), strict=True)
-        found = [locate(text or "", selection or "", near or 0) for text, selection, near in rows]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], names=[*batch.schema.names, "at"])
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            rows = zip(*(part.column(c).to_pylist() for c in ("text", "selection", "near")), strict=True)
+            found = locate_many([(text or "", selection or "", near or 0) for text, selection, near in rows])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int32())], names=[*part.schema.names, "at"])
 
 
 def expanded_context(rows: DataFrame) -> DataFrame:

@@ -95,6 +95,34 @@ def test_start_distances_are_those_of_the_dynamic_programme():
             assert A.locate(a, b, 7, distance=100) == want
 
 
+def test_many_are_located_as_one_by_one(monkeypatch):
+    """Texts longer and shorter than a lane, of one lane and many, patterns up to and beyond 64 characters, letters beyond U+FFFF."""
+    rnd, rows = random.Random(13), []
+    for k in range(300):
+        text = "".join(rnd.choice("ab c.\u00e9\U0001f600") for _ in range(rnd.choice([0, 1, 7, 40, 64, 65, 200, 700])))
+        size, at = rnd.choice([0, 1, 5, 20, 63, 64, 65, 90]), rnd.randrange(len(text) + 1)
+        pattern = list(text[at : at + size])
+        for _ in range(rnd.randrange(4)):
+            pattern.insert(rnd.randrange(len(pattern) + 1), rnd.choice("abx#"))
+        rows.append((text, "".join(pattern), rnd.choice([0, at, rnd.randrange(900)])))
+    for lane, lanes in ((512, 1024), (16, 8)):
+        monkeypatch.setattr(A, "LANE", lane)
+        monkeypatch.setattr(A, "LANES", lanes)
+        assert A.locate_many(rows) == [A.locate(*r) for r in rows]
+
+
+def test_located_side_by_side_takes_less_time():
+    rnd = random.Random(14)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
+    rows = [(text := " ".join(rnd.choice(words) for _ in range(300)), text[900:920] + "#" + text[921:951], 0) for _ in range(200)]
+    start = time.perf_counter()
+    got = A.locate_many(rows)
+    many = time.perf_counter() - start
+    start = time.perf_counter()
+    assert got == [A.locate(*r) for r in rows]
+    assert many < (time.perf_counter() - start) / 3
+
+
 def test_moved_selection_and_its_sentences(spark):
     text = "First one. Second sentence here! Third? And a long last line; done."
     rows = [("a", text, "sentense her", 0), ("b", text, "zzzzqqqqxxxx", 0), ("c", None, "x", 3), ("d", text, None, 4), ("e", "", "", 0), ("f", text, "Third", 33)]
