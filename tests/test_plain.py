@@ -153,6 +153,9 @@ def test_composed_text(spark):
     got = {r["k"]: r for r in df.select("k", T.nfc(F.col("x")).alias("n"), T.provenance_hash(F.col("x"), T.nfc(F.col("x"))).alias("h")).collect()}
     assert [got[k]["n"] for k in range(len(parts))] == [None if p is None else unicodedata.normalize("NFC", p) for p in parts]
     assert got[0]["h"] == got[1]["h"]
+    # texts that composition leaves alone are not sent to Python: the condition is in the argument
+    plan = df.select(T.nfc(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "composed(CASE WHEN" in plan or "composed(if" in plan
 
 
 SPAN = "doc_id long, revision_index int, injection_id string, label string, start int, end int, start_sentence int, end_sentence int, state string, flag string"
