@@ -83,7 +83,8 @@ def eroded(text: Column, clarity: Column, salt: Column) -> Column:
         lost = md5_mod(F.concat(salt, F.lit(":"), i.cast("string")), 100) / 100.0 < 1 - clarity
         mark = c.isin(",", ".", "!", "?", ";", ":")
         capital = (clarity < 0.6) & (F.lower(c) != c)
-        return F.when(lost & mark, " ").when(lost & capital, F.lower(c)).otherwise(c)
+        # the hash is the dear part, and is worked out for what can change only
+        return F.when(mark & lost, " ").when(capital & lost, F.lower(c)).otherwise(c)
 
     return F.when((clarity >= 0.9) | (text == ""), text).otherwise(F.array_join(F.transform(chars, one), ""))
 
