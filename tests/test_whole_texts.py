@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,25 @@ def test_rows_of_events_are_those_of_the_fold(spark):
             assert r["failure"] == e["failure"] and [r[c] for c in names[1:]] == pytest.approx([e[c] for c in names[1:]], abs=1e-9)
 
 
+def test_traces_side_by_side_are_those_one_by_one():
+    """Exactly, whatever their lengths; columns may be left out."""
+    rnd = np.random.default_rng(8)
+    sizes = np.array([0, 1, 700, *rnd.integers(0, 90, 60), 2, 0])
+    depth, rarity, cost = rnd.integers(0, 9, sizes.sum()).astype(float), rnd.random(sizes.sum()), rnd.random(sizes.sum()) / 50
+    decay = vocab.GLUCOSE_DECAY ** (1.0 + depth / 10.0)
+    got, want = traces._walks(depth, rarity, cost, decay, sizes, 1.0), [[], [], []]
+    for start, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+        for all_, own in zip(want, traces._walk(*(x[start : start + n] for x in (depth, rarity, cost, decay)), 1.0)[:3], strict=True):
+            all_ += own
+    assert [x.tolist() for x in got] == want and set(want[2]) == {-1, 0, 1}
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([depth, rarity, cost], ["depth", "rarity", "cost"]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), lists], names=["key", "intentions"])
+    for most in (50, 1 << 16):
+        made = pa.Table.from_batches(traces._simulated(1.0, most, ("k", "glucose_after"))([batch]))
+        assert made.column_names == ["key", "k", "glucose_after"] and made["glucose_after"].to_pylist() == want[1]
+        assert made["key"].to_pylist() == np.repeat(range(len(sizes)), sizes).tolist() and made["k"].to_pylist() == [k for n in sizes for k in range(n)]
+
+
 def signatures(words):
     """Locality, coupling and plausible as the reference's engine computes them."""
     fails, depth = [float(len(w) > 9) for w in words], [float(len(w) % 7) for w in words]
